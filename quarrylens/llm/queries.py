@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import arc, chat, linededup, topk
+from quarrylens.llm import arc, chat, linededup, minhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -35,12 +40,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_line_dedup, op4_exact_topk, op6_chat_format, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_exact_topk, op6_chat_format, op10_warc)}
 
 WS = r"[\x20\x09-\x0D]"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = f"regexp_extract_all({{}}, '[^{WS[1:-1]}]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id AS d, doc_id AS c FROM s UNION SELECT r.d, p.v FROM r JOIN p ON r.c = p.u),
+        m AS (SELECT d, min(c) AS c FROM r GROUP BY d), l AS (SELECT u, count(*) AS k FROM p GROUP BY u)
+        SELECT s.doc_id, len(s) AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN m ON d = s.doc_id""",
     "op3_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
