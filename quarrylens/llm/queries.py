@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import arc, chat, linededup, minhash, topk, toxicity
+from quarrylens.llm import arc, chat, linededup, minhash, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,12 +46,22 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op8_quality_resample(spark: SparkSession, sf_dir: str, max_target: int = 50_000) -> DataFrame:
+    """The target is at most max_target texts that labels call good, those of the lowest hash; the share to keep is that of good labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where("quality is not null")
+    good = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
+    good = spark.createDataFrame(good.toArrow())  # max_target rows at most
+    share = labels.agg(F.avg("quality")).first()[0] or 0.0
+    return quality.importance_resample(docs, docs.join(F.broadcast(good), "doc_id"), share)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = arc.archive_roundtrip(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op6_chat_format, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op6_chat_format, op8_quality_resample, op10_warc)}
 
 WS = r"[\x20\x09-\x0D]"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -264,13 +264,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
     for i, (have, toxic) in enumerate(texts):
         for f in have if toxic else ():
             holders[f].append(i)
-    n_toxic, chosen = sum(t for _, t in texts), []
+    n_toxic, chosen, stems = sum(t for _, t in texts), [], [stem(r["feature"]) for r in best]
     for least in (max(4, n_toxic // 200), max(8, n_toxic // 50)):  # once for every toxic text, then again for its other signs
         left = np.array([t == 1 for _, t in texts], bool)
         gain = np.array([len(h) for h in holders], np.int64)
-        gain[chosen] = 0
+        barred = set()  # a longer or shorter form of a chosen stem is the same sign
+        for f in chosen:
+            barred |= {g for g, x in enumerate(stems) if x.startswith(stems[f]) or stems[f].startswith(x)}
+        gain[list(barred)] = -len(texts)
         while len(chosen) < max_features and len(gain) and gain[f := int(gain.argmax())] >= least:
             chosen.append(f)
+            gain[[g for g, x in enumerate(stems) if x.startswith(stems[f]) or stems[f].startswith(x)]] = -len(texts)
             for i in holders[f]:
                 if left[i]:
                     left[i] = False
