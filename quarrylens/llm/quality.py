@@ -95,7 +95,7 @@ def importance_scores(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS
     return scored.withColumn("key", F.col("log_weight") / F.greatest("n_grams", F.lit(1)) / F.lit(temperature) - F.log(-F.log(u)))
 
 
-def importance_resample(docs: DataFrame, target: DataFrame, share: float, buckets: int = BUCKETS, temperature: float = 0.02, seed: int = 1) -> DataFrame:
+def importance_resample(docs: DataFrame, target: DataFrame, share: float, buckets: int = BUCKETS, temperature: float = 0.01, seed: int = 1) -> DataFrame:
     """doc_id, log_weight, n_grams, key, kept: documents sampled without replacement by their importance weights.
 
     The weight of a text is the ratio of its chances under two models of hashed words and word pairs: one of the

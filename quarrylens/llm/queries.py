@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import arc, chat, linededup, minhash, quality, topk, toxicity
+from quarrylens.llm import arc, chat, linededup, minhash, pieces, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = pieces.DEFAULT_MODEL) -> DataFrame:
+    out = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(_table(spark, sf_dir, "conversations"))
 
@@ -61,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op6_chat_format, op8_quality_resample, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op5_sentencepiece, op6_chat_format, op8_quality_resample, op10_warc)}
 
 WS = r"[\x20\x09-\x0D]"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
