@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import arc, chat, linededup, minhash, pieces, quality, topk, toxicity
+from quarrylens.llm import arc, chat, decontam, linededup, minhash, pieces, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,12 +61,16 @@ def op8_quality_resample(spark: SparkSession, sf_dir: str, max_target: int = 50_
     return quality.importance_resample(docs, docs.join(F.broadcast(good), "doc_id"), share)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = arc.archive_roundtrip(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op5_sentencepiece, op6_chat_format, op8_quality_resample, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op5_sentencepiece, op6_chat_format, op8_quality_resample, op9_decontamination, op10_warc)}
 
 WS = r"[\x20\x09-\x0D]"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
