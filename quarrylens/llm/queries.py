@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import arc, chat, decontam, linededup, minhash, pieces, quality, topk, toxicity
+from quarrylens.llm import arc, chat, decontam, linededup, minhash, pieces, quality, substring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_passages(_table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_quality_resample(spark: SparkSession, sf_dir: str, max_target: int = 50_000) -> DataFrame:
     """The target is at most max_target texts that labels call good, those of the lowest hash; the share to keep is that of good labels."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,7 +75,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op5_sentencepiece, op6_chat_format, op8_quality_resample, op9_decontamination, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_line_dedup, op4_exact_topk, op5_sentencepiece, op6_chat_format, op7_substring_dedup, op8_quality_resample, op9_decontamination, op10_warc)}
 
 WS = r"[\x20\x09-\x0D]"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,6 +111,15 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY pos) AS turns, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered FROM t GROUP BY conv_id)
         SELECT conv_id, n AS n_turns, rendered FROM c WHERE NOT EXISTS (
             SELECT 1 FROM c d WHERE d.turns[1] IS NOT DISTINCT FROM c.turns[1] AND (d.n > c.n OR d.n = c.n AND d.conv_id < c.conv_id) AND d.turns[1:c.n] IS NOT DISTINCT FROM c.turns)""",
+    "op7_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        a AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+        g AS (SELECT doc_id, i, hash(w[i:i + 49]) AS h, md5(array_to_string(w[i:i + 49], ' ')) AS m FROM a),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h, m) < doc_id AS gone FROM g),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM f WHERE gone),
+        e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM w),
+        k AS (SELECT e.doc_id, count(c.p) AS r, coalesce(string_agg(e.x, ' ' ORDER BY e.p) FILTER (c.p IS NULL), '') AS t FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.p = e.p GROUP BY e.doc_id)
+        SELECT w.doc_id, len(w.w) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS f FROM p)
