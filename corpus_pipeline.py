@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quarrylens.llm import linededup
+from quarrylens.llm import decontam, linededup, minhash, pieces, toxicity
+from quarrylens.llm.queries import held_out
+from quarrylens.llm.shared import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(docs).selectExpr("doc_id", "text", "length(text) AS n_chars")
-    return docs.drop("text", "n_chars").join(kept, "doc_id").select(*COLUMNS)
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7 stay. The model learns from the labelled ones among docs that aren't held out."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=~held_out())
+    return toxicity.toxicity(docs, model, carry=("text", "lang", "source", "n_chars")).where("score < 0.7").select(*COLUMNS)
 
 
-STAGES = [("line_dedup", line_dedup)]
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, without its repeated lines; n_chars is that of the text that is left."""
+    kept = linededup.dedup_lines(docs, carry=("lang", "source"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest doc_id; repeated rows are one."""
+    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
+    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(staged(found.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids; text is what the ids decode to."""
+    rest = ("lang", "source", "n_chars")
+    out = pieces.decode(pieces.encode(docs, carry=rest), carry=rest)
+    return out.select("doc_id", F.col("decoded").alias("text"), *rest, F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_lines), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("sentencepiece", tokenize)]
+#: The first stage has no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of sf_dir after all stages, each written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

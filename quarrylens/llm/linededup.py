@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, mix, staged
+from quarrylens.llm.shared import U64, mix, rest, staged, typed
 
 KEYS_PER_SHARD = 200_000
 PROBES_PER_TASK = 400_000
@@ -109,7 +109,7 @@ def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([doc[drop], h[drop]], schema=schema)
 
 
-def _strip(min_chars: int):
+def _strip(min_chars: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
@@ -121,25 +121,26 @@ def _strip(min_chars: int):
                     lines = [x for x in lines if not ((k := line_key(x, min_chars)) and int.from_bytes(xxhash.xxh3_128_digest(k)[:8], "big", signed=True) in gone)]
                 n_dropped.append(n_lines[-1] - len(lines))
                 kept.append(b"\n".join(lines) if drop else (text or "").encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *rest(batch, carry)], ["doc_id", "text", "n_lines", "n_dropped", *carry])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_lines, n_dropped: each document without the lines that repeat across documents.
 
     A line's key is the line stripped of space and \\x09-\\x0D and with A-Z lower-cased. Keys of min_chars code points
     that stand in min_docs documents keep their lines in the largest doc_id that holds them alone. A null or empty
     text is one empty line and comes back empty. Rows with a null doc_id take no part and give no row; rows that
-    repeat a doc_id count as one document, and each gives a row. Other columns are ignored.
+    repeat a doc_id count as one document, and each gives a row. Of other columns, carry names those that come along.
 
     Lines become 128-bit hashes: 64 bits route and index, the other 64 are the fingerprint. Shards hold a bounded
     number of repeated keys; a shard that many lines probe, such as that of a line in a third of all documents, is
     copied to as many tasks as its probes need.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = staged(docs.mapInArrow(_line_hashes(min_chars), "doc_id long, h long, fp long"), "lines")
+    names = [f"c_{c}" for c in carry]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry)).where("doc_id is not null")
+    lines = staged(docs.select("doc_id", "text").mapInArrow(_line_hashes(min_chars), "doc_id long, h long, fp long"), "lines")
     keys = staged(lines.groupBy("h", "fp").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs), "line-keys")
     shards = max(1, -(-keys.count() // KEYS_PER_SHARD))
     shard = F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard")
@@ -151,4 +152,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     held = index.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "index")
     gone = probes.groupBy("shard", "copy").cogroup(held.groupBy("shard", "copy")).applyInArrow(_probe, "doc_id long, h long")
     gone = gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))  # at most the lines of one document
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_strip(min_chars), "doc_id long, text string, n_lines long, n_dropped long")
+    found = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *names)
+    out = found.mapInArrow(_strip(min_chars, names), f"doc_id long, text string, n_lines long, n_dropped long{typed(docs, names)}")
+    return out.withColumnsRenamed({f"c_{c}": c for c in carry})

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm.shared import rest, typed
+
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -188,7 +190,7 @@ class Pieces:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def _encode(held):
+def _encode(held, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for batch in batches:
@@ -199,12 +201,12 @@ def _encode(held):
                     ids.extend(pieces.encode(text or ""))
                     ends.append(len(ids))
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *rest(part, carry)], ["doc_id", "ids", *carry])
 
     return run
 
 
-def _decode(held):
+def _decode(held, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for batch in batches:
@@ -213,7 +215,7 @@ def _decode(held):
                 lists = part.column(1)
                 flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
                 shown = [pieces.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(shown, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(shown, pa.string()), *rest(part, carry)], ["doc_id", "ids", "decoded", *carry])
 
     return run
 
@@ -222,18 +224,23 @@ def _model(df: DataFrame, model: str | bytes):
     return df.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else Path(model).read_bytes())  # a vocabulary, not data
 
 
-def encode(docs: DataFrame, model: str | bytes = DEFAULT_MODEL) -> DataFrame:
+def encode(docs: DataFrame, model: str | bytes = DEFAULT_MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids of documents (doc_id, text): the ids of the best segmentation of each whole text.
 
     The score of a segmentation is the sum of the scores of its pieces in the model file (a path, or its bytes);
     characters without a piece become byte pieces. A null or empty text has no ids. Every row gives a row, repeated
-    ones and those with a null doc_id too; other columns are ignored.
+    ones and those with a null doc_id too; of other columns, carry names those that come along.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_encode(_model(docs, model)), "doc_id long, ids array<int>")
+    names = [f"c_{c}" for c in carry]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    out = docs.mapInArrow(_encode(_model(docs, model), names), f"doc_id long, ids array<int>{typed(docs, names)}")
+    return out.withColumnsRenamed({f"c_{c}": c for c in carry})
 
 
-def decode(encoded: DataFrame, model: str | bytes = DEFAULT_MODEL) -> DataFrame:
+def decode(encoded: DataFrame, model: str | bytes = DEFAULT_MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, decoded of encoded (doc_id, ids): the text behind the ids; null ids give an empty text. For ids
     that encode gave, it is the text that was encoded."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(_model(encoded, model)), "doc_id long, ids array<int>, decoded string")
+    names = [f"c_{c}" for c in carry]
+    encoded = encoded.select("doc_id", "ids", *(F.col(c).alias(f"c_{c}") for c in carry))
+    out = encoded.mapInArrow(_decode(_model(encoded, model), names), f"doc_id long, ids array<int>, decoded string{typed(encoded, names)}")
+    return out.withColumnsRenamed({f"c_{c}": c for c in carry})

@@ -99,3 +99,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def binary_list(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def rest(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+    """The columns that an operator carries along."""
+    return [column(batch, n) for n in names]
+
+
+def typed(df: DataFrame, names: list[str]) -> str:
+    """The schema of carried columns, to go behind others."""
+    kinds = dict(df.dtypes)
+    return "".join(f", `{n}` {kinds[n]}" for n in names)

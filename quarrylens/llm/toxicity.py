@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm.shared import rest, typed
+
 ORDER, SYMBOLS = 4, 32
 BORDER = 0
 #: The letters that signs can stand for, and signs that can stand between the letters of a word.
@@ -286,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
     return Model(lm.value, weights, (sum(unexplained) + 0.5) / (len(unexplained) + 10.0))
 
 
-def _score(model) -> Callable:
+def _score(model, carry: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         decoder = Decoder(m.lm)
@@ -296,19 +298,21 @@ def _score(model) -> Callable:
                 restored = _restored(text or "", decoder)
                 scores.append(min(1.0, max(0.0, m.score(text or "", restored))))
                 shown.append(sorted(restored))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.string()))], ["doc_id", "score", "restored"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.string())), *rest(batch, carry)], ["doc_id", "score", "restored", *carry])
 
     return run
 
 
-def toxicity(docs: DataFrame, model: Model) -> DataFrame:
+def toxicity(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, restored of documents (doc_id, text): the chance that a text is toxic, and what was restored.
 
     Spans that may hide a word (letters mixed with signs, single letters apart, letters repeated) are decoded by
     Viterbi search over the lattice of their readings under the character model; words of the text and of the decoded
     spans are then looked up among the learned features, each an independent cause. Null and empty texts have the base
-    chance. Every row gives a row, repeated ones and those with a null doc_id too; other columns are ignored.
+    chance. Every row gives a row, repeated ones and those with a null doc_id too; of other columns, carry names those that come along.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_score(held), "doc_id long, score double, restored array<string>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    names = [f"c_{c}" for c in carry]
+    out = docs.mapInArrow(_score(held, names), f"doc_id long, score double, restored array<string>{typed(docs, names)}")
+    return out.withColumnsRenamed({f"c_{c}": c for c in carry})
