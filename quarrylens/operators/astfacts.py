@@ -1,0 +1,155 @@
+"""Parses source files once, each into rows of one table of syntax nodes; all else is relational. Code is never run."""
+
+from __future__ import annotations
+
+import ast
+import hashlib
+import re
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+DEFINITIONS = (*FUNCTIONS, ast.ClassDef)
+#: The node table. node: place in breadth-first order; pre: in depth-first order; funcs, loops: ids of the functions and
+#: of the for and while loops around a node, itself included; scope: dotted names of the definitions around it;
+#: caller: the innermost function whose lines hold the node's line.
+SCHEMA = (
+    "path string, status string, node int, parent int, pre int, field string, idx int, type string, name string, as_name string, const string, value string, ctx string, "
+    "line int, end_line int, col int, scope string, open_defs int, funcs array<int>, loops array<int>, loop_depth int, op string, count int, level int, "
+    "doc string, has_doc boolean, returns boolean, caller string, norm_hash string"
+)
+ARROW = pa.schema(
+    [(n, pa.string()) for n in ("path", "status")] + [(n, pa.int32()) for n in ("node", "parent", "pre")] + [("field", pa.string()), ("idx", pa.int32())]
+    + [(n, pa.string()) for n in ("type", "name", "as_name", "const", "value", "ctx")] + [(n, pa.int32()) for n in ("line", "end_line", "col")]
+    + [("scope", pa.string()), ("open_defs", pa.int32()), ("funcs", pa.list_(pa.int32())), ("loops", pa.list_(pa.int32())), ("loop_depth", pa.int32()), ("op", pa.string()), ("count", pa.int32()), ("level", pa.int32())]
+    + [("doc", pa.string()), ("has_doc", pa.bool_()), ("returns", pa.bool_()), ("caller", pa.string()), ("norm_hash", pa.string())]
+)
+
+
+def module_name(path: str) -> str:
+    return re.sub(r"[/\\]", ".", path).removesuffix(".py")
+
+
+def tolerant_parse(text: str) -> tuple[ast.Module | None, str]:
+    """The tree and ok; of a text with a syntax error the tree of the lines before it and partial; else None and failed."""
+    for status in ("ok", "partial"):
+        try:
+            return ast.parse(text), status
+        except SyntaxError as e:
+            text = "\n".join(text.splitlines()[: max(0, (e.lineno or 1) - 1)])
+        except (ValueError, RecursionError, MemoryError):
+            break
+    return None, "failed"
+
+
+def shape(node: ast.AST) -> str:
+    """Names by their first appearance, literals by their kind, strings that stand alone left out."""
+    places: dict[str, int] = {}
+
+    def show(x: object) -> str:
+        if isinstance(x, list):
+            return "[" + ",".join(show(y) for y in x if not (isinstance(y, ast.Expr) and isinstance(y.value, ast.Constant) and isinstance(y.value.value, str))) + "]"
+        if not isinstance(x, ast.AST):
+            return repr(x)
+        own: dict[str, object] = dict(ast.iter_fields(x))
+        if isinstance(x, ast.Name):
+            own["id"] = places.setdefault(x.id, len(places))
+        elif isinstance(x, ast.arg):
+            own["arg"] = places.setdefault(x.arg, len(places))
+        elif isinstance(x, ast.Constant) and isinstance(x.value, (str, int, float)):
+            own = {"kind": "text" if isinstance(x.value, str) else "number"}
+        return type(x).__name__ + "(" + ",".join(f"{k}={show(v)}" for k, v in own.items()) + ")"
+
+    return hashlib.md5(show(node).encode()).hexdigest()
+
+
+def _doc(node: ast.AST) -> str | None:
+    first = node.body[0] if isinstance(node, (ast.Module, *DEFINITIONS)) and node.body else None
+    return first.value.value if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str) else None
+
+
+def _attributes(node: ast.AST) -> dict:
+    """What the row says of the node itself."""
+    out: dict = {"type": type(node).__name__, "line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None), "col": getattr(node, "col_offset", None)}
+    for attr in ("name", "id", "attr", "arg", "module"):
+        if isinstance(getattr(node, attr, None), str):
+            out["name"] = getattr(node, attr)
+            break
+    if isinstance(node, ast.alias):
+        out["as_name"] = node.asname
+    if isinstance(node, ast.Constant):
+        v = node.value
+        out |= {"const": "ellipsis" if v is ... else type(v).__name__.lower(), "value": v if isinstance(v, str) else str(v)}
+    if hasattr(node, "ctx"):
+        out["ctx"] = type(node.ctx).__name__
+    if isinstance(node, ast.ImportFrom):
+        out["level"] = node.level or 0
+    if isinstance(node, ast.Compare):
+        out["op"] = " ".join(type(o).__name__ for o in node.ops)
+    elif hasattr(node, "op") and isinstance(node.op, ast.AST):
+        out["op"] = type(node.op).__name__
+    for attr in ("generators", "values", "names"):
+        if isinstance(getattr(node, attr, None), list):
+            out["count"] = len(getattr(node, attr))
+    if isinstance(node, FUNCTIONS):
+        out["returns"] = node.returns is not None
+    if isinstance(node, DEFINITIONS):
+        out["norm_hash"] = shape(node)
+    if isinstance(node, (ast.Module, *DEFINITIONS)):
+        out["doc"] = _doc(node)
+        out["has_doc"] = out["doc"] is not None
+    return out
+
+
+def facts(path: str, text: str | None) -> list[dict]:
+    """The rows of a file; a file that can't be parsed has one, without a node."""
+    tree, status = tolerant_parse(text or "")
+    if tree is None:
+        return [{"path": path, "status": status}]
+    rows, queue = [], deque([(tree, None, None, 0, module_name(path), 0, (), (), 0)])
+    made: dict[int, dict] = {}
+    while queue:
+        node, parent, field, idx, scope, open_defs, funcs, loops, depth = queue.popleft()
+        me = len(rows)
+        if isinstance(node, FUNCTIONS):
+            funcs = (*funcs, me)
+        if isinstance(node, (ast.For, ast.While)):
+            loops, depth = (*loops, me), depth + 1
+        row = _attributes(node) | {"path": path, "status": status, "node": me, "parent": parent, "field": field, "idx": idx, "scope": scope, "open_defs": open_defs, "funcs": list(funcs), "loops": list(loops), "loop_depth": depth}
+        rows.append(row)
+        made[id(node)] = row
+        if isinstance(node, DEFINITIONS):
+            scope, open_defs = f"{scope}.{node.name}", open_defs + 1
+        for name, value in ast.iter_fields(node):
+            for i, x in enumerate(value if isinstance(value, list) else [value]):
+                if isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
+                    queue.append((x, me, name, i, scope, open_defs, funcs, loops, depth))
+    stack, place = [tree], 0
+    while stack:
+        node = stack.pop()
+        if id(node) in made:
+            made[id(node)]["pre"] = place
+            place += 1
+            stack += reversed(list(ast.iter_child_nodes(node)))
+    bodies = sorted(((r["end_line"] - r["line"], r["node"], r) for r in rows if r["type"] in ("FunctionDef", "AsyncFunctionDef")), key=lambda x: x[:2])
+    for r in rows:
+        if r["type"] in ("Name", "Attribute") and r["line"]:
+            r["caller"] = next((f"{module_name(path)}.{f['name']}" for _, _, f in bodies if f["line"] <= r["line"] <= f["end_line"]), None)
+    return rows
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = facts(path, text)
+            for i in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_pylist(rows[i : i + 5000], schema=ARROW)
+
+
+def ast_nodes(files: DataFrame) -> DataFrame:
+    """The node table of files (path, text). Null texts are empty modules."""
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(_parse, SCHEMA)
