@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _c(x: Column | str | float) -> Column:
@@ -58,7 +59,7 @@ def decay(steps: Column | str, max_steps: Column | str, rate: Column | str) -> C
     return F.greatest(F.lit(0.0), 1 - _c(steps) / _c(max_steps) * _c(rate))
 
 
-@F.udf("double")
-def python_round(x: float | None, digits: int | None) -> float | None:
+@F.udf(DoubleType())
+def python_round(x: float, digits: int) -> float:
     """Half to even on the exact binary value, which no SQL function gives; for values that are rounded by contract."""
     return None if x is None else round(x, digits)

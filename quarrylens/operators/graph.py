@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quarrylens.operators.symbols import definitions, module_of, usages
 
 
+#: Steps along edges between two checkpoints.
+STEPS = 4
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint; a session without a folder for it gets one of its own if it is local."""
     sc = df.sparkSession.sparkContext
@@ -57,13 +61,16 @@ def replace_files(table: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node: all that seeds (node) reach over edges (src, dst), themselves included. A round a step; the graph and what
+    """node: all that seeds (node) reach over edges (src, dst), themselves included. STEPS steps a round; the graph and what
     has been found stay distributed."""
     steps = _cut(edges.select("src", "dst").distinct())
     found = frontier = _cut(seeds.select(F.col("node")).distinct())
     while not frontier.isEmpty():
-        step = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(found, "node", "left_anti"))
+        news = None
+        for _ in range(STEPS):
+            frontier = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+            news = frontier if news is None else news.unionByName(frontier)
+        frontier = _cut(news.distinct().join(found, "node", "left_anti"))
         found = _cut(found.unionByName(frontier))
     return found
 
@@ -120,8 +127,11 @@ def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, least: the smallest node that reaches it, itself included."""
     now = _cut(nodes.select("node", F.col("node").alias("least")))
     while True:
-        sent = edges.join(now, edges["src"] == now["node"]).select(F.col("dst").alias("node"), "least")
-        new = _cut(now.unionByName(sent).groupBy("node").agg(F.min("least").alias("least")))
+        new = now
+        for _ in range(STEPS):
+            sent = edges.join(new, edges["src"] == new["node"]).select(F.col("dst").alias("node"), "least")
+            new = new.unionByName(sent).groupBy("node").agg(F.min("least").alias("least"))
+        new = _cut(new)
         changed = new.join(now.withColumnRenamed("least", "was"), "node").where("least <> was").isEmpty()
         now = new
         if changed:

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
 
@@ -31,7 +32,7 @@ def apply_diff(original: str, diff: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def patched(original: pd.Series, diff: pd.Series) -> pd.Series:
     """apply_diff on columns; null in, null out."""
     return pd.Series([None if a is None or b is None else apply_diff(a, b) for a, b in zip(original, diff, strict=True)])
@@ -45,7 +46,7 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     return files.join(per, "path", "full").select("path", _edited("text", F.transform("edits", lambda e: F.struct(e["new_content"].alias("n"), e["unified_diff"].alias("d")))).alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _edited(text: pd.Series, edits: pd.Series) -> pd.Series:
     out = []
     for t, es in zip(text, edits, strict=True):

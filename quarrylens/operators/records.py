@@ -52,8 +52,8 @@ def repeated_before(df: DataFrame, n: int, partition: list[str], order: list[str
 
 
 def pair_mean(df: DataFrame, key: str, value: str) -> DataFrame:
-    """mean of |v_i - v_j| over all pairs i <> j: one row. From sorted prefix sums, so that no pair is made."""
-    w = Window.orderBy(value)
+    """mean of |v_i - v_j| over all pairs i <> j of a stated small table: one row. From ranks, so that no pair is made."""
+    w = Window.orderBy("v")
     n = df.count()
     ranked = df.select(F.col(value).alias("v")).withColumn("r", F.row_number().over(w))
     total = ranked.agg(F.sum(F.col("v") * (2 * F.col("r") - n - 1)).alias("s"))
