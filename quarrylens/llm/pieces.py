@@ -6,6 +6,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import rest, typed
+from quarrylens.llm.shared import rest, slices, typed
 
 MARK = "▁"
 #: Kinds of pieces in a model file.
@@ -104,7 +105,9 @@ class DoubleArray:
 class Pieces:
     """Encodes and decodes with the pieces of a model; segments between white space are remembered, room of them at most."""
 
-    def __init__(self, data: bytes, room: int = 300_000):
+    WIDE = 48  # bytes of a part that is segmented together with others
+
+    def __init__(self, data: bytes, room: int = 400_000):
         self.pieces = read_model(data)
         keys = {p.encode(): i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         self.trie = DoubleArray(keys)
@@ -118,6 +121,8 @@ class Pieces:
         # No piece goes over these borders, so that the best segmentation is that of the parts.
         self.parts = re.compile("(?s).+" if inner or breaks else f"{MARK}+[^{MARK}\n\0]*|[^{MARK}\n\0]+|\n|\0")
         self.room, self.known = room, {}
+        self.bases, self.checks, self.values = (np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.weights = np.array(self.scores)
 
     def _bytes(self, data: bytes) -> list[int]:
         return [self.byte_ids.get(b, self.unk) for b in data] if self.byte_ids else [self.unk]
@@ -159,10 +164,106 @@ class Pieces:
             to = at
         return tuple(out[::-1])
 
+    def segment_all(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """segment() of each of many parts: the ids of all in a row and how many each has. Short parts are sorted by length
+        and go through the trie together, step by step."""
+        starts = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        data = np.frombuffer(parts.buffers()[2], np.uint8)
+        n = np.diff(starts)
+        short = (n > 0) & (n <= self.WIDE) & ~((n == 1) & (data[np.minimum(starts[:-1], len(data) - 1)] == 0))
+        sizes = np.zeros(len(parts), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []  # rows, their ids in a row
+        order = np.flatnonzero(short)[np.argsort(n[short], kind="stable")]
+        again = [np.flatnonzero(~short)]
+        for a in range(0, len(order), 20_000):
+            mine = order[a : a + 20_000]
+            own, longest = n[mine], int(n[mine[-1]])
+            place = np.arange(longest)
+            text = np.where(place < own[:, None], data[np.minimum(starts[mine][:, None] + place, len(data) - 1)], 0).astype(np.int32)
+            ids, count, whole = self._paths(text, own)
+            again.append(mine[~whole])
+            mine, ids, count = mine[whole], ids[whole], count[whole]
+            sizes[mine] = count
+            back = ids[:, ::-1]  # the last piece comes first in ids
+            done.append((mine, back[np.arange(ids.shape[1])[::-1] < count[:, None]]))
+        for k in np.concatenate(again).tolist():
+            ids = np.array(self.segment(parts[k].as_py()), np.int32)
+            sizes[k] = len(ids)
+            done.append((np.array([k]), ids))
+        flat, at = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+        for rows, ids in done:
+            size = sizes[rows]
+            flat[np.repeat(at[rows] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
+        return flat, sizes
+
+    def _paths(self, text: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids from the last to the first, how many, and whether there were pieces for all of a row."""
+        rows, longest = text.shape
+        best = np.full((rows, longest + 5), -np.inf)
+        best[:, 0] = 0.0
+        came, piece = np.zeros((rows, longest + 5), np.int16), np.full((rows, longest + 5), -1, np.int32)
+        for at in range(longest):
+            live = np.flatnonzero((best[:, at] > -np.inf) & (at < n))
+            if not len(live):
+                continue
+            first = text[live, at]
+            wide = np.zeros(rows, np.int64)
+            wide[live] = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
+            single, node, on = np.zeros(rows, bool), np.zeros(len(live), np.int32), live
+            for to in range(at, longest):
+                child = self.bases[node] + text[on, to]
+                ok = (self.checks[child] == node) & (child > 0) & (to < n[on])
+                on, node = on[ok], child[ok]
+                if not len(on):
+                    break
+                value = self.values[node]
+                have = value >= 0
+                hit, value = on[have], value[have]
+                single[hit[wide[hit] == to + 1 - at]] = True
+                total = best[hit, at] + self.weights[value]
+                better = total > best[hit, to + 1]
+                hit = hit[better]
+                best[hit, to + 1], came[hit, to + 1], piece[hit, to + 1] = total[better], at, value[better]
+            rest = live[~single[live]]
+            end = np.minimum(at + wide[rest], n[rest])
+            total = best[rest, at] + self.unknown
+            better = total > best[rest, end]
+            rest, end = rest[better], end[better]
+            best[rest, end], came[rest, end], piece[rest, end] = total[better], at, -1
+        out, count, whole = [], np.zeros(rows, np.int64), np.ones(rows, bool)
+        every, to = np.arange(rows), n.copy()
+        while (to > 0).any():
+            own = piece[every, to]
+            going = to > 0
+            whole &= ~going | (own >= 0)
+            out.append(own)
+            count += going
+            to = np.where(going, came[every, to], 0)
+        return np.stack(out, 1), count, whole
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row and where each text ends. Parts are numbered, each different one is segmented once,
+        and the ids are gathered by number."""
+        parts: list[str] = []
+        ends = [0]
+        for text in texts:
+            if text:
+                parts += self.parts.findall(MARK + text.replace(MARK, "\0").replace(" ", MARK))
+            ends.append(len(parts))
+        if not parts:
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        flat, sizes = self.segment_all(coded.dictionary)
+        number = coded.indices.to_numpy()
+        size = sizes[number]
+        after = np.cumsum(size)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (after - size), size) + np.arange(int(after[-1]))]
+        return ids, np.r_[0, after][np.array(ends)]
+
     def encode(self, text: str) -> array:
         """A space becomes the marker, and one stands before the text. A marker of the text itself becomes its bytes
         (a NUL of the text is a byte anyway), so that decoding gives the text back."""
-        out, known = array("i"), self.known
+        out = array("i")
         if not text:
             return out
         if "\0" in text:
@@ -194,13 +295,14 @@ def _encode(held, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids, ends = array("i"), [0]
-                for text in part.column(1).to_pylist():
-                    ids.extend(pieces.encode(text or ""))
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)))
+            for part in slices(batch, 1, 8_000_000):
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                odd = {i: pieces.encode(x) for i, x in enumerate(texts) if "\0" in x}
+                ids, ends = pieces.encode_all(["" if i in odd else x for i, x in enumerate(texts)])
+                for i, own in odd.items():
+                    ids = np.concatenate([ids[: ends[i]], np.frombuffer(own, np.int32), ids[ends[i] :]])
+                    ends[i + 1 :] += len(own)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, *rest(part, carry)], ["doc_id", "ids", *carry])
 
     return run

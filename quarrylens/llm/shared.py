@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -110,3 +112,16 @@ def typed(df: DataFrame, names: list[str]) -> str:
     """The schema of carried columns, to go behind others."""
     kinds = dict(df.dtypes)
     return "".join(f", `{n}` {kinds[n]}" for n in names)
+
+
+def slices(batch: pa.RecordBatch, text: int, size: int, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch that hold about size bytes of the text column at most, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and (held + n > size or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield batch.slice(start)
