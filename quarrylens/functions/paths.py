@@ -70,5 +70,6 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     kept = [p.strip().rstrip("/") for p in patterns if p.strip() and not p.strip().startswith(("#", "!"))]
     out = F.arrays_overlap(parts(path), F.array(F.lit(".git")))
     for p in kept:
-        out = out | F.exists(parts(path), lambda x, p=p: glob_match(x, p))
+        any_part = (lambda pattern: lambda part: glob_match(part, pattern))(p)
+        out = out | F.exists(parts(path), any_part)
     return out
