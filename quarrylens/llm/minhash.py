@@ -13,12 +13,24 @@ from pyspark.sql import functions as F
 from quarrylens.llm.components import components
 from quarrylens.llm.shared import U64, grams, hash64, mix, signed, staged, words
 
-BANDS, ROWS = 32, 6
-BUCKETS = BANDS * ROWS
+BUCKETS = 192
+#: How likely a pair at the threshold may share less than two bands.
+MISS = 1e-5
 MANTISSA = 10
+#: Members of a group that meet at once.
+BLOCK = 1000
 EMPTY = 0xFFFF
 
 
+def band_rows(share: float) -> int:
+    """Registers in a band: as many as keep the chance to miss a pair at the threshold below MISS."""
+
+    def miss(p: float, bands: int) -> float:
+        return (1 - p) ** bands + bands * p * (1 - p) ** (bands - 1)
+
+    return max([r for r in range(1, 17) if miss(share**r, BUCKETS // r) <= MISS], default=1)
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text with A-Z lower-cased; of all its words if they are fewer."""
     w = words(text)
@@ -45,17 +57,23 @@ def registers(items: np.ndarray) -> np.ndarray:
     return np.where(full, out, U64(EMPTY)).astype(np.uint16)
 
 
+def short(regs: np.ndarray) -> np.ndarray:
+    """Registers in a byte each, for estimates: 0 for an empty one, else a hash of it from 1 to 255."""
+    return np.where(regs == EMPTY, 0, 1 + mix(regs.astype(np.uint64), 5) % U64(255)).astype(np.uint8)
+
+
 def chance_match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How likely registers of unrelated sets of these sizes agree: the same leading zeros and the same mantissa."""
+    """How likely short registers of unrelated sets of these sizes agree: the same leading zeros and mantissa, or one byte for both."""
     level = np.arange(53)
     ka, kb = (np.maximum(x / BUCKETS, 1.0)[:, None] for x in (a, b))
     p = [(1 - 0.5 ** (level + 1)) ** k - np.where(level, (1 - 0.5**level) ** k, 0.0) for k in (ka, kb)]
-    return (p[0] * p[1]).sum(1) / 2**MANTISSA
+    same = (p[0] * p[1]).sum(1) / 2**MANTISSA
+    return same + (1 - same) / 255
 
 
 def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of rows of registers, less what agrees by chance, and how many buckets they rest on."""
-    used = (ra != EMPTY) | (rb != EMPTY)
+    """Jaccard estimates of rows of short registers, less what agrees by chance, and how many buckets they rest on."""
+    used = (ra != 0) | (rb != 0)
     n = np.maximum(used.sum(1), 1)
     same, chance = ((ra == rb) & used).sum(1) / n, chance_match(na.astype(float), nb.astype(float))
     return np.maximum(0.0, (same - chance) / (1 - chance)), n
@@ -64,30 +82,37 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks, regs = [], [], []
+            sizes, marks, regs, mini = [], [], [], []
             for text in batch.column(1).to_pylist():
                 items = shingle_set(text, n)
                 sizes.append(len(items))
                 marks.append(xxhash.xxh3_128_digest(items.tobytes()))
-                regs.append(registers(items).tobytes() if len(items) else b"")
+                own = registers(items)
+                regs.append(own.tobytes())
+                mini.append(short(own).tobytes())
             m = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(m[:, 0].copy()), pa.array(m[:, 1].copy()), pa.array(regs, pa.binary())], ["doc_id", "n", "s1", "s2", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(m[:, 0].copy()), pa.array(m[:, 1].copy()), pa.array(regs, pa.binary()), pa.array(mini, pa.binary())], ["doc_id", "n", "s1", "s2", "regs", "mini"])
 
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(rows: int):
     """key, rep, n for each band that has a register; bands without one say nothing."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        r = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.zeros(r.shape[:2], U64)
-        for i in range(ROWS):
-            key = mix(key + r[:, :, i], i + 11)
-        key = mix(key + np.arange(BANDS).astype(U64)[None, :], 31)
-        doc, band = np.nonzero((r != EMPTY).any(2))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key[doc, band])), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc))], ["key", "rep", "n"])
+    bands = BUCKETS // rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+            key = np.zeros(r.shape[:2], U64)
+            for i in range(rows):
+                key = mix(key + r[:, :, i], i + 11)
+            key = mix(key + np.arange(bands).astype(U64)[None, :], 31)
+            doc, band = np.nonzero((r != EMPTY).any(2))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key[doc, band])), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc))], ["key", "rep", "n"])
+
+    return run
 
 
 def _likely(share: float):
@@ -97,7 +122,7 @@ def _likely(share: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (4, 5))
+            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (4, 5))
             na, nb = (batch.column(i).to_numpy() for i in (2, 3))
             j, n = estimate(ra, rb, na, nb)
             keep = pa.array(j >= share - 5 * np.sqrt(share * (1 - share) / n))
@@ -134,7 +159,7 @@ def _confirm(percent: int):
 
 def _tested(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """u, v, linked, distance of the pairs (u, v) whose estimates pass, from their full sets."""
-    a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "uv")
+    a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("mini").alias(f"r{x}")) for x in "uv")
     near = pairs.join(a, "u").join(b, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     near = staged(near.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(_likely(percent / 100), "u long, v long"), f"{name}-likely")
     need = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -144,6 +169,73 @@ def _tested(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, perc
     return staged(full.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long, linked boolean, distance double"), name)
 
 
+def _partners(c: np.ndarray, size: np.ndarray, mini: np.ndarray, own: np.ndarray, lo: int, hi: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each member of a block: the members of other components that may be linked with it by size and estimate, and the estimates."""
+    share = percent / 100
+    for i in np.flatnonzero(own == lo):
+        at = np.arange(i + 1, len(c)) if lo == hi else np.flatnonzero(own == hi)
+        at = at[(c[at] != c[i]) & (np.minimum(size[at], size[i]) * 100 >= np.maximum(size[at], size[i]) * percent)]
+        if len(at):
+            same = mini[at] == mini[i]
+            used = np.maximum(((mini[at] != 0) | (mini[i] != 0)).sum(1), 1)
+            agree = (same & (mini[i] != 0)).sum(1) / used
+            near = np.flatnonzero(agree >= share - 5 * np.sqrt(share * (1 - share) / used) - 0.01)
+            chance = chance_match(size[at[near]].astype(float), np.full(len(near), float(size[i])))
+            j = (agree[near] - chance) / (1 - chance)
+            ok = j >= share - 5 * np.sqrt(share * (1 - share) / used[near])
+            yield int(i), at[near[ok]], j[ok]
+
+
+def _block(table: pa.Table) -> tuple:
+    c, size, own = (table[x].to_numpy() for x in ("c", "n", "own"))
+    lo, hi = (table[x][0].as_py() for x in ("lo", "hi"))
+    return c, size, np.frombuffer(b"".join(table["mini"].to_pylist()), np.uint8).reshape(-1, BUCKETS), own, lo, hi
+
+
+def _with_partners(percent: int):
+    """Members of blocks that may be linked with a member of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        some = np.zeros(table.num_rows, bool)
+        for i, at, _ in _partners(*_block(table), percent):
+            if len(at):
+                some[i] = some[at] = True
+        keep = table.filter(pa.array(some))
+        return keep.select(["hub", "lo", "hi", "rep", "c", "own"])
+
+    return run
+
+
+def _links_between(percent: int):
+    """Links that join components of a block, or of two blocks: enough of them to join all that are linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, c = table["rep"].to_numpy(), table["c"].to_numpy()
+        items = [np.frombuffer(x, U64) for x in table["items"].to_pylist()]
+        root, out = {x: x for x in c.tolist()}, []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, at, j in _partners(*_block(table), percent):
+            for k in at[np.argsort(-j, kind="stable")]:
+                a, b = find(int(c[i])), find(int(c[k]))
+                if a == b:
+                    continue
+                x, y = items[i], items[k]
+                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                shared = int((y[place] == x).sum())
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(rep[i]), int(rep[k])))
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id, n_links of documents (doc_id, text).
 
@@ -154,42 +246,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nothing but the id. Other columns are ignored. class_id is the smallest doc_id with the same set; n_links counts
     the confirmed links of the class, which are enough to connect all that is linked.
 
-    Equal sets collapse first. Their representatives meet where a band of compressed registers agrees: a pair at the
-    threshold 0.85 is missed with a chance below 1e-6. In each bucket the member whose bands are the most common is
-    compared with the others; then, where a bucket still has several components, pairs across components are
-    compared that the triangle inequality of Jaccard distances to that member doesn't rule out.
+    Equal sets collapse first. Their representatives meet where bands of compressed registers agree, two of them at
+    least: a pair at the threshold is missed with a chance below MISS. In each bucket the member whose bands are the most common is
+    compared with the others. Where a bucket still has several components, its members meet in blocks of bounded size:
+    registers are compared within a task, full sets of members that have a likely partner, and only links that join
+    components leave the task.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = staged(docs.mapInArrow(_sketch(shingle), "doc_id long, n long, s1 long, s2 long, regs binary"), "sketches")
+    rows = staged(docs.mapInArrow(_sketch(shingle), "doc_id long, n int, s1 long, s2 long, regs binary, mini binary"), "sketches")
     classes = staged(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = staged(rows.join(classes, ["s1", "s2"]).where("doc_id = rep").select("doc_id", "n", "regs").dropDuplicates(["doc_id"]), "reps")
-    banded = reps.select("doc_id", "n", "regs").mapInArrow(_bands, "key long, rep long, n long")
+    reps = staged(rows.join(classes, ["s1", "s2"]).where("doc_id = rep").select("doc_id", "n", "regs", "mini").dropDuplicates(["doc_id"]), "reps")
+    banded = reps.select("doc_id", "n", "regs").mapInArrow(_bands(band_rows(percent / 100)), "key long, rep long, n int")
     sizes = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = staged(banded.join(sizes, "key").select("key", "rep", "n", "m"), "buckets")
-    weight = members.groupBy("rep").agg(F.sum("m").alias("weight"))
-    weighed = members.join(weight, "rep")
-    hub = weighed.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"), F.max_by("n", F.struct("weight", -F.col("rep"))).alias("hn"))
+    met = staged(banded.join(sizes, "key").select("key", "rep", "n", "m"), "buckets")
+    # A pair at the threshold shares two buckets, so that a member of one bucket alone has no link.
+    weight = met.groupBy("rep").agg(F.sum("m").alias("weight"), F.count("*").alias("k")).where("k > 1").select("rep", "weight")
+    members = staged(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
+    hub = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("h")).select("key", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hn"))
     pairs = members.join(hub, "key").where((F.col("rep") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent))
     pairs = pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
     tested = _tested(pairs, reps, docs, shingle, percent, "links")
     links = tested.where("linked").select("u", "v")
     label = components(links)
 
-    # What is left: buckets with several components.
-    marked = members.join(label.withColumnRenamed("u", "rep"), "rep", "left").join(hub, "key").withColumn("c", F.coalesce("component", "rep"))
+    # What is left: buckets with several components. Their members meet around the hub, in blocks.
+    marked = members.select("key", "rep").join(label.withColumnRenamed("u", "rep"), "rep", "left").join(hub.select("key", "hub"), "key").withColumn("c", F.coalesce("component", "rep"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("key")
-    far = tested.select(F.explode(F.array(F.struct(F.col("u").alias("rep"), F.col("v").alias("hub"), "distance"), F.struct(F.col("v").alias("rep"), F.col("u").alias("hub"), "distance"))).alias("x")).select("x.*")
-    open_ = staged(marked.join(mixed, "key").where("rep <> hub").join(far, ["rep", "hub"], "left").select("key", "rep", "n", "c", "distance"), "open")
-    x, y = (open_.select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("rep", "n", "c", "distance"))) for s in "xy")
-    slack = 1 - percent / 100 + 1e-9
-    apart = F.coalesce(F.abs(F.col("distance_x") - F.col("distance_y")) <= slack, F.lit(True))
-    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    more = x.join(y, "key").where((F.col("rep_x") < F.col("rep_y")) & (F.col("c_x") != F.col("c_y")) & apart & sized).select(F.col("rep_x").alias("u"), F.col("rep_y").alias("v")).distinct()
-    links = links.unionByName(_tested(more, reps, docs, shingle, percent, "more-links").where("linked").select("u", "v"))
+    open_ = staged(marked.join(mixed, "key").select("hub", "rep", "c").distinct(), "open")
+    blocks = open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = open_.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "own").alias("lo"), F.greatest(i, "own").alias("hi")))
+    dealt = own.withColumn("pair", F.explode(others)).select("hub", "pair.lo", "pair.hi", "rep", "c", "own")
+    sketched = reps.select(F.col("doc_id").alias("rep"), "n", "mini")
+    place = "hub long, lo int, hi int, rep long, c long, own int"
+    left = staged(dealt.join(sketched, "rep").groupBy("hub", "lo", "hi").applyInArrow(_with_partners(percent), place), "partners")
+    sets = docs.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, items binary").withColumnRenamed("doc_id", "rep")
+    found = left.join(sketched, "rep").join(sets, "rep").groupBy("hub", "lo", "hi").applyInArrow(_links_between(percent), "u long, v long")
+    links = links.unionByName(found)
     links = staged(links, "all-links")
     label = components(links)
     count = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = classes.join(label.withColumnRenamed("u", "rep"), "rep", "left").join(count, "rep", "left")
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
