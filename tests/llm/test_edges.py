@@ -1,0 +1,305 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; and each operator's own ideas."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quarrylens.llm import arc, chat, components, decontam, linededup, minhash, pieces, quality, substring, topk, toxicity
+
+WORDS = "alpha bravo carol delta eagle fancy gamma hotel india joker kappa lemon mango noble ocean pilot queen robin sugar tango".split()
+
+
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randint(0, 30)) for _ in range(n))
+
+
+ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "a" * 200_000), (6, "x " * 60_000), (None, "no id"), (7, "one"), (7, "one"), (8, prose(1, 300)), (9, prose(1, 300)), (10, "\0 ▁ é😀\r\n")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with odd texts, and columns named as those that operators make."""
+    return spark.createDataFrame(ODD, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n", "h", "rep", "key", "route", "score", "ids", "kept", "first", "lang", "source")}).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@pytest.fixture(scope="module")
+def nothing(odd):
+    return odd.limit(0)
+
+
+def test_minhash_edges(odd, nothing):
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, 3, 85).collect()}
+    assert (1, 0, 1, True) in got and (2, 0, 2, True) in got and (3, 0, 3, True) in got
+    assert (7, 1, 4, False) in got and (9, 298, 8, False) in got and (6, 1, 6, True) in got
+    assert all(x[0] is not None for x in got) and minhash.near_duplicates(odd, 3, 85).count() == len(ODD) - 1
+    assert minhash.near_duplicates(nothing).count() == 0
+
+
+def test_minhash_chain(spark):
+    """Links go through documents in between, and copies share a class."""
+    base = prose(5, 200).split()
+    texts = [" ".join(base[:i] + [f"new{k}" for k in range(i)] + base[i:]) if i else " ".join(base) for i in (0, 3, 6, 9, 12, 15)]
+    rows = [(10 + i, t) for i, t in enumerate(texts)] + [(30, texts[0]), (40, prose(6, 200))]
+    sets = {k: set(minhash.shingle_set(t, 3).tolist()) for k, t in rows}
+    group = {k: {k} for k, _ in rows}
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and group[a] is not group[b]:
+                merged = group[a] | group[b]
+                for k in merged:
+                    group[k] = merged
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {k: min(group[k]) for k in sets}
+
+
+def test_hyperminhash_estimates():
+    r = np.random.default_rng(1)
+    pool = r.integers(0, 2**63, 6000).astype(np.uint64)
+    for share in (0.3, 0.6, 0.9):
+        both = int(2000 * share)
+        rest = (2000 - both) // 2
+        a, b = np.unique(pool[: both + rest]), np.unique(np.r_[pool[:both], pool[3000 : 3000 + rest]])
+        j, n = minhash.estimate(*(minhash.short(minhash.registers(x))[None] for x in (a, b)), *(np.array([len(x)]) for x in (a, b)))
+        assert abs(j[0] - both / (both + 2 * rest)) < 0.15 and n[0] == minhash.BUCKETS
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
+    got = {r["u"]: r["component"] for r in components.components(edges).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_line_dedup_edges(spark, odd, nothing):
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(odd).collect()}
+    assert got[1] == (1, 0, "") and got[2] == (1, 0, "") and got[3] == (2, 0, " \t\n ")
+    assert linededup.dedup_lines(nothing).count() == 0
+    line = "The same line in several documents"
+    rows = [(i, f"own {i}\n  {line.upper() if i % 2 else line}\t\nend") for i in range(1, 5)] + [(1, f"{line}")]
+    got = {(r["doc_id"], r["n_dropped"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 0)}
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 50_000).astype(np.uint64))
+    assert sorted(linededup.PerfectHash(keys).index(keys).tolist()) == list(range(len(keys)))
+    assert linededup.PerfectHash(keys[:0]).index(keys[:3]).tolist() == [-1, -1, -1]
+
+
+def test_topk_edges(spark):
+    rows = [(1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (8, [1.0, 0.5]), (None, [1.0, 1.0]), (9, [-3.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(v, v.where("vec_id in (1, 3, 7)"), k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 5120), (1, 2, 8, 5120)]
+    assert topk.exact_topk(v.limit(0), v, 2).count() == 0
+
+
+def test_topk_against_all_scores(spark):
+    r = np.random.default_rng(3)
+    m = r.integers(-3, 4, (500, 6)) / 2
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.exact_topk(v, v.where("vec_id % 50 = 0"), k=7, block=64).collect()}
+    whole = np.floor(64 * m).astype(int)
+    for q in range(0, 500, 50):
+        best = sorted((-int(whole[q] @ whole[c]), c) for c in range(500) if c != q)[:7]
+        assert [got[q, k + 1] for k in range(7)] == [(c, -s) for s, c in best]
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", None), (5, 0, "user", ""), (6, 0, "user", "hi"), (6, 0, "user", "hi"), (None, 0, "user", "x"), (7, None, None, None)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("a", F.lit(1)).withColumn("at", F.lit(2))
+    got = {r["conv_id"]: (r["n_turns"], r["rendered"]) for r in chat.chat_format(t).collect()}
+    assert set(got) == {1, 4, 5, 6, 7}
+    assert got[1] == (2, "<|user|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n") and got[4][1] == got[5][1] and got[6][0] == 2
+    assert chat.chat_format(t.limit(0)).count() == 0
+
+
+def test_passages_edges(spark, odd, nothing):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.dedup_passages(odd).collect()}
+    assert got[1] == got[2] == got[3] == (0, 0) and got[8] == (300, 0) and got[9] == (300, 300) and got[6] == (60_000, 0)
+    assert substring.dedup_passages(nothing).count() == 0
+
+
+def plain_passages(rows, length):
+    first = {}
+    for k, t in sorted(rows):
+        w = t.split()
+        for i in range(len(w) - length + 1):
+            first.setdefault(tuple(w[i : i + length]), k)
+    out = {}
+    for k, t in rows:
+        w = t.split()
+        keep = [True] * len(w)
+        for i in range(len(w) - length + 1):
+            if first[tuple(w[i : i + length])] < k:
+                keep[i : i + length] = [False] * length
+        out[k] = " ".join(x for x, y in zip(w, keep, strict=True) if y)
+    return out
+
+
+@pytest.mark.parametrize("busy", [False, True])
+def test_passages_against_all_windows(spark, monkeypatch, busy):
+    """Shared passages with edits, repeats within a document, and both ways to treat a route."""
+    if busy:
+        monkeypatch.setattr(substring, "SEGMENTS", 0)
+    r = random.Random(4)
+    passages = [prose(100 + i, 130).split() for i in range(4)]
+    rows = []
+    for k in range(40):
+        w = prose(k, r.randint(5, 60)).split()
+        for _ in range(r.randint(0, 3)):
+            p = list(r.choice(passages))
+            if r.random() < 0.6:
+                p[r.randrange(len(p))] = f"edit{k}"
+            a = r.randint(0, 60)
+            w += p[a : a + r.randint(40, 130)] + prose(1000 + k, r.randint(0, 5)).split()
+        rows.append((k, " ".join(w)))
+    got = {x["doc_id"]: x["text"] for x in substring.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert got == plain_passages(rows, 50)
+
+
+def test_fm_index_counts():
+    r = np.random.default_rng(5)
+    text = np.r_[r.integers(1, 5, 300), 0]
+    index = substring.FMIndex(text, np.arange(len(text)))
+    for n in (1, 2, 3, 5):
+        pattern = text[40 : 40 + n]
+        lo, hi = np.array([0]), np.array([index.n])
+        for c in pattern[::-1]:
+            lo, hi = index.extend(np.array([c]), lo, hi)
+        places = [i for i in range(len(text) - n + 1) if (text[i : i + n] == pattern).all()]
+        assert hi[0] - lo[0] == len(places) and index.first_owner(lo, hi)[0] == min(places)
+
+
+def test_arc_versions():
+    body = "á\r\n\r\nx\n".encode()
+    for version in (1, 2):
+        head = {"url": "http://a b/", "ip": "1.2.3.4", "date": "20010203040506", "type": "text/html", "length": str(len(body))}
+        data = arc.arc_version_block(version) + (arc.arc_header(version, head) + body + b"\n") * 2
+        found = list(arc.parse_arc(data))
+        assert [b for _, b in found] == [body, body] and found[0][0]["url"] == "http://a%20b/"
+        record = arc.warc_record(found[0][0], body, "7")
+        (h, content), = arc.parse_warc(record + arc.END)
+        assert content == body and h["WARC-Date"] == "2001-02-03T04:05:06Z" and h["WARC-Type"] == "response"
+    with pytest.raises(ValueError):
+        list(arc.parse_arc(b"http://a 1.2.3.4 2001 text/html\n"))
+    with pytest.raises(ValueError):
+        list(arc.parse_arc(b"http://a 1.2.3.4 20010203040506 text/html 99\nshort"))
+
+
+def test_warc_edges(spark):
+    rows = [(1, "u", None), (2, "u", ""), (3, None, "a\r\n\r\nb"), (4, "u", "a\r\n\r\nb"), (4, "u", "a\r\n\r\nb"), (None, "u", "x"), (5, "u", "é" * 100_000)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("first", F.lit(2))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in arc.archive_roundtrip(p).select("page_id", "payload_bytes", "record_type", F.coalesce("refers_to", F.lit(-1)).alias("refers_to")).collect())
+    assert got == [(1, 0, "response", -1), (2, 0, "revisit", 1), (3, 6, "response", -1), (4, 6, "revisit", 3), (4, 6, "revisit", 3), (5, 200_000, "response", -1)]
+    assert {r["record_type"] for r in arc.archive_roundtrip(p, min_bytes=1000).collect()} == {"response"}
+    assert arc.archive_roundtrip(p.limit(0)).count() == 0
+
+
+def test_toxicity_edges(spark, odd, nothing):
+    rows = [(i, f"{prose(i, 20)} {'nasty' if i % 4 == 0 else 'fine'} {prose(i + 500, 5)}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 160)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    assert all((got[i] >= 0.7) == (i % 4 == 0) for i in got)
+    hidden = spark.createDataFrame([(1, "so n4sty"), (2, "n a s t y"), (3, "naaaasty"), (4, "n.a.s.t.y"), (5, "a nice t3st"), (6, "")], "doc_id long, text string")
+    assert [r["score"] >= 0.7 for r in toxicity.toxicity(hidden, model).orderBy("doc_id").collect()] == [True, True, True, True, False, False]
+    assert toxicity.toxicity(odd, model).count() == len(ODD) and toxicity.toxicity(nothing, model).count() == 0
+    blank = toxicity.fit(nothing, labels.limit(0))
+    assert 0 <= toxicity.toxicity(docs, blank).first()["score"] <= 1
+
+
+def test_quality_edges(spark, odd, nothing):
+    got = quality.importance_resample(odd, odd.where("doc_id = 8"), 0.5)
+    assert got.count() == len(ODD) and got.where("kept").count() >= len(ODD) // 2
+    assert quality.importance_resample(nothing, nothing, 0.5).count() == 0
+    rows = spark.createDataFrame([(i, 1.0) for i in range(5000)], "doc_id long, key double")
+    assert {r["doc_id"] for r in quality.largest(rows, "key", 10, "doc_id").collect()} == set(range(10))
+    rows = spark.createDataFrame([(i, float(i % 977)) for i in range(20_000)], "doc_id long, key double")
+    assert sorted((-r["key"], r["doc_id"]) for r in quality.largest(rows, "key", 333, "doc_id").collect()) == sorted((-float(i % 977), i) for i in range(20_000))[:333]
+
+
+def test_pieces_edges(odd, nothing):
+    got = {r["doc_id"]: r["decoded"] for r in pieces.decode(pieces.encode(odd)).collect()}
+    assert all(got[k] == (t or "") for k, t in ODD)
+    assert pieces.encode(nothing).count() == 0
+
+
+def test_decontamination_edges(spark, odd, nothing):
+    items = spark.createDataFrame([(1, prose(1, 300)), (2, None), (3, ""), (4, "one"), (None, "one"), (4, "one")], "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminated(odd, items).collect()}
+    assert got == {(8, 1, 0), (9, 1, 0), (4, 4, 0), (7, 4, 0)}
+    assert decontam.contaminated(nothing, items).count() == 0 and decontam.contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_decontamination_recall():
+    """Items with edits, among other words: recall against exact edit distances of all windows is 0.95 at least."""
+    r = random.Random(6)
+    texts = [prose(200 + i, 30 + i) for i in range(20)]
+    held = decontam.Items([(i, decontam.tokens(t)) for i, t in enumerate(texts)], 0.2)
+    found = total = 0
+    for trial in range(300):
+        item = trial % 20
+        x = texts[item].split()
+        for _ in range(r.randint(0, decontam.allowed(len(x), 0.2))):
+            p = r.randrange(len(x))
+            x[p : p + r.randint(0, 1)] = [f"e{trial}"] * r.randint(0, 1)
+        t = decontam.tokens(" ".join([prose(trial, 30), *x, prose(trial + 7, 30)]))
+        own = decontam.tokens(texts[item])
+        w = np.lib.stride_tricks.sliding_window_view(t, len(own))
+        if decontam.edit_distances(w, np.tile(own, (len(w), 1))).min() <= decontam.allowed(len(own), 0.2):
+            total += 1
+            found += any(h[1] == item for h in held.hits([t]))
+    assert total > 200 and found >= 0.95 * total
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS", 2)
+    items = spark.createDataFrame([(i, prose(300 + i, 20)) for i in range(7)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(i, 10) + " " + prose(300 + i, 20)) for i in range(7)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()} == {(i, i) for i in range(7)}
+
+
+def test_pipeline_stages(spark, odd, nothing, sf):
+    """Each stage takes what the one before kept, whatever it holds."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for start in (odd, docs, nothing):
+        now = start.select(*corpus_pipeline.COLUMNS)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = {r[0] for r in now.select("doc_id").collect()}
+            now = stage(spark, now, sf).cache()
+            assert {r[0] for r in now.select("doc_id").collect()} <= before
+            assert i == len(corpus_pipeline.STAGES) - 1 or now.columns == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_decisions(spark, sf):
+    """The stages' decisions against plain versions of them, each on its own input."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        held.append(stage(spark, held[-1], sf).cache())
+    rows = [{r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()} for d in held]
+    # near duplicates: one of each group that links of similarity 0.8 make
+    sets = {k: set(minhash.shingle_set(t, 5).tolist()) for k, t in rows[2].items()}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert set(rows[3]) == {k for k in keys if find(k) == k}
+    # decontamination: no document with an item's words stays
+    items = [" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert not any(i in " ".join(t.lower().split()) for t in rows[4].values() for i in items)
+    assert all(rows[5][k] == t for k, t in rows[4].items()) and set(rows[5]) == set(rows[4])

@@ -1,0 +1,81 @@
+"""The thin queries against SQL, or against plain versions where SQL can't express them."""
+
+import math
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from quarrylens.llm import decontam, pieces, queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(name, same_rows):
+    same_rows(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """On the larger table: the small one has too few toxic rows to learn from."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op2_toxicity(spark, sf).toPandas()
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pandas()
+    assert len(got) == 10_000 and got.score.between(0, 1).all() and ((got.score >= 0.7) == (got.predicted == 1)).all()
+    assert (got.held_out == [zlib.crc32(str(x).encode()) % 3 == 1 for x in got.doc_id]).all()
+    j = got[got.held_out].merge(labels)
+    assert (j[j.toxic == 1].predicted.mean() > 0.8) and (j[j.toxic == 0].predicted.mean() < 0.01)
+
+
+def test_pieces_give_the_text_back(spark, sf):
+    import hashlib
+
+    got = queries.op5_sentencepiece(spark, sf).toPandas().set_index("doc_id")
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pandas().set_index("doc_id")
+    assert len(got) == len(docs) and (got.n_tokens == got.ids.map(len)).all()
+    for key, text in docs.text.items():
+        assert got.decoded_sha256[key] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_quality_keeps_the_share_and_prefers_good_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op8_quality_resample(spark, sf).toPandas()
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pandas()
+    assert got.kept.sum() == round(labels.quality.mean() * len(got))
+    order = got.sort_values(["key", "doc_id"], ascending=[False, True])
+    assert order.kept.iloc[: got.kept.sum()].all()
+    j = got.merge(labels)
+    assert j[j.quality == 1].kept.mean() > 0.9 and j[j.quality == 0].kept.mean() < 0.4
+
+
+def test_decontamination_against_all_windows(spark, sf):
+    """Exact edit distances of every window of every document with every item."""
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pandas()
+    items = pq.read_table(f"{sf}/benchmark.parquet").to_pandas()
+    want = set()
+    tokens = {k: decontam.tokens(t) for k, t in zip(items.item_id, items.text, strict=True)}
+    for doc, text in zip(docs.doc_id, docs.text, strict=True):
+        t = decontam.tokens(text)
+        for item, x in tokens.items():
+            n = len(x)
+            if len(t) < n or len(np.intersect1d(t, x)) < 0.4 * len(np.unique(x)):
+                continue
+            w = np.lib.stride_tricks.sliding_window_view(t, n)
+            near = np.flatnonzero([len(np.intersect1d(r, x)) >= len(np.unique(x)) - 2 * decontam.allowed(n, 0.2) for r in w]) if len(w) < 400 else np.arange(len(w))
+            if len(near) and (decontam.edit_distances(w[near], np.tile(x, (len(near), 1))) <= decontam.allowed(n, 0.2)).any():
+                want.add((int(doc), int(item)))
+    got = queries.op9_decontamination(spark, sf).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_pieces_match_a_plain_search():
+    p = pieces.Pieces(open(pieces.DEFAULT_MODEL, "rb").read())
+    scores = {s.encode(): x for s, x, kind in p.pieces if kind == pieces.NORMAL}
+
+    def best(s: bytes) -> float:
+        out = [0.0] + [-math.inf] * len(s)
+        for b in range(1, len(s) + 1):
+            out[b] = max((out[a] + scores.get(s[a:b], -math.inf) for a in range(b)), default=-math.inf)
+        return out[-1]
+
+    for word in ("▁the", "▁thinking,", "▁enonst", "▁unlich", "▁queción"):
+        assert sum(p.scores[i] for i in p.segment(word)) == pytest.approx(best(word.encode()))
