@@ -22,7 +22,7 @@ def source_lines(files: DataFrame, universal: bool = True) -> DataFrame:
 def too_long(text: Column, limit: int = MAX_LENGTH) -> Column:
     """C002: longer than limit, unless it is a comment of one address, one word, or marked for a linter."""
     s = F.trim(text)
-    address = s.startswith("#") & s.contains("http") & ~F.ltrim(F.lit("# "), s).contains(" ")
+    address = s.startswith("#") & s.contains("http") & ~F.ltrim(s, F.lit("# ")).contains(" ")
     return (F.length(text) > limit) & ~(address | text.contains("pylint:") | text.contains("noqa") | ~s.contains(" "))
 
 

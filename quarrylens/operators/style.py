@@ -135,7 +135,7 @@ def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compa
     mutable = F.col("kind").isin("List", "Dict", "Set") | (F.col("kind") == "Call") & F.col("callee").isin("list", "dict", "set", "defaultdict")
     shared = defaults.join(called, ["path", "default"], "left").where(mutable).join(holders, ["path", "holder"]).select("path", F.col("func").alias("node"), F.lit(True).alias("mutable")).distinct()
     f = nodes.where(F.col("type").isin(*FUNCTIONS)).join(facts, ["path", "node"]).join(info, ["path", "node"]).join(shared, ["path", "node"], "left")
-    doc = F.split(F.trim(F.lit(" \t\n\r\x0b\x0c"), "doc"), "\r\n|[\n\r]", -1)
+    doc = F.split(F.trim("doc", F.lit(" \t\n\r\x0b\x0c")), "\r\n|[\n\r]", -1)
     f = f.withColumn("summary", F.when(F.col("has_doc"), doc[0])).withColumn("second", F.when(F.col("has_doc") & (F.size(doc) > 1), doc[1]))
     parts += [
         _v(f, "N003", ~name.isin(*DUNDER) & ~snake(name), name), _v(f, "N007", (F.length(name) == 1) & ~name.isin(*SINGLE), name),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import paths, scoring, text
-from quarrylens.operators import complexity, grading, graph, lines, records, style, symbols
+from quarrylens.operators import complexity, grading, graph, lines, records, sinks, style, symbols
 from quarrylens.plans.registry import query, table
 from quarrylens.sources import code, tools
 from quarrylens.streaming import episode
@@ -414,3 +414,56 @@ def episode_state_stream(spark, sf):
     run.awaitTermination()
     last = spark.table(sink).groupBy("episode_id").agg(F.max_by(F.struct("step", "edits", "done"), F.col("events")).alias("s"))
     return last.select("episode_id", "s.step", "s.edits", "s.done")
+
+
+@query("SELECT episode_id, step, last_value(value IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY step) AS value FROM (SELECT user_id AS episode_id, event_id AS step, CASE WHEN event_type = 'view' THEN value END AS value FROM events)")
+def context_carry_over(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("step"), F.when(F.col("event_type") == "view", F.col("value")).alias("value"))
+    return sinks.carried(e, ["value"])
+
+
+@query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+def json_wire(spark, sf):
+    return sinks.as_json(table(spark, sf, "region").select("r_regionkey", "r_name"))
+
+
+@query("SELECT o_orderkey, substr('x' || o_orderpriority, 1, 4) AS head FROM orders")
+def truncated_output(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", text.truncate_bytes(F.concat(F.lit("x"), "o_orderpriority"), 4).alias("head"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM events")
+def iso_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.iso_time(F.col("ts")).alias("iso"))
+
+
+@query(f"""WITH m AS ({MONTHS}), b AS (SELECT *, first_value(violations) OVER (PARTITION BY episode_id ORDER BY step) AS base FROM m)
+    SELECT episode_id, step, greatest(0.01, 0.55 * greatest(0.0, least(1.0, (base - violations) / base)) + 0.45 * greatest(0.0, least(1.0, (base - violations) / base))) AS score FROM b""")
+def complexity_score(spark, sf):
+    m = _months(spark, sf).select("episode_id", "step", F.col("violations").alias("cc_cost_sum"), F.col("violations").alias("bigO_cost_sum"))
+    return grading.graded(m, grading.GRADERS["complexity"]).select("episode_id", "step", "score")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 0.0 WHEN p_size % 2 = 0 THEN greatest(0.0, least(1.0, (p_size / 50.0 - 0.2) / 0.7)) * 0.9 ELSE 0.9 * CASE WHEN p_size / 50.0::DOUBLE >= 0.2::DOUBLE - 0.02::DOUBLE THEN 1.0 ELSE 0.5 END END AS score FROM part""")
+def coverage_score(spark, sf):
+    rate, cover, base = F.lit(0.9), F.col("p_size") / 50.0, F.lit(0.2)
+    mode = F.when(F.col("p_size") % 2 == 0, "objective")
+    score = scoring.coverage_score(mode, F.col("p_size") % 7 == 0, scoring.coverage_constraint(rate, cover, base), scoring.coverage_objective(rate, cover, base, F.lit(0.9)))
+    return table(spark, sf, "part").select("p_partkey", score.alias("score"))
+
+
+@query("SELECT p_partkey, greatest(0.0, 1 - p_size / 30 * 0.5) AS factor FROM part")
+def efficiency_decay(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", scoring.decay("p_size", F.lit(30), F.lit(0.5)).alias("factor"))
+
+
+@query("SELECT s_suppkey, s_acctbal / sum(s_acctbal) OVER () AS weight FROM supplier")
+def weight_normalization(spark, sf):
+    """One row of sums goes to all; no window over all rows."""
+    s = table(spark, sf, "supplier")
+    return s.crossJoin(F.broadcast(s.agg(F.sum("s_acctbal").alias("total")))).select("s_suppkey", (F.col("s_acctbal") / F.col("total")).alias("weight"))
+
+
+@query("SELECT user_id % 3 AS task, count(*) AS n FROM events GROUP BY 1")
+def round_robin(spark, sf):
+    return table(spark, sf, "events").groupBy(F.pmod("user_id", F.lit(3)).alias("task")).agg(F.count("*").alias("n"))

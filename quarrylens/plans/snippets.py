@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import astfacts, complexity, graph, grading, lines, patches, style, symbols
+from quarrylens.operators import astfacts, complexity, graph, grading, lines, patches, sinks, style, symbols
 from quarrylens.plans.registry import query
-from quarrylens.sources import tools
+from quarrylens.sources import code, tools
 
 SHOP = '''"""Shop."""
 import os
@@ -222,3 +222,160 @@ def invariants_broken(spark, sf):
     rules = spark.createDataFrame([(1, "no_edit", "tests/", None, "m"), (2, "file_exists", "shop.py", None, "m"), (3, "no_delete", "gone.py", None, "m"), (4, "symbol_present", "shop.py", "walk", "m")], "seq int, type string, path string, symbol string, message string")
     headers = spark.createDataFrame([("+++ b/tests/x.py",), ("+ tests/",)], "line string")
     return grading.invariants_broken(rules, files(spark), symbols.definitions(nodes(spark)), headers).select("seq")
+
+
+TESTED = '''"""Rules."""
+from os import *
+from typing import List
+Limit = List
+__all__ = ["q"]
+
+
+def q(a: int) -> int:
+    """One line that is longer than the limit of eighty characters, so that the rule for summaries fires.
+    Second line.
+    """
+    assert a
+    return [x for y in a for x in y]
+
+
+def check(a: int) -> int:
+    """Check."""
+    if a and a > 1 and a > 2 and a > 3:
+        for i in range(3):
+            while a:
+                with open(a):
+                    a = 1 if a or i else 2
+                if a:
+                    pass
+                elif i:
+                    pass
+    return a
+'''
+SLOW = '''import functools, bisect
+
+
+def sorts(xs):
+    for x in xs:
+        xs.sort()
+
+
+def heads(xs):
+    while xs:
+        xs.insert(0, 1)
+
+
+def nests(xs):
+    return [a for b in xs for a in b]
+
+
+def loads(xs):
+    out = []
+    for x in xs:
+        out.append([x])
+    return out
+
+
+@functools.cache
+def memo(n):
+    return n if n < 2 else memo(n - 1) + memo(n - 2)
+
+
+def halves(n):
+    return 0 if n < 2 else halves(n - 1 if n % 2 else n >> 1)
+
+
+def searches(n):
+    n //= 2
+    return searches(n)
+
+
+def loops(xs):
+    for x in xs:
+        print(x)
+
+
+def logs(xs):
+    for x in xs:
+        bisect.bisect(xs, x)
+
+
+def deep(xs):
+    for a in xs:
+        for b in xs:
+            while b:
+                pass
+
+
+def finds(xs, ys):
+    for x in xs:
+        if x in ys:
+            return x
+'''
+
+
+@query(values("rule, line", "'N001', 0", "'N005', 4", "'N007', 8", "'N010', 8", "'D004', 8", "'D005', 8", "'I001', 2", "'C003', 8", "'C001', 16", "'N010', 16").replace(", ('N010', 16)", ""))
+def style_more_rules(spark, sf):
+    n = astfacts.ast_nodes(spark.createDataFrame([("tests/Test_Mod.py", TESTED)], "path string, text string"))
+    return style.ast_violations(n).select("rule", "line")
+
+
+@query(values(
+    "name, time, space, said", "'sorts', 4, 0, 'sort_in_loop → O(n² log n), sort once outside loop'", "'heads', 4, 0, 'list.insert(0,x)_in_loop → use collections.deque.appendleft()'", "'nests', 4, 2, 'nested_comprehension → O(n²) or worse'", "'loads', 2, 4, 'single_loop → O(n)'",
+    "'memo', 3, 0, 'memoized_recursion → O(n log n) or better'", "'halves', 2, 2, 'single_recursion → O(n)'", "'searches', 1, 2, 'tail_recursion_with_halving → O(log n)'", "'loops', 2, 0, 'single_loop → O(n)'", "'logs', 3, 0, 'single_loop_with_sort_or_halving → O(n log n)'",
+    "'deep', 5, 0, '3_nested_loops → O(n³) or worse'", "'finds', 4, 0, 'linear_search_in_loop → convert to set()'"))
+def complexity_patterns(spark, sf):
+    n = astfacts.ast_nodes(spark.createDataFrame([("slow.py", SLOW)], "path string, text string"))
+    e = complexity.repository_estimates(n)
+    return e.select(F.element_at(F.split("qualified_name", r"\."), -1).alias("name"), "time", "space", F.array_join("patterns", ";").alias("said"))
+
+
+@query(values("rule, n", "'T001', 5", "'T002', 5", "'D001', 3"))
+def top_rules(spark, sf):
+    return sinks.top_rules(style.ast_violations(nodes(spark)))
+
+
+@query(values("dimension", "'type_hints'", "'docstrings'"))
+def weakest_dimensions(spark, sf):
+    n, lined = nodes(spark), lines.source_lines(files(spark))
+    found = style.ast_violations(n).unionByName(lines.line_violations(lined))
+    return sinks.weakest_dimensions(style.style_scores(found, style.checkable(n, lined))).select("dimension")
+
+
+@query(values("dst, callers", "'shop', 1", "'shop.walk', 1", "'os', 1", "'sys', 1").replace("('os', 1), ", "('os', 1), "))
+def symbol_callers(spark, sf):
+    return graph.callers(graph.edges(nodes(spark))).where("dst IN ('shop', 'shop.walk', 'os', 'sys')")
+
+
+@query(values("name, path", "'walk', 'shop.py'", "'top', 'pkg/util.py'"))
+def module_file_lookup(spark, sf):
+    """A symbol's module, dotted or by its stem, to the first file of that name: equality on either key, no theta join."""
+    keys = files(spark).select("path", F.explode(F.array_distinct(F.array(symbols.module_of(F.col("path")), F.regexp_extract("path", r"([^/]*)\.py$", 1)))).alias("module"))
+    wanted = spark.createDataFrame([("walk", "shop"), ("top", "util")], "name string, module string")
+    return wanted.join(keys.groupBy("module").agg(F.min("path").alias("path")), "module").select("name", "path")
+
+
+@query(values("name, line", "'walk', 29", "'nowhere', 0"))
+def definition_line(spark, sf):
+    wanted = spark.createDataFrame([("walk",), ("nowhere",)], "name string")
+    first = symbols.definitions(nodes(spark)).where("path = 'shop.py'").groupBy("name").agg(F.min("line").alias("line"))
+    return wanted.join(first, "name", "left").select("name", F.coalesce("line", F.lit(0)).alias("line"))
+
+
+@query(values("id, kind, path", "1, 'view_file', 'a.py'", "2, 'submit', NULL", "3, NULL, NULL"))
+def action_parse(spark, sf):
+    rows = [(1, '```json\n{"action_type": "view_file", "params": {"path": "a.py"}}\n```'), (2, '{"action_type": "submit"}'), (3, "no action")]
+    got = tools.parse_actions(spark.createDataFrame(rows, "id int, text string"))
+    return got.select("id", F.col("action.action_type").alias("kind"), F.col("action.params")["path"].alias("path"))
+
+
+@query(values("path, change", "'bad.py', 'removed'", "'new.py', 'added'", "'shop.py', 'edited'"))
+def snapshot_diff(spark, sf):
+    after = spark.createDataFrame([("shop.py", SHOP + "\n"), ("pkg/util.py", UTIL), ("new.py", "")], "path string, text string")
+    return code.snapshot_diff(files(spark), after).select("path", "change")
+
+
+@query(values("path, depth1", "'pkg', true", "'shop.py', false", "'bad.py', false"))
+def folder_listing(spark, sf):
+    entries = code.tree(files(spark).withColumn("size_bytes", F.length("text").cast("long")))
+    return code.listing(entries).select("path", F.col("is_dir").alias("depth1"))

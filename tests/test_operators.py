@@ -156,3 +156,10 @@ def test_batches(spark):
 def test_empty_docstring_is_an_error_row(spark):
     n = astfacts.ast_nodes(spark.createDataFrame([("a.py", 'def f():\n    ""\n')], "path string, text string"))
     assert [r["rule"] for r in style.ast_violations(n).collect()] == ["ERROR"]
+
+
+def test_long_lines_that_are_exempt(spark):
+    long = "x" * 90
+    rows = [f"a = {long}", f"# http://{long}", f"#  see http://{long}", long, f"a = {long}  # noqa", f"# pylint: {long} x"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in df.select(lines.too_long(F.col("t"))).collect()] == [True, False, True, False, False, False]
