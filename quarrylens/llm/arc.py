@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,20 +82,21 @@ def warc_record(fields: dict[str, str], payload: bytes, key: str, refers_to: str
     return b"WARC/1.1\r\n" + "".join(f"{k}: {re.sub(r'[\r\n]', ' ', v)}\r\n" for k, v in head).encode() + b"\r\n" + body
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and content of each record, by the declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
+def parse_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and content of each record, by the declared lengths; one record is held at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {first[:40]!r} stands")
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            key, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(":")
+            head[key] = value.removeprefix(" ")
         n = int(head["Content-Length"])
-        if data[end + 4 + n : end + 8 + n] != END:
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 8 + n
+        body = stream.read(n)
+        if len(body) != n or stream.read(4) != END:
+            raise ValueError(f"the record {head.get('WARC-Record-ID')} doesn't end where its length says")
+        yield head, body
 
 
 def _to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,16 +119,29 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
+COLUMNS = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("content", pa.binary())]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), COLUMNS, strict=True)], [n for n, _ in COLUMNS])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of gzipped files, which are unpacked as they are read."""
     for batch in batches:
         for data in batch.column(0):
-            rows = [(int(h["X-Source-Key"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], int(h["X-Refers-To-Key"]) if "X-Refers-To-Key" in h else None, h["WARC-Target-URI"], h["WARC-Record-ID"], h["WARC-Date"], body) for h, body in parse_warc(data.as_py())]
-            for i in range(0, len(rows), 500):
-                cols = list(zip(*rows[i : i + 500], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "date", "content"])
-
-
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 5000) -> None:
+            rows, size = [], 0
+            for h, body in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(data.as_buffer())))):
+                rows.append((int(h["X-Source-Key"]), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], int(h["X-Refers-To-Key"]) if "X-Refers-To-Key" in h else None, h["WARC-Target-URI"], h["WARC-Record-ID"], h["WARC-Date"], body))
+                size += len(body)
+                if len(rows) >= 500 or size > 8_000_000:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000) -> None:
     """Writes pages (page_id, url, html) as gzipped WARC files under path, by way of legacy ARC records.
 
     Of records with equal payloads of at least min_bytes bytes that with the smallest page_id is the response and the
@@ -145,15 +162,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
 def read_warc(spark, path: str) -> DataFrame:
     """A row for each record of the WARC files under path: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, date, content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(_gunzip, "content binary").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, date string, content binary")
-
-
-def _gunzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
-
-    for batch in batches:
-        for data in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.decompress(data.as_py())], pa.binary())], ["content"])
+    return files.select("content").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, date string, content binary")
 
 
 def archive_roundtrip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
