@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, grams, hash64, mix
+from quarrylens.llm.shared import U64, grams, hash64, lean, mix
 
 WALKS, TABLES, SAMPLED = 16, 4, 3
 #: Items that are held in memory at once; more are taken in blocks.
@@ -154,6 +154,7 @@ class Items:
 
 
 def _find(held):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         for batch in batches:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, mix, rest, staged, typed
+from quarrylens.llm.shared import U64, lean, mix, rest, staged, typed
 
 KEYS_PER_SHARD = 200_000
 PROBES_PER_TASK = 400_000
@@ -68,6 +68,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def _line_hashes(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
@@ -110,6 +111,7 @@ def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _strip(min_chars: int, carry: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
-from quarrylens.llm.shared import U64, grams, hash64, mix, signed, staged, words
+from quarrylens.llm.shared import U64, grams, hash64, lean, mix, signed, staged, words
 
 BUCKETS = 192
 #: How likely a pair at the threshold may share less than two bands.
@@ -80,6 +80,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def _sketch(n: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, marks, regs, mini = [], [], [], []
@@ -100,6 +101,7 @@ def _bands(rows: int):
     """key, rep, n for each band that has a register; bands without one say nothing."""
     bands = BUCKETS // rows
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -118,6 +120,7 @@ def _bands(rows: int):
 def _likely(share: float):
     """Pairs whose estimate is no more than five standard deviations below the threshold."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -132,6 +135,7 @@ def _likely(share: float):
 
 
 def _sets(n: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -142,6 +146,7 @@ def _sets(n: int):
 
 
 def _confirm(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, both = [], []

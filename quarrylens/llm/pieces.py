@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import rest, slices, typed
+from quarrylens.llm.shared import lean, rest, slices, typed
 
 MARK = "▁"
 #: Kinds of pieces in a model file.
@@ -292,10 +292,11 @@ class Pieces:
 
 
 def _encode(held, carry: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for batch in batches:
-            for part in slices(batch, 1, 8_000_000):
+            for part in slices(batch, 1, 2_000_000):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 odd = {i: pieces.encode(x) for i, x in enumerate(texts) if "\0" in x}
                 ids, ends = pieces.encode_all(["" if i in odd else x for i, x in enumerate(texts)])
@@ -309,11 +310,12 @@ def _encode(held, carry: list[str]):
 
 
 def _decode(held, carry: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 lists = part.column(1)
                 flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
                 shown = [pieces.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, grams, hash64, mix, staged, words
+from quarrylens.llm.shared import U64, grams, hash64, lean, mix, staged, words
 
 BUCKETS = 10_000
 
@@ -24,6 +24,7 @@ def hashed_grams(text: str | None, buckets: int) -> np.ndarray:
 
 
 def _counts(buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
@@ -46,6 +47,7 @@ def bucket_model(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def _score(ratio, buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, count = [], []

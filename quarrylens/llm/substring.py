@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, hash64, mix, signed, staged, words
+from quarrylens.llm.shared import U64, hash64, lean, mix, signed, staged, words
 
 GRAM = 10
 #: Words in an index, and segments with one route that an index may hold; routes with more are split by their windows.
@@ -153,6 +153,7 @@ def _hashes(text: str | None) -> np.ndarray:
 def _survey(length: int):
     """A row for each text: how many words, a mark of their sequence, and the minimizers of its windows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
@@ -175,6 +176,7 @@ def _survey(length: int):
 def _segments(length: int):
     """The runs of windows with one minimizer that other documents have too: route, start and words of each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
@@ -210,6 +212,7 @@ def _index(length: int):
         ranges = shared_windows([_tokens(b) for _, b, _ in held], np.array([f for _, _, f in held], np.int64), length)
         return pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in held], pa.int64()), pa.array([hashlib.md5(b).digest() for _, b, _ in held], pa.binary()), pa.array([f for _, _, f in held], pa.int64()), pa.array([[list(y) for y in x] for x in ranges], pa.list_(pa.list_(pa.int64())))], ["route", "md5", "first", "ranges"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -228,6 +231,7 @@ def _index(length: int):
 def _windows(length: int):
     """Single windows of segments whose route has too many: a 128-bit mark of each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import staged
+from quarrylens.llm.shared import lean, staged
 
 BLOCK = 2048
 BINS = 1024
@@ -20,6 +20,7 @@ Q_BLOCKS, C_BLOCKS = 16, 2
 def _pack(scale: float, block: int):
     """Blocks of whole-number vectors: as many blocks a partition as its rows and dimensions need."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
@@ -66,6 +67,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray
 def _histograms(k: int):
     """query_id, bin, n of scores under the query's bounds; each pair of blocks sends the bins down to its own kth score, as the kth score over all is no lower."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, q, c, scores in _pairs(batches):
             low, width = np.frombuffer(r["lows"], np.int64), np.frombuffer(r["widths"], np.int64)
@@ -84,6 +86,7 @@ def _histograms(k: int):
 def _select(k: int):
     """Candidates above the kth score, and of those that tie with it the k of smallest id."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, q, c, scores in _pairs(batches):
             low = np.frombuffer(r["lows"], np.int64)

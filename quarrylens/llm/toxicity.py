@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import rest, typed
+from quarrylens.llm.shared import lean, rest, typed
 
 ORDER, SYMBOLS = 4, 32
 BORDER = 0
@@ -215,6 +215,7 @@ def _restored(text: str, decoder: Decoder) -> set[str]:
 
 
 def _counts(model) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, n = Decoder(model.value), (Counter(), Counter())
         for batch in batches:
@@ -230,6 +231,7 @@ def _counts(model) -> Callable:
 
 
 def _incidence(model, place) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model.value)
         for batch in batches:
@@ -289,6 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
 
 
 def _score(model, carry: list[str]) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         decoder = Decoder(m.lm)
