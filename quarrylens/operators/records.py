@@ -103,3 +103,81 @@ def folded_products(df: DataFrame, key: str, series: str) -> DataFrame:
     n = F.least(F.size("a_value"), F.size("b_value"))
     zipped = F.zip_with(F.slice("a_value", F.lit(1), n), F.slice("b_value", F.lit(1), n), lambda x, y: x * y)
     return both.select("a_key", "b_key", F.aggregate(zipped, F.lit(0.0), lambda s, x: s + x).alias("product"))
+
+
+#: Factors by category, and by the range of the value with exceptions by category.
+FACTORS = {"A": 2.0, "B": 2.0, "C": 2.0, "D": 1.5}
+RANGES = [(10.0, 2.0, {}), (50.0, 1.5, {"A": 1.8}), (100.0, 1.2, {"B": 1.3, "C": 1.4}), (None, 1.1, {"D": 1.05, "E": 1.0, "F": 1.0})]
+PRIORITIES = {"high": 1.1, "low": 0.95}
+CATEGORIES = ("A", "B", "C", "D", "E")
+
+
+def _lookup(key: Column, table: dict[str, float], default: Column) -> Column:
+    out = default
+    for k, v in table.items():
+        out = F.when(key == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def preprocessed(df: DataFrame) -> DataFrame:
+    """Rows (value, is_text, category, keep_zeros, has_alt, alt_value) with processed_value: numbers over 0 times the
+    factor of their category (1 for others, 1.1 for none), text that is a number times 1.5; without a value 0.8 of
+    alt_value if there is one. Values of 0 or less stay, without a processed value, if keep_zeros says so; all other
+    rows go."""
+    number = F.expr("try_cast(value AS DOUBLE)")
+    factor = F.when(F.col("category").isNull(), 1.1).otherwise(_lookup(F.col("category"), FACTORS, F.lit(1.0)))
+    value = F.when(F.col("value").isNull(), F.when(F.col("has_alt"), F.coalesce("alt_value", F.lit(0.0)) * 0.8)).when(F.col("is_text"), number * 1.5).when(number > 0, number * factor)
+    zero = F.col("value").isNotNull() & ~F.col("is_text") & (number <= 0) & F.coalesce("keep_zeros", F.lit(False))
+    return df.withColumn("processed_value", value).where(F.col("processed_value").isNotNull() | zero)
+
+
+def transformed(df: DataFrame) -> DataFrame:
+    """Rows (processed_value, category, priority) with multiplier_used and transformed_value; rows without a processed
+    value go. Results over 100 are scaled by priority: 0.98 for none, 1 for others."""
+    v, category = F.col("processed_value"), F.coalesce("category", F.lit(""))
+    used = F.lit(None).cast("double")
+    for limit, factor, special in reversed(RANGES):
+        own = _lookup(category, special, F.lit(factor))
+        used = own if limit is None else F.when(v < limit, own).otherwise(used)
+    by_priority = F.when(F.col("priority").isNull(), 0.98).otherwise(_lookup(F.col("priority"), PRIORITIES, F.lit(1.0)))
+    raw = v * F.col("multiplier_used")
+    return df.where(v.isNotNull()).withColumn("multiplier_used", used).withColumn("transformed_value", F.when(raw > 100, raw * by_priority).otherwise(raw))
+
+
+def normalized(df: DataFrame, share: float = 0.3) -> DataFrame:
+    """id, value, category, priority of rows (id, value, category); none if more than share of the rows have an error: no
+    id, or a value that is no number, which becomes 0."""
+    number = F.expr("try_cast(value AS DOUBLE)")
+    bad = F.col("id").isNull() | F.col("value").isNotNull() & number.isNull()
+    errors = df.agg(F.coalesce(F.avg(bad.cast("double")), F.lit(1.0)).alias("errors"))
+    category = F.when(F.col("category").isNull(), "DEFAULT").when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("UNKNOWN")
+    rows = df.where("id is not null").select("id", F.coalesce(number, F.lit(0.0)).alias("value"), category.alias("category"))
+    priority = F.when(F.col("value") <= 0, "none").when(F.col("category") == "A", "high").when(F.col("category").isin("B", "C"), "medium").otherwise("low")
+    return rows.withColumn("priority", priority).crossJoin(F.broadcast(errors)).where(F.col("errors") <= share).drop("errors")  # one row to all
+
+
+def record_complexity(df: DataFrame, key: str, value: str) -> DataFrame:
+    """avg_correlation, pattern_score, complexity_score of a stated small table: one row, from its pairs and triples."""
+    a, b = F.col("a_value"), F.col("b_value")
+    apart = F.abs(a - b)
+    tie = F.when((a > 0) & (b > 0), F.when(apart < 10, 0.9).when(apart < 50, 0.6).otherwise(0.3)).when((a == 0) | (b == 0), 0.1).otherwise(-0.5)
+    mean = pairs(df, key, value, distinct=True).agg(F.coalesce(F.avg(tie), F.lit(0.0)).alias("avg_correlation"))
+    c = F.col("c_value")
+    near, run = (F.abs(a - b) < 5) & (F.abs(b - c) < 5), (a > b) & (b > c) | (a < b) & (b < c)
+    score = F.when((a > 0) & (b > 0) & (c > 0), F.when(near, 1.0).when(run, 0.5))
+    return mean.crossJoin(triples(df, key, value).agg(F.coalesce(F.sum(score), F.lit(0.0)).alias("pattern_score"))).withColumn("complexity_score", 0.7 * F.col("avg_correlation") + 0.3 * F.col("pattern_score"))
+
+
+def all_have(df: DataFrame, field: str, records: str) -> DataFrame:
+    """valid: whether every map has a field; one row."""
+    return df.agg(F.coalesce(F.bool_and(F.map_contains_key(records, field)), F.lit(True)).alias("valid"))
+
+
+#: The least and the greatest value of an action's parameters.
+LIMITS = {"line_start": (1, None), "line_end": (1, None), "max_depth": (1, 8), "context_lines": (0, 10), "max_results": (1, 200), "patches": (1, 20), "timeout_sec": (1, 120), "note_length": (None, 500), "query_length": (1, None)}
+
+
+def valid_parameters(df: DataFrame) -> DataFrame:
+    """valid, and broken: the names of the parameters among the columns that are out of their limits; null is no value."""
+    broken = [F.when(F.col(c) < lo if hi is None else F.col(c) > hi if lo is None else ~F.col(c).between(lo, hi), F.lit(c)) for c, (lo, hi) in LIMITS.items() if c in df.columns]
+    return df.withColumn("broken", F.filter(F.array(*broken), lambda x: x.isNotNull())).withColumn("valid", F.size("broken") == 0)

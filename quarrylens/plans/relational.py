@@ -467,3 +467,54 @@ def weight_normalization(spark, sf):
 @query("SELECT user_id % 3 AS task, count(*) AS n FROM events GROUP BY 1")
 def round_robin(spark, sf):
     return table(spark, sf, "events").groupBy(F.pmod("user_id", F.lit(3)).alias("task")).agg(F.count("*").alias("n"))
+
+
+ITEMS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 13 <> 0 THEN (p_size - 5)::DOUBLE END AS v, p_partkey % 7 = 0 AS is_text, CASE WHEN p_partkey % 11 <> 0 THEN chr((65 + p_partkey % 6)::INTEGER) END AS category,
+    p_partkey % 2 = 0 AS keep_zeros, p_partkey % 3 = 0 AS has_alt, p_retailprice AS alt_value, CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'other' END AS priority FROM part"""
+PROCESSED = f"""SELECT *, CASE WHEN v IS NULL THEN CASE WHEN has_alt THEN alt_value * 0.8 END WHEN is_text THEN v * 1.5 WHEN v > 0 THEN v * CASE WHEN category IS NULL THEN 1.1 WHEN category IN ('A', 'B', 'C') THEN 2.0 WHEN category = 'D' THEN 1.5 ELSE 1.0 END END AS processed FROM ({ITEMS})"""
+
+
+def _items(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        k.alias("id"), F.when(k % 13 != 0, (F.col("p_size") - 5).cast("double").cast("string")).alias("value"), (k % 7 == 0).alias("is_text"), F.when(k % 11 != 0, F.char(65 + k % 6)).alias("category"), (k % 2 == 0).alias("keep_zeros"),
+        (k % 3 == 0).alias("has_alt"), F.col("p_retailprice").alias("alt_value"), F.when(k % 4 == 0, "high").when(k % 4 == 1, "low").when(k % 4 == 2, "other").alias("priority"))
+
+
+@query(f"SELECT id, round(processed, 6) AS processed_value FROM ({PROCESSED}) WHERE processed IS NOT NULL OR (v IS NOT NULL AND NOT is_text AND v <= 0 AND keep_zeros)")
+def record_preprocess(spark, sf):
+    return records.preprocessed(_items(spark, sf)).select("id", F.round("processed_value", 6).alias("processed_value"))
+
+
+@query(f"""WITH m AS (SELECT *, CASE WHEN processed < 10 THEN 2.0 WHEN processed < 50 THEN CASE WHEN category = 'A' THEN 1.8 ELSE 1.5 END WHEN processed < 100 THEN CASE category WHEN 'B' THEN 1.3 WHEN 'C' THEN 1.4 ELSE 1.2 END
+        ELSE CASE category WHEN 'D' THEN 1.05 WHEN 'E' THEN 1.0 WHEN 'F' THEN 1.0 ELSE 1.1 END END::DOUBLE AS multiplier_used FROM ({PROCESSED}) WHERE processed IS NOT NULL)
+    SELECT id, multiplier_used, round(processed * multiplier_used * CASE WHEN processed * multiplier_used <= 100 THEN 1.0 WHEN priority = 'high' THEN 1.1 WHEN priority = 'low' THEN 0.95 WHEN priority IS NULL THEN 0.98 ELSE 1.0 END, 4) AS transformed_value FROM m""")
+def record_complex_transform(spark, sf):
+    return records.transformed(records.preprocessed(_items(spark, sf))).select("id", "multiplier_used", F.round("transformed_value", 4).alias("transformed_value"))
+
+
+@query(f"""WITH n AS (SELECT id, coalesce(v, 0.0) AS value, CASE WHEN category IS NULL THEN 'DEFAULT' WHEN category IN ('A', 'B', 'C', 'D', 'E') THEN category ELSE 'UNKNOWN' END AS category FROM ({ITEMS}))
+    SELECT *, CASE WHEN value <= 0 THEN 'none' WHEN category = 'A' THEN 'high' WHEN category IN ('B', 'C') THEN 'medium' ELSE 'low' END AS priority FROM n""")
+def record_normalize(spark, sf):
+    return records.normalized(_items(spark, sf).select("id", "value", "category"))
+
+
+@query("""WITH v AS (SELECT n_nationkey AS k, (n_nationkey * 3 - 6)::DOUBLE AS v FROM nation),
+    p AS (SELECT avg(CASE WHEN a.v > 0 AND b.v > 0 THEN CASE WHEN abs(a.v - b.v) < 10 THEN 0.9 WHEN abs(a.v - b.v) < 50 THEN 0.6 ELSE 0.3 END WHEN a.v = 0 OR b.v = 0 THEN 0.1 ELSE -0.5 END::DOUBLE) AS c FROM v a JOIN v b ON a.k <> b.k),
+    t AS (SELECT sum(CASE WHEN a.v > 0 AND b.v > 0 AND c.v > 0 THEN CASE WHEN abs(a.v - b.v) < 5 AND abs(b.v - c.v) < 5 THEN 1.0 WHEN a.v > b.v AND b.v > c.v OR a.v < b.v AND b.v < c.v THEN 0.5 END END)::DOUBLE AS s FROM v a JOIN v b ON a.k < b.k JOIN v c ON b.k < c.k)
+    SELECT round(c, 6) AS avg_correlation, s AS pattern_score, round(0.7 * c + 0.3 * s, 6) AS complexity_score FROM p, t""")
+def record_complexity(spark, sf):
+    v = table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 3 - 6).cast("double").alias("v"))
+    out = records.record_complexity(v, "n_nationkey", "v")
+    return out.select(F.round("avg_correlation", 6).alias("avg_correlation"), "pattern_score", F.round("complexity_score", 6).alias("complexity_score"))
+
+
+@query("SELECT count(*) = count(json_extract(props, '$.k')) AS valid FROM events")
+def record_field_check(spark, sf):
+    return records.all_have(table(spark, sf, "events").select(F.from_json("props", "map<string,string>").alias("m")), "k", "m")
+
+
+@query("SELECT conv_id, turn, turn BETWEEN 0 AND 10 AND length(text) BETWEEN 1 AND 500 AS valid FROM (SELECT conv_id, turn, CASE WHEN length(text) < 1 THEN NULL ELSE text END AS text FROM conversations) WHERE text IS NOT NULL")
+def action_parameters(spark, sf):
+    c = table(spark, sf, "conversations").where("length(text) >= 1").select("conv_id", "turn", F.col("turn").alias("context_lines"), F.length("text").alias("note_length"))
+    return records.valid_parameters(c).select("conv_id", "turn", "valid")

@@ -76,8 +76,15 @@ def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILES, "path string, text string")
 
 
+_parsed: dict[str, DataFrame] = {}
+
+
 def nodes(spark: SparkSession) -> DataFrame:
-    return astfacts.ast_nodes(files(spark))
+    """The node table of the files, parsed once a session."""
+    app = spark.sparkContext.applicationId
+    if app not in _parsed:
+        _parsed[app] = astfacts.ast_nodes(files(spark)).persist()
+    return _parsed[app]
 
 
 def values(columns: str, *rows: str) -> str:
