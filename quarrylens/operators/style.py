@@ -89,6 +89,13 @@ def _v(df: DataFrame, rule: str, test: Column | str, context: Column | None = No
     return df.where(test).select(F.lit(rule).alias("rule"), "path", F.coalesce(F.col(line), F.lit(0)).alias("line"), (context if context is not None else F.lit("")).alias("context"))
 
 
+def _many(df: DataFrame, *found: tuple, line: str = "line") -> DataFrame:
+    """_v for several rules in one pass over df: each a rule, a test and maybe a context."""
+    none = F.lit("")
+    hits = [F.when(F.expr(test) if isinstance(test, str) else test, F.struct(F.lit(rule).alias("rule"), (context[0] if context else none).cast("string").alias("context"))) for rule, test, *context in found]
+    return df.select("path", F.coalesce(F.col(line), F.lit(0)).alias("line"), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("v")).select("v.rule", "path", "line", "v.context")
+
+
 def function_facts(nodes: DataFrame) -> DataFrame:
     """A row for each function with what stands anywhere below it; a node belongs to every function around it."""
     inside = nodes.where(F.size("funcs") > 0).withColumn("func", F.explode("funcs"))
@@ -120,12 +127,12 @@ def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compa
     parts = []
     modules = nodes.where("type = 'Module'").withColumn("stem", F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
     stem = F.col("stem")
-    parts += [_v(modules, "N001", ~stem.isin("__init__", "__main__") & ~snake(stem), stem), _v(modules, "D003", "NOT has_doc")]
+    parts.append(_many(modules, ("N001", ~stem.isin("__init__", "__main__") & ~snake(stem), stem), ("D003", "NOT has_doc")))
 
     classes = nodes.where("type = 'ClassDef'")
     bases = nodes.where("field = 'bases'").groupBy("path", F.col("parent").alias("node")).agg(F.max(name.contains("Exception") | name.contains("Error")).alias("raises"))
     classes = classes.join(bases, ["path", "node"], "left")
-    parts += [_v(classes, "N002", ~cap_words(name), name), _v(classes, "N009", F.coalesce("raises", F.lit(False)) & ~name.endswith("Error"), name), _v(classes, "D002", public(name) & ~F.col("has_doc"), name)]
+    parts.append(_many(classes, ("N002", ~cap_words(name), name), ("N009", F.coalesce("raises", F.lit(False)) & ~name.endswith("Error"), name), ("D002", public(name) & ~F.col("has_doc"), name)))
 
     facts = function_facts(nodes).withColumnRenamed("func", "node")
     info = function_info(nodes).select("path", "node", "unannotated")
@@ -137,14 +144,15 @@ def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compa
     f = nodes.where(F.col("type").isin(*FUNCTIONS)).join(facts, ["path", "node"]).join(info, ["path", "node"]).join(shared, ["path", "node"], "left")
     doc = F.split(F.trim("doc", F.lit(" \t\n\r\x0b\x0c")), "\r\n|[\n\r]", -1)
     f = f.withColumn("summary", F.when(F.col("has_doc"), doc[0])).withColumn("second", F.when(F.col("has_doc") & (F.size(doc) > 1), doc[1]))
-    parts += [
-        _v(f, "N003", ~name.isin(*DUNDER) & ~snake(name), name), _v(f, "N007", (F.length(name) == 1) & ~name.isin(*SINGLE), name),
-        _v(f, "N010", F.lower(path).contains("test") & public(name) & ~name.startswith("test_") & F.col("asserts"), name),
-        _v(f, "D001", public(name) & ~F.col("has_doc"), name), _v(f, "D004", F.length("summary") > max_line, F.concat(F.substring("summary", 1, max_line - 10), F.lit("…"))),
-        _v(f, "D005", F.trim(F.col("second")) != "", name), _v(f, "D006", F.col("has_doc") & F.col("yields") & F.col("doc").contains("Returns:") & ~F.col("doc").contains("Yields:"), name),
-        _v(f, "T001", public(name) & ~F.col("returns"), name), _v(f, "T002", public(name) & (F.col("unannotated") > 0), name), _v(f, "I006", F.coalesce("mutable", F.lit(False)), name),
-        _v(f, "C001", F.col("cc") > max_cc, F.concat(name, F.lit(" cc="), "cc")), _v(f, "C003", F.col("nested"), name),
+    found = [
+        ("N003", ~name.isin(*DUNDER) & ~snake(name), name), ("N007", (F.length(name) == 1) & ~name.isin(*SINGLE), name),
+        ("N010", F.lower(path).contains("test") & public(name) & ~name.startswith("test_") & F.col("asserts"), name),
+        ("D001", public(name) & ~F.col("has_doc"), name), ("D004", F.length("summary") > max_line, F.concat(F.substring("summary", 1, max_line - 10), F.lit("…"))),
+        ("D005", F.trim(F.col("second")) != "", name), ("D006", F.col("has_doc") & F.col("yields") & F.col("doc").contains("Returns:") & ~F.col("doc").contains("Yields:"), name),
+        ("T001", public(name) & ~F.col("returns"), name), ("T002", public(name) & (F.col("unannotated") > 0), name), ("I006", F.coalesce("mutable", F.lit(False)), name),
+        ("C001", F.col("cc") > max_cc, F.concat(name, F.lit(" cc="), "cc")), ("C003", F.col("nested"), name),
     ]
+    parts.append(_many(f, *found))
     typed = nodes.where("field = 'type'").select("path", F.col("parent").alias("node"))
     bare = nodes.where("type = 'ExceptHandler'").join(typed, ["path", "node"], "left_anti").withColumn("func", F.explode("funcs"))
     owners = nodes.where(F.col("type").isin(*FUNCTIONS)).select("path", F.col("node").alias("func"), F.col("name").alias("owner"))
@@ -156,15 +164,15 @@ def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compa
     each = from_.join(alias, ["path", "node"])
     one = F.col("alias")
     parts += [
-        _v(imports, "I003", "count > 1"), _v(each, "I001", one == "*", F.concat(F.lit("from "), F.coalesce("name", F.lit("None")), F.lit(" import *"))), _v(from_, "I002", "level > 0", F.concat(F.lit("relative level="), "level")),
-        _v(each, "I004", name.isNotNull() & ~name.isin(*TYPING) & cap_words(one) & ~shouts(one), F.concat(F.lit("from "), "name", F.lit(" import "), "alias")),
+        _v(imports, "I003", "count > 1"), _v(from_, "I002", "level > 0", F.concat(F.lit("relative level="), "level")),
+        _many(each, ("I001", one == "*", F.concat(F.lit("from "), F.coalesce("name", F.lit("None")), F.lit(" import *"))), ("I004", name.isNotNull() & ~name.isin(*TYPING) & cap_words(one) & ~shouts(one), F.concat(F.lit("from "), "name", F.lit(" import "), "alias"))),
         import_order(nodes).select(F.lit("I005").alias("rule"), "path", "line", F.lit("").alias("context")),
     ]
     assigns = nodes.where("type = 'Assign' AND open_defs = 0").select("path", F.col("node").alias("parent"), F.col("line").alias("at"))
     values = nodes.where("field = 'value'").select("path", "parent", F.col("type").alias("value_type"))
     targets = nodes.where("type = 'Name' AND field = 'targets'").join(assigns, ["path", "parent"]).join(values, ["path", "parent"]).where("NOT (startswith(name, '__') AND endswith(name, '__'))")
     literal = F.col("value_type") == "Constant"
-    parts += [_v(targets, "N004", literal & ~upper_case(name) & public(name), name, "at"), _v(targets, "N005", ~literal & cap_words(name) & ~shouts(name), name, "at")]
+    parts.append(_many(targets, ("N004", literal & ~upper_case(name) & public(name), name), ("N005", ~literal & cap_words(name) & ~shouts(name), name), line="at"))
     out = reduce(DataFrame.unionByName, parts)
     if not compat:
         return out
