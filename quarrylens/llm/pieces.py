@@ -19,6 +19,8 @@ from quarrylens.llm.shared import lean, rest, slices, typed
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+#: Bytes of text whose parts are segmented together.
+SLICE = 1_500_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -291,20 +293,33 @@ class Pieces:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def _encode(held, carry: list[str]):
+def _ids(pieces: Pieces, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts in a batch, in a row, and where each text's end."""
+    texts = [x or "" for x in part.column(1).to_pylist()]
+    odd = {i: pieces.encode(x) for i, x in enumerate(texts) if "\0" in x}
+    ids, ends = pieces.encode_all(["" if i in odd else x for i, x in enumerate(texts)])
+    for i, own in odd.items():
+        ids = np.concatenate([ids[: ends[i]], np.frombuffer(own, np.int32), ids[ends[i] :]])
+        ends[i + 1 :] += len(own)
+    return ids, ends
+
+
+def _texts(pieces: Pieces, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([pieces.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
+def _encode(held, carry: list[str], back: bool = False):
+    """back: the decoded text too."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
         for batch in batches:
-            for part in slices(batch, 1, 2_000_000):
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                odd = {i: pieces.encode(x) for i, x in enumerate(texts) if "\0" in x}
-                ids, ends = pieces.encode_all(["" if i in odd else x for i, x in enumerate(texts)])
-                for i, own in odd.items():
-                    ids = np.concatenate([ids[: ends[i]], np.frombuffer(own, np.int32), ids[ends[i] :]])
-                    ends[i + 1 :] += len(own)
+            for part in slices(batch, 1, SLICE):
+                ids, ends = _ids(pieces, part)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, *rest(part, carry)], ["doc_id", "ids", *carry])
+                more = [_texts(pieces, ids, ends)] if back else []
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *more, *rest(part, carry)], ["doc_id", "ids", *["decoded"] * back, *carry])
 
     return run
 
@@ -318,8 +333,7 @@ def _decode(held, carry: list[str]):
                 part = batch.slice(at, 500)
                 lists = part.column(1)
                 flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
-                shown = [pieces.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(shown, pa.string()), *rest(part, carry)], ["doc_id", "ids", "decoded", *carry])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, _texts(pieces, flat, ends), *rest(part, carry)], ["doc_id", "ids", "decoded", *carry])
 
     return run
 
@@ -348,3 +362,11 @@ def decode(encoded: DataFrame, model: str | bytes = DEFAULT_MODEL, carry: tuple[
     encoded = encoded.select("doc_id", "ids", *(F.col(c).alias(f"c_{c}") for c in carry))
     out = encoded.mapInArrow(_decode(_model(encoded, model), names), f"doc_id long, ids array<int>, decoded string{typed(encoded, names)}")
     return out.withColumnsRenamed({f"c_{c}": c for c in carry})
+
+
+def round_trip(docs: DataFrame, model: str | bytes = DEFAULT_MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, decoded: encode() and then decode() in one pass, with one Python worker a task and not two."""
+    names = [f"c_{c}" for c in carry]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    out = docs.mapInArrow(_encode(_model(docs, model), names, back=True), f"doc_id long, ids array<int>, decoded string{typed(docs, names)}")
+    return out.withColumnsRenamed({f"c_{c}": c for c in carry})

@@ -226,7 +226,9 @@ def test_quality_edges(spark, odd, nothing):
 def test_pieces_edges(odd, nothing):
     got = {r["doc_id"]: r["decoded"] for r in pieces.decode(pieces.encode(odd)).collect()}
     assert all(got[k] == (t or "") for k, t in ODD)
-    assert pieces.encode(nothing).count() == 0
+    again = pieces.round_trip(odd, carry=("lang",)).collect()
+    assert len(again) == len(ODD) and all(got[r["doc_id"]] == r["decoded"] and r["lang"] == "x" for r in again)
+    assert pieces.encode(nothing).count() == 0 and pieces.round_trip(nothing).count() == 0
 
 
 def test_decontamination_edges(spark, odd, nothing):
