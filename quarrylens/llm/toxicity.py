@@ -245,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
     """Learns from documents (doc_id, text) and labels (doc_id, toxic); train says which doc_id may be learned from.
 
     The character model counts all texts. The features are learned from a bounded sample of the labelled rows: the
-    max_toxic and max_clean ones of the lowest hash of doc_id. Of the features that stand almost only in toxic texts
+    max_toxic and max_clean ones of the lowest hash of doc_id. Clean rows are weighed by how many labelled ones each
+    stands for next to a toxic one, so that the mix is that of all labels. Of the features that stand almost only in toxic texts
     those are taken, one by one, that explain most of the toxic texts not explained so far, so that a word that is
     only frequent among copies of one toxic text isn't taken for a sign. Null labels are no labels.
     """
@@ -258,9 +259,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(max_clean))
     picked = spark.createDataFrame(picked.toArrow())  # max_toxic + max_clean rows at most
+    size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rate = {k: min(1.0, most / max(1, size.get(k, 0))) for k, most in ((1, max_toxic), (0, max_clean))}
+    mix = rate[1] / rate[0]  # clean rows for each sampled one, where a sampled toxic one counts as one
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     stats = rows.mapInArrow(_counts(lm), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    best = stats.where("t >= 3 and t >= 9 * c").orderBy(F.desc("t"), F.desc(F.length("feature")), "feature").limit(max_candidates).collect()
+    best = stats.where((F.col("t") >= 3) & (F.col("t") >= F.lit(9 * mix) * F.col("c"))).orderBy(F.desc("t"), F.desc(F.length("feature")), "feature").limit(max_candidates).collect()
     place = spark.sparkContext.broadcast({r["feature"]: i for i, r in enumerate(best)})
     got = rows.mapInArrow(_incidence(lm, place), "toxic int, have array<int>").toArrow()
     texts = [(x, t) for x, t in zip(got["have"].to_pylist(), got["toxic"].to_pylist(), strict=True)]
@@ -284,10 +288,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
                     left[i] = False
                     for g in texts[i][0]:
                         gain[g] -= 1
-    weights = {best[f]["feature"]: (best[f]["t"] + 0.5) / (best[f]["t"] + best[f]["c"] + 1.0) for f in chosen}
+    weights = {best[f]["feature"]: (best[f]["t"] + 0.5) / (best[f]["t"] + 0.5 + mix * (best[f]["c"] + 0.5)) for f in chosen}
     taken = set(chosen)
     unexplained = [t for have, t in texts if not taken & set(have)]
-    return Model(lm.value, weights, (sum(unexplained) + 0.5) / (len(unexplained) + 10.0))
+    toxic = sum(unexplained) + 0.5
+    return Model(lm.value, weights, toxic / (toxic + mix * (len(unexplained) - sum(unexplained) + 9.5)))
 
 
 def _score(model, carry: list[str]) -> Callable:

@@ -213,6 +213,17 @@ def test_toxicity_edges(spark, odd, nothing):
     assert 0 <= toxicity.toxicity(docs, blank).first()["score"] <= 1
 
 
+def test_toxicity_keeps_the_mix_of_labels(spark):
+    """A sample that holds a sixth of the clean rows judges features and chances as all labelled rows do."""
+    rows = [(i, f"{prose(i, 12)} {'nasty' if i % 10 == 0 and i % 20 else ''} {'weird' if i % 20 == 0 or i % 40 == 7 else ''}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 = 0) AS toxic")
+    whole, part = toxicity.fit(docs, labels), toxicity.fit(docs, labels, max_toxic=80, max_clean=120)
+    assert "nasty$" in part.weights or any(f.startswith("nas") for f in part.weights)
+    assert not any(f.startswith("wei") for m in (whole, part) for f in m.weights)
+    assert part.base == pytest.approx(whole.base, rel=0.25)
+
+
 def test_quality_edges(spark, odd, nothing):
     got = quality.importance_resample(odd, odd.where("doc_id = 8"), 0.5)
     assert got.count() == len(ODD) and got.where("kept").count() >= len(ODD) // 2
