@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -103,6 +104,8 @@ def decode(token: str, lm: np.ndarray) -> str:
             moves += [(ord(x) - 96, SIGN) for x in LEET[ch]]
             if ch == last:
                 moves.append((None, again))
+            if ch in "!$" and not token[at:].strip("!$"):
+                moves.append((BORDER, BREAK))  # at the end it may be no letter
         elif ch in BETWEEN:
             moves += [(None, GAP), (BORDER, BREAK)]
             moves += [(x, STAR) for x in range(1, 27)] if ch == "*" else []
@@ -122,31 +125,53 @@ def decode(token: str, lm: np.ndarray) -> str:
     return max((score + (float(lm[state * SYMBOLS]) if state & 31 else 0.0), text) for (state, _), (score, text) in best.items())[1].strip()
 
 
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*'~·]{1,2}){2,}[^\W_](?![^\W_])")
-REPEATED = re.compile(r"\S*([^\W\d_])\1\1\S*", re.I)
+#: Letters and signs for letters, one by one, with one or two signs between.
+SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+(€£¡])[ .\-_*'~·]{1,2}){2,}(?:[^\W_]|[@$!|+(€£¡])(?![^\W_])")
+DOUBLED = re.compile(r"([a-z])\1", re.I)
 EDGE = "\"'`.,;:?#%&*=<>{}[])\\/~^_-"
 SIGNED = re.compile(r"[^\W\d_]")
+#: Letters with marks and their base letters.
+PLAIN = {code: LETTERS[TABLE[code]] for code in range(128, 0x250) if 0 < TABLE[code] < 27}
+
+
+def _byte_table(chars: str, beyond: int) -> np.ndarray:
+    """Which first bytes of characters may be one of chars; all from beyond on."""
+    out = np.zeros(256, bool)
+    out[[x.encode()[0] for x in chars]] = True
+    out[beyond:] = True
+    return out
+
+
+ALNUM = _byte_table(string.ascii_letters + string.digits, 256)
+UNITS = _byte_table(string.ascii_letters + string.digits + "".join(LEET), 128)
+SIGNS = _byte_table(BETWEEN, 256)
+
+
+def may_be_spaced(text: str) -> bool:
+    """Whether SPACED can match; true too often rather than too seldom."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    b = np.r_[b[(b & 0xC0) != 0x80], np.zeros(6, np.uint8)]  # first bytes of characters
+    unit, sign, n = UNITS[b], SIGNS[b], len(b) - 6
+    one = sign[1 : n + 4] & unit[2 : n + 5]
+    two = sign[1 : n + 4] & sign[2 : n + 5] & unit[3 : n + 6]
+    hop = one | two
+    start = unit[:n] & ~np.r_[False, ALNUM[b]][:n]
+    return bool((start & (one[:n] & hop[2 : n + 2] | two[:n] & hop[3 : n + 3])).any())
 
 
 def suspects(text: str) -> set[str]:
-    """Spans of a text that may hide a word: letters mixed with signs, letters apart, letters three times in a row."""
+    """Spans of a text that may hide a word: letters mixed with signs, letters apart, words with a letter twice in a row."""
     found = set()
     for token in set(text.split()):
         core = token.strip(EDGE)
-        if not core.isalpha() and core and len(core) <= 64 and SIGNED.search(core) and not core.rstrip("!$").lstrip("$(").isalpha():
-            found.add(core)
-        elif core[:1] in ("$", "(") and core[1:].isalpha():
-            found.add(core)
-        elif len(core) > 64 and not core.isalpha():
-            found.update(x for x in re.split(r"[^\w@$!|+(*.-]+", core) if SIGNED.search(x) and not x.isalpha())
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    low = b | 32
-    letter = (low >= 97) & (low <= 122) | (b >= 128) | (b >= 48) & (b <= 57)
-    if len(b) >= 5:
-        if ((low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]).any():
-            found.update(m.group() for m in REPEATED.finditer(text))
-        if (letter[:-4] & ~letter[1:-3] & letter[2:-2] & ~letter[3:-1] & letter[4:]).any():
-            found.update(m.group() for m in SPACED.finditer(text))
+        for x in (core,) if len(core) <= 64 else re.split(r"[^\w@$!|+(*.-]+", core):
+            if x.isalpha():
+                if DOUBLED.search(x if x.isascii() else x.translate(PLAIN)):
+                    found.add(x)
+            elif SIGNED.search(x):
+                found.add(x)
+    if may_be_spaced(text):
+        found.update(m.group() for m in SPACED.finditer(text))
     return found
 
 
@@ -211,7 +236,8 @@ class Model:
 
 
 def _restored(text: str, decoder: Decoder) -> set[str]:
-    return {decoder(x) for x in suspects(text)} if text else set()
+    """What suspects of a text read as, where that isn't what stands there."""
+    return {y for x in suspects(text) if (y := decoder(x)).split() != WORD.findall(fold(x))} if text else set()
 
 
 def _counts(model) -> Callable:
@@ -314,7 +340,7 @@ def _score(model, carry: list[str]) -> Callable:
 def toxicity(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, restored of documents (doc_id, text): the chance that a text is toxic, and what was restored.
 
-    Spans that may hide a word (letters mixed with signs, single letters apart, letters repeated) are decoded by
+    Spans that may hide a word (letters mixed with signs, single letters apart, a letter twice in a row) are decoded by
     Viterbi search over the lattice of their readings under the character model; words of the text and of the decoded
     spans are then looked up among the learned features, each an independent cause. Null and empty texts have the base
     chance. Every row gives a row, repeated ones and those with a null doc_id too; of other columns, carry names those that come along.

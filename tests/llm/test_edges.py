@@ -213,6 +213,25 @@ def test_toxicity_edges(spark, odd, nothing):
     assert 0 <= toxicity.toxicity(docs, blank).first()["score"] <= 1
 
 
+def test_toxicity_finds_every_disguise_that_is_decoded():
+    """Letters apart with two signs or with signs for letters, letters doubled, a sign as the last letter."""
+    for x in ("m. o. r. o. n", "t r @ s h", "l o $ e r", "s t u p ! d", "$ t u p i d", "i·d·i·o·t", "iiddiioott", "sstuupid", "jerk$", "ÉÉric"):
+        assert x in toxicity.suspects(f"you are {x}, he said"), x
+    assert toxicity.suspects("you are a plain one, he said. I saw it") == set()
+    r = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(r.choice("ab c.-*'·é$!@(1 €\nZ_x~") for _ in range(r.randint(0, 12)))
+        assert toxicity.may_be_spaced(t) or not toxicity.SPACED.search(t), t
+
+
+def test_toxicity_reads_new_disguises(spark):
+    rows = [(i, f"{prose(i, 20)} {'stupid' if i % 4 == 0 else 'fine'} {prose(i + 500, 5)}") for i in range(160)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int"))
+    hidden = ["so s t u p ! d", "$ t u p i d", "s. t. u. p. i. d", "sstuuppiidd", "so st$upid!", "a fine one!"]
+    got = toxicity.toxicity(spark.createDataFrame(list(enumerate(hidden)), "doc_id long, text string"), model)
+    assert [r["score"] >= 0.7 for r in got.orderBy("doc_id").collect()] == [True, True, True, True, False, False]
+
+
 def test_toxicity_keeps_the_mix_of_labels(spark):
     """A sample that holds a sixth of the clean rows judges features and chances as all labelled rows do."""
     rows = [(i, f"{prose(i, 12)} {'nasty' if i % 10 == 0 and i % 20 else ''} {'weird' if i % 20 == 0 or i % 40 == 7 else ''}") for i in range(800)]
