@@ -143,6 +143,27 @@ def test_cycles_and_replacing(spark):
     assert {tuple(r) for r in graph.replace_files(t, spark.createDataFrame([("q", 3)], "path string, v int")).collect()} == {("p", 1), ("q", 3)}
 
 
+def test_cycles_of_the_whole_table(spark, sf):
+    """The query over the edges of all customers against a plain search for what reaches each other."""
+    from quarrylens.plans import relational
+
+    next_: dict[int, set[int]] = {}
+    for r in relational._edges(spark, sf).collect():
+        next_.setdefault(r["src"], set()).add(r["dst"])
+    reach = {}
+    for start in next_:
+        seen, todo = set(), [start]
+        while todo:
+            news = next_.get(todo.pop(), set()) - seen
+            seen |= news
+            todo += news
+        reach[start] = seen
+    groups = {a: {b for b in reach[a] if a in reach.get(b, ())} | {a} for a in next_}
+    want = {(a, min(g), len(g)) for a, g in groups.items() if len(g) > 1}
+    assert {tuple(r) for r in relational.import_cycles_whole(spark, sf).select("node", "cycle", "size").collect()} == want
+    assert len(want) > 99
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(text.slugify(F.lit(" Hello,  World! ")).alias("s"), text.safe_divide(F.lit(1.0), F.lit(0.0)).alias("d"), text.normalize_score(F.lit(150.0), F.lit(0.0), F.lit(100.0)).alias("n"), text.normalize_score(F.lit(1.0), F.lit(2.0), F.lit(2.0)).alias("e"), text.strip_fence(F.lit('```json\n{"a":1}\n```')).alias("f")).first()
     assert tuple(row) == ("hello-world", 0.0, 1.0, 0.0, '{"a":1}')
