@@ -14,19 +14,21 @@ from pyspark.sql import functions as F
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 DEFINITIONS = (*FUNCTIONS, ast.ClassDef)
+HEADS = ("decorator_list", "args", "returns", "type_params")
 #: The node table. node: place in breadth-first order; pre: in depth-first order; funcs, loops: ids of the functions and
-#: of the for and while loops around a node, itself included; scope: dotted names of the definitions around it;
+#: of the for and while loops around a node, itself included; heads: ids of the functions in whose decorators, arguments,
+#: type parameters or returned annotation it stands; floors: whether a floor division stands below it; scope: dotted names of the definitions around it;
 #: caller: the innermost function whose lines hold the node's line.
 SCHEMA = (
     "path string, status string, node int, parent int, pre int, field string, idx int, type string, name string, as_name string, const string, value string, ctx string, "
     "line int, end_line int, col int, scope string, open_defs int, funcs array<int>, loops array<int>, loop_depth int, op string, count int, level int, "
-    "doc string, has_doc boolean, returns boolean, caller string, norm_hash string"
+    "doc string, has_doc boolean, returns boolean, caller string, norm_hash string, heads array<int>, floors boolean"
 )
 ARROW = pa.schema(
     [(n, pa.string()) for n in ("path", "status")] + [(n, pa.int32()) for n in ("node", "parent", "pre")] + [("field", pa.string()), ("idx", pa.int32())]
     + [(n, pa.string()) for n in ("type", "name", "as_name", "const", "value", "ctx")] + [(n, pa.int32()) for n in ("line", "end_line", "col")]
     + [("scope", pa.string()), ("open_defs", pa.int32()), ("funcs", pa.list_(pa.int32())), ("loops", pa.list_(pa.int32())), ("loop_depth", pa.int32()), ("op", pa.string()), ("count", pa.int32()), ("level", pa.int32())]
-    + [("doc", pa.string()), ("has_doc", pa.bool_()), ("returns", pa.bool_()), ("caller", pa.string()), ("norm_hash", pa.string())]
+    + [("doc", pa.string()), ("has_doc", pa.bool_()), ("returns", pa.bool_()), ("caller", pa.string()), ("norm_hash", pa.string()), ("heads", pa.list_(pa.int32())), ("floors", pa.bool_())]
 )
 
 
@@ -110,24 +112,30 @@ def facts(path: str, text: str | None) -> list[dict]:
     tree, status = tolerant_parse(text or "")
     if tree is None:
         return [{"path": path, "status": status}]
-    rows, queue = [], deque([(tree, None, None, 0, module_name(path), 0, (), (), 0)])
+    rows, queue = [], deque([(tree, None, None, 0, module_name(path), 0, (), (), 0, ())])
     made: dict[int, dict] = {}
     while queue:
-        node, parent, field, idx, scope, open_defs, funcs, loops, depth = queue.popleft()
+        node, parent, field, idx, scope, open_defs, funcs, loops, depth, heads = queue.popleft()
         me = len(rows)
         if isinstance(node, FUNCTIONS):
             funcs = (*funcs, me)
         if isinstance(node, (ast.For, ast.While)):
             loops, depth = (*loops, me), depth + 1
-        row = _attributes(node) | {"path": path, "status": status, "node": me, "parent": parent, "field": field, "idx": idx, "scope": scope, "open_defs": open_defs, "funcs": list(funcs), "loops": list(loops), "loop_depth": depth}
+        row = _attributes(node) | {"path": path, "status": status, "node": me, "parent": parent, "field": field, "idx": idx, "scope": scope, "open_defs": open_defs, "funcs": list(funcs), "loops": list(loops), "loop_depth": depth, "heads": list(heads), "floors": False}
         rows.append(row)
         made[id(node)] = row
         if isinstance(node, DEFINITIONS):
             scope, open_defs = f"{scope}.{node.name}", open_defs + 1
         for name, value in ast.iter_fields(node):
+            inner = (*heads, me) if isinstance(node, FUNCTIONS) and name in HEADS else heads
             for i, x in enumerate(value if isinstance(value, list) else [value]):
                 if isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
-                    queue.append((x, me, name, i, scope, open_defs, funcs, loops, depth))
+                    queue.append((x, me, name, i, scope, open_defs, funcs, loops, depth, inner))
+    for row in rows:
+        up = row["parent"] if row["type"] == "BinOp" and row["op"] == "FloorDiv" else None
+        while up is not None and not rows[up]["floors"]:
+            rows[up]["floors"] = True
+            up = rows[up]["parent"]
     stack, place = [tree], 0
     while stack:
         node = stack.pop()

@@ -44,9 +44,7 @@ def function_signals(nodes: DataFrame) -> DataFrame:
     callee = nodes.where("field = 'func'").select("path", F.col("parent").alias("node"), F.col("type").alias("callee_type"), F.col("name").alias("callee"))
     arg = nodes.where("field = 'args' AND idx = 0").select("path", F.col("parent").alias("node"), F.col("type").alias("arg_type"), F.col("const").alias("arg_const"), F.col("value").alias("arg_value"))
     step = nodes.where("field = 'value' AND type = 'Constant'").select("path", F.col("parent").alias("node"), F.col("value").alias("step"), F.col("const").alias("step_const"))
-    slices = nodes.where("type = 'Slice' AND field = 'slice'").select("path", F.col("node").alias("slice"))
-    floor = _below(nodes.where("type = 'BinOp' AND op = 'FloorDiv'"), nodes, slices)
-    plain = nodes.join(owner, ["path", "node"], "left").join(callee, ["path", "node"], "left").join(arg, ["path", "node"], "left").join(step, ["path", "node"], "left").join(floor, ["path", "node"], "left")
+    plain = nodes.join(owner, ["path", "node"], "left").join(callee, ["path", "node"], "left").join(arg, ["path", "node"], "left").join(step, ["path", "node"], "left")
     names = nodes.where(F.col("type").isin(*FUNCTIONS)).select("path", F.col("node").alias("func"), F.col("name").alias("own"), F.col("loop_depth").alias("own_depth"))
     inside = plain.where(F.size("funcs") > 0).withColumn("func", F.explode("funcs")).join(names, ["path", "func"])
     t, c = F.col("type"), F.col
@@ -64,24 +62,12 @@ def function_signals(nodes: DataFrame) -> DataFrame:
         some(looped & call & method & (c("callee") == "insert") & (c("arg_type") == "Constant") & ((c("arg_const").isin("int", "float") & (c("arg_value").cast("double") == 0)) | (c("arg_const") == "bool") & (c("arg_value") == "False"))).alias("head"),
         some(t.isin("ListComp", "SetComp", "GeneratorExp") & (c("count") >= 2)).alias("nested"), some(looped & call & method & (c("callee") == "append") & c("arg_type").isin("ListComp", "List")).alias("lists"),
         some(t.isin("ListComp", "SetComp", "DictComp")).alias("builds"),
-        some((t == "AugAssign") & c("op").isin("FloorDiv", "RShift") & c("step").isin("1", "2", "1.0", "2.0", "True") & (c("step_const") != "str") | call & c("callee").startswith("bisect") | (t == "Slice") & c("floors")).alias("halves"),
+        some((t == "AugAssign") & c("op").isin("FloorDiv", "RShift") & c("step").isin("1", "2", "1.0", "2.0", "True") & (c("step_const") != "str") | call & c("callee").startswith("bisect") | (t == "Slice") & (c("field") == "slice") & c("floors")).alias("halves"),
         some((c("field") == "decorator_list") & (c("parent") == c("func")) & (t.isin("Name", "Attribute") & c("name").isin(*MEMO) | call & (c("callee_type") == "Name") & c("callee").isin(*MEMO))).alias("memo"),
         some((c("parent") == c("func")) & call & ((c("callee_type") == "Name") & (c("callee") == "sorted") | method & c("callee").isin("sort", "sorted"))).alias("top_sort"),
     )
 
 
-def _below(found: DataFrame, nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """path, node, floors of the tops that have a found node somewhere below them."""
-    step = found.select("path", F.col("parent").alias("at"))
-    up = nodes.select("path", F.col("node").alias("at"), F.col("parent").alias("next"))
-    hit = None
-    for _ in range(12):  # expressions in slices are shallow: twelve levels
-        here = step.join(tops.withColumnRenamed("slice", "at"), ["path", "at"], "left_semi").select("path", F.col("at").alias("node"))
-        hit = here if hit is None else hit.unionByName(here)
-        step = step.join(up, ["path", "at"]).select("path", F.col("next").alias("at")).where("at is not null")
-    return hit.distinct().withColumn("floors", F.lit(True))
-
-
 def estimate(signals: DataFrame) -> DataFrame:
     """path, qualified_name, time, space, their reasons and the patterns, from a function's signals; of candidates in
     order the first that is worse than all before it gives the reason."""

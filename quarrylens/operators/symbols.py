@@ -123,14 +123,7 @@ def unused_variables(nodes: DataFrame) -> DataFrame:
 
 def _outside_bodies(nodes: DataFrame) -> DataFrame:
     """path, body, node of what stands in the head of a function: decorators, arguments, the annotation of what it returns."""
-    heads = nodes.where("field IN ('decorator_list', 'args', 'returns', 'type_params')").select("path", F.col("node").alias("head"), F.col("parent").alias("body"))
-    heads = heads.join(nodes.where(F.col("type").isin(*FUNCTIONS)).select("path", F.col("node").alias("body")), ["path", "body"])
-    step, found = heads.withColumn("node", F.col("head")).select("path", "body", "node"), None
-    edges = nodes.select("path", F.col("parent").alias("up"), F.col("node").alias("down"))
-    for _ in range(8):  # heads are shallow: eight levels of expressions
-        found = step if found is None else found.unionByName(step)
-        step = step.withColumnRenamed("node", "up").join(edges, ["path", "up"]).select("path", "body", F.col("down").alias("node"))
-    return found
+    return nodes.select("path", F.explode("heads").alias("body"), "node")
 
 
 def statements(nodes: DataFrame) -> DataFrame:

@@ -184,3 +184,12 @@ def test_long_lines_that_are_exempt(spark):
     rows = [f"a = {long}", f"# http://{long}", f"#  see http://{long}", long, f"a = {long}  # noqa", f"# pylint: {long} x"]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
     assert [r[0] for r in df.select(lines.too_long(F.col("t"))).collect()] == [True, False, True, False, False, False]
+
+
+def test_deep_heads_and_slices(spark):
+    """A default is no part of the body and a floor division halves, however deep they stand."""
+    deep = "-" * 20
+    code = f"def f(a={deep}x):\n    x = 1\n\n\ndef g(v, n):\n    return g(v[: {deep}(n // 2)], n)\n"
+    nodes = astfacts.ast_nodes(spark.createDataFrame([("m.py", code)], "path string, text string"))
+    assert [r["name"] for r in symbols.unused_variables(nodes).collect()] == ["m:f.x"]
+    assert {r["func"]: r["halves"] for r in complexity.function_signals(nodes).collect()}[max(r["node"] for r in nodes.where("name = 'g' AND type = 'FunctionDef'").collect())]
