@@ -16,6 +16,9 @@ from quarrylens.llm.shared import U64, grams, hash64, lean, mix, signed, staged,
 BUCKETS = 192
 #: How likely a pair at the threshold may share less than two bands.
 MISS = 1e-5
+#: Sets up to this size are linked by one band alone: they fill few bands, and sharing less than two is likelier than MISS
+#: up to 6 shingles at 80 percent (5e-4 for 4 and 5), while sharing none is not (2e-6).
+SMALL = 8
 MANTISSA = 10
 #: Members of a group that meet at once.
 BLOCK = 1000
@@ -252,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     the confirmed links of the class, which are enough to connect all that is linked.
 
     Equal sets collapse first. Their representatives meet where bands of compressed registers agree, two of them at
-    least: a pair at the threshold is missed with a chance below MISS. In each bucket the member whose bands are the most common is
+    least, or one if the sets are small: a pair at the threshold is missed with a chance below MISS. In each bucket the member whose bands are the most common is
     compared with the others. Where a bucket still has several components, its members meet in blocks of bounded size:
     registers are compared within a task, full sets of members that have a likely partner, and only links that join
     components leave the task.
@@ -264,8 +267,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     banded = reps.select("doc_id", "n", "regs").mapInArrow(_bands(band_rows(percent / 100)), "key long, rep long, n int")
     sizes = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = staged(banded.join(sizes, "key").select("key", "rep", "n", "m"), "buckets")
-    # A pair at the threshold shares two buckets, so that a member of one bucket alone has no link.
-    weight = met.groupBy("rep").agg(F.sum("m").alias("weight"), F.count("*").alias("k")).where("k > 1").select("rep", "weight")
+    # A pair at the threshold shares two buckets, so that a member of one bucket alone has no link, unless its set is small.
+    weight = met.groupBy("rep", "n").agg(F.sum("m").alias("weight"), F.count("*").alias("k")).where(f"k > 1 or n <= {SMALL}").select("rep", "weight")
     members = staged(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
     hub = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("h")).select("key", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hn"))
     pairs = members.join(hub, "key").where((F.col("rep") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent))

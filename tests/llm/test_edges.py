@@ -56,6 +56,21 @@ def test_minhash_chain(spark):
     assert got == {k: min(group[k]) for k in sets}
 
 
+def test_minhash_links_short_texts_that_share_one_band(spark):
+    """Texts of 8 and 9 words, 4 and 5 shingles of which 4 are common, whose filled bands agree only once."""
+    rows, rows_of = [], minhash.band_rows(0.8)
+    for i in range(40_000):
+        w = [f"w{i}x{k}" for k in range(9)]
+        a, b = (minhash.registers(minhash.shingle_set(" ".join(x), 5))[: minhash.BUCKETS // rows_of * rows_of].reshape(-1, rows_of) for x in (w[:8], w))
+        if ((a == b).all(1) & (a != minhash.EMPTY).any(1)).sum() == 1:
+            rows += [(2 * len(rows), " ".join(w[:8])), (2 * len(rows) + 1, " ".join(w))]
+        if len(rows) == 4:
+            break
+    assert len(rows) == 4
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sum(r["kept"] for r in got) == 2
+
+
 def test_hyperminhash_estimates():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 6000).astype(np.uint64)
