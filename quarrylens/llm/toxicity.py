@@ -267,7 +267,7 @@ def _incidence(model, place) -> Callable:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_toxic: int = 10_000, max_clean: int = 20_000, max_candidates: int = 20_000, max_features: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_toxic: int = 10_000, max_clean: int = 20_000, max_candidates: int = 20_000, max_features: int | None = None) -> Model:
     """Learns from documents (doc_id, text) and labels (doc_id, toxic); train says which doc_id may be learned from.
 
     The character model counts all texts. The features are learned from a bounded sample of the labelled rows: the
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
         for f in chosen:
             barred |= {g for g, x in enumerate(stems) if x.startswith(stems[f]) or stems[f].startswith(x)}
         gain[list(barred)] = -len(texts)
-        while len(chosen) < max_features and len(gain) and gain[f := int(gain.argmax())] >= least:
+        while (max_features is None or len(chosen) < max_features) and len(gain) and gain[f := int(gain.argmax())] >= least:
             chosen.append(f)
             gain[[g for g, x in enumerate(stems) if x.startswith(stems[f]) or stems[f].startswith(x)]] = -len(texts)
             for i in holders[f]:

@@ -247,6 +247,15 @@ def test_toxicity_reads_new_disguises(spark):
     assert [r["score"] >= 0.7 for r in got.orderBy("doc_id").collect()] == [True, True, True, True, False, False]
 
 
+def test_toxicity_learns_all_signs(spark):
+    """210 words, each in four toxic texts and no other."""
+    names = ["".join(chr(97 + (i * 7 + k * k * 11 + i // 26 * (k + 3)) % 26) for k in range(7)) + chr(97 + i % 26) + chr(97 + i // 26) for i in range(210)]
+    rows = [(i, f"{names[i // 4]} and so on" if i < 840 else "and so on") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id < 840) AS toxic"))
+    assert all(any(toxicity.stem(f) in x for f in model.weights) for x in names) and len(model.weights) > 200
+
+
 def test_toxicity_keeps_the_mix_of_labels(spark):
     """A sample that holds a sixth of the clean rows judges features and chances as all labelled rows do."""
     rows = [(i, f"{prose(i, 12)} {'nasty' if i % 10 == 0 and i % 20 else ''} {'weird' if i % 20 == 0 or i % 40 == 7 else ''}") for i in range(800)]
