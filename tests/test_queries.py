@@ -5,10 +5,9 @@ import pytest
 from quarrylens.plans import registry
 
 QUERIES, SQL = registry.load()
-SLOW = {"import_cycles", "reachability"}
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_query_matches_sql(name, same_rows):
     same_rows(QUERIES[name], SQL[name])
 
