@@ -139,29 +139,34 @@ def test_passages_edges(spark, odd, nothing):
 
 
 def plain_passages(rows, length):
+    """The words that are left of each row, by all windows of all documents; rows with one doc_id are one document."""
     first = {}
     for k, t in sorted(rows):
         w = t.split()
         for i in range(len(w) - length + 1):
             first.setdefault(tuple(w[i : i + length]), k)
-    out = {}
+    out = []
     for k, t in rows:
         w = t.split()
         keep = [True] * len(w)
         for i in range(len(w) - length + 1):
             if first[tuple(w[i : i + length])] < k:
                 keep[i : i + length] = [False] * length
-        out[k] = " ".join(x for x, y in zip(w, keep, strict=True) if y)
-    return out
+        out.append((k, " ".join(x for x, y in zip(w, keep, strict=True) if y)))
+    return sorted(out)
 
 
-@pytest.mark.parametrize("busy", [False, True])
-def test_passages_against_all_windows(spark, monkeypatch, busy):
-    """Shared passages with edits, repeats within a document, and both ways to treat a route."""
-    if busy:
-        monkeypatch.setattr(substring, "SEGMENTS", 0)
+def cut_passages(spark, rows, length=50):
+    return sorted((x["doc_id"], x["text"]) for x in substring.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), length).collect())
+
+
+@pytest.mark.parametrize("room", [0, 2000, 1 << 17])
+def test_passages_against_all_windows(spark, monkeypatch, room):
+    """Shared passages with edits, repeats within a document, very long words, periodic texts; routes split at every level, at some, at none."""
+    monkeypatch.setattr(substring, "ROUTE_BYTES", room)
     r = random.Random(4)
     passages = [prose(100 + i, 130).split() for i in range(4)]
+    passages[0][60] = "w" * 500
     rows = []
     for k in range(40):
         w = prose(k, r.randint(5, 60)).split()
@@ -172,8 +177,28 @@ def test_passages_against_all_windows(spark, monkeypatch, busy):
             a = r.randint(0, 60)
             w += p[a : a + r.randint(40, 130)] + prose(1000 + k, r.randint(0, 5)).split()
         rows.append((k, " ".join(w)))
-    got = {x["doc_id"]: x["text"] for x in substring.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
-    assert got == plain_passages(rows, 50)
+    rows += [(100, "x " * 300), (101, prose(1, 10) + " x" * 120), (102, "a b " * 90), (103, "b a " * 70), (104, "w" * 499 + "v " + " ".join(passages[0][61:120]))]
+    assert cut_passages(spark, rows) == plain_passages(rows, 50)
+
+
+@pytest.mark.parametrize("room", [0, 1 << 17])
+def test_passages_of_repeated_ids(spark, monkeypatch, room):
+    """What is found in one text of a doc_id isn't cut from its other texts."""
+    monkeypatch.setattr(substring, "ROUTE_BYTES", room)
+    a, b, c, d, e = (prose(700 + i, 200) for i in range(5))
+    rows = [(1, a), (5, a), (5, b), (1, c), (6, d), (6, e), (6, d), (7, f"{prose(800, 9)} {d[:900]}"), (6, f"own words {c}"), (2, None), (2, "")]
+    want = plain_passages([(k, t or "") for k, t in rows], 50)
+    assert cut_passages(spark, rows) == want
+    assert (5, b) in want and (6, e) in want and (5, "") in want
+
+
+def test_hot_route(spark, monkeypatch):
+    """A passage in 300 documents, each with its own words around it, and a template with a word of each document's own: no
+    index gets much more than its share, and nothing is lost."""
+    monkeypatch.setattr(substring, "ROUTE_BYTES", 4000)
+    shared, template = prose(900, 120), prose(901, 100).split()
+    rows = [(k, f"{prose(2000 + k, 30)} {shared} {prose(3000 + k, 30)} {' '.join(template[:40])} name{k} {' '.join(template[40:])}") for k in range(300)]
+    assert cut_passages(spark, rows) == plain_passages(rows, 50)
 
 
 def test_fm_index_counts():
@@ -189,6 +214,17 @@ def test_fm_index_counts():
         assert hi[0] - lo[0] == len(places) and index.first_owner(lo, hi)[0] == min(places)
 
 
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 33, 700])
+def test_least_owner_of_ranges(n):
+    r = np.random.default_rng(n)
+    text = np.r_[r.integers(1, 90, n - 1), 0]
+    owner = r.integers(10**12, 2 * 10**12, n)
+    index = substring.FMIndex(text, owner)
+    held = index.owners[index.fine[0]]
+    lo, hi = np.array([(i, j) for i in range(n) for j in range(i + 1, n + 1)][:: max(1, n // 40)]).T
+    assert index.first_owner(lo, hi).tolist() == [held[a:b].min() for a, b in zip(lo, hi, strict=True)]
+
+
 def test_arc_versions():
     body = "á\r\n\r\nx\n".encode()
     for version in (1, 2):
