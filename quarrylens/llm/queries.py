@@ -23,7 +23,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    """Whether labels of the row may not be learned; a row without an id has none to learn."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import string
 import unicodedata
@@ -24,6 +25,9 @@ BETWEEN = " .-_*'~·"
 #: Log-probabilities of the channel: a sign for a letter, a star for any letter, a sign between letters, a letter written
 #: again and again, one written twice, a break kept.
 SIGN, STAR, GAP, AGAIN, TWICE, BREAK = -1.0, -3.0, -0.7, -0.5, -4.0, -1.0
+#: More stars in a row than this are no letters. From so many transitions on a step of the search is taken over all states at once.
+STARS, DENSE = 16, 3000
+CROWD = re.compile(r"\*{%d,}" % (STARS + 1))
 PREFIXES = (3, 4, 5, 6, 7)
 TIMES = (2, 3, 5)
 
@@ -86,43 +90,129 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32).ravel()
 
 
-def decode(token: str, lm: np.ndarray) -> str:
-    """The most likely text behind a token under the model: signs become letters, gaps and repetitions may go."""
-    mask = SYMBOLS**3 - 1
-    best: dict[tuple[int, bool], tuple[float, str]] = {(0, True): (0.0, "")}
-    last = ""
-    token = token.lower()
+@functools.lru_cache(4096)
+def _base(ch: str) -> str:
+    return unicodedata.normalize("NFD", ch)[:1]
+
+
+#: Arcs are the symbol that is written (None: nothing) and a log-probability; these are shared by all lattices.
+ONE = [[(x, 0.0)] for x in range(28)]
+ANY = [(None, GAP), (BORDER, BREAK), *((x, STAR) for x in range(1, 27))]
+
+
+def lattice(token: str) -> list[list[tuple[int | None, float]]]:
+    """For each character of a token in lower case what it may stand for.
+
+    A letter is its base letter, or nothing where it repeats the one before. A sign of LEET is one of its letters; signs
+    that end the token may also be a break. A sign of BETWEEN is nothing or a break, and a star any letter too, unless
+    more than STARS of them stand in a row: no word hides so many letters. Other letters are one symbol, other
+    characters a break.
+    """
+    token, out, last = token.lower(), [], ""
+    closing = len(token.rstrip("!$"))
+    crowded = {i for m in CROWD.finditer(token) for i in range(*m.span())}
     for at, ch in enumerate(token):
-        again = AGAIN if token[max(0, at - 2) : at + 3].find(ch * 3) >= 0 else TWICE
-        base = unicodedata.normalize("NFD", ch)[:1]
-        moves = []  # symbol (None: nothing is written), log-probability
+        base = ch if "a" <= ch <= "z" else _base(ch)
         if "a" <= base <= "z":
-            moves.append((ord(base) - 96, 0.0))
+            arcs = ONE[ord(base) - 96]
             if base == last:
-                moves.append((None, again))
-        elif ch in LEET:
-            moves += [(ord(x) - 96, SIGN) for x in LEET[ch]]
-            if ch == last:
-                moves.append((None, again))
-            if ch in "!$" and not token[at:].strip("!$"):
-                moves.append((BORDER, BREAK))  # at the end it may be no letter
-        elif ch in BETWEEN:
-            moves += [(None, GAP), (BORDER, BREAK)]
-            moves += [(x, STAR) for x in range(1, 27)] if ch == "*" else []
+                arcs = [*arcs, (None, AGAIN if ch * 3 in token[max(0, at - 2) : at + 3] else TWICE)]
+            last = base
         else:
-            moves.append((27 if ch.isalpha() else BORDER, 0.0))
-        last = base if "a" <= base <= "z" else ch
-        step: dict[tuple[int, bool], tuple[float, str]] = {}
-        for (state, _), (score, text) in best.items():
-            for symbol, cost in moves:
+            if ch in LEET:
+                arcs = [(ord(x) - 96, SIGN) for x in LEET[ch]]
+                if ch == last:
+                    arcs.append((None, AGAIN if ch * 3 in token[max(0, at - 2) : at + 3] else TWICE))
+                if at >= closing:
+                    arcs.append((BORDER, BREAK))  # at the end it may be no letter
+            elif ch == "*" and at not in crowded:
+                arcs = ANY
+            elif ch in BETWEEN:
+                arcs = ANY[:2]
+            else:
+                arcs = ONE[27 if ch.isalpha() else BORDER]
+            last = ch
+        out.append(arcs)
+    return out
+
+
+def _dense_step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray) -> tuple[list[int], list[float], list[int], list[int]]:
+    """One step of the search over all states at once: the states that follow, their scores, the places of what came before, the symbols (-1: none)."""
+    width = SYMBOLS**3
+    now, place = np.full(width, -np.inf), np.zeros(width, np.int64)
+    now[states], place[states] = scores, np.arange(len(states))
+    every, ends = np.arange(width), np.arange(width) % SYMBOLS == BORDER
+    best, before, symbol = np.full(width, -np.inf), np.zeros(width, np.int64), np.full(width, -1)
+    for quiet, cost in [(ends, c) for x, c in arcs if x == BORDER] + [(True, c) for x, c in arcs if x is None]:
+        better = quiet & (now + cost > best)
+        best[better], before[better], symbol[better] = (now + cost)[better], every[better], -1
+    written = [(x, c) for x, c in arcs if x is not None]
+    if written:
+        x, cost = (np.array(v) for v in zip(*written, strict=True))
+        grid = (now[:, None] + lm.reshape(width, SYMBOLS)[:, x] + cost).reshape(SYMBOLS, -1, len(x))
+        if BORDER in x:
+            grid[:, np.arange(width // SYMBOLS) % SYMBOLS == BORDER, x == BORDER] = -np.inf
+        first, value = grid.argmax(0), grid.max(0)
+        rest = np.arange(width // SYMBOLS)[:, None]
+        to, came = rest * SYMBOLS + x, first * (width // SYMBOLS) + rest
+        better = value > best[to]
+        best[to[better]], before[to[better]], symbol[to[better]] = value[better], came[better], np.broadcast_to(x, to.shape)[better]
+    alive = np.flatnonzero(best > -np.inf)
+    return alive.tolist(), best[alive].tolist(), place[before[alive]].tolist(), symbol[alive].tolist()
+
+
+def decode(token: str, lm: np.ndarray) -> str:
+    """The most likely text behind a token: the best path through its lattice under the model, by Viterbi search.
+
+    A state is the last three symbols. Where only one is left, what led to it is decided and given out, so that a long
+    token costs time in proportion to its length, and memory to the longest stretch in which readings differ.
+    """
+    mask = SYMBOLS**3 - 1
+    out: list[int] = []
+    states, scores, back = [0], [0.0], []
+
+    def trace(at: int) -> None:
+        path = []
+        for before, symbol in reversed(back):
+            path.append(symbol[at])
+            at = before[at]
+        out.extend(x for x in reversed(path) if x >= 0)
+        back.clear()
+
+    for arcs in lattice(token):
+        if len(states) == 1:
+            trace(0)
+            scores = [0.0]
+            symbol = arcs[0][0]
+            if len(arcs) == 1:
+                if symbol != BORDER or states[0] & 31:
+                    states = [(states[0] * SYMBOLS + symbol) & mask]
+                    out.append(symbol)
+                continue
+        if len(states) * len(arcs) > DENSE:
+            states, scores, before, symbols_ = _dense_step(states, scores, arcs, lm)
+            back.append((before, symbols_))
+            continue
+        place: dict[int, int] = {}
+        new_scores, before, symbols_ = [], [], []
+        for i, state in enumerate(states):
+            for symbol, cost in arcs:
                 if symbol is None or symbol == BORDER and not state & 31:
-                    to, value, out = state, score + cost, text
+                    to, value, written = state, scores[i] + cost, -1
                 else:
-                    to, value, out = (state * SYMBOLS + symbol) & mask, score + cost + float(lm[state * SYMBOLS + symbol]), text + LETTERS[symbol]
-                if (to, True) not in step or step[to, True][0] < value:
-                    step[to, True] = (value, out)
-        best = step
-    return max((score + (float(lm[state * SYMBOLS]) if state & 31 else 0.0), text) for (state, _), (score, text) in best.items())[1].strip()
+                    to, value, written = (state * SYMBOLS + symbol) & mask, scores[i] + cost + float(lm[state * SYMBOLS + symbol]), symbol
+                at = place.setdefault(to, len(new_scores))
+                if at == len(new_scores):
+                    new_scores.append(value)
+                    before.append(i)
+                    symbols_.append(written)
+                elif new_scores[at] < value:
+                    new_scores[at], before[at], symbols_[at] = value, i, written
+        states, scores = list(place), new_scores
+        back.append((before, symbols_))
+    last = [score + (float(lm[state * SYMBOLS]) if state & 31 else 0.0) for state, score in zip(states, scores, strict=True)]
+    trace(last.index(max(last)))
+    return "".join(LETTERS[x] for x in out).strip()
 
 
 #: Letters and signs for letters, one by one, with one or two signs between.
@@ -164,19 +254,18 @@ def suspects(text: str) -> set[str]:
     found = set()
     for token in set(text.split()):
         core = token.strip(EDGE)
-        for x in (core,) if len(core) <= 64 else re.split(r"[^\w@$!|+(*.-]+", core):
-            if x.isalpha():
-                if DOUBLED.search(x if x.isascii() else x.translate(PLAIN)):
-                    found.add(x)
-            elif SIGNED.search(x):
-                found.add(x)
+        if core.isalpha():
+            if DOUBLED.search(core if core.isascii() else core.translate(PLAIN)):
+                found.add(core)
+        elif SIGNED.search(core):
+            found.add(core)
     if may_be_spaced(text):
         found.update(m.group() for m in SPACED.finditer(text))
     return found
 
 
 class Decoder:
-    """Decodes spans under a model and remembers a bounded number of them."""
+    """Decodes spans under a model and remembers a bounded number of short ones."""
 
     def __init__(self, lm: np.ndarray, room: int = 200_000):
         self.lm, self.room, self.known = lm, room, {}
@@ -184,9 +273,11 @@ class Decoder:
     def __call__(self, span: str) -> str:
         out = self.known.get(span)
         if out is None:
-            if len(self.known) >= self.room:
-                self.known.clear()
-            out = self.known[span] = decode(span, self.lm)
+            out = decode(span, self.lm)
+            if len(span) <= 100:
+                if len(self.known) >= self.room:
+                    self.known.clear()
+                self.known[span] = out
         return out
 
 
@@ -267,14 +358,16 @@ def _incidence(model, place) -> Callable:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_toxic: int = 10_000, max_clean: int = 20_000, max_candidates: int = 20_000, max_features: int | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_toxic: int = 10_000, max_clean: int = 20_000, max_candidates: int = 20_000, max_incidence: int = 10_000_000, max_features: int | None = None) -> Model:
     """Learns from documents (doc_id, text) and labels (doc_id, toxic); train says which doc_id may be learned from.
 
     The character model counts all texts. The features are learned from a bounded sample of the labelled rows: the
     max_toxic and max_clean ones of the lowest hash of doc_id. Clean rows are weighed by how many labelled ones each
     stands for next to a toxic one, so that the mix is that of all labels. Of the features that stand almost only in toxic texts
     those are taken, one by one, that explain most of the toxic texts not explained so far, so that a word that is
-    only frequent among copies of one toxic text isn't taken for a sign. Null labels are no labels.
+    only frequent among copies of one toxic text isn't taken for a sign. Null labels are no labels. The driver holds
+    the texts of the candidates: the max_candidates that most toxic texts have, and of these as many as stand
+    max_incidence times in the sample.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -291,6 +384,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_tox
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     stats = rows.mapInArrow(_counts(lm), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     best = stats.where((F.col("t") >= 3) & (F.col("t") >= F.lit(9 * mix) * F.col("c"))).orderBy(F.desc("t"), F.desc(F.length("feature")), "feature").limit(max_candidates).collect()
+    held = np.cumsum([r["t"] + r["c"] for r in best])
+    best = best[: int(np.searchsorted(held, max_incidence, "right"))]  # known before they are gathered
     place = spark.sparkContext.broadcast({r["feature"]: i for i, r in enumerate(best)})
     got = rows.mapInArrow(_incidence(lm, place), "toxic int, have array<int>").toArrow()
     texts = [(x, t) for x, t in zip(got["have"].to_pylist(), got["toxic"].to_pylist(), strict=True)]
@@ -342,8 +437,8 @@ def toxicity(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
 
     Spans that may hide a word (letters mixed with signs, single letters apart, a letter twice in a row) are decoded by
     Viterbi search over the lattice of their readings under the character model; words of the text and of the decoded
-    spans are then looked up among the learned features, each an independent cause. Null and empty texts have the base
-    chance. Every row gives a row, repeated ones and those with a null doc_id too; of other columns, carry names those that come along.
+    spans are then looked up among the learned features, each an independent cause. Tokens of any length are decoded as
+    one lattice, in time that grows with their length. Null and empty texts have the base chance. Every row gives a row, repeated ones and those with a null doc_id too; of other columns, carry names those that come along.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))

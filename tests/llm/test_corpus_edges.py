@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; and each operator's own ideas."""
 
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -275,6 +277,54 @@ def test_toxicity_finds_every_disguise_that_is_decoded():
         assert toxicity.may_be_spaced(t) or not toxicity.SPACED.search(t), t
 
 
+def a_language(texts):
+    """A character model counted over a few texts."""
+    n = np.zeros(toxicity.SYMBOLS**toxicity.ORDER)
+    for t in texts:
+        np.add.at(n, toxicity.count_grams(t), 1)
+    n = n.reshape((toxicity.SYMBOLS,) * toxicity.ORDER)
+    return np.log((n + 0.01) / (n.sum(-1, keepdims=True) + 0.32)).astype(np.float32).ravel()
+
+
+def every_reading(token, lm):
+    """The best score of a text over all paths of a token's lattice, one by one."""
+    best = {}
+    for path in itertools.product(*toxicity.lattice(token)):
+        state, score, text = 0, 0.0, ""
+        for symbol, cost in path:
+            score += cost
+            if symbol is not None and (symbol or state & 31):
+                score += float(lm[state * 32 + symbol])
+                state, text = (state * 32 + symbol) & 32767, text + toxicity.LETTERS[symbol]
+        score += float(lm[state * 32]) if state & 31 else 0.0
+        best[text.strip()] = max(best.get(text.strip(), -1e9), score)
+    return best
+
+
+@pytest.mark.parametrize("dense", [0, 3000])
+def test_decoder_against_all_readings(monkeypatch, dense):
+    """Both ways to take a step give a reading of the best score that any path has."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    lm, r = a_language([prose(i, 300) for i in range(5)] + ["hello little idiot letter"] * 20), random.Random(9)
+    tokens = ["1d10t", "he11o!", "l.e.t", "i d i", "h*l", "**a", "a**", "!!", "", "e\u00e9e", "\u4e2d1\u4e2d", "$$!"] + ["".join(r.choice("abilot1!$0. -*|e") for _ in range(r.randint(1, 6))) for _ in range(40 if dense == 0 else 400)]
+    for token in tokens:
+        if token.count("*") > 2 or token.count("*") > 1 and len(token) > 4:
+            continue
+        readings = every_reading(token, lm)
+        assert readings[toxicity.decode(token, lm)] == pytest.approx(max(readings.values()), abs=1e-4), token
+
+
+def test_decoder_takes_long_tokens():
+    """200,000 characters without a space, plain, with repetitions and with signs, and long runs of stars: a second each."""
+    lm, r = a_language([prose(1, 2000)]), random.Random(1)
+    plain = "".join(r.choice("abcdefghij") for _ in range(200_000))
+    for token in (plain, "aaa" + plain, "1000" + plain, "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000)), "f" + "*" * 60 + "k", "f" + "*" * 16 + "k", "f" + "*" * 200_000 + "k"):
+        began = time.perf_counter()
+        found = toxicity.decode(token, lm)
+        assert time.perf_counter() - began < 2 and (token != plain or len(found) > 150_000)
+    assert toxicity.decode("x" * 30 + "*" * 17 + "y", lm).endswith("y")
+
+
 def test_toxicity_reads_new_disguises(spark):
     rows = [(i, f"{prose(i, 20)} {'stupid' if i % 4 == 0 else 'fine'} {prose(i + 500, 5)}") for i in range(160)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int"))
