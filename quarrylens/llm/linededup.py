@@ -1,9 +1,10 @@
-"""Line deduplication: documents probe sharded minimal perfect hashes of repeated lines."""
+"""Line deduplication: documents probe sharded minimal perfect hashes of all lines, with arrays of fingerprints and counts."""
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -83,31 +84,64 @@ def _line_hashes(min_chars: int):
     return run
 
 
-def _build(table: pa.Table) -> pa.Table:
-    h = table["h"].to_numpy().view(np.uint64)
-    h, first = np.unique(h, return_index=True)
-    spare = np.setdiff1d(np.arange(table.num_rows), first)  # keys whose routing halves are equal
-    ph = PerfectHash(h)
-    order = np.empty(len(h), np.int64)
-    order[ph.index(h)] = first
-    arrays = [table[c].to_numpy() for c in ("fp", "n", "last")]
-    extra = {(int(table["h"][i].as_py()), int(arrays[0][i])): (int(arrays[1][i]), int(arrays[2][i])) for i in spare.tolist()}
-    blob = pickle.dumps((ph, *(a[order] for a in arrays), extra), 5)
-    return pa.table({"shard": table["shard"][:1], "index": pa.array([blob], pa.binary())}, schema=pa.schema([("shard", pa.int32()), ("index", pa.binary())]))
+@dataclass
+class LineIndex:
+    """A perfect hash over the distinct line hashes of a shard and, by its index: 16 bits of fingerprint, the number of
+    documents up to limit, and for keys that reach it, by their rank among those, the largest document.
+
+    Every line of the corpus is in it, so that a key finds its own place; the fingerprint tells others apart. Keys whose
+    routing halves are equal stand in spare.
+    """
+
+    hash: PerfectHash
+    prints: np.ndarray
+    counts: np.ndarray
+    rank: np.ndarray
+    last: np.ndarray
+    limit: int
+    spare: dict[tuple[int, int], tuple[int, int]]
+
+    @classmethod
+    def build(cls, h: np.ndarray, fp: np.ndarray, n: np.ndarray, last: np.ndarray, limit: int) -> LineIndex:
+        keys, first = np.unique(h, return_index=True)
+        twins = np.isin(h, h[np.setdiff1d(np.arange(len(h)), first)])  # keys that share their routing half
+        spare = {(int(h[i]), int(fp[i])): (min(int(n[i]), limit), int(last[i])) for i in np.flatnonzero(twins)}
+        ph = PerfectHash(keys)
+        order = np.empty(len(keys), np.int64)
+        order[ph.index(keys)] = first
+        counts = np.minimum(n[order], limit).astype(np.min_scalar_type(limit))
+        often = counts >= limit
+        return cls(ph, fp[order].astype(np.uint64).astype(np.uint16), counts, np.cumsum(often, dtype=np.int32), last[order][often], limit, spare)
+
+    def repeated_elsewhere(self, doc: np.ndarray, h: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        """Whether limit documents hold the key of each probe, and its document isn't the largest of them."""
+        at = self.hash.index(h)
+        hit = (at >= 0) & (self.prints[at] == fp.astype(np.uint64).astype(np.uint16)) & (self.counts[at] >= self.limit)
+        drop = np.zeros(len(h), bool)
+        drop[hit] = self.last[self.rank[at[hit]] - 1] != doc[hit]
+        for i in np.flatnonzero(np.isin(h, np.array([k for k, _ in self.spare], U64))) if self.spare else ():
+            n, last = self.spare.get((int(h[i]), int(fp[i])), (0, 0))
+            drop[i] = n >= self.limit and last != doc[i]
+        return drop
+
+
+def _build(min_docs: int):
+    def run(table: pa.Table) -> pa.Table:
+        h, fp, n, last = (table[c].to_numpy() for c in ("h", "fp", "n", "last"))
+        blob = pickle.dumps(LineIndex.build(h.view(np.uint64), fp.view(np.uint64), n, last, min_docs), 5)
+        return pa.table({"shard": table["shard"][:1], "index": pa.array([blob], pa.binary())}, schema=pa.schema([("shard", pa.int32()), ("index", pa.binary())]))
+
+    return run
 
 
 def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
     if not right.num_rows or not left.num_rows:
         return schema.empty_table()
-    ph, fp, _, last, extra = pickle.loads(right["index"][0].as_py())
-    doc, h, own = (left[c].to_numpy() for c in ("doc_id", "h", "fp"))
-    at = ph.index(h.view(np.uint64))
-    hit = (at >= 0) & (fp[at] == own)
-    drop = hit & (last[at] != doc)
-    for i in np.flatnonzero(~hit) if extra else ():
-        drop[i] = extra.get((int(h[i]), int(own[i])), (0, doc[i]))[1] != doc[i]
-    return pa.table([doc[drop], h[drop]], schema=schema)
+    index = pickle.loads(right["index"][0].as_py())
+    doc, h, fp = (left[c].to_numpy() for c in ("doc_id", "h", "fp"))
+    drop = index.repeated_elsewhere(doc, h.view(np.uint64), fp.view(np.uint64))
+    return pa.table([doc[drop], h[drop], fp[drop]], schema=schema)
 
 
 def _strip(min_chars: int, carry: list[str]):
@@ -119,8 +153,8 @@ def _strip(min_chars: int, carry: list[str]):
                 lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
                 n_lines.append(len(lines))
                 if drop:
-                    gone = set(drop)
-                    lines = [x for x in lines if not ((k := line_key(x, min_chars)) and int.from_bytes(xxhash.xxh3_128_digest(k)[:8], "big", signed=True) in gone)]
+                    gone = set(np.array([(x["h"], x["fp"]) for x in drop], ">i8").view("V16").ravel().tolist())
+                    lines = [x for x in lines if not ((k := line_key(x, min_chars)) and xxhash.xxh3_128_digest(k) in gone)]
                 n_dropped.append(n_lines[-1] - len(lines))
                 kept.append(b"\n".join(lines) if drop else (text or "").encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *rest(batch, carry)], ["doc_id", "text", "n_lines", "n_dropped", *carry])
@@ -136,24 +170,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, carry:
     text is one empty line and comes back empty. Rows with a null doc_id take no part and give no row; rows that
     repeat a doc_id count as one document, and each gives a row. Of other columns, carry names those that come along.
 
-    Lines become 128-bit hashes: 64 bits route and index, the other 64 are the fingerprint. Shards hold a bounded
-    number of repeated keys; a shard that many lines probe, such as that of a line in a third of all documents, is
-    copied to as many tasks as its probes need.
+    Lines become 128-bit hashes: 64 bits route and index, some of the others are the fingerprint. The distinct hashes of
+    all lines are spread over shards of KEYS_PER_SHARD keys on average, and the count array of a shard says which lines
+    repeat; a shard that many lines probe, such as that of a line in a third of all documents, is copied to as many
+    tasks as its probes need.
     """
     names = [f"c_{c}" for c in carry]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry)).where("doc_id is not null")
     lines = staged(docs.select("doc_id", "text").mapInArrow(_line_hashes(min_chars), "doc_id long, h long, fp long"), "lines")
-    keys = staged(lines.groupBy("h", "fp").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs), "line-keys")
+    keys = staged(lines.groupBy("h", "fp").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"), F.count("*").alias("probes")), "line-keys")
     shards = max(1, -(-keys.count() // KEYS_PER_SHARD))
     shard = F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard")
-    index = staged(keys.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard int, index binary"), "line-index")
-    even = lines.count() / shards
-    loads = keys.groupBy(shard).agg(F.ceil((F.sum("n") + F.lit(even)) / PROBES_PER_TASK).cast("int").alias("copies"))  # a row a shard
-    copies = F.broadcast(loads) if shards < 100_000 else loads
+    index = staged(keys.select(shard, "h", "fp", "n", "last").groupBy("shard").applyInArrow(_build(min_docs), "shard int, index binary"), "line-index")
+    copies = keys.groupBy(shard).agg(F.ceil(F.sum("probes") / PROBES_PER_TASK).cast("int").alias("copies"))  # a row a shard
+    copies = F.broadcast(copies) if shards < 100_000 else copies
     probes = lines.withColumn("shard", shard).join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int")).select("shard", "copy", "doc_id", "h", "fp")
     held = index.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "index")
-    gone = probes.groupBy("shard", "copy").cogroup(held.groupBy("shard", "copy")).applyInArrow(_probe, "doc_id long, h long")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))  # at most the lines of one document
+    gone = probes.groupBy("shard", "copy").cogroup(held.groupBy("shard", "copy")).applyInArrow(_probe, "doc_id long, h long, fp long")
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("h", "fp")).alias("gone"))  # at most the lines of one document
     found = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *names)
     out = found.mapInArrow(_strip(min_chars, names), f"doc_id long, text string, n_lines long, n_dropped long{typed(docs, names)}")
     return out.withColumnsRenamed({f"c_{c}": c for c in carry})

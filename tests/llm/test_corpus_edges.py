@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,40 @@ def test_perfect_hash():
     assert linededup.PerfectHash(keys[:0]).index(keys[:3]).tolist() == [-1, -1, -1]
 
 
+def test_count_array_decides(spark, monkeypatch):
+    """The arrays of a shard tell which keys repeat; without its counts no line goes."""
+    h, fp = np.array([5, 6, 7, 7, 9], np.uint64), np.array([1, 2, 3, 4, 2**63 + 5], np.uint64)
+    index = linededup.LineIndex.build(h, fp, np.array([3, 2, 1, 900, 300]), np.array([10, 11, 12, 13, 14]), 3)
+    assert index.prints.dtype == np.uint16 and index.counts.dtype == np.uint8 and index.counts.max() == 3
+    doc = np.array([1, 10, 1, 1, 13, 1, 2, 1])
+    at = [0, 0, 1, 3, 3, 2, 4, 4]
+    other = np.array([0, 0, 0, 0, 0, 0, 0, 1], np.uint64)
+    assert index.repeated_elsewhere(doc, h[at], fp[at] ^ other).tolist() == [True, False, False, True, False, False, True, False]
+    index.counts[:] = 0
+    assert index.repeated_elsewhere(doc, h[at], fp[at]).tolist() == [False, False, False, True, False, False, False, False]
+    rows = spark.createDataFrame([(i, "the same long line in all\nown line %d of this document" % i) for i in range(5)], "doc_id long, text string")
+    assert sum(r["n_dropped"] for r in linededup.dedup_lines(rows).collect()) == 4
+    build = linededup.LineIndex.build
+    monkeypatch.setattr(linededup.LineIndex, "build", classmethod(lambda cls, h, fp, n, last, limit: build(h, fp, n * 0, last, limit)))
+    cut = linededup._build(3)(pa.table({"shard": pa.array([0], pa.int32()), "h": [1], "fp": [1], "n": [9], "last": [4]}))
+    probe = pa.table({"shard": pa.array([0], pa.int32()), "copy": pa.array([0], pa.int32()), "doc_id": [1], "h": [1], "fp": [1]})
+    assert linededup._probe(probe, cut).num_rows == 0
+
+
+def test_hot_line_over_several_copies(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PROBES_PER_TASK", 50)
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 100)
+    rows = [(i % 290, f"A line that stands in every document\nown line number {i} of this document\nshort\n  a LINE that {i % 150} has twice  ") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    owners = {}
+    for k, t in rows:
+        for x in t.split("\n"):
+            owners.setdefault(x.strip().lower(), set()).add(k)
+    gone = lambda x, k: len(x.strip()) >= 20 and len(owners[x.strip().lower()]) >= 3 and max(owners[x.strip().lower()]) != k
+    want = sorted((k, "\n".join(x for x in t.split("\n") if not gone(x, k))) for k, t in rows)
+    assert sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(docs).collect()) == want
+
+
 def test_topk_edges(spark):
     rows = [(1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (8, [1.0, 0.5]), (None, [1.0, 1.0]), (9, [-3.0, 2.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
