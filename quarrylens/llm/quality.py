@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quarrylens.llm.shared import U64, grams, hash64, lean, mix, staged, words
 
 BUCKETS = 10_000
+#: Log-odds a word or pair of words; larger ones sample more evenly.
+TEMPERATURE = 0.05
 
 
 def hashed_grams(text: str | None, buckets: int) -> np.ndarray:
@@ -86,25 +88,33 @@ def largest(rows: DataFrame, key: str, k: int, ties: str, bins: int = 4096) -> D
     return rows.where(F.col(key) > hi).unionByName(rest)
 
 
-def importance_scores(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, temperature: float = 1.0, seed: int = 1) -> DataFrame:
-    """doc_id, log_weight, n_grams, key of documents (doc_id, text): key is the weight per n-gram over the temperature
-    plus Gumbel noise, which a hash of doc_id and the seed gives, the same in every run."""
+def sampling_key(log_weight: Column, doc_id: Column, seed: Column) -> Column:
+    """The log-weight plus Gumbel noise, which a hash of the seed and doc_id gives, the same in every run: the rows of the
+    k largest keys are a sample without replacement in which the weights are the odds."""
+    u = (F.shiftrightunsigned(F.xxhash64(seed, F.coalesce(doc_id, F.lit(-1))), 11).cast("double") + 0.5) / float(1 << 53)
+    return log_weight - F.log(-F.log(u))
+
+
+def importance_scores(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
+    """doc_id, log_weight, n_grams, key of documents (doc_id, text); see importance_resample."""
     spark = docs.sparkSession
     docs, target = (d.select(*([F.col("doc_id").cast("long").alias("doc_id")] if "doc_id" in d.columns else []), F.col("text").cast("string").alias("text")) for d in (docs, target))
     ratio = spark.sparkContext.broadcast(bucket_model(target, buckets) - bucket_model(docs, buckets))
     scored = docs.mapInArrow(_score(ratio, buckets), "doc_id long, log_weight double, n_grams long")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), 11).cast("double") + 0.5) / float(1 << 53)
-    return scored.withColumn("key", F.col("log_weight") / F.greatest("n_grams", F.lit(1)) / F.lit(temperature) - F.log(-F.log(u)))
+    tempered = F.col("log_weight") / F.greatest("n_grams", F.lit(1)) / F.lit(temperature)
+    return scored.withColumn("key", sampling_key(tempered, F.col("doc_id"), F.lit(seed)))
 
 
-def importance_resample(docs: DataFrame, target: DataFrame, share: float, buckets: int = BUCKETS, temperature: float = 0.01, seed: int = 1) -> DataFrame:
+def importance_resample(docs: DataFrame, target: DataFrame, share: float, buckets: int = BUCKETS, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
     """doc_id, log_weight, n_grams, key, kept: documents sampled without replacement by their importance weights.
 
     The weight of a text is the ratio of its chances under two models of hashed words and word pairs: one of the
-    target texts and one of all texts, both counted over whole texts. kept marks round(share * rows) rows: those of
-    the largest key, the logarithm of the weight per n-gram over the temperature plus Gumbel noise; ties go to the
-    smaller doc_id. Null and empty texts weigh 1. Repeated rows are sampled together where their doc_id is the same;
-    a row with a null doc_id counts as doc_id -1. Other columns are ignored.
+    target texts and one of all texts, both counted over whole texts. As that ratio grows with the length of a text
+    until no noise could tell two texts apart, it is tempered: a text's odds are exp(log_weight / n_grams / temperature),
+    so that at TEMPERATURE a text whose words are likelier by a factor of exp(TEMPERATURE) each has e times the odds.
+    kept marks round(share * rows) rows, those of the largest key, the logarithm of the odds plus Gumbel noise; ties go
+    to the smaller doc_id. Null and empty texts have odds of 1. Repeated rows are sampled together where their doc_id is
+    the same; a row with a null doc_id counts as doc_id -1. Other columns are ignored.
     """
     rows = staged(importance_scores(docs, target, buckets, temperature, seed), "weights")
     k = round(share * rows.count())
