@@ -34,22 +34,22 @@ def sums(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def routes(h: np.ndarray, length: int, k: int) -> np.ndarray:
-    """A hash for each window of length word hashes: of its k smallest hashes of GRAM words, or of all its words if k is 0.
+def routes(h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each window of length word hashes, of its k smallest hashes of GRAM words or, if k is 0, of all its words;
+    and where runs of windows with one hash, and with their smallest GRAM words at one place, begin.
 
-    Equal windows have equal routes, and the more hashes count, the fewer others share them.
+    Equal windows have equal routes, and the more hashes count, the fewer others share them. No run is longer than a window.
     """
     if not k:
-        return sums(h, length)
+        return sums(h, length), np.arange(len(h) - length + 1)
     view = np.lib.stride_tricks.sliding_window_view(sums(h, GRAM), length - GRAM + 1)
-    if k == 1:
-        return view.min(1)
-    out = np.zeros(len(view), U64)
-    for at in range(0, len(view), AT_ONCE):
-        least = np.sort(np.partition(view[at : at + AT_ONCE], k - 1, axis=1)[:, :k], axis=1)
-        for i in range(k):
-            out[at : at + AT_ONCE] = mix(out[at : at + AT_ONCE] + least[:, i], i + 1)
-    return out
+    at = view.argmin(1) + np.arange(len(view))
+    out = view[np.arange(len(view)), at - np.arange(len(view))]
+    if k > 1:
+        for i in range(0, len(view), AT_ONCE):
+            least = np.sort(np.partition(view[i : i + AT_ONCE], k - 1, axis=1)[:, :k], axis=1)
+            out[i : i + AT_ONCE] = sums(least.ravel(), k)[::k]
+    return out, np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (np.diff(out) != 0)])
 
 
 class FMIndex:
@@ -86,6 +86,7 @@ class FMIndex:
             counts = np.cumsum(np.bitwise_count(marks), dtype=np.int32)
             self.levels.append((bit, marks, np.r_[np.int32(0), counts[:-1]], int(n - ones.sum())))
             x = np.concatenate([x[~ones], x[ones]])
+        self.shift = self.before[:-1] - self.descend(np.arange(len(self.before) - 1), np.zeros(len(self.before) - 1, np.int64))
         self.owners, place = np.unique(owner, return_inverse=True)
         self.fine = [place.reshape(-1)[order].astype(np.int32)]
         for k in range(min(self.FINE, max(0, n.bit_length() - 1))):
@@ -95,22 +96,19 @@ class FMIndex:
         while self.coarse and len(self.coarse[-1]) > (half := 1 << (len(self.coarse) - 1)):
             self.coarse.append(np.minimum(self.coarse[-1][:-half], self.coarse[-1][half:]))
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How many of the first at symbols of the transform are symbol, counted from the start of its run."""
-        low = np.zeros(len(symbol), np.int64)
+    def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the first at symbols of the transform that are symbol end below the last level."""
         for bit, marks, counts, zeros in self.levels:
-            one = (symbol >> bit) & 1 == 1
-            both = np.stack([low, at])
-            ones = counts[both >> 6] + np.bitwise_count(marks[both >> 6] & ((U64(1) << (both & 63).astype(np.uint64)) - U64(1))).astype(np.int64)
-            both = np.where(one, zeros + ones, both - ones)
-            low, at = both
-        return at - low
+            word = at >> 6
+            ones = counts[word] + np.bitwise_count(marks[word] & ((U64(1) << (at & 63).astype(np.uint64)) - U64(1)))
+            at = np.where((symbol >> bit) & 1 == 1, zeros + ones, at - ones)
+        return at
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of symbol + pattern from those of patterns."""
         m = len(symbol)
-        r = self.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
-        return self.before[symbol] + r[:m], self.before[symbol] + r[m:]
+        at = self.descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.tile(self.shift[symbol], 2)
+        return at[:m], at[m:]
 
     def first_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The smallest owner in ranges that aren't empty."""
@@ -185,7 +183,7 @@ def _tokens(body: str | bytes | None) -> list[bytes]:
 
 
 def _found(w: list[bytes], length: int, k: int) -> np.ndarray:
-    return signed(np.unique(routes(hash64(w), length, k))) if len(w) >= length else np.empty(0, np.int64)
+    return signed(np.unique(routes(hash64(w), length, k)[0])) if len(w) >= length else np.empty(0, np.int64)
 
 
 def _survey(length: int):
@@ -223,7 +221,7 @@ def _routes(length: int, level: int):
 
 def _segments(length: int, level: int):
     """Of rows (two keys, owner, body, routes): the runs of windows with one of these routes; the words of each, how many,
-    and where in the body they start. At the last level every window stands alone."""
+    and where in the body they start."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +231,7 @@ def _segments(length: int, level: int):
                 row, kept, starts, sizes, bodies = [], [], [], [], []
                 for i, (body, routed) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
                     w = _tokens(body)
-                    route = routes(hash64(w), length, LEVELS[level])
-                    edges = np.flatnonzero(np.r_[True, np.diff(route) != 0]) if LEVELS[level] else np.arange(len(route))
+                    route, edges = routes(hash64(w), length, LEVELS[level])
                     ends = np.r_[edges[1:], len(route)]
                     route = signed(route[edges])
                     places: dict[tuple[int, bytes], list[int]] = {}
