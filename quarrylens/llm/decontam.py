@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, grams, hash64, lean, mix
+from quarrylens.llm.shared import U64, grams, hash64, lean, mix, slices
 
 WALKS, TABLES, SAMPLED = 16, 4, 3
 #: Items that are held in memory at once; more are taken in blocks.
@@ -158,37 +158,38 @@ def _find(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1, 4_000_000, 1000):
                 ids = part.column(0).to_pylist()
                 rows = items.hits([tokens(x) for x in part.column(1).to_pylist()])
                 cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in cols[0]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "start", "n_words", "distance"])
+                hashes = part.column(2).take(pa.array(cols[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in cols[0]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:]), hashes], ["doc_id", "item_id", "start", "n_words", "distance", "text_hash"])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
-    """doc_id, item_id, start, n_words, distance: documents (doc_id, text) that hold a benchmark item (item_id, text).
+    """doc_id, item_id, start, n_words, distance, text_hash: documents (doc_id, text) that hold a benchmark item (item_id, text).
 
     A document holds an item of n words if one of its windows of n words is at most share * n word edits away (fewer
     words than n count as edits); given is the nearest window, the first of equal ones, from word start on. Words are
     runs of letters, digits and underscores in lower case. Null and empty texts and items hold nothing and are held by
     nothing; repeated documents give their rows again, repeated items are one, an item_id with several texts is held
-    if one of them is; rows with a null doc_id or item_id take no part. Other columns are ignored.
+    if one of them is; rows with a null doc_id or item_id take no part. text_hash, Spark's xxhash64 of the text, tells
+    texts of one doc_id apart. Other columns are ignored.
 
     Windows are embedded where the text shares a run of words with an item, at about the same place of the item, that
     any window within reach must share. An embedded window that meets an item under one of WALKS * TABLES keys is
     confirmed by its edit distance. Items are held by every task, ITEMS of them at a time.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     blocks = max(1, -(-items.count() // ITEMS))
     found = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about ITEMS rows
         held = spark.sparkContext.broadcast(Items([(r["item_id"], tokens(r["text"])) for r in mine], share))
-        part = docs.mapInArrow(_find(held), "doc_id long, item_id long, start long, n_words long, distance long")
+        part = docs.mapInArrow(_find(held), "doc_id long, item_id long, start long, n_words long, distance long, text_hash long")
         found = part if found is None else found.unionByName(part)
     return found

@@ -12,10 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, lean, mix, rest, staged, typed
+from quarrylens.llm.shared import U64, lean, mix, rest, slices, staged, typed
 
 KEYS_PER_SHARD = 200_000
 PROBES_PER_TASK = 400_000
+SLICE = 4_000_000  # bytes of text at once
 
 
 class PerfectHash:
@@ -71,9 +72,9 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 def _line_hashes(min_chars: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
             ids, found = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if text:
                     keys = {k for line in text.encode("utf-8", "surrogatepass").split(b"\n") if (k := line_key(line, min_chars))}
                     ids.append(np.full(len(keys), doc, np.int64))
@@ -147,9 +148,9 @@ def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
 def _strip(min_chars: int, carry: list[str]):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
             kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, drop in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
                 n_lines.append(len(lines))
                 if drop:
@@ -157,7 +158,7 @@ def _strip(min_chars: int, carry: list[str]):
                     lines = [x for x in lines if not ((k := line_key(x, min_chars)) and xxhash.xxh3_128_digest(k) in gone)]
                 n_dropped.append(n_lines[-1] - len(lines))
                 kept.append(b"\n".join(lines) if drop else (text or "").encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *rest(batch, carry)], ["doc_id", "text", "n_lines", "n_dropped", *carry])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *rest(part, carry)], ["doc_id", "text", "n_lines", "n_dropped", *carry])
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
-from quarrylens.llm.shared import U64, grams, hash64, lean, mix, signed, staged, words
+from quarrylens.llm.shared import U64, grams, hash64, lean, mix, signed, slices, staged, words
 
 BUCKETS = 192
 #: How likely a pair at the threshold may share less than two bands.
@@ -20,8 +21,8 @@ MISS = 1e-5
 #: up to 6 shingles at 80 percent (5e-4 for 4 and 5), while sharing none is not (2e-6).
 SMALL = 8
 MANTISSA = 10
-#: Members of a group that meet at once.
-BLOCK = 1000
+#: Members of a group that meet at once, and parts that the members of each group are dealt to while they get their block.
+BLOCK, SALTS = 500, 64
 EMPTY = 0xFFFF
 
 
@@ -86,16 +87,17 @@ def _sketch(n: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks, regs, mini = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                items = shingle_set(text, n)
-                sizes.append(len(items))
-                marks.append(xxhash.xxh3_128_digest(items.tobytes()))
-                own = registers(items)
-                regs.append(own.tobytes())
-                mini.append(short(own).tobytes())
-            m = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(m[:, 0].copy()), pa.array(m[:, 1].copy()), pa.array(regs, pa.binary()), pa.array(mini, pa.binary())], ["doc_id", "n", "s1", "s2", "regs", "mini"])
+            for part in slices(batch, 1, 4_000_000):
+                sizes, marks, regs, mini = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    items = shingle_set(text, n)
+                    sizes.append(len(items))
+                    marks.append(_mark(items))
+                    own = registers(items)
+                    regs.append(own.tobytes())
+                    mini.append(short(own).tobytes())
+                m = np.frombuffer(b"".join(marks), ">i8").astype(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(m[:, 0].copy()), pa.array(m[:, 1].copy()), pa.array(regs, pa.binary()), pa.array(mini, pa.binary()), part.column(2)], ["doc_id", "n", "s1", "s2", "regs", "mini", "text_hash"])
 
     return run
 
@@ -137,17 +139,36 @@ def _likely(share: float):
     return run
 
 
+def _mark(items: np.ndarray) -> bytes:
+    """A set's mark; s1 and s2 are its halves."""
+    return xxhash.xxh3_128_digest(items.tobytes())
+
+
 def _sets(n: int):
+    """node, items: the sets of texts that have the mark of their class; a doc_id may have other texts too."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "items"])
+            for part in slices(batch, 1, 4_000_000, 500):
+                nodes, found = [], []
+                for node, text, s1, s2 in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    items = shingle_set(text, n)
+                    if _mark(items) == struct.pack(">qq", s1, s2):
+                        nodes.append(node)
+                        found.append(items.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "items"])
 
     return run
 
 
+def _items(docs: DataFrame, classes: DataFrame, need: DataFrame, n: int) -> DataFrame:
+    """node, items of the classes of need (node): the full set, from the text of any row that has it."""
+    at = need.distinct().join(classes, "node").select(F.col("rep").alias("doc_id"), "node", "s1", "s2")
+    texts = docs.join(at, "doc_id").select("node", "text", "s1", "s2")
+    return texts.mapInArrow(_sets(n), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+
+
 def _confirm(percent: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +186,13 @@ def _confirm(percent: int):
     return run
 
 
-def _tested(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """u, v, linked, distance of the pairs (u, v) whose estimates pass, from their full sets."""
-    a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("mini").alias(f"r{x}")) for x in "uv")
+def _tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """u, v, linked, distance of the pairs (u, v) of classes whose estimates pass, from their full sets."""
+    a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("mini").alias(f"r{x}")) for x in "uv")
     near = pairs.join(a, "u").join(b, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     near = staged(near.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(_likely(percent / 100), "u long, v long"), f"{name}-likely")
-    need = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = docs.join(need, "doc_id", "left_semi")
-    sets = sets.mapInArrow(_sets(n), "doc_id long, items binary")
-    full = near.join(sets.withColumnsRenamed({"doc_id": "u", "items": "a"}), "u").join(sets.withColumnsRenamed({"doc_id": "v", "items": "b"}), "v")
+    sets = _items(docs, classes, near.select(F.explode(F.array("u", "v")).alias("node")), n)
+    full = near.join(sets.withColumnsRenamed({"node": "u", "items": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "items": "b"}), "v")
     return staged(full.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long, linked boolean, distance double"), name)
 
 
@@ -245,26 +264,29 @@ def _links_between(percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id, n_links of documents (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, class_id, n_links, text_hash of documents (doc_id, text).
 
     Two documents are linked if their sets of word shingles (A-Z lower-cased) have 100 * intersection >= percent *
     union; component_id is the smallest doc_id that links reach. A text with fewer words has one shingle, all its
     words; a null or empty text has none and is linked with nothing. Rows with a null doc_id take no part and give no
-    row. Repeated rows give a row each; of a doc_id with several texts each row has its own set, and they share
-    nothing but the id. Other columns are ignored. class_id is the smallest doc_id with the same set; n_links counts
-    the confirmed links of the class, which are enough to connect all that is linked.
-
-    Equal sets collapse first. Their representatives meet where bands of compressed registers agree, two of them at
-    least, or one if the sets are small: a pair at the threshold is missed with a chance below MISS. In each bucket the member whose bands are the most common is
-    compared with the others. Where a bucket still has several components, its members meet in blocks of bounded size:
-    registers are compared within a task, full sets of members that have a likely partner, and only links that join
-    components leave the task.
+    row. Repeated rows give a row each; of a doc_id with several texts each row has its own set and links, and they share
+    nothing but the id; text_hash, Spark's xxhash64 of the text, tells them apart. Other columns are ignored. class_id is
+    the smallest doc_id with the same set; n_links counts the confirmed links of the class, which are enough to connect
+    all that is linked.
+
+    Equal sets collapse to classes first. Classes meet where bands of compressed registers agree, two of them at
+    least, or one if the sets are small: a pair at the threshold is missed with a chance below MISS. In each bucket the
+    member whose bands are the most common is compared with the others. Where a bucket still has several components, its
+    members meet in blocks of bounded size: registers are compared within a task, full sets of members that have a likely
+    partner, and only links that join components leave the task.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = staged(docs.mapInArrow(_sketch(shingle), "doc_id long, n int, s1 long, s2 long, regs binary, mini binary"), "sketches")
-    classes = staged(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = staged(rows.join(classes, ["s1", "s2"]).where("doc_id = rep").select("doc_id", "n", "regs", "mini").dropDuplicates(["doc_id"]), "reps")
-    banded = reps.select("doc_id", "n", "regs").mapInArrow(_bands(band_rows(percent / 100)), "key long, rep long, n int")
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    rows = staged(keyed.mapInArrow(_sketch(shingle), "doc_id long, n int, s1 long, s2 long, regs binary, mini binary, text_hash long"), "sketches")
+    one = F.first(F.struct("n", "regs", "mini")).alias("x")  # the same for all rows of a class
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), one).select(F.monotonically_increasing_id().alias("node"), "rep", "s1", "s2", "x.*")
+    classes = staged(classes, "classes")  # once written, a class keeps its node
+    banded = classes.select("node", "n", "regs").mapInArrow(_bands(band_rows(percent / 100)), "key long, rep long, n int")
     sizes = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = staged(banded.join(sizes, "key").select("key", "rep", "n", "m"), "buckets")
     # A pair at the threshold shares two buckets, so that a member of one bucket alone has no link, unless its set is small.
@@ -273,7 +295,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     hub = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("h")).select("key", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hn"))
     pairs = members.join(hub, "key").where((F.col("rep") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent))
     pairs = pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
-    tested = _tested(pairs, reps, docs, shingle, percent, "links")
+    tested = _tested(pairs, classes, docs, shingle, percent, "links")
     links = tested.where("linked").select("u", "v")
     label = components(links)
 
@@ -281,20 +303,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     marked = members.select("key", "rep").join(label.withColumnRenamed("u", "rep"), "rep", "left").join(hub.select("key", "hub"), "key").withColumn("c", F.coalesce("component", "rep"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("key")
     open_ = staged(marked.join(mixed, "key").select("hub", "rep", "c").distinct(), "open")
-    blocks = open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = open_.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    large = open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = open_.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(large, ["hub", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = own.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "own").alias("lo"), F.greatest(i, "own").alias("hi")))
     dealt = own.withColumn("pair", F.explode(others)).select("hub", "pair.lo", "pair.hi", "rep", "c", "own")
-    sketched = reps.select(F.col("doc_id").alias("rep"), "n", "mini")
+    sketched = classes.select(F.col("node").alias("rep"), "n", "mini")
     place = "hub long, lo int, hi int, rep long, c long, own int"
     left = staged(dealt.join(sketched, "rep").groupBy("hub", "lo", "hi").applyInArrow(_with_partners(percent), place), "partners")
-    sets = docs.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, items binary").withColumnRenamed("doc_id", "rep")
+    sets = _items(docs, classes, left.select(F.col("rep").alias("node")), shingle).withColumnRenamed("node", "rep")
     found = left.join(sketched, "rep").join(sets, "rep").groupBy("hub", "lo", "hi").applyInArrow(_links_between(percent), "u long, v long")
     links = links.unionByName(found)
     links = staged(links, "all-links")
-    label = components(links)
-    count = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.join(label.withColumnRenamed("u", "rep"), "rep", "left").join(count, "rep", "left")
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    label = staged(components(links).withColumnRenamed("u", "node"), "labels")
+    least = label.join(classes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    count = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = classes.select("s1", "s2", "node", "rep").join(label.join(least, "component").select("node", "component_id"), "node", "left").join(count, "node", "left").drop("node")
+    out = rows.select("doc_id", "n", "s1", "s2", "text_hash").join(named, ["s1", "s2"], "left")
+    component = F.coalesce("component_id", "rep", "doc_id")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash")

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import lean, rest, typed
+from quarrylens.llm.shared import lean, rest, slices, typed
 
 ORDER, SYMBOLS = 4, 32
+SLICE = 4_000_000  # bytes of text at once
 BORDER = 0
 #: The letters that signs can stand for, and signs that can stand between the letters of a word.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -63,8 +64,8 @@ def count_grams(text: str) -> np.ndarray:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**ORDER, np.int64)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
+    for part in (x for batch in batches for x in slices(batch, 0, SLICE)):
+        for text in part.column(0).to_pylist():
             if text:
                 cells = count_grams(text)
                 if len(cells) > 200_000:
@@ -335,8 +336,8 @@ def _counts(model) -> Callable:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, n = Decoder(model.value), (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
+            for text, toxic in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 n[toxic].update(features(text or "", _restored(text or "", decoder)))
         keys = list(n[1])  # what no toxic text has is no sign of toxicity
         rest = [k for k in n[0] if k not in n[1]]
@@ -351,9 +352,9 @@ def _incidence(model, place) -> Callable:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model.value)
-        for batch in batches:
-            out = [sorted(place.value[f] for f in features(t or "", _restored(t or "", decoder)) if f in place.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.list_(pa.int32()))], ["toxic", "have"])
+        for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
+            out = [sorted(place.value[f] for f in features(t or "", _restored(t or "", decoder)) if f in place.value) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(out, pa.list_(pa.int32()))], ["toxic", "have"])
 
     return run
 
@@ -421,13 +422,13 @@ def _score(model, carry: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         decoder = Decoder(m.lm)
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
             scores, shown = [], []
-            for text in batch.column(1).to_pylist():
+            for text in part.column(1).to_pylist():
                 restored = _restored(text or "", decoder)
                 scores.append(min(1.0, max(0.0, m.score(text or "", restored))))
                 shown.append(sorted(restored))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.string())), *rest(batch, carry)], ["doc_id", "score", "restored", *carry])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.string())), *rest(part, carry)], ["doc_id", "score", "restored", *carry])
 
     return run
 
