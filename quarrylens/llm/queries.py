@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import arc, chat, decontam, linededup, minhash, pieces, quality, substring, topk, toxicity
-from quarrylens.llm.shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +44,6 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = pieces.DEFAULT_MODEL) -> DataFrame:
-    small_batches(spark)
     out = pieces.round_trip(_table(spark, sf_dir, "documents"), model)
     return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -144,10 +144,3 @@ def lean(run: Callable) -> Callable:
             pass
 
     return kept
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of rows rows at most in this session: texts may be long, and each task holds several batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)

@@ -299,7 +299,8 @@ def _covered(rows: DataFrame, found: DataFrame, keys: list[str], length: int, le
     """
     name = f"{level}-"
     each = found.select(*keys, "owner", F.explode("found").alias("to"))
-    common = each.groupBy("to").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo < hi").select("to")
+    # Written, so that the join with it can split the partition of a route that very many rows have.
+    common = staged(each.groupBy("to").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo < hi").select("to"), name + "common")
     routed = staged(each.join(common, "to").groupBy(*keys).agg(F.collect_set("to").alias("routed")), name + "routed")  # at most the windows of a row
     parts = rows.join(routed, keys).select(*keys, "owner", "body", "routed").mapInArrow(_segments(length, level), f"{typed(rows, [*keys, 'owner'])[2:]}, to long, starts array<int>, size int, body binary")
     parts = staged(parts, name + "segments")

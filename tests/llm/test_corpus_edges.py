@@ -160,6 +160,22 @@ def test_topk_against_all_scores(spark):
         assert [got[q, k + 1] for k in range(7)] == [(c, -s) for s, c in best]
 
 
+@pytest.mark.parametrize(("rows", "cols"), [(1, 1), (1, 40), (3, 2)])
+def test_topk_sums_counts_within_a_task(spark, monkeypatch, rows, cols):
+    """Many blocks in a cell, ties between blocks, long vectors beside short ones, and queries that come twice."""
+    monkeypatch.setattr(topk, "Q_BLOCKS", rows)
+    monkeypatch.setattr(topk, "C_BLOCKS", cols)
+    r = np.random.default_rng(8)
+    m = np.floor(r.standard_normal((400, 4)) * np.where(r.random((400, 1)) < 0.1, 20, 1) * 4) / 4
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    twice = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m) if i % 40 == 0] + [(40, [99.0] * 4), (80, [None] * 4)], "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.exact_topk(v, twice, k=9, block=16).collect()}
+    whole = np.floor(64 * m).astype(int)
+    for q in range(0, 400, 40):
+        best = sorted((-int(whole[q] @ whole[c]), c) for c in range(400) if c != q)[:9]
+        assert [got[q, k + 1] for k in range(9)] == [(c, -s) for s, c in best]
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", None), (5, 0, "user", ""), (6, 0, "user", "hi"), (6, 0, "user", "hi"), (None, 0, "user", "x"), (7, None, None, None)]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("a", F.lit(1)).withColumn("at", F.lit(2))
