@@ -74,6 +74,56 @@ def test_minhash_links_short_texts_that_share_one_band(spark):
     assert sum(r["kept"] for r in got) == 2
 
 
+def test_minhash_of_repeated_ids(spark):
+    """Each text of a doc_id has its own links."""
+    a, b = prose(41, 120), prose(42, 120)
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " tail"), (4, prose(43, 50)), (4, prose(44, 50)), (5, prose(44, 50)), (1, a)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 4, False)]
+
+
+@pytest.mark.parametrize("block", [4, 500])
+def test_minhash_of_lookalikes(spark, monkeypatch, block):
+    """A large group of texts alike but unlinked, with linked ones among them, met in blocks of any size."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r, base, rows = random.Random(3), prose(50, 100).split(), []
+    for k in range(60):
+        w = list(base)
+        for i in r.sample(range(100), 6):
+            w[i] = f"own{k}x{i}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "end"]))] if k % 3 == 0 else [(2 * k, " ".join(w))]
+    sets = {k: set(minhash.shingle_set(t, 3).tolist()) for k, t in rows}
+    group = {k: k for k in sets}
+    for x in sets:
+        for y in sets:
+            if group[x] != group[y] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                low, high = sorted((group[x], group[y]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == group and 30 < len(set(group.values())) < 75
+
+
+@pytest.mark.parametrize(("shingle", "percent"), [(5, 80), (3, 85)])
+def test_minhash_recall_at_the_threshold(spark, shingle, percent):
+    """Pairs as far apart as linked pairs may be, of texts of 8 to 400 words: at least 99.9 percent are linked."""
+    r, rows, pairs = random.Random(shingle), [], 0
+    while pairs < 1500:
+        w = [f"w{pairs}x{i}" for i in range(r.randint(8, 400))]
+        other = list(w)
+        best = None
+        for i in r.sample(range(len(w)), min(len(w), 30)):  # edits until the next would break the link
+            other[i] = f"e{pairs}x{i}"
+            a, b = (set(zip(*(x[j:] for j in range(shingle)))) for x in (w, other))
+            if 100 * len(a & b) < percent * len(a | b):
+                break
+            best = list(other)
+        if best:
+            rows += [(2 * pairs, " ".join(w)), (2 * pairs + 1, " ".join(best))]
+            pairs += 1
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle, percent).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.999 * pairs and all(v // 2 == k // 2 for k, v in got.items())
+
+
 def test_hyperminhash_estimates():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 6000).astype(np.uint64)
@@ -294,6 +344,31 @@ def test_arc_versions():
         list(arc.parse_arc(b"http://a 1.2.3.4 20010203040506 text/html 99\nshort"))
 
 
+def test_http_records():
+    """Content with an HTTP head becomes an HTTP response; its payload and digest are those of what follows the head."""
+    fields = {"url": "http://a/", "ip": "1.2.3.4", "date": "20010203040506", "type": "text/html"}
+    content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\r\n\r\nHTTP/"
+    (h, body), = arc.parse_warc(arc.warc_record(fields, content, "7") + arc.END)
+    assert h["Content-Type"].startswith("application/http") and body == content
+    assert h["X-Payload-Length"] == "12" and h["WARC-Payload-Digest"] == "sha1:" + arc.payload_digest(b"<p>\r\n\r\nHTTP/")
+    (r, body), = arc.parse_warc(arc.warc_record(fields, content, "8", "7") + arc.END)
+    assert body.endswith(arc.END) and body.startswith(b"HTTP/") and b"<p>" not in body and r["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    assert arc.http_payload(b"HTTP/1.1 and no end") == (b"", b"HTTP/1.1 and no end")
+
+
+def test_pieces_of_files_and_wrong_digests(spark, tmp_path):
+    """Payloads that hold and end with parts of what separates records come back whole; a changed payload is found."""
+    bodies = ["", "\r\n", "\r\n\r\n", "x\r\n", "x\r\n\r", "\r\n\r\n\r\n\r\nWARC/1.1\r\n", "y" * 300_000]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string").withColumn("url", F.lit("u"))
+    arc.write_warc(rows.coalesce(1), f"{tmp_path}/a", records_per_file=3)
+    got = {r["page_id"]: bytes(r["content"]).decode() for r in arc.read_warc(spark, f"{tmp_path}/a").collect()}
+    assert got == dict(enumerate(bodies))
+    record = arc.warc_record({"url": "u", "ip": "-", "date": "-", "type": "text/html"}, b"right", "1").replace(b"right", b"wrong")
+    batch = pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], ["value"])
+    with pytest.raises(ValueError, match="digest"):
+        list(arc._read(iter([pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in [p]], ["value"]) for p in batch.column(0)[0].as_py().split(arc.END)])))
+
+
 def test_warc_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "a\r\n\r\nb"), (4, "u", "a\r\n\r\nb"), (4, "u", "a\r\n\r\nb"), (None, "u", "x"), (5, "u", "é" * 100_000)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("first", F.lit(2))
