@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -13,9 +14,14 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.shared import U64, grams, hash64, lean, mix, slices
 
-WALKS, TABLES, SAMPLED = 16, 4, 3
-#: Items that are held in memory at once; more are taken in blocks.
-ITEMS = 20_000
+#: Keys of a walk, and places of a key.
+TABLES, SAMPLED = 4, 3
+#: The share of windows at the greatest distance that a key must find; as many walks are taken as reach it, MOST_WALKS at most.
+RECALL, MOST_WALKS = 0.999, 128
+#: Items that are held in memory at once, and bytes of their texts; more are taken in blocks.
+ITEMS, ITEM_BYTES = 20_000, 32_000_000
+#: Words of windows that are embedded or compared at once.
+AT_ONCE = 250_000
 WORD = re.compile(r"\w+")
 PAD = U64(0x9E3779B97F4A7C15)
 
@@ -30,31 +36,65 @@ def allowed(n: int, share: float) -> int:
     return int(share * n + 1e-9)
 
 
-def embed_keys(windows: np.ndarray, seed: int = 1) -> np.ndarray:
-    """LSH keys of rows of n symbols: each row walks WALKS times through its symbols; a random function of step and
+@functools.lru_cache(256)
+def _functions(n: int, walks: int, seed: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int]]]]:
+    """The random function of each step and walk for windows of n words, and which places of the walks the keys sample; the
+    first walks are the same however many follow."""
+    salt, wanted = np.empty((3 * n, walks), U64), defaultdict(list)
+    for walk in range(walks):
+        rng = np.random.default_rng((seed, n, walk))
+        for table, place in np.ndindex(TABLES, SAMPLED):
+            wanted[int(rng.integers(0, 3 * n))].append((walk, table, place))
+        salt[:, walk] = rng.integers(0, 2**63, 3 * n).astype(U64)
+    return salt, wanted
+
+
+def embed_keys(windows: np.ndarray, walks: int, seed: int = 1) -> np.ndarray:
+    """LSH keys of rows of n symbols: each row walks several times through its symbols; a random function of step and
     symbol says whether to step on, so that rows a few edits apart fall into step again and their walks differ in few of
     3n places. A key is a hash of SAMPLED places of one walk; each walk has TABLES keys."""
     rows, n = windows.shape
-    steps = 3 * n
-    rng = np.random.default_rng((seed, n))
-    picks = rng.integers(0, steps, (WALKS, TABLES, SAMPLED))
-    salt = rng.integers(0, 2**63, (steps, WALKS)).astype(U64)
-    wanted = defaultdict(list)
-    for walk, table, place in np.ndindex(WALKS, TABLES, SAMPLED):
-        wanted[int(picks[walk, table, place])].append((walk, table, place))
+    salt, wanted = _functions(n, walks, seed)
     padded = np.concatenate([windows, np.full((rows, 1), PAD, U64)], 1)
-    at, row = np.zeros((rows, WALKS), np.int64), np.arange(rows)[:, None]
-    got = np.zeros((rows, WALKS, TABLES, SAMPLED), U64)
-    for step in range(steps):
+    at, row = np.zeros((rows, walks), np.int64), np.arange(rows)[:, None]
+    got = np.zeros((rows, walks, TABLES, SAMPLED), U64)
+    for step in range(3 * n):
         symbol = padded[row, at]
         for walk, table, place in wanted.get(step, ()):
             got[:, walk, table, place] = symbol[:, walk]
         x = (symbol ^ salt[step]) * U64(0xBF58476D1CE4E5B9)
         at = np.minimum(at + (x >> U64(63)).astype(np.int64), n)
-    key = np.zeros((rows, WALKS, TABLES), U64)
+    key = np.zeros((rows, walks, TABLES), U64)
     for place in range(SAMPLED):
         key = mix(key + got[..., place], place + 3)
-    return mix(key + np.arange(WALKS * TABLES).astype(U64).reshape(WALKS, TABLES), 9).reshape(rows, -1)
+    return mix(key + np.arange(walks * TABLES).astype(U64).reshape(walks, TABLES), 9).reshape(rows, -1)
+
+
+def edited(x: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """x after random edits of new words, cut or filled to its length."""
+    out = x.tolist()
+    for _ in range(edits):
+        at, kind = int(rng.integers(0, len(out) + 1)), int(rng.integers(0, 3))
+        out[at : at + (kind < 2)] = [int(rng.integers(0, 2**62))] * (kind != 1)
+    return np.array((out + rng.integers(0, 2**62, len(x)).tolist())[: len(x)], U64)
+
+
+@functools.lru_cache(4096)
+def walks_for(n: int, edits: int, recall: float = RECALL) -> int:
+    """How many walks find the recall of windows of n words that are that many edits away: measured on random pairs with the very
+    functions that will be used, and half as many again."""
+    if not edits:
+        return 1
+    rng = np.random.default_rng((7, n))
+    a = rng.integers(0, 2**62, (300, n)).astype(U64)
+    b = np.array([edited(x, edits, rng) for x in a])
+    walks = 8
+    while True:
+        hit = (embed_keys(a, walks) == embed_keys(b, walks)).reshape(len(a), walks, TABLES).any(2)
+        enough = np.flatnonzero(np.maximum.accumulate(hit, 1).mean(0) >= recall)
+        if len(enough) or walks >= MOST_WALKS:
+            return min(MOST_WALKS, -(-3 * (int(enough[0]) + 1) // 2) if len(enough) else MOST_WALKS)
+        walks *= 2
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,9 +121,10 @@ class Items:
         self.n, seeds = {}, defaultdict(list)
         for n, items in by_n.items():
             t = np.array([x for _, x in items], U64)
-            keys = embed_keys(t)
+            walks = walks_for(n, allowed(n, share))
+            keys = embed_keys(t, walks)
             order = np.argsort(keys.ravel(), kind="stable")
-            self.n[n] = (np.array([k for k, _ in items]), t, keys.ravel()[order], order // keys.shape[1])
+            self.n[n] = (np.array([k for k, _ in items]), t, keys.ravel()[order], order // keys.shape[1], walks)
             # n words with k edits keep a run of n // (k + 1) words whole.
             run = n // (allowed(n, share) + 1)
             width = 1 << (run.bit_length() - 1)
@@ -125,26 +166,27 @@ class Items:
                     wanted[n].append((i, starts))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, parts in wanted.items():
-            ids, t, keys, owner = self.n[n]
+            ids, t, keys, owner, walks = self.n[n]
+            step = max(1, AT_ONCE // n)
             doc = np.concatenate([np.full(len(s), i) for i, s in parts])
             start = np.concatenate([s for _, s in parts])
-            for at in range(0, len(doc), 4096):
-                d, s = doc[at : at + 4096], start[at : at + 4096]
+            for at in range(0, len(doc), step):
+                d, s = doc[at : at + step], start[at : at + step]
                 w = np.full((len(d), n), PAD, U64)
                 for i in np.unique(d):
                     mine = np.flatnonzero(d == i)
                     text = texts[i]
                     m = min(n, len(text))
                     w[mine, :m] = text[s[mine][:, None] + np.arange(m)]
-                own = embed_keys(w)
+                own = embed_keys(w, walks)
                 lo, hi = np.searchsorted(keys, own.ravel(), "left"), np.searchsorted(keys, own.ravel(), "right")
                 hit = np.flatnonzero(lo < hi)
                 count = (hi - lo)[hit]
                 row = np.repeat(hit // own.shape[1], count)
                 item = owner[np.repeat(lo[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
                 pair = np.unique(np.stack([row, item], 1), axis=0)
-                for a in range(0, len(pair), 20_000):
-                    row, item = pair[a : a + 20_000].T
+                for a in range(0, len(pair), step):
+                    row, item = pair[a : a + step].T
                     dist = edit_distances(w[row], t[item])
                     for r, it, x in zip(*(v[dist <= allowed(n, self.share)].tolist() for v in (row, item, dist)), strict=True):
                         key, value = (int(d[r]), int(ids[it])), (x, int(s[r]), n)
@@ -179,13 +221,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> D
     texts of one doc_id apart. Other columns are ignored.
 
     Windows are embedded where the text shares a run of words with an item, at about the same place of the item, that
-    any window within reach must share. An embedded window that meets an item under one of WALKS * TABLES keys is
-    confirmed by its edit distance. Items are held by every task, ITEMS of them at a time.
+    any window within reach must share. An embedded window that meets an item under one of the keys, of which there are as
+    many as RECALL takes, is confirmed by its edit distance. Items are held by every task, ITEMS of them or ITEM_BYTES of
+    text at a time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-items.count() // ITEMS))
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // ITEMS), -(-size // ITEM_BYTES))
     found = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about ITEMS rows

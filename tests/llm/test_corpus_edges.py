@@ -525,6 +525,28 @@ def test_decontamination_recall():
     assert total > 200 and found >= 0.95 * total
 
 
+@pytest.mark.parametrize("n", [5, 10, 21, 40, 100, 300])
+def test_keys_reach_their_recall(n):
+    """Pairs other than those that the number of walks was measured on, at the greatest distance."""
+    k, rng = decontam.allowed(n, 0.2), np.random.default_rng(n)
+    a = rng.integers(0, 2**62, (500, n)).astype(np.uint64)
+    b = np.array([decontam.edited(x, k, rng) for x in a])
+    walks = decontam.walks_for(n, k)
+    hit = (decontam.embed_keys(a, walks) == decontam.embed_keys(b, walks)).any(1)
+    assert hit.mean() >= 0.99 and walks <= decontam.MOST_WALKS
+
+
+def test_long_items(spark):
+    """An item of 3,000 words, edited, within a text of 9,000."""
+    item = prose(70, 3000)
+    w = item.split()
+    for i in range(0, 3000, 11):
+        w[i] = f"new{i}"
+    rows = [(1, f"{prose(71, 3000)} {' '.join(w)} {prose(72, 3000)}"), (2, prose(73, 9000))]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 9)]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS", 2)
     items = spark.createDataFrame([(i, prose(300 + i, 20)) for i in range(7)], "item_id long, text string")
