@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Folders that aren't scanned, and endings of generated files.
@@ -13,6 +13,38 @@ EXCLUDED = ("__pycache__", ".git", ".venv", "venv", "env", ".mypy_cache", ".pyte
 GENERATED = ("_pb2.py", "_pb2_grpc.py", "_thrift.py")
 
 
+#: Stands in a path before the name of its snapshot.
+SNAP = "\x1f"
+
+
+def in_snapshot(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Files (keys, path, text) with the keys in the path, so that one run of the operators measures many snapshots."""
+    return files.withColumn("path", F.concat_ws(SNAP, "path", *(F.col(k).cast("string") for k in keys))).drop(*keys)
+
+
+def file_of(path: Column) -> Column:
+    return F.substring_index(path, SNAP, 1)
+
+
+def snap_of(path: Column) -> Column:
+    """The name of the snapshot of a path, empty if there is none."""
+    return F.substring(path, F.length(file_of(path)) + 2, F.length(path))
+
+
+def snap_keys(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """df (snap, ...) with the keys, names with types, that in_snapshot put into it."""
+    parts = F.split("snap", SNAP)
+    return df.select(*(F.get(parts, F.lit(i)).cast(kind).alias(k) for i, (k, kind) in enumerate(keys.items())), *(c for c in df.columns if c != "snap"))
+
+
+def safe(path: Column) -> Column:
+    """Whether a relative path stays below its root, whatever dots it has; absolute ones don't."""
+    steps = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    moves = F.transform(steps, lambda p: F.when(p == "..", -1).otherwise(1))
+    depths = F.transform(F.sequence(F.lit(1), F.greatest(F.size(moves), F.lit(1))), lambda i: F.aggregate(F.slice(moves, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    return ~path.startswith("/") & (F.array_min(depths) >= 0)
+
+
 def glob_regex(pattern: str) -> str:
     """The regular expression of a glob over a whole string; * goes over slashes."""
     out = fnmatch.translate(pattern)
@@ -31,12 +63,12 @@ def base(path: Column) -> Column:
     return F.element_at(parts(path), -1)
 
 
-def excluded(path: Column, names: tuple[str, ...] = EXCLUDED) -> Column:
-    """A part equals a name (no globs), or the ending says that the file is generated."""
+def excluded(path: Column, names: tuple[str, ...] = (), defaults: tuple[str, ...] = EXCLUDED) -> Column:
+    """A part equals a name (no globs), one of the defaults too, or the ending says that the file is generated."""
     generated = F.lit(False)
     for ending in GENERATED:
         generated = generated | path.endswith(ending)
-    return F.arrays_overlap(parts(path), F.array(*map(F.lit, names))) | generated
+    return F.arrays_overlap(parts(path), F.array(*map(F.lit, (*defaults, *names)))) | generated
 
 
 def test_by_folder_or_name(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -59,7 +60,12 @@ def decay(steps: Column | str, max_steps: Column | str, rate: Column | str) -> C
     return F.greatest(F.lit(0.0), 1 - _c(steps) / _c(max_steps) * _c(rate))
 
 
-@F.udf(DoubleType())
-def python_round(x: float, digits: int) -> float:
-    """Half to even on the exact binary value, which no SQL function gives; for values that are rounded by contract."""
-    return None if x is None else round(x, digits)
+def python_round(x: Column | str, digits: int) -> Column:
+    """Half to even on the exact binary value, which no SQL function gives; for values that are rounded by contract, of
+    which there are few. A batch at a time."""
+
+    @F.pandas_udf(DoubleType())
+    def rounded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: round(v, digits), na_action="ignore")
+
+    return rounded(_c(x).cast("double"))

@@ -2,10 +2,62 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What Python's str.strip takes for white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(WHITE))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def basic_regex(pattern: str) -> str:
+    """The Java pattern of a POSIX basic regular expression: braces, parentheses, bars, plus and question mark are plain unless
+    a backslash stands before them, a star at the start is plain, anchors count at the ends only."""
+    out, at, start = [], 0, True
+    while at < len(pattern):
+        c, after = pattern[at], pattern[at + 1 : at + 2]
+        if c == "\\" and after:
+            out.append({"<": r"\b", ">": r"\b"}.get(after) or (after if after in "(){}|+?" else "\\" + after))
+            start = after in "(|"
+            at += 2
+            continue
+        if c == "[":
+            end = pattern.find("]", at + 2 + (after == "^"))
+            while end > 0 and (opened := pattern.rfind("[:", at + 1, end)) >= 0 and pattern.find(":]", opened, end + 1) < 0:
+                end = pattern.find("]", end + 1)  # the end of a class such as [:alpha:]
+            if end < 0:
+                out.append("\\[")
+            else:
+                inner = re.sub(r"\[:(\w+):\]", lambda m: POSIX.get(m[1], ""), pattern[at + 1 : end].replace("\\", "\\\\"))
+                out.append("[" + re.sub(r"(?<!^)\[|&&", lambda m: "".join("\\" + x for x in m[0]), inner) + "]")
+                at = end
+        elif c == "*" and start:
+            out.append("\\*")
+        elif c == "^":
+            out.append("^" if start else "\\^")
+        elif c == "$":
+            out.append("$" if at + 1 == len(pattern) or pattern[at + 1 : at + 3] in ("\\)", "\\|") else "\\$")
+        else:
+            out.append("\\" + c if c in "(){}|+?" else c)
+        start = c == "^" and start
+        at += 1
+    return "".join(out)
+
+
+#: Named classes of characters in Java patterns.
+POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "blank": r"\p{Blank}", "xdigit": r"\p{XDigit}"}
+
+
 def csv_line(text: Column, separator: str = ",") -> Column:
     return F.transform(F.split(text, f"\\Q{separator}\\E", -1), lambda x: F.trim(x))
 

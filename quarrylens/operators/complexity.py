@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylens.operators.symbols import FUNCTIONS, module_of
+from quarrylens.functions.paths import file_of, snap_of, test_by_name
+from quarrylens.operators.symbols import module_of
 
 #: Classes in order with their costs.
 CLASSES = [(0, "O1", 0.0), (1, "OLOGN", 0.0), (2, "ON", 0.0), (3, "ONLOGN", 1.0), (4, "ON2", 3.0), (5, "ON3", 6.0), (6, "ONEXP", 10.0), (7, "UNKNOWN", 2.0)]
@@ -39,14 +40,8 @@ def costs(spark: SparkSession) -> DataFrame:
 
 def function_signals(nodes: DataFrame) -> DataFrame:
     """A row for each function: what its whole subtree shows. Every node counts for all functions around it."""
-    nodes = nodes.where("status = 'ok'")
-    owner = nodes.where("type = 'Name' AND field = 'target'").select("path", F.col("parent").alias("node"), F.lit(True).alias("name_target"))
-    callee = nodes.where("field = 'func'").select("path", F.col("parent").alias("node"), F.col("type").alias("callee_type"), F.col("name").alias("callee"))
-    arg = nodes.where("field = 'args' AND idx = 0").select("path", F.col("parent").alias("node"), F.col("type").alias("arg_type"), F.col("const").alias("arg_const"), F.col("value").alias("arg_value"))
-    step = nodes.where("field = 'value' AND type = 'Constant'").select("path", F.col("parent").alias("node"), F.col("value").alias("step"), F.col("const").alias("step_const"))
-    plain = nodes.join(owner, ["path", "node"], "left").join(callee, ["path", "node"], "left").join(arg, ["path", "node"], "left").join(step, ["path", "node"], "left")
-    names = nodes.where(F.col("type").isin(*FUNCTIONS)).select("path", F.col("node").alias("func"), F.col("name").alias("own"), F.col("loop_depth").alias("own_depth"))
-    inside = plain.where(F.size("funcs") > 0).withColumn("func", F.explode("funcs")).join(names, ["path", "func"])
+    held = nodes.where((F.col("status") == "ok") & (F.size("funcs") > 0))
+    inside = held.withColumn("f", F.explode(F.arrays_zip("funcs", "func_names", "func_depths"))).withColumns({"func": F.col("f.funcs"), "own": F.col("f.func_names"), "own_depth": F.col("f.func_depths")})
     t, c = F.col("type"), F.col
     # A loop of the function around the node: one whose id is not below the function's own, as ids grow downwards.
     looped = F.exists("loops", lambda x: x > F.col("func"))
@@ -57,12 +52,12 @@ def function_signals(nodes: DataFrame) -> DataFrame:
     some = lambda x: F.coalesce(F.max(x), F.lit(False))
     return inside.groupBy("path", "func", "own").agg(
         F.max(F.when(t.isin("For", "While"), F.col("loop_depth") - F.col("own_depth")).otherwise(0)).alias("nesting"), F.count_if(call & (c("callee_type") == "Name") & (c("callee") == c("own"))).alias("recursive"),
-        some(looped & (t == "AugAssign") & (c("op") == "Add") & c("name_target")).alias("concat"), F.min_by(F.when(is_in, "search").otherwise("index"), F.when(looped & (is_in | by_index), F.struct(first_loop.alias("l"), c("node")))).alias("which"),
+        some(looped & (t == "AugAssign") & (c("op") == "Add") & (c("target_type") == "Name")).alias("concat"), F.min_by(F.when(is_in, "search").otherwise("index"), F.when(looped & (is_in | by_index), F.struct(first_loop.alias("l"), c("node")))).alias("which"),
         some(looped & (is_in | by_index)).alias("search"), some(looped & call & ((c("callee_type") == "Name") & (c("callee") == "sorted") | method & (c("callee") == "sort"))).alias("sort"),
         some(looped & call & method & (c("callee") == "insert") & (c("arg_type") == "Constant") & ((c("arg_const").isin("int", "float") & (c("arg_value").cast("double") == 0)) | (c("arg_const") == "bool") & (c("arg_value") == "False"))).alias("head"),
         some(t.isin("ListComp", "SetComp", "GeneratorExp") & (c("count") >= 2)).alias("nested"), some(looped & call & method & (c("callee") == "append") & c("arg_type").isin("ListComp", "List")).alias("lists"),
         some(t.isin("ListComp", "SetComp", "DictComp")).alias("builds"),
-        some((t == "AugAssign") & c("op").isin("FloorDiv", "RShift") & c("step").isin("1", "2", "1.0", "2.0", "True") & (c("step_const") != "str") | call & c("callee").startswith("bisect") | (t == "Slice") & (c("field") == "slice") & c("floors")).alias("halves"),
+        some((t == "AugAssign") & c("op").isin("FloorDiv", "RShift") & c("value_text").isin("1", "2", "1.0", "2.0", "True") & (c("value_const") != "str") | call & c("callee").startswith("bisect") | (t == "Slice") & (c("field") == "slice") & c("floors")).alias("halves"),
         some((c("field") == "decorator_list") & (c("parent") == c("func")) & (t.isin("Name", "Attribute") & c("name").isin(*MEMO) | call & (c("callee_type") == "Name") & c("callee").isin(*MEMO))).alias("memo"),
         some((c("parent") == c("func")) & call & ((c("callee_type") == "Name") & (c("callee") == "sorted") | method & c("callee").isin("sort", "sorted"))).alias("top_sort"),
     )
@@ -92,27 +87,35 @@ def estimate(signals: DataFrame) -> DataFrame:
     return df.select("path", "func", F.concat_ws(".", module_of(c("path")), "own").alias("qualified_name"), time.alias("time"), space.alias("space"), first(c("found"), time, SAID["no_time"]).alias("time_reason"), space_reason.alias("space_reason"), F.transform("found", lambda x: x["said"]).alias("patterns"))
 
 
-def repository_estimates(nodes: DataFrame) -> DataFrame:
-    """One estimate for each name: of functions with one qualified name the last in breadth-first order counts."""
-    last = Window.partitionBy("qualified_name").orderBy(F.desc("path"), F.desc("func"))
-    return estimate(function_signals(nodes)).withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
+def repository_estimates(nodes: DataFrame, skip_tests: bool = False) -> DataFrame:
+    """One estimate for each name of a snapshot: of functions with one qualified name the last in breadth-first order counts."""
+    nodes = nodes.where(~test_by_name(file_of(F.col("path")))) if skip_tests else nodes
+    last = Window.partitionBy("snap", "qualified_name").orderBy(F.desc("path"), F.desc("func"))
+    return estimate(function_signals(nodes)).withColumn("snap", snap_of(F.col("path"))).withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
 
 
 def quadratic_cost(cc: Column, threshold: int = 10) -> Column:
     return F.pow(F.greatest(F.lit(0), cc - threshold), F.lit(2))
 
 
-def cc_metrics(functions: DataFrame, threshold: int = 10) -> DataFrame:
-    """cc_cost_sum, cc_avg, n of functions (cc): one row."""
-    return functions.agg(F.coalesce(F.sum(quadratic_cost(F.col("cc"), threshold)), F.lit(0.0)).alias("cc_cost_sum"), F.coalesce(F.avg("cc"), F.lit(0.0)).alias("cc_avg"), F.count("*").alias("n"))
+def cc_metrics(functions: DataFrame, threshold: int = 10, by: list[str] | None = None) -> DataFrame:
+    """by, cc_cost_sum, cc_avg, n of functions (cc): one row for each value of by."""
+    return functions.groupBy(*(by or [])).agg(F.coalesce(F.sum(quadratic_cost(F.col("cc"), threshold)), F.lit(0.0)).alias("cc_cost_sum"), F.coalesce(F.avg("cc"), F.lit(0.0)).alias("cc_avg"), F.count("*").alias("n"))
 
 
-def bigo_metrics(estimates: DataFrame) -> DataFrame:
-    """bigO_cost_sum, n, patterns of estimates: one row."""
-    spark = estimates.sparkSession
-    priced = estimates.join(F.broadcast(costs(spark)), "time", "left").withColumn("cost", F.coalesce("cost", F.lit(2.0)))
-    return priced.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("bigO_cost_sum"), F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("patterns")))).alias("patterns"))
+def priced(estimates: DataFrame) -> DataFrame:
+    return estimates.join(F.broadcast(costs(estimates.sparkSession)), "time", "left").withColumn("cost", F.coalesce("cost", F.lit(2.0)))  # 8 rows
+
+
+def bigo_metrics(estimates: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, bigO_cost_sum, n, patterns (each once) of estimates: one row for each value of by."""
+    by = by or []
+    sums = priced(estimates).groupBy(*by).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("bigO_cost_sum"), F.count("*").alias("n"))
+    each = estimates.select(*by, F.explode("patterns").alias("p")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("patterns"))  # as many as SAID, and numbers of branches
+    both = sums.join(each, by, "left") if by else sums.crossJoin(each)  # a row each
+    return both.withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
 
 
 def top_by(rows: DataFrame, cost: str, keys: list[str], k: int = 5) -> DataFrame:
+    """The k rows of the greatest cost, ties in the order of keys."""
     return rows.orderBy(F.desc(cost), *keys).limit(k)

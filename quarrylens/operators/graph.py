@@ -7,8 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators.symbols import definitions, module_of, usages
-
+from quarrylens.operators.symbols import definitions, local_name, module_of, usages
 
 #: Steps along edges between two checkpoints.
 STEPS = 4
@@ -26,33 +25,28 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def alias_map(nodes: DataFrame) -> DataFrame:
-    """path, name, target: what an imported name stands for; relative imports count from the module's package; the last binding wins."""
-    holders = nodes.where("type IN ('Import', 'ImportFrom')").select("path", F.col("node").alias("parent"), F.col("type").alias("holder"), F.coalesce("name", F.lit("")).alias("source"), F.coalesce("level", F.lit(0)).alias("up"))
-    alias = nodes.where("type = 'alias' AND name <> '*'").join(holders, ["path", "parent"])
+    """path, local, target: what an imported name stands for; relative imports count from the module's package; the last binding wins."""
+    alias = nodes.where("type = 'alias' AND name <> '*'")
+    up, plain, source = F.coalesce("up_level", F.lit(0)), F.col("up_type") == "Import", F.coalesce("up_name", F.lit(""))
     parts = F.split(module_of(F.col("path")), r"\.")
-    package = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.col("up"), F.lit(0))), ".")
-    source = F.when(F.col("up") > 0, F.regexp_replace(F.concat(package, F.lit("."), "source"), r"^\.+|\.+$", "")).otherwise(F.col("source"))
-    plain = F.col("holder") == "Import"
-    local = F.coalesce("as_name", F.when(plain, F.element_at(F.split("name", r"\."), 1)).otherwise(F.col("name")))
+    package = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), ".")
+    source = F.when(up > 0, F.regexp_replace(F.concat(package, F.lit("."), source), r"^\.+|\.+$", "")).otherwise(source)
     target = F.when(plain, F.col("name")).otherwise(F.concat(source, F.lit("."), "name"))
-    return alias.select("path", local.alias("local"), target.alias("target"), "node").groupBy("path", "local").agg(F.max_by("target", "node").alias("target"))
+    return alias.select("path", local_name().alias("local"), target.alias("target"), "node").groupBy("path", "local").agg(F.max_by("target", "node").alias("target"))
 
 
 def edges(nodes: DataFrame) -> DataFrame:
     """src, dst, kind (CALLS, IMPORTS, INHERITS), path, line; as often as they stand there."""
-    me = module_of(F.col("path"))
-    alias = nodes.where("type = 'alias'").select("path", F.col("parent").alias("node"), F.col("name").alias("dst"))
-    plain = nodes.where("type = 'Import'").select("path", "node", "line").join(alias, ["path", "node"]).select(me.alias("src"), "dst", F.lit("IMPORTS").alias("kind"), "path", "line")
-    from_ = nodes.where("type = 'ImportFrom' AND name <> ''").select(me.alias("src"), F.col("name").alias("dst"), F.lit("IMPORTS").alias("kind"), "path", "line")
-    names = alias_map(nodes)
-    refs = usages(nodes).where("kind IN ('call', 'load')").join(names.withColumnRenamed("local", "name"), ["path", "name"], "left")
+    me, t = module_of(F.col("path")), F.col("type")
+    imported = F.when((t == "alias") & (F.col("up_type") == "Import"), F.struct(F.col("name").alias("dst"), F.col("up_line").alias("line"))).when((t == "ImportFrom") & (F.col("name") != ""), F.struct(F.col("name").alias("dst"), "line"))
+    imports = nodes.select(me.alias("src"), imported.alias("i"), F.lit("IMPORTS").alias("kind"), "path").where("i is not null").select("src", "i.dst", "kind", "path", "i.line")
+    names = alias_map(nodes).withColumnRenamed("local", "name")
+    refs = usages(nodes).where("kind IN ('call', 'load')").join(names, ["path", "name"], "left")
     calls = refs.select(F.coalesce("caller", me).alias("src"), F.coalesce("target", "qualified_name").alias("dst"), F.lit("CALLS").alias("kind"), "path", "line")
-    owner = nodes.where("type = 'Name' AND field = 'value'").select("path", F.col("parent").alias("node"), F.col("name").alias("owner"))
-    bases = nodes.where("field = 'bases' AND type IN ('Name', 'Attribute')").join(owner, ["path", "node"], "left").join(names.withColumnRenamed("local", "name"), ["path", "name"], "left")
-    base = F.when(F.col("type") == "Name", F.coalesce("target", "name")).otherwise(F.concat("owner", F.lit("."), "name"))
-    classes = nodes.where("type = 'ClassDef'").select("path", F.col("node").alias("parent"), F.concat_ws(".", me, "name").alias("src"), F.col("line").alias("at"))
-    inherits = bases.select("path", "parent", base.alias("dst")).where("dst is not null").join(classes, ["path", "parent"]).select("src", "dst", F.lit("INHERITS").alias("kind"), "path", F.col("at").alias("line"))
-    return plain.unionByName(from_).unionByName(calls).unionByName(inherits)
+    bases = nodes.where("field = 'bases' AND type IN ('Name', 'Attribute')").join(names, ["path", "name"], "left")
+    base = F.when(t == "Name", F.coalesce("target", "name")).otherwise(F.concat("owner", F.lit("."), "name"))
+    inherits = bases.select(F.concat_ws(".", me, "up_name").alias("src"), base.alias("dst"), F.lit("INHERITS").alias("kind"), "path", F.col("up_line").alias("line")).where("dst is not null")
+    return imports.unionByName(calls).unionByName(inherits)
 
 
 def replace_files(table: DataFrame, changed: DataFrame) -> DataFrame:
@@ -88,18 +82,6 @@ def dead_symbols(nodes: DataFrame, public_api: DataFrame | None = None, skip_tes
     return dead.withColumn("reason", reason)
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """src, dst of all pairs of nodes joined by a path. Paths double each round."""
-    known = _cut(edges.select("src", "dst").distinct())
-    size = known.count()
-    while True:
-        more = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        known = _cut(known.unionByName(more).distinct())
-        if (now := known.count()) == size:
-            return known
-        size = now
-
-
 def cycles(edges: DataFrame) -> DataFrame:
     """node, cycle, size: nodes that lie on cycles of two nodes or more; a cycle is named by its smallest node.
 
@@ -154,5 +136,24 @@ def fanout(edges: DataFrame) -> DataFrame:
     return edges.where("kind = 'IMPORTS'").groupBy("src").agg(F.count_distinct("dst").alias("fanout"))
 
 
-def degrees(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    return edges.groupBy(key).agg(F.count_distinct(other).alias(name))
+def innermost(points: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
+    """point, lo, hi: of each of points (point) the shortest of intervals (lo, hi) that holds it, the first of equal ones.
+
+    Intervals no longer than width meet points in buckets of that width, by an equality join; a longer one is an error.
+    """
+    fits = F.when(F.col("hi") - F.col("lo") <= width, F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).otherwise(F.raise_error(F.lit(f"an interval is longer than {width}")))
+    held = intervals.select("lo", "hi", F.explode(fits).alias("bucket"))
+    met = points.select("point", F.floor(F.col("point") / width).alias("bucket")).join(held, "bucket").where("point BETWEEN lo AND hi")
+    return met.groupBy("point").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo", "hi")).alias("b")).select("point", "b.lo", "b.hi")
+
+
+def module_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted (module, ...) with path: the first file whose dotted name or stem the module is. Equality on either key, no theta join."""
+    keys = files.select("path", F.explode(F.array_distinct(F.array(module_of(F.col("path")), F.regexp_extract("path", r"([^/]*)\.py$", 1)))).alias("module"))
+    return wanted.join(keys.groupBy("module").agg(F.min("path").alias("path")), "module")
+
+
+def definition_lines(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """wanted (path, name) with line: the first definition of a function or class of that name in the file, 0 without one."""
+    defs = nodes.where("type IN ('FunctionDef', 'AsyncFunctionDef', 'ClassDef')").groupBy("path", "name").agg(F.min_by("line", "node").alias("line"))
+    return wanted.join(defs, ["path", "name"], "left").withColumn("line", F.coalesce("line", F.lit(0)))

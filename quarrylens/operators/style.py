@@ -4,62 +4,62 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.functions.paths import file_of, snap_of, test_by_globs
+from quarrylens.functions.text import strip
 from quarrylens.operators.lines import line_violations
-from quarrylens.operators.symbols import FUNCTIONS, function_info
+from quarrylens.operators.symbols import FUNCTIONS
 
 #: The weights of the dimensions.
 DIMENSIONS = {"naming": 0.30, "docstrings": 0.25, "imports": 0.20, "type_hints": 0.10, "complexity": 0.10, "formatting": 0.05}
-#: Code, dimension, severity, description of each rule; N006 and N008 are registered and never fire.
+#: Code, dimension and severity of each rule; N006 and N008 are registered and never fire. What is said of a rule
+#: in a report is our own.
 RULES = [
-    ("N001", "naming", "error", "Module name must be lowercase_underscore"),
-    ("N002", "naming", "error", "Class name must be CapWords"),
-    ("N003", "naming", "error", "Function/method name must be lowercase_underscore"),
-    ("N004", "naming", "warning", "Constant must be UPPER_CASE (module-level literal)"),
-    ("N005", "naming", "warning", "CamelCase variable at module scope (not a class)"),
-    ("N006", "naming", "warning", "Private name must use single leading underscore"),
-    ("N007", "naming", "warning", "Avoid single-letter names except loop counters"),
-    ("N008", "naming", "warning", "TypeVar name must be CapWords or single letter"),
-    ("N009", "naming", "error", "Exception class must end in 'Error'"),
-    ("N010", "naming", "warning", "Test function must start with 'test_'"),
-    ("D001", "docstrings", "error", "Public function/method missing docstring"),
-    ("D002", "docstrings", "error", "Public class missing docstring"),
-    ("D003", "docstrings", "warning", "Module missing module-level docstring"),
-    ("D004", "docstrings", "warning", "Docstring summary line exceeds max_line_length chars"),
-    ("D005", "docstrings", "warning", "Multi-line docstring missing blank line after summary"),
-    ("D006", "docstrings", "warning", "Generator function should use 'Yields:' not 'Returns:'"),
-    ("I001", "imports", "error", "Wildcard import (from x import *) forbidden"),
-    ("I002", "imports", "error", "Relative import forbidden (use full package path)"),
-    ("I003", "imports", "warning", "Multiple imports on one line (import a, b)"),
-    ("I004", "imports", "warning", "Importing individual class/function (use module import)"),
-    ("I005", "imports", "warning", "Imports not grouped: stdlib, third-party, local"),
-    ("I006", "imports", "error", "Mutable default argument in function signature"),
-    ("T001", "type_hints", "warning", "Public function missing return type annotation"),
-    ("T002", "type_hints", "warning", "Public function missing parameter type annotation(s)"),
-    ("T003", "type_hints", "error", "Bare 'except:' clause (catch-all) forbidden"),
-    ("C001", "complexity", "warning", "Function exceeds cyclomatic complexity threshold"),
-    ("C002", "complexity", "warning", "Line exceeds maximum length"),
-    ("C003", "complexity", "warning", "Nested comprehension with multiple for-clauses"),
-    ("F001", "formatting", "warning", "Trailing whitespace on line"),
-    ("F002", "formatting", "warning", "Missing two blank lines before top-level definition"),
-    ("F003", "formatting", "error", "Semicolon used to separate statements"),
-    ("F004", "formatting", "error", "Tab character used for indentation"),
+    ("N001", "naming", "error", "name of the module isn't in snake case"),
+    ("N002", "naming", "error", "name of the class isn't in capitalized words"),
+    ("N003", "naming", "error", "name of the function isn't in snake case"),
+    ("N004", "naming", "warning", "literal of the module isn't in upper case"),
+    ("N005", "naming", "warning", "variable of the module is named like a class"),
+    ("N006", "naming", "warning", "private name doesn't begin with one underscore"),
+    ("N007", "naming", "warning", "name has a single letter"),
+    ("N008", "naming", "warning", "type variable isn't in capitalized words"),
+    ("N009", "naming", "error", "exception class doesn't end in Error"),
+    ("N010", "naming", "warning", "function of a test file asserts without test_ in front"),
+    ("D001", "docstrings", "error", "public function has no docstring"),
+    ("D002", "docstrings", "error", "public class has no docstring"),
+    ("D003", "docstrings", "warning", "module has no docstring"),
+    ("D004", "docstrings", "warning", "summary of the docstring is too long"),
+    ("D005", "docstrings", "warning", "second line of the docstring isn't blank"),
+    ("D006", "docstrings", "warning", "docstring of a generator says Returns"),
+    ("I001", "imports", "error", "star import"),
+    ("I002", "imports", "error", "relative import"),
+    ("I003", "imports", "warning", "several imports in one statement"),
+    ("I004", "imports", "warning", "import of a class in place of its module"),
+    ("I005", "imports", "warning", "import behind those of a later group"),
+    ("I006", "imports", "error", "default of an argument can change"),
+    ("T001", "type_hints", "warning", "public function doesn't say what it returns"),
+    ("T002", "type_hints", "warning", "public function has arguments without a type"),
+    ("T003", "type_hints", "error", "except without a type"),
+    ("C001", "complexity", "warning", "function has too many branches"),
+    ("C002", "complexity", "warning", "line is too long"),
+    ("C003", "complexity", "warning", "comprehension has several loops"),
+    ("F001", "formatting", "warning", "white space ends the line"),
+    ("F002", "formatting", "warning", "less than two blank lines before a definition"),
+    ("F003", "formatting", "error", "semicolon between statements"),
+    ("F004", "formatting", "error", "tab indents the line"),
 ]
-#: Top-level names that count as the standard library, modules whose names may be imported one by one,
-#: methods exempt from naming, names of one letter that are allowed.
-STDLIB = "abc ast asyncio builtins collections contextlib copy dataclasses datetime enum functools gc hashlib heapq importlib inspect io itertools json logging math os pathlib pickle platform queue random re shutil signal socket sqlite3 string struct subprocess sys tempfile textwrap threading time timeit traceback types typing unittest urllib uuid warnings weakref collections.abc typing_extensions".split()
+#: Modules whose names may be imported one by one, methods exempt from naming, names of one letter that are allowed.
 TYPING = ["typing", "collections.abc", "typing_extensions", "__future__"]
 DUNDER = [
-    f"__{x}__"
-    for x in "init new repr str len eq hash call enter exit iter next contains getitem setitem delitem aenter aexit await aiter anext lt le gt ge add radd iadd mul rmul imul sub rsub isub truediv floordiv mod pow and or xor invert lshift rshift neg pos abs bool int float complex bytes format sizeof reduce reduce_ex getstate setstate copy deepcopy class_getitem init_subclass set_name get set delete missing reversed del slots".split()
-]
+    "__init__", "__new__", "__repr__", "__str__", "__len__", "__eq__", "__hash__", "__call__", "__enter__", "__exit__", "__iter__", "__next__", "__contains__", "__getitem__", "__setitem__", "__delitem__", "__aenter__", "__aexit__", "__await__",
+    "__aiter__", "__anext__", "__lt__", "__le__", "__gt__", "__ge__", "__add__", "__radd__", "__iadd__", "__mul__", "__rmul__", "__imul__", "__sub__", "__rsub__", "__isub__", "__truediv__", "__floordiv__", "__mod__", "__pow__", "__and__", "__or__",
+    "__xor__", "__invert__", "__lshift__", "__rshift__", "__neg__", "__pos__", "__abs__", "__bool__", "__int__", "__float__", "__complex__", "__bytes__", "__format__", "__sizeof__", "__reduce__", "__reduce_ex__", "__getstate__", "__setstate__",
+    "__copy__", "__deepcopy__", "__class_getitem__", "__init_subclass__", "__set_name__", "__get__", "__set__", "__delete__", "__missing__", "__reversed__", "__del__", "__slots__",
+]
 SINGLE = ["i", "j", "k", "n", "x", "y", "z", "v", "e", "f", "_"]
 
-BRANCHES = ["If", "While", "For", "AsyncFor", "ExceptHandler", "With", "AsyncWith", "Assert", "comprehension"]
-COMPREHENSIONS = ["ListComp", "SetComp", "DictComp", "GeneratorExp"]
-
 
 def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "rule string, dimension string, severity string, description string")
@@ -85,113 +85,68 @@ def public(name: Column) -> Column:
     return ~name.startswith("_")
 
 
-def _v(df: DataFrame, rule: str, test: Column | str, context: Column | None = None, line: str = "line") -> DataFrame:
-    return df.where(test).select(F.lit(rule).alias("rule"), "path", F.coalesce(F.col(line), F.lit(0)).alias("line"), (context if context is not None else F.lit("")).alias("context"))
-
+def function_facts(nodes: DataFrame) -> DataFrame:
+    """path, func, name, cc, yields, asserts, nested: a row for each function with what stands anywhere below it."""
+    return nodes.where(F.col("type").isin(*FUNCTIONS)).select("path", F.col("node").alias("func"), "name", "cc", "yields", "asserts", "nested")
+
+
+def _tests(max_line: int, max_cc: int) -> list[tuple]:
+    """Each rule of syntax as the types of node it reads, a test of the node's row, and what it names."""
+    c, name, file = F.col, F.col("name"), file_of(F.col("path"))
+    stem = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
+    doc = F.split(strip(c("doc")), "\r\n|[\n\r]", -1)
+    summary, second = F.get(doc, F.lit(0)), F.get(doc, F.lit(1))
+    top = (c("field") == "targets") & (c("up_type") == "Assign") & (c("open_defs") == 0) & ~(name.startswith("__") & name.endswith("__"))
+    literal = c("up_value_type") == "Constant"
+    from_ = (c("up_type") == "ImportFrom") & c("up_name").isNotNull()
+    starred = F.concat(F.lit("from "), F.coalesce("up_name", F.lit("None")), F.lit(" import *"))
+    return [
+        ("Module", [("N001", ~stem.isin("__init__", "__main__") & ~snake(stem), stem), ("D003", ~c("has_doc"))]),
+        ("ClassDef", [("N002", ~cap_words(name), name), ("N009", F.exists("bases", lambda b: b.contains("Exception") | b.contains("Error")) & ~name.endswith("Error"), name), ("D002", public(name) & ~c("has_doc"), name)]),
+        (FUNCTIONS, [
+            ("N003", ~name.isin(*DUNDER) & ~snake(name), name), ("N007", (F.length(name) == 1) & ~name.isin(*SINGLE), name),
+            ("N010", F.lower(file).contains("test") & public(name) & ~name.startswith("test_") & c("asserts"), name),
+            ("D001", public(name) & ~c("has_doc"), name), ("D004", c("has_doc") & (F.length(summary) > max_line), F.concat(F.substring(summary, 1, max_line - 10), F.lit("…"))),
+            ("D005", c("has_doc") & (strip(second) != ""), name), ("D006", c("has_doc") & c("yields") & c("doc").contains("Returns:") & ~c("doc").contains("Yields:"), name),
+            ("T001", public(name) & ~c("returns"), name), ("T002", public(name) & (c("unannotated") > 0), name), ("I006", c("mutable"), name),
+            ("C001", c("cc") > max_cc, F.concat(name, F.lit(" cc="), "cc")), ("C003", c("nested"), name),
+        ]),
+        ("Import", [("I003", c("count") > 1), ("I005", c("late"))]),
+        ("ImportFrom", [("I002", c("level") > 0, F.concat(F.lit("relative level="), "level")), ("I005", c("late"))]),
+        ("alias", [("I001", (c("up_type") == "ImportFrom") & (name == "*"), starred), ("I004", from_ & ~c("up_name").isin(*TYPING) & cap_words(name) & ~shouts(name), F.concat(F.lit("from "), "up_name", F.lit(" import "), "name"))]),
+        ("Name", [("N004", top & literal & ~upper_case(name) & public(name), name), ("N005", top & ~literal & cap_words(name) & ~shouts(name), name)]),
+    ]
 
-def _many(df: DataFrame, *found: tuple, line: str = "line") -> DataFrame:
-    """_v for several rules in one pass over df: each a rule, a test and maybe a context."""
-    none = F.lit("")
-    hits = [F.when(F.expr(test) if isinstance(test, str) else test, F.struct(F.lit(rule).alias("rule"), (context[0] if context else none).cast("string").alias("context"))) for rule, test, *context in found]
-    return df.select("path", F.coalesce(F.col(line), F.lit(0)).alias("line"), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("v")).select("v.rule", "path", "line", "v.context")
 
+def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compat: bool = True, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """rule, path, line, context of the rules that read syntax, without those to ignore; files that don't parse have none.
 
-def function_facts(nodes: DataFrame) -> DataFrame:
-    """A row for each function with what stands anywhere below it; a node belongs to every function around it."""
-    inside = nodes.where(F.size("funcs") > 0).withColumn("func", F.explode("funcs"))
-    t = F.col("type")
-    return inside.groupBy("path", "func").agg(
-        (1 + F.count_if(t.isin(*BRANCHES)) + F.coalesce(F.sum(F.when(t == "BoolOp", F.col("count") - 1)), F.lit(0))).alias("cc"),
-        F.max(t == "Yield").alias("yields"), F.max(t == "Assert").alias("asserts"), F.max(t.isin(*COMPREHENSIONS) & (F.col("count") > 1)).alias("nested"),
-    )
-
-
-def import_order(nodes: DataFrame) -> DataFrame:
-    """I005: of each file the first top-level import whose group stands before a group that has come already."""
-    first = nodes.where("type = 'alias' AND field = 'names' AND idx = 0").select("path", F.col("parent").alias("node"), F.col("name").alias("alias"))
-    top = nodes.where("type IN ('Import', 'ImportFrom') AND parent = 0").join(first, ["path", "node"])
-    source = F.when(F.col("type") == "Import", F.col("alias")).otherwise(F.coalesce("name", F.lit("")))
-    group = F.when(F.coalesce("level", F.lit(0)) > 0, 2).when(F.element_at(F.split(source, r"\."), 1).isin(*STDLIB), 0).otherwise(1)
-    before = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    bad = top.withColumn("group", group).withColumn("seen", F.max("group").over(before)).where("group < seen")
-    return bad.groupBy("path").agg(F.min_by("line", "idx").alias("line"))
-
-
-def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compat: bool = True) -> DataFrame:
-    """rule, path, line, context of the rules that read syntax; files that don't parse have none.
-
-    With compat, an empty docstring breaks its file, which then gives one row with the rule ERROR and no others.
+    One pass over the node table without a shuffle: a rule is a test of a node's own row. With compat, an empty docstring
+    breaks its file, which then gives one row with the rule ERROR and no others.
     """
-    nodes = nodes.where("status = 'ok'")
-    name, path = F.col("name"), F.col("path")
-    parts = []
-    modules = nodes.where("type = 'Module'").withColumn("stem", F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
-    stem = F.col("stem")
-    parts.append(_many(modules, ("N001", ~stem.isin("__init__", "__main__") & ~snake(stem), stem), ("D003", "NOT has_doc")))
-
-    classes = nodes.where("type = 'ClassDef'")
-    bases = nodes.where("field = 'bases'").groupBy("path", F.col("parent").alias("node")).agg(F.max(name.contains("Exception") | name.contains("Error")).alias("raises"))
-    classes = classes.join(bases, ["path", "node"], "left")
-    parts.append(_many(classes, ("N002", ~cap_words(name), name), ("N009", F.coalesce("raises", F.lit(False)) & ~name.endswith("Error"), name), ("D002", public(name) & ~F.col("has_doc"), name)))
-
-    facts = function_facts(nodes).withColumnRenamed("func", "node")
-    info = function_info(nodes).select("path", "node", "unannotated")
-    holders = nodes.where("type = 'arguments'").select("path", F.col("node").alias("holder"), F.col("parent").alias("func"))
-    defaults = nodes.where("field IN ('defaults', 'kw_defaults')").select("path", F.col("node").alias("default"), F.col("parent").alias("holder"), F.col("type").alias("kind"))
-    called = nodes.where("field = 'func'").select("path", F.col("parent").alias("default"), F.lower("name").alias("callee"))
-    mutable = F.col("kind").isin("List", "Dict", "Set") | (F.col("kind") == "Call") & F.col("callee").isin("list", "dict", "set", "defaultdict")
-    shared = defaults.join(called, ["path", "default"], "left").where(mutable).join(holders, ["path", "holder"]).select("path", F.col("func").alias("node"), F.lit(True).alias("mutable")).distinct()
-    f = nodes.where(F.col("type").isin(*FUNCTIONS)).join(facts, ["path", "node"]).join(info, ["path", "node"]).join(shared, ["path", "node"], "left")
-    doc = F.split(F.trim("doc", F.lit(" \t\n\r\x0b\x0c")), "\r\n|[\n\r]", -1)
-    f = f.withColumn("summary", F.when(F.col("has_doc"), doc[0])).withColumn("second", F.when(F.col("has_doc") & (F.size(doc) > 1), doc[1]))
-    found = [
-        ("N003", ~name.isin(*DUNDER) & ~snake(name), name), ("N007", (F.length(name) == 1) & ~name.isin(*SINGLE), name),
-        ("N010", F.lower(path).contains("test") & public(name) & ~name.startswith("test_") & F.col("asserts"), name),
-        ("D001", public(name) & ~F.col("has_doc"), name), ("D004", F.length("summary") > max_line, F.concat(F.substring("summary", 1, max_line - 10), F.lit("…"))),
-        ("D005", F.trim(F.col("second")) != "", name), ("D006", F.col("has_doc") & F.col("yields") & F.col("doc").contains("Returns:") & ~F.col("doc").contains("Yields:"), name),
-        ("T001", public(name) & ~F.col("returns"), name), ("T002", public(name) & (F.col("unannotated") > 0), name), ("I006", F.coalesce("mutable", F.lit(False)), name),
-        ("C001", F.col("cc") > max_cc, F.concat(name, F.lit(" cc="), "cc")), ("C003", F.col("nested"), name),
-    ]
-    parts.append(_many(f, *found))
-    typed = nodes.where("field = 'type'").select("path", F.col("parent").alias("node"))
-    bare = nodes.where("type = 'ExceptHandler'").join(typed, ["path", "node"], "left_anti").withColumn("func", F.explode("funcs"))
-    owners = nodes.where(F.col("type").isin(*FUNCTIONS)).select("path", F.col("node").alias("func"), F.col("name").alias("owner"))
-    parts.append(_v(bare.join(owners, ["path", "func"]), "T003", F.lit(True), F.col("owner")))
-
-    alias = nodes.where("type = 'alias'").select("path", F.col("parent").alias("node"), F.col("name").alias("alias"))
-    imports = nodes.where("type = 'Import'")
-    from_ = nodes.where("type = 'ImportFrom'")
-    each = from_.join(alias, ["path", "node"])
-    one = F.col("alias")
-    parts += [
-        _v(imports, "I003", "count > 1"), _v(from_, "I002", "level > 0", F.concat(F.lit("relative level="), "level")),
-        _many(each, ("I001", one == "*", F.concat(F.lit("from "), F.coalesce("name", F.lit("None")), F.lit(" import *"))), ("I004", name.isNotNull() & ~name.isin(*TYPING) & cap_words(one) & ~shouts(one), F.concat(F.lit("from "), "name", F.lit(" import "), "alias"))),
-        import_order(nodes).select(F.lit("I005").alias("rule"), "path", "line", F.lit("").alias("context")),
-    ]
-    assigns = nodes.where("type = 'Assign' AND open_defs = 0").select("path", F.col("node").alias("parent"), F.col("line").alias("at"))
-    values = nodes.where("field = 'value'").select("path", "parent", F.col("type").alias("value_type"))
-    targets = nodes.where("type = 'Name' AND field = 'targets'").join(assigns, ["path", "parent"]).join(values, ["path", "parent"]).where("NOT (startswith(name, '__') AND endswith(name, '__'))")
-    literal = F.col("value_type") == "Constant"
-    parts.append(_many(targets, ("N004", literal & ~upper_case(name) & public(name), name), ("N005", ~literal & cap_words(name) & ~shouts(name), name), line="at"))
-    out = reduce(DataFrame.unionByName, parts)
-    if not compat:
-        return out
-    broken = nodes.where(F.col("type").isin(*FUNCTIONS) & F.col("has_doc") & (F.regexp_replace("doc", r"\s", "") == "")).groupBy("path").agg(F.min("line").alias("line"))
-    return out.join(broken.select("path"), "path", "left_anti").select("rule", "path", "line", "context").unionByName(broken.select(F.lit("ERROR").alias("rule"), "path", "line", F.lit("empty docstring").alias("context")))
-
-
-def checkable(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """dimension, total: how many things each dimension checks, over all files; a file that doesn't parse counts by its lines."""
-    n = lines.groupBy("path").agg(F.count("*").alias("n_lines"))
-    t = F.col("type")
-    per = nodes.groupBy("path").agg(
-        F.max(F.col("status") == "ok").alias("ok"), F.count_if(t.isin(*FUNCTIONS)).alias("funcs"), F.count_if(t.isin(*FUNCTIONS) & public(F.col("name"))).alias("public"), F.count_if(t == "ClassDef").alias("classes"),
-        F.count_if(t.isin("Import", "ImportFrom")).alias("imports"), F.count_if((t == "Assign") & (F.col("parent") == 0)).alias("assigns"),
-    )
-    c, lines_ = F.col, F.greatest(F.coalesce("n_lines", F.lit(0)), F.lit(1))
-    count = {"naming": c("funcs") + c("classes") + 1 + c("assigns"), "docstrings": c("public") + 1, "imports": c("imports") + 1, "type_hints": F.greatest(2 * c("public"), F.lit(1)), "complexity": c("funcs") + c("classes") + lines_, "formatting": lines_}
-    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.when(c("ok"), x).otherwise(lines_).cast("long").alias("n")) for d, x in count.items()))
-    return per.join(n, "path", "left").select(F.explode(each).alias("x")).groupBy("x.dimension").agg(F.sum("x.n").alias("total"))
+    one = lambda rule, context: F.struct(F.lit(rule).alias("rule"), context.cast("string").alias("context"))
+    hits, t = [], F.col("type")
+    for kinds, tests in _tests(max_line, max_cc):
+        mine = t.isin(*kinds) if isinstance(kinds, tuple) else t == kinds
+        hits += [F.when(mine & test, one(rule, *(context or [F.lit("")]))) for rule, test, *context in tests if rule not in ignore]
+    # A bare handler is one of every function around it.
+    handlers = F.when((t == "ExceptHandler") & F.col("bare") & F.lit("T003" not in ignore), F.transform("func_names", lambda f: one("T003", f)))
+    every = F.concat(F.filter(F.array(*hits), lambda x: x.isNotNull()), F.coalesce(handlers, F.array().cast("array<struct<rule:string,context:string>>")))
+    if compat:
+        error = F.when(t == "Module", F.array(one("ERROR", F.lit("empty docstring")))).otherwise(F.array().cast("array<struct<rule:string,context:string>>"))
+        every = F.when(F.col("blank_doc").isNotNull(), error).otherwise(every)
+    line = F.when(t.isin("alias", "Name"), F.col("up_line")).when((t == "Module") & F.col("blank_doc").isNotNull() & F.lit(compat), F.col("blank_doc")).otherwise(F.col("line"))
+    return nodes.where("status = 'ok'").select("path", F.coalesce(line, F.lit(0)).alias("line"), F.explode(every).alias("v")).select("v.rule", "path", "line", "v.context")
+
+
+def checkable(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, dimension, total: how many things each dimension checks, over all files; a file that doesn't parse counts by its lines.
+    Read from the first row of each file."""
+    c, lines_ = F.col, F.greatest("n_lines", F.lit(1))
+    count = {"naming": c("n_funcs") + c("n_classes") + 1 + c("n_assigns"), "docstrings": c("n_public") + 1, "imports": c("n_imports") + 1, "type_hints": F.greatest(2 * c("n_public"), F.lit(1)), "complexity": c("n_funcs") + c("n_classes") + lines_, "formatting": lines_}
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), F.when(c("status") == "ok", x).otherwise(lines_).cast("long").alias("n")) for d, x in count.items()))
+    by = by or []
+    return nodes.where("coalesce(node, 0) = 0").select(*by, F.explode(each).alias("x")).groupBy(*by, "x.dimension").agg(F.sum("x.n").alias("total"))
 
 
 def zero_filled(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -200,20 +155,50 @@ def zero_filled(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
     return every.join(rows.groupBy(key).agg(F.count("*").alias("n")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def merged_weights(weights: dict[str, float] | None = None) -> dict[str, float]:
+    """The weights of the dimensions with changes, by their sum; the usual ones if the sum isn't over 0."""
+    kept = {**DIMENSIONS, **(weights or {})}
+    kept = kept if sum(kept.values()) > 0 else DIMENSIONS
+    return {d: w / sum(kept.values()) for d, w in kept.items()}
+
+
 def style_scores(violations: DataFrame, totals: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """dimension, n, total, score, weight: 1 less the share of what is checked that fails, not below 0."""
     spark = violations.sparkSession
-    kept = {**DIMENSIONS, **(weights or {})}
-    kept = kept if sum(kept.values()) > 0 else DIMENSIONS
-    dims = spark.createDataFrame([(d, w / sum(kept.values()), i) for i, (d, w) in enumerate(kept.items())], "dimension string, weight double, place int")
-    n = violations.join(F.broadcast(rules(spark)), "rule").groupBy("dimension").agg(F.count("*").alias("n"))
+    dims = spark.createDataFrame([(d, w, i) for i, (d, w) in enumerate(merged_weights(weights).items())], "dimension string, weight double, place int")
+    n = violations.withColumn("dimension", rule_map(1)[F.col("rule")]).groupBy("dimension").agg(F.count("*").alias("n"))
     out = dims.join(n, "dimension", "left").join(totals, "dimension", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("n") / F.greatest(F.coalesce("total", F.lit(1)), F.lit(1))))
 
 
-def style_metrics(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """raw_score, error_violations, violations: one row."""
-    found = ast_violations(nodes).unionByName(line_violations(lines))
-    scores = style_scores(found, checkable(nodes, lines)).agg(F.sum(F.col("weight") * F.col("score")).alias("raw_score"))
-    errors = found.join(F.broadcast(rules(found.sparkSession)), "rule").agg(F.count_if(F.col("severity") == "error").alias("error_violations"), F.count("*").alias("violations"))
-    return scores.join(errors)
+def rule_map(part: int) -> Column:
+    """What a rule's code stands for: its dimension (1), severity (2) or what is said of it (3)."""
+    return F.create_map(*(F.lit(x) for rule in RULES for x in (rule[0], rule[part])))
+
+
+def file_violations(nodes: DataFrame, lines: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """rule, path, line, context of both kinds of rules; files that don't parse have none."""
+    sound = nodes.where("status = 'ok' AND node = 0").select("path")
+    return ast_violations(nodes, ignore=ignore).unionByName(line_violations(lines.join(sound, "path", "left_semi"), ignore=ignore))
+
+
+def style_metrics(nodes: DataFrame, lines: DataFrame, by: list[str] | None = None, ignore: tuple[str, ...] = (), weights: dict[str, float] | None = None) -> DataFrame:
+    """by, raw_score, violations, error_violations, dims (dimension, score), rules (rule, n; most first, then by file and
+    line) of files that aren't tests; by: columns of paths, none for one row over all. Without files nothing is wrong."""
+    by = by or []
+    is_file = ~test_by_globs(file_of(F.col("path")))
+    nodes, lines = nodes.where(is_file), lines.where(is_file)
+    keyed = lambda df: df.withColumn("snap", snap_of(F.col("path")))
+    found = keyed(file_violations(nodes, lines, ignore))
+    place = F.min(F.struct("path", "line")).alias("place")
+    per = found.groupBy(*by, "rule").agg(F.count("*").alias("n"), place)
+    share = merged_weights(weights)
+    rules_ = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "place", "rule", "n"))), lambda x: F.struct(x["rule"].alias("rule"), x["n"].alias("n")))  # 32 rules
+    counts = per.groupBy(*by).agg(F.sum("n").alias("violations"), F.sum(F.when(rule_map(2)[F.col("rule")] == "error", F.col("n")).otherwise(0)).alias("error_violations"), rules_.alias("rules"))
+    totals = checkable(keyed(nodes), by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("dimension", "total"))).alias("totals"))
+    both = totals.join(counts, by, "left") if by else totals.crossJoin(counts)  # a row each
+    wrong = lambda d: F.aggregate(F.filter(F.coalesce("rules", F.array().cast("array<struct<rule:string,n:bigint>>")), lambda x: rule_map(1)[x["rule"]] == d), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    scores = [F.greatest(F.lit(0.0), 1 - wrong(d) / F.greatest(F.coalesce(F.try_element_at("totals", F.lit(d)), F.lit(1)), F.lit(1))) for d in DIMENSIONS]
+    raw = reduce(Column.__add__, [share[d] * x for d, x in zip(DIMENSIONS, scores, strict=True)])
+    named = F.array(*(F.struct(F.lit(d).alias("dimension"), x.alias("score")) for d, x in zip(DIMENSIONS, scores, strict=True)))
+    return both.select(*by, F.round(raw, 4).alias("raw_score"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("error_violations", F.lit(0)).alias("error_violations"), named.alias("dims"), F.coalesce("rules", F.array().cast("array<struct<rule:string,n:bigint>>")).alias("rules"))

@@ -2,92 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.paths import file_of, snap_of, test_by_name_or_tests
+
 #: How much each kind of dead code counts.
 WEIGHTS = {"unused_import": 1.0, "unused_variable": 0.8, "dead_function": 1.5, "dead_class": 1.5, "unreachable_block": 1.2}
 TERMINATORS = ("Return", "Raise", "Continue", "Break")
 FUNCTIONS = ("FunctionDef", "AsyncFunctionDef")
 BLOCKS = ("body", "orelse", "finalbody")
+#: The pass of dead_code that comes after all files.
+LAST = 3
 
 
 def module_of(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, r"[/\\]", "."), r"\.py$", "")
+    return F.regexp_replace(F.regexp_replace(file_of(path), r"[/\\]", "."), r"\.py$", "")
 
 
-def _kids(nodes: DataFrame, **names: str) -> DataFrame:
-    """path, parent and renamed columns of nodes, to join them to their parents."""
-    return nodes.select("path", "parent", *(F.col(v).alias(k) for k, v in names.items()))
+def _is_def() -> Column:
+    return F.col("type").isin(*FUNCTIONS, "ClassDef")
 
 
-def exported(nodes: DataFrame) -> DataFrame:
-    """path, name of the strings in the first one-target __all__ of a module."""
-    top = nodes.where("type = 'Assign' AND parent = 0")
-    target = _kids(nodes.where("type = 'Name' AND field = 'targets' AND name = '__all__'"), target="node").withColumnRenamed("parent", "node")
-    many = nodes.where("field = 'targets' AND idx > 0").select("path", F.col("parent").alias("node"))
-    lists = _kids(nodes.where("field = 'value' AND type IN ('List', 'Tuple')"), list="node").withColumnRenamed("parent", "node")
-    found = top.join(target, ["path", "node"]).join(many, ["path", "node"], "left_anti").join(lists, ["path", "node"])
-    first = found.groupBy("path").agg(F.min_by("list", "node").alias("parent"))
-    return nodes.where("type = 'Constant' AND const = 'str'").join(first, ["path", "parent"]).select("path", F.col("value").alias("name")).distinct()
+def local_name() -> Column:
+    """What an alias binds: its own name, or the first part of what import names, or what from-import names."""
+    return F.coalesce("as_name", F.when(F.col("up_type") == "Import", F.element_at(F.split("name", r"\."), 1)).otherwise(F.col("name")))
 
 
 def definitions(nodes: DataFrame) -> DataFrame:
     """path, name, qualified_name, kind, line, col, is_public, is_in_all, pre."""
-    defs = nodes.where(F.col("type").isin(*FUNCTIONS, "ClassDef"))
-    kind = F.when(F.col("type") == "ClassDef", "class").when(F.col("type") == "AsyncFunctionDef", "async_function").otherwise("function")
-    defs = defs.select("path", "name", "scope", kind.alias("kind"), "line", "col", "pre")
-    holders = nodes.where(F.col("type").isin("Import", "ImportFrom")).select("path", F.col("node").alias("parent"), F.col("type").alias("holder"), F.col("line").alias("at"), F.col("col").alias("place"))
-    alias = nodes.where("type = 'alias'").join(holders, ["path", "parent"])
-    local = F.coalesce("as_name", F.when(F.col("holder") == "Import", F.element_at(F.split("name", r"\."), 1)).otherwise(F.col("name")))
-    imports = alias.where("holder = 'Import' OR name <> '*'").select("path", local.alias("name"), "scope", F.lit("import").alias("kind"), F.col("at").alias("line"), F.col("place").alias("col"), "pre")
-    stores = nodes.where("type = 'Name' AND ((field = 'targets') OR field = 'target') AND open_defs <= 1")
-    assigns = nodes.where("type IN ('Assign', 'AnnAssign')").select("path", F.col("node").alias("parent"), F.col("line").alias("at"))
-    variables = stores.join(assigns, ["path", "parent"]).select("path", "name", "scope", F.lit("variable").alias("kind"), F.col("at").alias("line"), "col", "pre")
-    every = defs.unionByName(imports).unionByName(variables)
-    marked = every.join(exported(nodes).withColumn("is_in_all", F.lit(True)), ["path", "name"], "left")
-    return marked.select("path", "name", F.concat_ws(".", "scope", "name").alias("qualified_name"), "kind", "line", "col", (~F.startswith(F.col("name"), F.lit("_"))).alias("is_public"), F.coalesce("is_in_all", F.lit(False)).alias("is_in_all"), "pre")
+    t = F.col("type")
+    kind = F.when(t == "ClassDef", "class").when(t == "AsyncFunctionDef", "async_function").when(t == "FunctionDef", "function")
+    kind = kind.when((t == "alias") & ((F.col("up_type") == "Import") | (F.col("name") != "*")), "import")
+    kind = kind.when((t == "Name") & F.col("field").isin("targets", "target") & F.col("up_type").isin("Assign", "AnnAssign") & (F.col("open_defs") <= 1), "variable")
+    alias = t == "alias"
+    found = nodes.withColumn("kind", kind).where("kind is not null").withColumn("local", F.when(alias, local_name()).otherwise(F.col("name")))
+    line, col = F.when(_is_def(), F.col("line")).otherwise(F.col("up_line")), F.when(alias, F.col("up_col")).otherwise(F.col("col"))
+    return found.select("path", F.col("local").alias("name"), F.concat_ws(".", "scope", "local").alias("qualified_name"), "kind", line.alias("line"), col.alias("col"), (~F.startswith("local", F.lit("_"))).alias("is_public"), F.coalesce("in_all", F.lit(False)).alias("is_in_all"), "pre")
 
 
 def usages(nodes: DataFrame) -> DataFrame:
     """path, name, qualified_name, kind (load, attribute, call), line, col, caller; a call of a name is a load and a call."""
-    loads = nodes.where("type = 'Name' AND ctx = 'Load'").select("path", "name", F.col("name").alias("qualified_name"), F.lit("load").alias("kind"), "line", "col", "caller", "node", "parent", "field")
-    owner = nodes.where("type = 'Name' AND field = 'value'").select("path", F.col("parent").alias("node"), F.col("name").alias("owner"))
-    dotted = nodes.where("type = 'Attribute'").join(owner, ["path", "node"])
-    attributes = dotted.select("path", "name", F.concat_ws(".", "owner", "name").alias("qualified_name"), F.when(F.col("ctx") == "Load", "attribute").alias("kind"), "line", "col", "caller", "node", "parent", "field")
-    calls = nodes.where("type = 'Call'").select("path", F.col("node").alias("parent"))
-    funcs = nodes.where("field = 'func' AND type = 'Name'").select("path", "node", "parent").unionByName(dotted.where("field = 'func'").select("path", "node", "parent"))
-    called = funcs.join(calls, ["path", "parent"]).select("path", "node")
-    both = loads.unionByName(attributes)
-    as_calls = both.join(called, ["path", "node"]).withColumn("kind", F.lit("call"))
-    return both.where("kind is not null").unionByName(as_calls).select("path", "name", "qualified_name", "kind", "line", "col", "caller")
+    t, load = F.col("type"), F.col("ctx") == "Load"
+    dotted = (t == "Attribute") & F.col("owner").isNotNull()
+    called = (F.col("field") == "func") & (F.col("up_type") == "Call")
+    kinds = F.array(F.when((t == "Name") & load, "load"), F.when(dotted & load, "attribute"), F.when(called & ((t == "Name") & load | dotted), "call"))
+    qualified = F.concat_ws(".", "owner", "name")
+    return nodes.where(t.isin("Name", "Attribute")).select("path", "name", qualified.alias("qualified_name"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"), "line", "col", "caller")
 
 
 def function_info(nodes: DataFrame) -> DataFrame:
     """A row for each function: its arguments (self and cls too), annotations, docstring, lines and decorators."""
-    funcs = nodes.where(F.col("type").isin(*FUNCTIONS))
-    holders = nodes.where("type = 'arguments' AND field = 'args'").select("path", F.col("node").alias("holder"), F.col("parent").alias("func"))
-    args = nodes.where("type = 'arg'").select("path", F.col("parent").alias("holder"), F.col("name").alias("arg"), "field", F.col("node").alias("arg_node"))
-    noted = nodes.where("field = 'annotation'").select("path", F.col("parent").alias("arg_node"), F.lit(1).alias("noted"))
-    per = args.join(noted, ["path", "arg_node"], "left").join(holders, ["path", "holder"]).groupBy("path", "func").agg(
-        F.count_if(F.col("field").isin("args", "posonlyargs", "kwonlyargs")).alias("arg_count"), F.count_if(F.col("noted").isNull() & ~F.col("arg").isin("self", "cls")).alias("unannotated"),
-        F.count_if(~F.col("arg").isin("self", "cls")).alias("params"))
-    decorators = nodes.where("field = 'decorator_list'").groupBy("path", F.col("parent").alias("func")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("decorator_names"))
-    out = funcs.withColumn("func", F.col("node")).join(per, ["path", "func"], "left").join(decorators, ["path", "func"], "left")
-    return out.select(
-        "path", "node", "name", F.concat_ws(".", module_of(F.col("path")), "name").alias("qualified_name"), "line", (F.col("type") == "AsyncFunctionDef").alias("is_async"), F.coalesce("arg_count", F.lit(0)).alias("arg_count"),
-        F.coalesce("unannotated", F.lit(0)).alias("unannotated"), F.coalesce("params", F.lit(0)).alias("params"), F.col("returns").alias("has_return_annotation"), F.col("has_doc").alias("has_docstring"),
-        (F.col("end_line") - F.col("line") + 1).alias("body_line_count"), F.coalesce("decorator_names", F.array().cast("array<string>")).alias("decorator_names"),
+    return nodes.where(F.col("type").isin(*FUNCTIONS)).select(
+        "path", "node", "name", F.concat_ws(".", module_of(F.col("path")), "name").alias("qualified_name"), "line", (F.col("type") == "AsyncFunctionDef").alias("is_async"), "arg_count", "unannotated", "params",
+        F.col("returns").alias("has_return_annotation"), F.col("has_doc").alias("has_docstring"), (F.col("end_line") - F.col("line") + 1).alias("body_line_count"), F.col("decorators").alias("decorator_names"),
     )
 
 
 def class_info(nodes: DataFrame) -> DataFrame:
     """A row for each class: bases, docstring, methods of its own body."""
-    classes = nodes.where("type = 'ClassDef'")
-    bases = nodes.where("field = 'bases'").groupBy("path", F.col("parent").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("base_names"))
-    methods = nodes.where(F.col("type").isin(*FUNCTIONS) & (F.col("field") == "body")).groupBy("path", F.col("parent").alias("node")).agg(F.count("*").alias("method_count"))
-    out = classes.join(bases, ["path", "node"], "left").join(methods, ["path", "node"], "left")
-    return out.select("path", "name", F.concat_ws(".", module_of(F.col("path")), "name").alias("qualified_name"), "line", F.coalesce("base_names", F.array().cast("array<string>")).alias("base_names"), F.col("has_doc").alias("has_docstring"), F.coalesce("method_count", F.lit(0)).alias("method_count"))
+    return nodes.where("type = 'ClassDef'").select("path", "name", F.concat_ws(".", module_of(F.col("path")), "name").alias("qualified_name"), "line", F.col("bases").alias("base_names"), F.col("has_doc").alias("has_docstring"), F.col("methods").alias("method_count"))
 
 
 def annotation_stats(nodes: DataFrame) -> DataFrame:
@@ -99,33 +75,24 @@ def annotation_stats(nodes: DataFrame) -> DataFrame:
 
 def unused_imports(nodes: DataFrame) -> DataFrame:
     """kind, name, path, line, weight of imports that no name, attribute or call of the file uses."""
-    alias = nodes.where("type = 'alias' AND name <> '*'")
-    holders = nodes.where(F.col("type").isin("Import", "ImportFrom")).select("path", F.col("node").alias("parent"), F.col("line").alias("at"))
-    local = alias.join(holders, ["path", "parent"]).select("path", F.coalesce("as_name", F.element_at(F.split("name", r"\."), 1)).alias("name"), F.col("at").alias("line"), F.col("node").alias("seq"))
-    return local.join(usages(nodes).select("path", "name"), ["path", "name"], "left_anti").select(F.lit("unused_import").alias("kind"), "name", "path", "line", F.lit(WEIGHTS["unused_import"]).alias("weight"), "seq")
+    local = F.coalesce("as_name", F.element_at(F.split("name", r"\."), 1))
+    bound = nodes.where("type = 'alias' AND name <> '*'").select("path", local.alias("name"), F.col("up_line").alias("line"), F.col("node").alias("seq"))
+    return bound.join(usages(nodes).select("path", "name"), ["path", "name"], "left_anti").select(F.lit("unused_import").alias("kind"), "name", "path", "line", F.lit(WEIGHTS["unused_import"]).alias("weight"), "seq")
 
 
 def unused_variables(nodes: DataFrame) -> DataFrame:
     """Names that a module or function body assigns, not private and not upper case, and that nothing below the body loads."""
-    bodies = nodes.where(F.col("type").isin("Module", *FUNCTIONS)).select("path", F.col("node").alias("body"), F.col("name").alias("func"))
-    assigns = nodes.where("type IN ('Assign', 'AnnAssign') AND field = 'body'").select("path", F.col("node").alias("parent"), F.col("parent").alias("body"), F.col("line").alias("at"), F.col("idx").alias("order"))
-    stored = nodes.where("type = 'Name' AND field IN ('targets', 'target') AND NOT startswith(name, '_')").where(~((F.upper("name") == F.col("name")) & (F.lower("name") != F.col("name"))))
-    assigned = stored.join(assigns, ["path", "parent"]).join(bodies, ["path", "body"]).groupBy("path", "body", "func", "name").agg(F.max_by("at", F.struct("order", "idx")).alias("line"), F.min("node").alias("seq"))
-    loads = nodes.where("type = 'Name' AND ctx = 'Load'")
-    # A load belongs to the body of every function around it unless it stands outside the body, in a decorator or default.
-    inside = loads.select("path", "name", F.explode(F.concat(F.array(F.lit(0)), "funcs")).alias("body"), "node")
-    outside = _outside_bodies(nodes)
-    loaded = inside.join(outside, ["path", "body", "node"], "left_anti").select("path", "body", "name").distinct()
+    assigns = nodes.where("type IN ('Assign', 'AnnAssign') AND field = 'body'").where(F.col("up_type").isin("Module", *FUNCTIONS)).select("path", F.col("node").alias("parent"), F.col("parent").alias("body"), F.col("up_name").alias("func"), F.col("line").alias("at"), F.col("idx").alias("order"))
+    stored = nodes.where("type = 'Name' AND field IN ('targets', 'target') AND up_type IN ('Assign', 'AnnAssign') AND NOT startswith(name, '_')").where(~((F.upper("name") == F.col("name")) & (F.lower("name") != F.col("name"))))
+    assigned = stored.join(assigns, ["path", "parent"]).groupBy("path", "body", "func", "name").agg(F.max_by("at", F.struct("order", "idx")).alias("line"), F.min("node").alias("seq"))
+    # A load belongs to the module and to the body of every function around it, unless it stands in that function's head.
+    bodies = F.array_except(F.concat(F.array(F.lit(0)), "funcs"), "heads")
+    loaded = nodes.where("type = 'Name' AND ctx = 'Load'").select("path", F.explode(bodies).alias("body"), "name").distinct()
     unused = assigned.join(loaded, ["path", "body", "name"], "left_anti")
     label = F.when(F.col("body") == 0, module_of(F.col("path"))).otherwise(F.concat(module_of(F.col("path")), F.lit(":"), "func"))
     return unused.select(F.lit("unused_variable").alias("kind"), F.concat_ws(".", label, "name").alias("name"), "path", "line", F.lit(WEIGHTS["unused_variable"]).alias("weight"), "seq")
 
 
-def _outside_bodies(nodes: DataFrame) -> DataFrame:
-    """path, body, node of what stands in the head of a function: decorators, arguments, the annotation of what it returns."""
-    return nodes.select("path", F.explode("heads").alias("body"), "node")
-
-
 def statements(nodes: DataFrame) -> DataFrame:
     """Statements with the block they stand in (parent, field) and whether they end it."""
     held = nodes.where(F.col("field").isin(*BLOCKS) & F.col("line").isNotNull())
@@ -134,9 +101,8 @@ def statements(nodes: DataFrame) -> DataFrame:
 
 def unreachable(nodes: DataFrame) -> DataFrame:
     """Every statement after one that ends its block; blocks of match statements aren't looked at."""
-    in_match = nodes.where("type = 'match_case'").select("path", F.col("node").alias("parent"))
     w = Window.partitionBy("path", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    dead = statements(nodes).join(in_match, ["path", "parent"], "left_anti").withColumn("dead", F.coalesce(F.max("ends").over(w), F.lit(False))).where("dead")
+    dead = statements(nodes).where("up_type <> 'match_case'").withColumn("dead", F.coalesce(F.max("ends").over(w), F.lit(False))).where("dead")
     return dead.select(F.lit("unreachable_block").alias("kind"), F.concat(module_of(F.col("path")), F.lit(":"), "field", F.lit("@"), "parent", F.lit(":unreachable@L"), "line").alias("name"), "path", "line", F.lit(WEIGHTS["unreachable_block"]).alias("weight"), F.col("node").alias("seq"))
 
 
@@ -144,43 +110,43 @@ def unreachable_next(nodes: DataFrame) -> DataFrame:
     """Within functions, the statement right after one that ends its block, unless it is pass or an ellipsis; a statement of
     nested functions is given once for each."""
     w = Window.partitionBy("path", "block").orderBy("idx")
-    dots = nodes.where("type = 'Constant' AND const = 'ellipsis' AND field = 'value'").select("path", F.col("parent").alias("node"), F.lit(True).alias("dots"))
-    s = statements(nodes).where(F.size("funcs") > 0).join(dots, ["path", "node"], "left").withColumn("after", F.when(F.lag("ends").over(w), F.lower(F.lag("type").over(w)))).where("after is not null")
-    s = s.where("type <> 'Pass' AND NOT (type = 'Expr' AND coalesce(dots, false))")
-    names = nodes.where(F.col("type").isin(*FUNCTIONS)).select("path", F.col("node").alias("func"), F.col("name").alias("function_name"))
-    around = F.when(F.col("type").isin(*FUNCTIONS), F.slice("funcs", 1, F.greatest(F.size("funcs") - 1, F.lit(0)))).otherwise(F.col("funcs"))
-    return s.select("path", "line", F.col("after").alias("after_kind"), F.explode(around).alias("func")).join(names, ["path", "func"]).select("path", "line", "after_kind", "function_name")
+    s = statements(nodes).where(F.size("funcs") > 0).withColumn("after", F.when(F.lag("ends").over(w), F.lower(F.lag("type").over(w)))).where("after is not null")
+    s = s.where("type <> 'Pass' AND NOT (type = 'Expr' AND coalesce(value_const, '') = 'ellipsis')")
+    around = F.when(F.col("type").isin(*FUNCTIONS), F.slice("func_names", 1, F.greatest(F.size("funcs") - 1, F.lit(0)))).otherwise(F.col("func_names"))
+    return s.select("path", "line", F.col("after").alias("after_kind"), F.explode(around).alias("function_name"))
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("nth = 1").drop("nth")
 
 
-def aggregate_dead(rows: DataFrame) -> DataFrame:
-    """Of dead code (kind, name, path, weight, pass, seq): weighted_total, raw_count and by_kind; of equal path and name
-    the first counts."""
-    unique = first_per_key(rows, ["path", "name"], ["pass", "seq"])
-    kinds = unique.groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    return kinds.agg(F.coalesce(F.round(F.sum("w"), 3), F.lit(0.0)).alias("weighted_total"), F.coalesce(F.sum("n"), F.lit(0)).alias("raw_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_kind"))
+def aggregate_dead(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of dead code (kind, name, path, weight, pass, seq), for each value of by: weighted_total, raw_count, by_kind, and kinds in
+    the order in which they come: file by file, symbols that nothing reaches last. Of equal path and name the first counts."""
+    by = by or []
+    unique = first_per_key(rows, [*by, "path", "name"], ["pass", "seq"])
+    place = F.min(F.struct((F.col("pass") == LAST).alias("last"), "path", "pass", "seq"))
+    kinds = unique.groupBy(*by, "kind").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), place.alias("place"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("place", "kind"))), lambda x: x["kind"])  # five kinds
+    return kinds.groupBy(*by).agg(F.coalesce(F.round(F.sum("w"), 3), F.lit(0.0)).alias("weighted_total"), F.coalesce(F.sum("n"), F.lit(0)).alias("raw_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_kind"), order.alias("kinds"))
 
 
 def dead_code(nodes: DataFrame, reachable: DataFrame | None = None, skip_tests: bool = True) -> DataFrame:
-    """The four passes together: unused imports and variables, symbols that reachable (qualified_name) doesn't hold, and
-    unreachable statements. Without reachable no symbol is live."""
-    symbols = definitions(nodes).groupBy("qualified_name").agg(F.max_by(F.struct("path", "name", "line"), F.struct("path", "pre")).alias("s"), F.min("pre").alias("seq"))
+    """The four passes together: unused imports and variables, unreachable statements, and symbols that reachable
+    (qualified_name) doesn't hold. Without reachable no symbol is live. Test files are left out with skip_tests."""
+    nodes = nodes.where(~test_by_name_or_tests(file_of(F.col("path")))) if skip_tests else nodes
+    snap = snap_of(F.col("path")).alias("snap")
+    symbols = definitions(nodes).groupBy(snap, "qualified_name").agg(F.max_by(F.struct("path", "name", "line"), F.struct("path", "pre")).alias("s"), F.min("pre").alias("seq"))
     symbols = symbols.join(reachable, "qualified_name", "left_anti") if reachable is not None else symbols
     first_upper = F.substring("s.name", 1, 1) != F.lower(F.substring("s.name", 1, 1))
     kind = F.when(first_upper, "dead_class").otherwise("dead_function")
     callables = symbols.select(kind.alias("kind"), F.col("qualified_name").alias("name"), F.col("s.path").alias("path"), F.col("s.line").alias("line"), F.lit(WEIGHTS["dead_function"]).alias("weight"), "seq")
-    parts = [unused_imports(nodes), unused_variables(nodes), callables, unreachable(nodes)]
-    out = None
-    for i, part in enumerate(parts):
-        part = part.withColumn("pass", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def clone_groups(nodes: DataFrame, kinds: tuple[str, ...] = FUNCTIONS) -> DataFrame:
-    """norm_hash, members, n of definitions with one shape; groups of two or more."""
-    found = nodes.where(F.col("type").isin(*kinds)).groupBy("norm_hash").agg(F.array_sort(F.collect_list(F.concat(F.col("path"), F.lit(":"), F.col("name")))).alias("members"), F.count("*").alias("n"))
-    return found.where("n > 1")
+    parts = [unused_imports(nodes), unused_variables(nodes), unreachable(nodes), callables]
+    return reduce(DataFrame.unionByName, [part.withColumn("pass", F.lit(i)) for i, part in enumerate(parts)])
+
+
+def clone_members(nodes: DataFrame, kinds: tuple[str, ...] = FUNCTIONS) -> DataFrame:
+    """norm_hash, path, name, line, n of definitions whose shape others have too: a row each, however many they are."""
+    found = nodes.where(F.col("type").isin(*kinds)).select("norm_hash", "path", "name", "line")
+    often = found.groupBy("norm_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return found.join(often, "norm_hash")

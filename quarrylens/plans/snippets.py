@@ -158,7 +158,7 @@ def dead_code_total(spark, sf):
 def clone_groups(spark, sf):
     rows = [("a.py", 'def f(x):\n    """One."""\n    y = x + 1\n    return y\n'), ("b.py", "def f(p):\n    q = p + 27\n    return q\n"), ("c.py", "def f(p):\n    q = p * 27\n    return q\n")]
     found = astfacts.ast_nodes(spark.createDataFrame(rows, "path string, text string"))
-    return symbols.clone_groups(found).select(F.array_join("members", ",").alias("members"), "n")
+    return symbols.clone_members(found).groupBy("norm_hash", "n").agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit(":"), "name"))), ",").alias("members")).select("members", "n")
 
 
 @query(values("path, local, target", "'shop.py', 'os', 'os'", "'shop.py', 'j', 'json'", "'shop.py', 'Decimal', 'decimal.Decimal'", "'shop.py', 'util', '.util'", "'pkg/util.py', 'walk', 'shop.walk'", "'pkg/util.py', 'sys', 'sys'", "'pkg/util.py', 're', 're'"))
@@ -192,7 +192,7 @@ def style_dimension_scores(spark, sf):
     n = nodes(spark)
     lined = lines.source_lines(files(spark))
     found = style.ast_violations(n).unionByName(lines.line_violations(lined))
-    return style.style_scores(found, style.checkable(n, lined)).select("dimension", "n", "total")
+    return style.style_scores(found, style.checkable(n)).select("dimension", "n", "total")
 
 
 @query(values("name, time, space, reason", "'add', 4, 0, '2_nested_loops → O(n²)'", "'Find', 0, 0, 'no loops or recursion detected'", "'walk', 6, 2, 'recursive_2_branches_no_memo → add @lru_cache'", "'join', 4, 0, 'str_concat_in_loop → use ''''.join(parts)'", "'fold', 4, 0, 'str_concat_in_loop → use ''''.join(parts)'", "'top', 0, 0, 'no loops or recursion detected'"))
@@ -208,9 +208,7 @@ def complexity_cost(spark, sf):
 
 @query(values("name, cc", "'add', 3", "'Find', 2", "'walk', 2", "'join', 2", "'fold', 2", "'top', 1"))
 def cyclomatic(spark, sf):
-    n = nodes(spark)
-    names = n.where(F.col("type").isin(*symbols.FUNCTIONS)).select("path", F.col("node").alias("func"), "name")
-    return style.function_facts(n).join(names, ["path", "func"]).select("name", "cc")
+    return style.function_facts(nodes(spark)).select("name", "cc")
 
 
 @query(values("id, text", "1, 'a' || chr(10) || 'B' || chr(10) || 'c' || chr(10)", "2, 'x' || chr(10) || 'y' || chr(10)"))
@@ -346,7 +344,7 @@ def top_rules(spark, sf):
 def weakest_dimensions(spark, sf):
     n, lined = nodes(spark), lines.source_lines(files(spark))
     found = style.ast_violations(n).unionByName(lines.line_violations(lined))
-    return sinks.weakest_dimensions(style.style_scores(found, style.checkable(n, lined))).select("dimension")
+    return sinks.weakest_dimensions(style.style_scores(found, style.checkable(n))).select("dimension")
 
 
 @query(values("dst, callers", "'shop', 1", "'shop.walk', 1", "'os', 1", "'sys', 1").replace("('os', 1), ", "('os', 1), "))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quarrylens.functions import paths
 
 
-def read_sources(spark: SparkSession, root: str, glob: str = "*.py", exclude: tuple[str, ...] = paths.EXCLUDED) -> DataFrame:
-    """path (below root), text, size_bytes, mtime of the source files under root; bad bytes are replaced."""
+def read_sources(spark: SparkSession, root: str, glob: str = "*.py", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path (below root), text, size_bytes, mtime of the source files under root, without the folders that are always left out
+    and those of exclude; bad bytes are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     below = F.regexp_replace("path", f"^.*?\\Q{base}\\E/", "")

@@ -32,7 +32,7 @@ def test_scores(spark):
 
 
 def test_rounding_is_that_of_python(spark):
-    assert spark.range(1).select(scoring.python_round(F.lit(2.675), F.lit(2))).first()[0] == 2.67
+    assert spark.range(1).select(scoring.python_round(F.lit(2.675), 2)).first()[0] == 2.67
 
 
 @pytest.mark.parametrize(("scores", "total"), [([(1, 0.8, 0.9)], 0.72), ([(1, 0.5, 0.8), (1, 0.3, 0.9), (1, 0.2, 0.7)], 0.81)])
