@@ -163,10 +163,11 @@ def _sets(n: int):
 
 
 def _items(docs: DataFrame, classes: DataFrame, need: DataFrame, n: int) -> DataFrame:
-    """node, items of the classes of need (node): the full set, from the text of any row that has it."""
+    """node, items of the classes of need (node): the full set, from the text of any row that has it. Written, so that joins
+    with it can split the partition of a class that very many pairs have."""
     at = need.distinct().join(classes, "node").select(F.col("rep").alias("doc_id"), "node", "s1", "s2")
     texts = docs.join(at, "doc_id").select("node", "text", "s1", "s2")
-    return texts.mapInArrow(_sets(n), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    return staged(texts.mapInArrow(_sets(n), "node long, items binary").groupBy("node").agg(F.first("items").alias("items")), "sets")
 
 
 def _confirm(percent: int):
