@@ -39,8 +39,11 @@ def style_score(baseline: Column | str, current: Column | str, violations: Colum
     return F.when(b >= 1, F.when(n == 0, 1.0).otherwise(0.0)).when(c < b, 0.0).otherwise(clamp((c - b) / F.greatest(1 - b, F.lit(0.01))))
 
 
-def complexity_score(cc_base: Column | str, cc_now: Column | str, o_base: Column | str, o_now: Column | str) -> Column:
-    return F.greatest(F.lit(0.01), clamp(0.55 * delta_score(cc_base, cc_now) + 0.45 * delta_score(o_base, o_now)))
+def complexity_score(cc_base: Column | str, cc_now: Column | str, o_base: Column | str, o_now: Column | str, instead: Column | None = None) -> Column:
+    """instead, where it isn't null, stands for the part of cyclomatic costs, as when the tool that measures them has failed."""
+    cc = delta_score(cc_base, cc_now)
+    cc = cc if instead is None else F.coalesce(instead, cc)
+    return F.greatest(F.lit(0.01), clamp(0.55 * clamp(cc) + 0.45 * delta_score(o_base, o_now)))
 
 
 def coverage_constraint(pass_rate: Column | str, coverage: Column | str, baseline: Column | str) -> Column:

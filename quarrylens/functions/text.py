@@ -33,8 +33,8 @@ def basic_regex(pattern: str) -> str:
             continue
         if c == "[":
             end = pattern.find("]", at + 2 + (after == "^"))
-            while end > 0 and (opened := pattern.rfind("[:", at + 1, end)) >= 0 and pattern.find(":]", opened, end + 1) < 0:
-                end = pattern.find("]", end + 1)  # the end of a class such as [:alpha:]
+            while end > 0 and pattern[end - 1] == ":" and pattern.rfind("[:", at + 1, end - 1) > pattern.rfind(":]", at + 1, end - 1):
+                end = pattern.find("]", end + 1)  # that was the end of a class such as [:alpha:]
             if end < 0:
                 out.append("\\[")
             else:

@@ -5,20 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import scoring
+from quarrylens.operators.style import rule_map
 
 
 @dataclass(frozen=True)
 class Grader:
-    """metrics: names of the columns it reads of the current (x) and the baseline snapshot (b_x); score and added: their expressions."""
+    """metrics: names of the columns it reads of the current (x) and the baseline snapshot (b_x); score and added: their
+    expressions; said: texts for people, errors and tool_errors, from the same columns and score; penalty: added as text."""
 
     name: str
     metrics: tuple[str, ...]
-    score: Callable
-    added: Callable
+    score: Callable[[], Column]
+    added: Callable[[], Column]
+    said: Callable[[], Column] = lambda: F.array().cast("array<string>")
+    errors: Callable[[], Column] = lambda: F.array().cast("array<string>")
+    tool_errors: Callable[[], Column] = lambda: F.array().cast("array<string>")
+    penalty: Callable[[], Column] = lambda: F.col("added").cast("long").cast("string")
 
 
 GRADERS: dict[str, Grader] = {}
@@ -31,27 +37,169 @@ def register(grader: Grader) -> Grader:
     return grader
 
 
-register(Grader("lint", ("violations",), lambda: scoring.lint_score("b_violations", "violations")[0], lambda: scoring.lint_score("b_violations", "violations")[1]))
-register(Grader("symbol", ("weighted_total",), lambda: scoring.symbol_score("b_weighted_total", "weighted_total")[0], lambda: scoring.symbol_score("b_weighted_total", "weighted_total")[1]))
-register(Grader("style", ("raw_score", "violations", "error_violations"), lambda: scoring.style_score("b_raw_score", "raw_score", "violations"), lambda: F.greatest(F.lit(0), F.col("error_violations") - F.col("b_error_violations"))))
-register(Grader("complexity", ("cc_cost_sum", "bigO_cost_sum"), lambda: scoring.complexity_score("b_cc_cost_sum", "cc_cost_sum", "b_bigO_cost_sum", "bigO_cost_sum"), lambda: F.lit(0)))
-register(Grader("coverage", ("pass_rate", "line_coverage"), lambda: scoring.coverage_constraint("pass_rate", "line_coverage", "b_line_coverage"), lambda: F.lit(0)))
+def texts(*found: Column) -> Column:
+    """An array of the texts that aren't null."""
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def shown(x: Column | str, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", F.col(x).cast("double") if isinstance(x, str) else x.cast("double"))
+
+
+def percent(x: Column | str, digits: int = 0) -> Column:
+    return F.concat(shown((F.col(x) if isinstance(x, str) else x) * 100, digits), F.lit("%"))
+
+
+def _lint_said() -> Column:
+    b, c = F.col("b_violations"), F.col("violations")
+    arrow = F.when(c < b, F.concat(F.lit("↓"), b - c)).when(c > b, F.concat(F.lit("↑"), c - b)).otherwise("→0")
+    both = F.concat(F.lit("Lint: "), b, F.lit(" → "), c, F.lit(" violations ("), arrow, F.lit(")  score="), shown("score", 2))
+    return texts(F.when(b == 0, "Lint: baseline was already clean (0 violations).").otherwise(both))
+
+
+def _symbol_said() -> Column:
+    b, c = F.col("b_raw_count"), F.col("raw_count")
+    direction = F.when(b > c, F.concat(F.lit("-"), b - c)).when(b < c, F.concat(F.lit("+"), c - b, F.lit(" (regression)"))).otherwise("no change")
+    kinds = F.transform(F.slice("kinds", 1, 3), lambda k: F.concat(F.replace(k, F.lit("_"), F.lit(" ")), F.lit(" ×"), F.element_at("by_kind", k)))
+    left = F.when(F.size("kinds") > 0, F.concat(F.lit(" Remaining: "), F.array_join(kinds, ", "), F.lit("."))).otherwise("")
+    return texts(F.concat(F.lit("Dead code: "), b, F.lit(" → "), c, F.lit(" ("), direction, F.lit("). Weighted: "), shown("b_weighted_total", 1), F.lit(" → "), shown("weighted_total", 1), F.lit(" ("), percent("score"), F.lit(" eliminated)."), left))
+
+
+def _style_said() -> Column:
+    said = rule_map(3)
+    top = F.transform(F.slice("rules", 1, 3), lambda r: F.concat(r["rule"], F.lit("×"), r["n"], F.lit(" ("), F.substring(said[r["rule"]], 1, 30), F.lit("…)")))
+    rules = F.array_join(top, ", ")
+    weak = F.slice(F.array_sort("dims", lambda x, y: F.when(x["score"] < y["score"], -1).when(x["score"] > y["score"], 1).otherwise(0)), 1, 2)
+    weakest = F.array_join(F.transform(F.filter(weak, lambda d: d["score"] < 1), lambda d: F.concat(d["dimension"], F.lit("="), percent(d["score"]))), ", ")
+    b, c = shown("b_raw_score", 2), shown("raw_score", 2)
+    worse = F.concat(F.lit("[Style] Regression vs baseline (raw "), c, F.lit(" < baseline "), b, F.lit("). Top violations: "), F.when(rules == "", "see violations list").otherwise(rules), F.lit("."))
+    better = F.concat(F.lit("[Style] delta="), percent("score"), F.lit(" (raw "), b, F.lit("→"), c, F.lit("). Weakest dims: "), weakest, F.lit(". Top rules: "), rules, F.lit("."))
+    gold = F.lit("[Style] Gold standard — zero violations (Google Python Style Guide).")
+    return texts(F.when(F.col("score") >= 1, gold).when(F.col("raw_score") < F.col("b_raw_score"), worse).otherwise(better))
+
+
+def _complexity_said() -> Column:
+    arrow = lambda x: F.when(F.col(x) < F.col(f"b_{x}"), "↓").when(F.col(x) > F.col(f"b_{x}"), "↑").otherwise("→")
+    both = lambda x: F.concat(shown(f"b_{x}", 1), F.lit("→"), shown(x, 1))
+    worst = F.col("worst")
+    patterns = F.when(F.size(worst["patterns"]) > 0, F.array_join(worst["patterns"], ", ")).otherwise("none")
+    tail = F.when(worst.isNotNull(), F.concat(F.lit(" Worst fn: '"), worst["qualified_name"], F.lit("' ("), worst["class"], F.lit(", cost="), shown(worst["cost"], 1), F.lit("). Patterns: "), patterns, F.lit("."))).otherwise("")
+    head = F.concat(F.lit("[Complexity] CC cost: "), both("cc_cost_sum"), F.lit(" "), arrow("cc_cost_sum"), F.lit(" (avg CC "), both("cc_avg"), F.lit("); Big-O cost: "), both("bigO_cost_sum"), F.lit(" "), arrow("bigO_cost_sum"), F.lit(". Score: "), shown("score", 3), F.lit(" (CC×0.55 + BigO×0.45)."))
+    return texts(F.concat(head, tail), F.when(F.col("tool_error") != "", F.concat(F.lit("[radon: "), "tool_error", F.lit("]"))))
+
+
+def _complexity_errors() -> Column:
+    both = lambda x: F.concat(shown(f"b_{x}", 1), F.lit("→"), shown(x, 1))
+    worse = (F.col("cc_cost_sum") > F.col("b_cc_cost_sum")) | (F.col("bigO_cost_sum") > F.col("b_bigO_cost_sum"))
+    return texts(F.when(worse, F.concat(F.lit("[complexity] regression: CC cost "), both("cc_cost_sum"), F.lit(", Big-O cost "), both("bigO_cost_sum"))))
+
+
+def _coverage_parts() -> tuple[Column, Column, Column, Column]:
+    b, c = F.col("b_line_coverage"), F.col("line_coverage")
+    points = F.round((c - b) * 100, 1)
+    change = F.concat(F.when(points >= 0, "+").otherwise(""), shown(points, 1), F.lit("pp"))
+    return F.concat(percent(b, 1), F.lit(" → "), percent(c, 1)), change, F.concat("passed", F.lit("/"), "total"), percent("pass_rate")
+
+
+def _coverage_failed() -> Column:
+    return F.col("run_error") != ""
+
+
+def _coverage_said(target: Column | None) -> Column:
+    moved, change, tests, rate = _coverage_parts()
+    b, c = F.col("b_line_coverage"), F.col("line_coverage")
+    stopped = F.concat(F.lit("[Coverage] pytest did not complete: "), "run_error")
+    if target is None:
+        end = F.when(c >= b - 0.02, ".").otherwise(" — dropped beyond 2% tolerance; score halved.")
+        text = F.concat(F.lit("[Coverage/constraint] "), tests, F.lit(" tests pass ("), rate, F.lit("). Coverage: "), moved, F.lit(" ("), change, F.lit(")"), end)
+    else:
+        goal, head = percent(target, 1), F.lit("[Coverage/objective] ")
+        worse = F.concat(head, F.lit("Coverage regressed: "), moved, F.lit(" ("), change, F.lit("). Target: "), goal, F.lit(". Tests: "), tests, F.lit("."))
+        done = F.concat(head, F.lit("Target reached! Coverage "), percent(c, 1), F.lit(" ≥ "), goal, F.lit(". Tests: "), tests, F.lit("."))
+        rest = F.concat(head, F.lit("Coverage: "), moved, F.lit(" ("), change, F.lit(", "), percent("score"), F.lit(" toward "), goal, F.lit("). Tests: "), tests, F.lit(" ("), rate, F.lit(")."))
+        text = F.when(c < b, worse).when(F.col("score") >= 1, done).otherwise(rest)
+    return texts(F.when(_coverage_failed(), stopped).otherwise(text))
+
+
+def coverage_grader(mode: str = "constraint", target: float = 0.80) -> Grader:
+    """The grader of test runs: coverage as something to keep, or as something to raise to a target."""
+    if mode == "objective":
+        score = lambda: scoring.coverage_objective("pass_rate", "line_coverage", "b_line_coverage", F.lit(target))
+    else:
+        score = lambda: scoring.coverage_constraint("pass_rate", "line_coverage", "b_line_coverage")
+    errors = lambda: texts(F.when(F.col("timed_out"), F.concat(F.lit("pytest timed out after "), F.lit("unknown"), F.lit("s"))))
+    said = lambda: _coverage_said(F.lit(target) if mode == "objective" else None)
+    return Grader(
+        "coverage", ("pass_rate", "line_coverage"), lambda: scoring.python_round(F.when(_coverage_failed(), 0.0).otherwise(score()), 4), lambda: F.lit(0), said, errors,
+        lambda: texts(F.when(_coverage_failed(), F.col("run_error"))))
+
+
+register(Grader(
+    "lint", ("violations", "tool_error"), lambda: scoring.lint_score("b_violations", "violations")[0], lambda: scoring.lint_score("b_violations", "violations")[1], _lint_said,
+    lambda: texts(F.when(F.col("added") > 0, F.concat(F.lit("[lint] regression: "), F.col("added").cast("long"), F.lit(" new violation(s) introduced vs baseline.")))),
+    lambda: texts(F.when(F.col("tool_error").isNotNull(), F.concat(F.lit("[lint] ruff failed: "), "tool_error")), F.when(F.col("b_tool_error").isNotNull(), F.concat(F.lit("[lint] ruff failed at baseline: "), "b_tool_error"))),
+))
+register(Grader("symbol", ("weighted_total", "raw_count"), lambda: scoring.symbol_score("b_weighted_total", "weighted_total")[0], lambda: scoring.symbol_score("b_weighted_total", "weighted_total")[1], _symbol_said, penalty=lambda: shown("added", 1)))
+register(Grader(
+    "style", ("raw_score", "violations", "error_violations"), lambda: scoring.python_round(scoring.style_score("b_raw_score", "raw_score", "violations"), 4),
+    lambda: F.greatest(F.lit(0), F.col("error_violations") - F.col("b_error_violations")), _style_said,
+))
+register(Grader(
+    "complexity", ("cc_cost_sum", "cc_avg", "bigO_cost_sum", "tool_error"), lambda: scoring.python_round(scoring.complexity_score("b_cc_cost_sum", "cc_cost_sum", "b_bigO_cost_sum", "bigO_cost_sum", F.when((F.col("tool_error") != "") | (F.col("b_tool_error") != ""), scoring.delta_score("b_cc_avg", "cc_avg"))), 4),
+    lambda: F.lit(0), _complexity_said, _complexity_errors,
+))
+register(coverage_grader())
 register(Grader("mock", (), lambda: F.lit(0.5), lambda: F.lit(0)))
 
 
 def graded(snapshots: DataFrame, grader: Grader) -> DataFrame:
-    """episode_id, step, grader_id, score, added of snapshots (episode_id, step, metrics); the first step is the baseline."""
+    """episode_id, step, grader_id, score, added, said, errors, tool_errors, penalty of snapshots (episode_id, step, metrics);
+    the first step is the baseline. Metrics that only texts read may be absent, and then those texts are empty."""
     first = Window.partitionBy("episode_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    both = snapshots.select("*", *(F.first(m).over(first).alias(f"b_{m}") for m in grader.metrics))
-    return both.select("episode_id", "step", F.lit(grader.name).alias("grader_id"), grader.score().cast("double").alias("score"), grader.added().cast("double").alias("added"))
+    have = [m for m in grader.metrics if m in snapshots.columns]
+    both = snapshots.select("*", *(F.first(m).over(first).alias(f"b_{m}") for m in have))
+    for m in grader.metrics:
+        if m not in have:
+            both = both.withColumns({m: F.lit(None).cast("string"), f"b_{m}": F.lit(None).cast("string")})
+    out = both.withColumn("score", grader.score().cast("double")).withColumn("added", grader.added().cast("double"))
+    out = out.withColumn("errors", grader.errors()).withColumn("tool_errors", grader.tool_errors()).withColumn("penalty", F.when(F.col("added") > 0, grader.penalty()))
+    needed = READ.get(grader.name, ())
+    out = out.withColumn("said", grader.said() if set(needed) <= set(snapshots.columns) else F.array().cast("array<string>"))
+    return out.select("episode_id", "step", F.lit(grader.name).alias("grader_id"), "score", "added", "said", "errors", "tool_errors", "penalty")
+
+
+#: What the texts of a grader read besides its metrics.
+READ = {"symbol": ("kinds", "by_kind", "raw_count"), "style": ("rules", "dims"), "complexity": ("worst", "tool_error", "cc_avg"), "coverage": ("passed", "total", "run_error", "timed_out")}
+MOST_SPECS = 10_000
 
 
 def step_scores(grades: DataFrame, specs: DataFrame) -> DataFrame:
-    """episode_id, step, step_score, is_regression, penalties of grades (grader_id, score, added) under specs (grader_id,
-    weight); penalties in the order of falling weights, then names. The sum is not clamped."""
-    w = grades.join(F.broadcast(specs), "grader_id")
-    penalties = F.transform(F.filter(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "grader_id", "added"))), lambda x: x["added"] > 0), lambda x: x["added"].cast("long").cast("string"))
-    return w.groupBy("episode_id", "step").agg(F.sum(F.col("weight") * F.col("score")).alias("step_score"), F.max(F.col("added") > 0).alias("is_regression"), penalties.alias("penalties"))
+    """episode_id, step, step_score, is_regression, penalties, said, errors, tool_errors of grades under specs (grader_id,
+    weight, and place where equal weights keep an order); lists are in the order of falling weights, then places, then names.
+    The sum is rounded to four digits and not clamped. There are MOST_SPECS specs at most."""
+    if specs.limit(MOST_SPECS + 1).count() > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} specs")
+    specs = specs if "place" in specs.columns else specs.withColumn("place", F.lit(0))
+    rows = grades.join(F.broadcast(specs.select("grader_id", "weight", "place")), "grader_id")
+    text = F.array().cast("array<string>")
+    held = {c: F.col(c) if c in grades.columns else text for c in ("said", "errors", "tool_errors")}
+    penalty = F.col("penalty") if "penalty" in grades.columns else F.when(F.col("added") > 0, F.col("added").cast("long").cast("string"))
+    rows = rows.select("episode_id", "step", "weight", "score", "added", F.struct((-F.col("weight")).alias("w"), "place", "grader_id", penalty.alias("penalty"), *(v.alias(k) for k, v in held.items())).alias("r"))
+    out = rows.groupBy("episode_id", "step").agg(F.sum(F.col("weight") * F.col("score")).alias("sum"), F.max(F.col("added") > 0).alias("is_regression"), F.array_sort(F.collect_list("r")).alias("r"))
+    part = lambda c: lambda x: x[c]
+    listed = [F.flatten(F.transform("r", part(c))).alias(c) for c in held]
+    return out.select("episode_id", "step", scoring.python_round("sum", 4).alias("step_score"), "is_regression", F.filter(F.transform("r", lambda x: x["penalty"]), lambda x: x.isNotNull()).alias("penalties"), *listed)
+
+
+def overall(scores: DataFrame) -> DataFrame:
+    """overall: the mean of the last step_score of each task (task, step, step_score), over tasks: one row."""
+    last = scores.groupBy("task").agg(F.max_by("step_score", "step").alias("s"))
+    return last.agg(F.avg("s").alias("overall"))
+
+
+def weights_off(specs: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """task_id, total of tasks whose weights don't sum to 1."""
+    return specs.groupBy("task_id").agg(F.sum("weight").alias("total")).where(F.abs(F.col("total") - 1) > tolerance)
 
 
 def active(specs: DataFrame) -> DataFrame:
@@ -59,7 +207,8 @@ def active(specs: DataFrame) -> DataFrame:
 
 
 def normalized(specs: DataFrame) -> DataFrame:
-    return specs.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
+    """Weights by their sum; one row of sums goes to all rows."""
+    return specs.crossJoin(F.broadcast(specs.agg(F.sum("weight").alias("total")))).withColumn("weight", F.col("weight") / F.col("total")).drop("total")
 
 
 def invariants_broken(invariants: DataFrame, files: DataFrame, definitions: DataFrame, diff_headers: DataFrame) -> DataFrame:

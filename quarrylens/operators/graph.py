@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators.symbols import definitions, local_name, module_of, usages
+from quarrylens.session import cut
 
 #: Steps along edges between two checkpoints.
 STEPS = 4
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint; a session without a folder for it gets one of its own if it is local."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir", "")
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="quarrylens-"))
-    return df.checkpoint()
-
-
 def alias_map(nodes: DataFrame) -> DataFrame:
     """path, local, target: what an imported name stands for; relative imports count from the module's package; the last binding wins."""
     alias = nodes.where("type = 'alias' AND name <> '*'")
@@ -57,15 +45,15 @@ def replace_files(table: DataFrame, changed: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: all that seeds (node) reach over edges (src, dst), themselves included. STEPS steps a round; the graph and what
     has been found stay distributed."""
-    steps = _cut(edges.select("src", "dst").distinct())
-    found = frontier = _cut(seeds.select(F.col("node")).distinct())
+    steps = cut(edges.select("src", "dst").distinct())
+    found = frontier = cut(seeds.select(F.col("node")).distinct())
     while not frontier.isEmpty():
         news = None
         for _ in range(STEPS):
             frontier = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
             news = frontier if news is None else news.unionByName(frontier)
-        frontier = _cut(news.distinct().join(found, "node", "left_anti"))
-        found = _cut(found.unionByName(frontier))
+        frontier = cut(news.distinct().join(found, "node", "left_anti"))
+        found = cut(found.unionByName(frontier))
     return found
 
 
@@ -88,17 +76,17 @@ def cycles(edges: DataFrame) -> DataFrame:
     The smallest id that reaches a node and is reached by it names its component: minima are passed forward and
     backward, and a component whose two minima agree is taken out, until nothing is left. No pairs are made.
     """
-    left = _cut(edges.where("src <> dst").select("src", "dst").distinct())
+    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found: DataFrame | None = None
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
         fore, back = _spread(nodes, left), _spread(nodes, left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         both = fore.withColumnRenamed("least", "f").join(back.withColumnRenamed("least", "b"), "node")
-        done = _cut(both.where("f = b").select("node", F.col("f").alias("cycle")))
+        done = cut(both.where("f = b").select("node", F.col("f").alias("cycle")))
         found = done if found is None else found.unionByName(done)
         open_ = both.join(done, "node", "left_anti").select("node", F.struct("f", "b").alias("c"))
         # A cycle's nodes share both minima: edges between nodes that don't are on none.
-        left = _cut(left.join(open_.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(open_.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst"))
+        left = cut(left.join(open_.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(open_.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst"))
     if found is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.lit(1).cast("long").alias("size")).limit(0)
     sizes = found.groupBy("cycle").agg(F.count("*").alias("size"))
@@ -107,13 +95,13 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, least: the smallest node that reaches it, itself included."""
-    now = _cut(nodes.select("node", F.col("node").alias("least")))
+    now = cut(nodes.select("node", F.col("node").alias("least")))
     while True:
         new = now
         for _ in range(STEPS):
             sent = edges.join(new, edges["src"] == new["node"]).select(F.col("dst").alias("node"), "least")
             new = new.unionByName(sent).groupBy("node").agg(F.min("least").alias("least"))
-        new = _cut(new)
+        new = cut(new)
         changed = new.join(now.withColumnRenamed("least", "was"), "node").where("least <> was").isEmpty()
         now = new
         if changed:

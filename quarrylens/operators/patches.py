@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
 
@@ -54,3 +55,14 @@ def _edited(text: pd.Series, edits: pd.Series) -> pd.Series:
             t = e["n"] if e["n"] is not None else apply_diff(t or "", e["d"])
         out.append(t)
     return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(StructType([StructField("added", IntegerType()), StructField("removed", IntegerType()), StructField("diff", StringType())]))
+def line_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """How many lines two texts add and take away, and their unified diff in hunks; a null text has no lines."""
+    out = []
+    for a, b in zip(old, new, strict=True):
+        lines = list(difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), "a", "b"))
+        body = lines[2:]
+        out.append((sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), "".join(x if x.endswith("\n") else x + "\n" for x in lines)))
+    return pd.DataFrame(out, columns=["added", "removed", "diff"])

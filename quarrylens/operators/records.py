@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.session import cut
+
+
+#: Rows that an operator on all pairs or all triples of a table takes at most.
+MOST_PAIRS, MOST_TRIPLES = 10_000, 1_000
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, if it has no more rows than that; an error else, as the work grows with their square or cube."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    return df
+
 
 def compute_stats(df: DataFrame, column: str) -> DataFrame:
     """mean, minimum, maximum: one row, zeros for no values."""
@@ -52,22 +65,27 @@ def repeated_before(df: DataFrame, n: int, partition: list[str], order: list[str
 
 
 def pair_mean(df: DataFrame, key: str, value: str) -> DataFrame:
-    """mean of |v_i - v_j| over all pairs i <> j of a stated small table: one row. From ranks, so that no pair is made."""
-    w = Window.orderBy("v")
-    n = df.count()
-    ranked = df.select(F.col(value).alias("v")).withColumn("r", F.row_number().over(w))
-    total = ranked.agg(F.sum(F.col("v") * (2 * F.col("r") - n - 1)).alias("s"))
+    """mean_distance of |v_i - v_j| over all pairs of different rows: one row. From ranks, so that no pair is made; rows are
+    sorted in ranges, and each range counts on from those before it."""
+    held = cut(df.select(F.col(value).alias("v")).repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = held.groupBy("part").agg(F.count("*").alias("size"))  # a row a range
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = held.count()
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("v"))).join(F.broadcast(before), "part")
+    total = ranked.agg(F.sum(F.col("v") * (2 * (F.col("r") + F.col("before")) - n - 1)).alias("s"))
     return total.select((2 * F.col("s") / F.greatest(F.lit(n * (n - 1)), F.lit(1))).alias("mean_distance"))
 
 
 def pairs(df: DataFrame, key: str, value: str, distinct: bool = False) -> DataFrame:
-    """Every pair of a stated small table, the diagonal too unless distinct."""
+    """Every pair of a small table, the diagonal too unless distinct."""
+    df = small(df, MOST_PAIRS)
     a, b = (df.select(F.col(key).alias(f"{s}_key"), F.col(value).alias(f"{s}_value")) for s in "ab")
     return a.join(b, F.col("a_key") != F.col("b_key")) if distinct else a.crossJoin(b)
 
 
 def triples(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Every i < j < k of a stated small table."""
+    """Every i < j < k of a small table."""
+    df = small(df, MOST_TRIPLES)
     a, b, c = (df.select(F.col(key).alias(f"{s}_key"), F.col(value).alias(f"{s}_value")) for s in "abc")
     return a.join(b, F.col("a_key") < F.col("b_key")).join(c, F.col("b_key") < F.col("c_key"))
 
@@ -92,9 +110,39 @@ def validated(df: DataFrame, value: str, low: float, high: float, share: float =
     return kept.withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("number") - low) / (high - low)))).drop("bad")
 
 
-def binary_tree(spark, depth: int) -> DataFrame:
-    """node, level of a full binary tree, by a recursive query."""
-    return spark.sql(f"WITH RECURSIVE t(node, level) AS (SELECT 1, 0 UNION ALL SELECT node * 2 + b, level + 1 FROM t CROSS JOIN (VALUES (0), (1)) v(b) WHERE level < {int(depth)}) SELECT node, level FROM t")
+def recursive_analysis(df: DataFrame, depth: int) -> DataFrame:
+    """node, level, analysis, data_count: what halving a table again and again says at each node of a full binary tree of that
+    depth, by a recursive query; no_data at the root of an empty table."""
+    spark, n = df.sparkSession, df.count()
+    if not n and depth > 0:
+        return spark.createDataFrame([(1, 0, "no_data", None)], "node int, level int, analysis string, data_count long")
+    tree = spark.sql(f"WITH RECURSIVE t(node, level) AS (SELECT 1, 0 UNION ALL SELECT node * 2 + b, level + 1 FROM t CROSS JOIN (VALUES (0), (1)) v(b) WHERE level < {int(depth)}) SELECT node, level FROM t")
+    inner = F.col("level") < depth
+    return tree.select("node", "level", F.when(inner, F.concat(F.lit("analyzed_"), "level")).otherwise("max_depth_reached").alias("analysis"), F.when(inner, F.lit(n).cast("long")).alias("data_count"))
+
+
+def item_report(df: DataFrame, threshold: float = 50, details: int = 3) -> DataFrame:
+    """place, said: a text for each row (place, processed_value) that has a value, with details where it is over the threshold."""
+    value = F.col("processed_value").cast("string")
+    more = F.concat(F.lit("  -> High value detected: "), value, F.lit("\n"), *(F.lit(f"    - Detail {i + 1}\n") for i in range(details)))
+    said = F.concat(F.lit("Item "), "place", F.lit(": "), value, F.lit("\n"), F.when(F.col("processed_value") > threshold, more).otherwise(""))
+    return df.where("processed_value is not null").select("place", said.alias("said"))
+
+
+def active(df: DataFrame) -> DataFrame:
+    """Rows that active says are; none where it is null."""
+    return df.where("coalesce(active, false)")
+
+
+def round_robin(picks: DataFrame, tasks: DataFrame) -> DataFrame:
+    """picks (count) with task: the tasks in the order of their names, one after the other, as often as need be."""
+    names = small(tasks, MOST_PAIRS).agg(F.array_sort(F.collect_list("task")).alias("names"))  # one row to all
+    return picks.crossJoin(F.broadcast(names)).withColumn("task", F.element_at("names", (F.pmod("count", F.size("names")) + 1).cast("int"))).drop("names")
+
+
+def remaining(df: DataFrame) -> DataFrame:
+    """df (max_steps, step) with the steps that remain, which may be below 0."""
+    return df.withColumn("remaining", F.col("max_steps") - F.col("step"))
 
 
 def folded_products(df: DataFrame, key: str, series: str) -> DataFrame:
@@ -157,7 +205,7 @@ def normalized(df: DataFrame, share: float = 0.3) -> DataFrame:
 
 
 def record_complexity(df: DataFrame, key: str, value: str) -> DataFrame:
-    """avg_correlation, pattern_score, complexity_score of a stated small table: one row, from its pairs and triples."""
+    """avg_correlation, pattern_score, complexity_score of a small table: one row, from its pairs and triples."""
     a, b = F.col("a_value"), F.col("b_value")
     apart = F.abs(a - b)
     tie = F.when((a > 0) & (b > 0), F.when(apart < 10, 0.9).when(apart < 50, 0.6).otherwise(0.3)).when((a == 0) | (b == 0), 0.1).otherwise(-0.5)
@@ -173,6 +221,12 @@ def all_have(df: DataFrame, field: str, records: str) -> DataFrame:
     return df.agg(F.coalesce(F.bool_and(F.map_contains_key(records, field)), F.lit(True)).alias("valid"))
 
 
+def self_check(whole: DataFrame, broken: DataFrame, field: str, records: str) -> DataFrame:
+    """whole, broken: whether the records of each pass the check for a field, of which the first should and the second shouldn't."""
+    a, b = (all_have(df, field, records).withColumnRenamed("valid", n) for df, n in ((whole, "whole"), (broken, "broken")))
+    return a.crossJoin(b)  # a row each
+
+
 #: The least and the greatest value of an action's parameters.
 LIMITS = {"line_start": (1, None), "line_end": (1, None), "max_depth": (1, 8), "context_lines": (0, 10), "max_results": (1, 200), "patches": (1, 20), "timeout_sec": (1, 120), "note_length": (None, 500), "query_length": (1, None)}
 

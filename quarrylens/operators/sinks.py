@@ -42,7 +42,8 @@ def changes_by_rule(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def with_rule_text(violations: DataFrame) -> DataFrame:
-    return violations.join(F.broadcast(rules(violations.sparkSession)), "rule")
+    """violations (rule) with dimension, severity, description."""
+    return violations.join(F.broadcast(rules(violations.sparkSession)), "rule")  # 32 rows
 
 
 def initial_view(files: DataFrame, limit: int = 100) -> DataFrame:

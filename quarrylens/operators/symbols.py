@@ -93,6 +93,15 @@ def unused_variables(nodes: DataFrame) -> DataFrame:
     return unused.select(F.lit("unused_variable").alias("kind"), F.concat_ws(".", label, "name").alias("name"), "path", "line", F.lit(WEIGHTS["unused_variable"]).alias("weight"), "seq")
 
 
+def any_before(test: Column, partition: list[str], order: list[str]) -> Column:
+    """Whether a row before this one passes the test."""
+    return F.coalesce(F.max(test).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+
+
+def just_before(value: Column | str, partition: list[str], order: list[str]) -> Column:
+    return F.lag(value).over(Window.partitionBy(*partition).orderBy(*order))
+
+
 def statements(nodes: DataFrame) -> DataFrame:
     """Statements with the block they stand in (parent, field) and whether they end it."""
     held = nodes.where(F.col("field").isin(*BLOCKS) & F.col("line").isNotNull())
@@ -101,16 +110,15 @@ def statements(nodes: DataFrame) -> DataFrame:
 
 def unreachable(nodes: DataFrame) -> DataFrame:
     """Every statement after one that ends its block; blocks of match statements aren't looked at."""
-    w = Window.partitionBy("path", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    dead = statements(nodes).where("up_type <> 'match_case'").withColumn("dead", F.coalesce(F.max("ends").over(w), F.lit(False))).where("dead")
+    dead = statements(nodes).where("up_type <> 'match_case'").withColumn("dead", any_before(F.col("ends"), ["path", "block"], ["idx"])).where("dead")
     return dead.select(F.lit("unreachable_block").alias("kind"), F.concat(module_of(F.col("path")), F.lit(":"), "field", F.lit("@"), "parent", F.lit(":unreachable@L"), "line").alias("name"), "path", "line", F.lit(WEIGHTS["unreachable_block"]).alias("weight"), F.col("node").alias("seq"))
 
 
 def unreachable_next(nodes: DataFrame) -> DataFrame:
     """Within functions, the statement right after one that ends its block, unless it is pass or an ellipsis; a statement of
     nested functions is given once for each."""
-    w = Window.partitionBy("path", "block").orderBy("idx")
-    s = statements(nodes).where(F.size("funcs") > 0).withColumn("after", F.when(F.lag("ends").over(w), F.lower(F.lag("type").over(w)))).where("after is not null")
+    block = ["path", "block"]
+    s = statements(nodes).where(F.size("funcs") > 0).withColumn("after", F.when(just_before("ends", block, ["idx"]), F.lower(just_before("type", block, ["idx"])))).where("after is not null")
     s = s.where("type <> 'Pass' AND NOT (type = 'Expr' AND coalesce(value_const, '') = 'ellipsis')")
     around = F.when(F.col("type").isin(*FUNCTIONS), F.slice("func_names", 1, F.greatest(F.size("funcs") - 1, F.lit(0)))).otherwise(F.col("func_names"))
     return s.select("path", "line", F.col("after").alias("after_kind"), F.explode(around).alias("function_name"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import paths, scoring, text
 from quarrylens.operators import complexity, grading, graph, lines, records, sinks, style, symbols
 from quarrylens.plans.registry import query, table
+from quarrylens.session import shared_folder
 from quarrylens.sources import code, tools
 from quarrylens.streaming import episode
 
@@ -37,13 +40,6 @@ def line_rule_f003(spark, sf):
     return lines.line_violations(lines.source_lines(files, universal=False)).where("rule = 'F003'").select("path", "line", "context")
 
 
-@query("""WITH l AS (SELECT unnest(['def a():', '', 'x = 1  ', chr(9) || 'y = 2', '', '', 'class B:', 'def c():']) AS t, generate_subscripts(['def a():', '', 'x = 1  ', chr(9) || 'y = 2', '', '', 'class B:', 'def c():'], 1) AS n)
-    SELECT * FROM (VALUES ('F001', 3), ('F002', 8), ('F004', 4)) v(rule, line)""")
-def line_rules_formatting(spark, sf):
-    rows = [("m.py", i + 1, t) for i, t in enumerate(["def a():", "", "x = 1  ", "\ty = 2", "", "", "class B:", "def c():"])]
-    return lines.line_violations(spark.createDataFrame(rows, "path string, lineno int, text string")).select("rule", "line")
-
-
 @query(f"""WITH l AS ({LINES}), h AS (SELECT path, lineno, row_number() OVER (PARTITION BY path ORDER BY lineno) AS nth FROM l WHERE regexp_matches(line, '(?i)idiot|moron')),
     c AS (SELECT path, unnest(range(lineno - 1, lineno + 2))::INTEGER AS lineno, lineno AS src FROM h WHERE nth <= 2)
     SELECT l.path, l.lineno, bool_or(c.lineno = c.src) AS hit FROM l JOIN c ON c.path = l.path AND c.lineno = l.lineno GROUP BY l.path, l.lineno""")
@@ -77,14 +73,6 @@ def path_predicates(spark, sf):
     return _urls(spark, sf).select("page_id", paths.glob_match(p, "m.*/en/*").alias("by_glob"), F.exists(folders, lambda x: x.startswith("th")).alias("by_folder"), paths.excluded(p, ("en", "fr"), ()).alias("by_part"))
 
 
-@query("""SELECT * FROM (VALUES ('tests/a.py', true, true, true, false, true), ('test_a.py', true, true, true, true, true), ('src/test_a.py', true, true, true, true, false), ('src/a_test.py', true, true, false, true, true),
-    ('testing/a.py', true, false, true, false, false), ('src/a.py', false, false, false, false, false)) v(path, lint, symbol, complexity, graph, style)""")
-def path_test_files(spark, sf):
-    files = spark.createDataFrame([(x,) for x in ("tests/a.py", "test_a.py", "src/test_a.py", "src/a_test.py", "testing/a.py", "src/a.py")], "path string")
-    p = F.col("path")
-    return files.select("path", paths.test_by_folder_or_name(p).alias("lint"), paths.test_by_name_or_tests(p).alias("symbol"), paths.test_by_any_part(p).alias("complexity"), paths.test_by_name(p).alias("graph"), paths.test_by_globs(p).alias("style"))
-
-
 @query("""WITH f AS (SELECT DISTINCT regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS path FROM pages), p AS (SELECT path, string_split(path, '/') AS p FROM f),
     d AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path FROM (SELECT p, unnest(range(1, len(p))) AS i FROM p))
     SELECT path, false AS is_dir FROM f UNION ALL SELECT path, true FROM d""")
@@ -102,14 +90,8 @@ def unused_anti_join(spark, sf):
 @query("""WITH i AS (SELECT o_orderkey AS lo, o_orderkey + o_custkey % 40 AS hi FROM orders), p AS (SELECT DISTINCT l_orderkey AS point FROM lineitem)
     SELECT point, lo, hi FROM (SELECT point, lo, hi, row_number() OVER (PARTITION BY point ORDER BY hi - lo, lo) AS nth FROM p JOIN i ON point BETWEEN lo AND hi) WHERE nth = 1""")
 def innermost_interval_join(spark, sf):
-    """Intervals of bounded width meet points in buckets of that width: an equality join, and no theta join."""
-    width = 40
-    i = table(spark, sf, "orders").select(F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.pmod("o_custkey", F.lit(width))).alias("hi"))
-    i = i.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("point")).distinct().withColumn("bucket", F.floor(F.col("point") / width))
-    met = p.join(i, "bucket").where("point BETWEEN lo AND hi")
-    best = met.groupBy("point").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo", "hi")).alias("b"))
-    return best.select("point", "b.lo", "b.hi")
+    i = table(spark, sf, "orders").select(F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.pmod("o_custkey", F.lit(40))).alias("hi"))
+    return graph.innermost(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("point")).distinct(), i, 40)
 
 
 @query("SELECT r_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -174,14 +156,14 @@ def running_max_order(spark, sf):
 
 @query("SELECT user_id, event_id FROM (SELECT *, coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dead FROM events) WHERE dead")
 def prefix_terminator(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "events").withColumn("dead", F.max(F.col("event_type") == "purchase").over(w)).where("dead").select("user_id", "event_id")
+    dead = symbols.any_before(F.col("event_type") == "purchase", ["user_id"], ["event_id"])
+    return table(spark, sf, "events").withColumn("dead", dead).where("dead").select("user_id", "event_id")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events) WHERE after = 'purchase' AND event_type <> 'view'")
 def lead_terminator(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf, "events").withColumn("after", F.lag("event_type").over(w)).where("after = 'purchase' AND event_type <> 'view'").select("user_id", "event_id", "event_type")
+    after = symbols.just_before("event_type", ["user_id"], ["event_id"])
+    return table(spark, sf, "events").withColumn("after", after).where("after = 'purchase' AND event_type <> 'view'").select("user_id", "event_id", "event_type")
 
 
 @query("""SELECT user_id, event_id, len(b) = 2 AND len(list_filter(b, lambda x: x <> 'click')) = 0 AS looping FROM (SELECT user_id, event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NOT NULL
@@ -221,22 +203,11 @@ def transitive_imports(spark, sf):
     return graph.reachable(e, spark.createDataFrame([(2,)], "node long")).where("node <> 2")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT c_custkey % 97 AS src, (c_custkey * 3) % 89 AS dst FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 97 <> (c_custkey * 3) % 89 AND (c_custkey < 700)),
-    r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
-    m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
-    SELECT node, cycle, count(*) OVER (PARTITION BY cycle) AS size FROM m""")
-def import_cycles(spark, sf):
-    c = F.col("c_custkey")
-    e = table(spark, sf, "customer").where("c_custkey % 7 = 0 AND c_custkey < 700").select((c % 97).alias("src"), (c * 3 % 89).alias("dst"))
-    return graph.cycles(e)
-
-
 @query(f"""WITH RECURSIVE e AS ({EDGES}),
     r(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
     m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
     SELECT node, cycle, count(*) OVER (PARTITION BY cycle) AS size FROM m""")
-def import_cycles_whole(spark, sf):
-    """Over the edges of all customers; import_cycles reads those that its SQL names, 99 at most."""
+def import_cycles(spark, sf):
     return graph.cycles(_edges(spark, sf))
 
 
@@ -366,11 +337,6 @@ def pair_mean_distance(spark, sf):
     return records.pair_mean(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal").select(F.round("mean_distance", 4).alias("mean_distance"))
 
 
-@query("WITH RECURSIVE t(node, level) AS (SELECT 1, 0 UNION ALL SELECT node * 2 + b, level + 1 FROM t, (VALUES (0), (1)) v(b) WHERE level < 4) SELECT node, level FROM t")
-def tree_recursion(spark, sf):
-    return records.binary_tree(spark, 4)
-
-
 @query("""WITH v AS (SELECT n_regionkey AS k, list(n_nationkey::DOUBLE ORDER BY n_nationkey) AS s FROM nation GROUP BY 1)
     SELECT a.k AS a_key, b.k AS b_key, list_inner_product(a.s[1:least(len(a.s), len(b.s))], b.s[1:least(len(a.s), len(b.s))]) AS product FROM v a, v b""")
 def correlation_fold(spark, sf):
@@ -412,25 +378,35 @@ def episode_state(spark, sf):
     SELECT episode_id, count(*) FILTER (counts) AS step, count(*) FILTER (counts AND action_type = 'edit_file') AS edits, bool_or(counts AND action_type = 'submit') AS done FROM c GROUP BY episode_id""")
 def episode_state_stream(spark, sf):
     """The same from a stream: the events table is read as one, and the last state of each key is kept."""
-    import uuid
-
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     kind = F.col("event_type")
     name = F.when(kind == "signup", "reset").when(kind == "purchase", "edit_file").when(kind == "error", "submit").otherwise("view_file")
-    states = episode.episode_states(events.select(F.col("user_id").cast("string").alias("episode_id"), F.col("event_id").alias("seq"), name.alias("action_type")))
-    sink = f"episodes_{uuid.uuid4().hex[:8]}"
-    run = states.writeStream.outputMode("update").format("memory").queryName(sink).trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = spark.table(sink).groupBy("episode_id").agg(F.max_by(F.struct("step", "edits", "done"), F.col("events")).alias("s"))
+    states = episode.episode_states(_event_stream(spark, sf).select(F.col("user_id").cast("string").alias("episode_id"), F.col("event_id").alias("seq"), name.alias("action_type")))
+    rows = episode.to_folder(states, _new_folder(spark, "episodes"))
+    last = rows.groupBy("episode_id").agg(F.max_by(F.struct("step", "edits", "done"), F.col("batch")).alias("s"))
     return last.select("episode_id", "s.step", "s.edits", "s.done")
 
 
+def _event_stream(spark, sf):
+    return spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+
+
+def _new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 @query("SELECT episode_id, step, last_value(value IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY step) AS value FROM (SELECT user_id AS episode_id, event_id AS step, CASE WHEN event_type = 'view' THEN value END AS value FROM events)")
 def context_carry_over(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("step"), F.when(F.col("event_type") == "view", F.col("value")).alias("value"))
     return sinks.carried(e, ["value"])
 
 
+@query("SELECT episode_id::VARCHAR AS episode_id, step, last_value(value IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY step) AS value FROM (SELECT user_id AS episode_id, event_id AS step, CASE WHEN event_type = 'view' THEN value END AS value FROM events)")
+def context_carry_stream(spark, sf):
+    """The same from a stream, with the value in the state of each episode."""
+    e = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("episode_id"), F.col("event_id").alias("step"), F.when(F.col("event_type") == "view", F.col("value")).cast("double").alias("value"))
+    return episode.to_folder(episode.carried_stream(e), _new_folder(spark, "carried"), "append").drop("batch")
+
+
 @query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
 def json_wire(spark, sf):
     return sinks.as_json(table(spark, sf, "region").select("r_regionkey", "r_name"))
@@ -468,14 +444,7 @@ def efficiency_decay(spark, sf):
 
 @query("SELECT s_suppkey, s_acctbal / sum(s_acctbal) OVER () AS weight FROM supplier")
 def weight_normalization(spark, sf):
-    """One row of sums goes to all; no window over all rows."""
-    s = table(spark, sf, "supplier")
-    return s.crossJoin(F.broadcast(s.agg(F.sum("s_acctbal").alias("total")))).select("s_suppkey", (F.col("s_acctbal") / F.col("total")).alias("weight"))
-
-
-@query("SELECT user_id % 3 AS task, count(*) AS n FROM events GROUP BY 1")
-def round_robin(spark, sf):
-    return table(spark, sf, "events").groupBy(F.pmod("user_id", F.lit(3)).alias("task")).agg(F.count("*").alias("n"))
+    return grading.normalized(table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("weight")))
 
 
 ITEMS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 13 <> 0 THEN (p_size - 5)::DOUBLE END AS v, p_partkey % 7 = 0 AS is_text, CASE WHEN p_partkey % 11 <> 0 THEN chr((65 + p_partkey % 6)::INTEGER) END AS category,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, name: str = "quarrylens") -> SparkSession:
@@ -14,3 +16,20 @@ def local_session(cpus: int | None = None, name: str = "quarrylens") -> SparkSes
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g")).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a local session without one gets its own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        at = sc.getConf().get("spark.checkpoint.dir", "")
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="quarrylens-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

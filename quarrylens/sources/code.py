@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions import paths
+from quarrylens.operators import patches
 
 
 def read_sources(spark: SparkSession, root: str, glob: str = "*.py", exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -45,11 +46,28 @@ def lint_files(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("is_dir") & F.col("path").endswith(".py") & ~paths.test_by_folder_or_name(F.col("path")))
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """path, change (added, removed, edited) between two snapshots (path, text)."""
+def symbol_files(files: DataFrame, tests: bool = False) -> DataFrame:
+    """Python files in the order of their paths, test files only with tests."""
+    keep = F.col("path").endswith(".py")
+    return files.where(keep if tests else keep & ~paths.test_by_name_or_tests(F.col("path"))).orderBy("path")
+
+
+def snapshot_diff(before: DataFrame, after: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """path, change (added, removed, edited), added, removed (lines), diff (hunks) between two snapshots (path, text); only some paths if given."""
     both = before.select("path", F.col("text").alias("old")).join(after.select("path", F.col("text").alias("new")), "path", "full")
+    both = both.where(F.col("path").isin(*only)) if only else both
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "edited")
-    return both.withColumn("change", change).where("change is not null")
+    found = both.withColumn("change", change).where("change is not null").withColumn("lines", patches.line_changes("old", "new"))
+    return found.select("path", "change", "lines.added", "lines.removed", "lines.diff")
+
+
+def task_folders(spark: SparkSession, root: str) -> list[str]:
+    """The names of the folders below root, sorted; FileNotFoundError without root."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise FileNotFoundError(root)
+    return sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory())
 
 
 def scenario(spark: SparkSession, path: str) -> dict:

@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.functions.text import counts_in
+from quarrylens.functions.text import counts_in, strip
 
 
 def lint_report(runs: DataFrame) -> DataFrame:
-    """violations, tool_error of runs (stdout, return_code, timed_out): how many entries the report has; 0 with an error
-    for a timeout, an exit that isn't 0 or 1, or text that isn't a JSON array."""
-    n = F.json_array_length(F.col("stdout"))
+    """violations, tool_error of runs (stdout, return_code, timed_out): how many entries the report has, none for no text; 0
+    with an error for a timeout, an exit that isn't 0 or 1, or text that isn't a JSON array."""
+    n = F.when(strip(F.coalesce("stdout", F.lit(""))) == "", 0).otherwise(F.json_array_length(F.col("stdout")))
     error = F.when(F.col("timed_out"), "timeout").when(~F.col("return_code").isin(0, 1), "exit").when(n.isNull(), "json")
     return runs.withColumn("tool_error", error).withColumn("violations", F.when(error.isNull(), n).otherwise(0))
 
 
-def complexity_report(runs: DataFrame) -> DataFrame:
-    """file, name, cc, grade from the JSON map of lists in stdout; what is no list gives no rows, missing fields their defaults."""
+def complexity_report(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, file, name, cc, grade from the JSON map of lists in stdout; what is no list gives no rows, missing fields their defaults."""
     entries = F.from_json("stdout", "map<string,string>")
-    each = runs.where(F.col("return_code") <= 1).select(F.explode(entries).alias("file", "list"))
-    rows = each.where(F.trim("list").startswith("[")).select("file", F.explode(F.from_json("list", "array<struct<name:string,complexity:int,rank:string>>")).alias("x"))
-    return rows.select("file", F.coalesce("x.name", F.lit("?")).alias("name"), F.coalesce("x.complexity", F.lit(0)).alias("cc"), F.coalesce("x.rank", F.lit("A")).alias("grade"))
+    keys = keys or []
+    each = runs.where(F.col("return_code") <= 1).select(*keys, F.explode(entries).alias("file", "list"))
+    rows = each.where(F.trim("list").startswith("[")).select(*keys, "file", F.explode(F.from_json("list", "array<struct<name:string,complexity:int,rank:string>>")).alias("x"))
+    return rows.select(*keys, "file", F.coalesce("x.name", F.lit("?")).alias("name"), F.coalesce("x.complexity", F.lit(0)).alias("cc"), F.coalesce("x.rank", F.lit("A")).alias("grade"))
+
+
+def complexity_errors(runs: DataFrame) -> DataFrame:
+    """runs with tool_error: why a run has no report, empty if it has one."""
+    late = F.when(F.col("timed_out"), "radon timed out").when(F.col("return_code") > 1, F.concat(F.lit("radon exit "), "return_code"))
+    return runs.withColumn("tool_error", F.coalesce(late, F.when(F.from_json("stdout", "map<string,string>").isNull(), "radon JSON parse failed"), F.lit("")))
 
 
 def run_counts(runs: DataFrame) -> DataFrame:
@@ -34,6 +41,16 @@ def run_counts(runs: DataFrame) -> DataFrame:
     return out.withColumn("pass_rate", F.col("passed") / F.greatest(F.col("passed") + F.col("failed") + F.col("errors"), F.lit(1)))
 
 
+def test_runs(runs: DataFrame) -> DataFrame:
+    """runs (stdout, report, coverage: JSON texts; return_code, stderr, timed_out) with passed, failed, errors, total, pass_rate,
+    line_coverage, branch_coverage and run_error; a run that didn't end well has only zeros and the error."""
+    held = coverage_totals(run_counts(runs).withColumns({"_report": F.col("report"), "report": F.col("coverage")})).withColumn("report", F.col("_report")).drop("_report")
+    error = F.when(F.col("timed_out"), "pytest timed out").when(F.col("return_code") != 0, F.when(strip(F.coalesce("stderr", F.lit(""))) == "", "pytest failed").otherwise(F.col("stderr"))).otherwise("")
+    well = F.col("run_error") == ""
+    held = held.withColumn("run_error", error).withColumn("pass_rate", F.round("pass_rate", 4)).withColumn("total", F.col("passed") + F.col("failed") + F.col("errors"))
+    return held.withColumns({c: F.when(well, F.col(c)).otherwise(F.lit(0)) for c in ("passed", "failed", "errors", "total", "pass_rate", "line_coverage", "branch_coverage")})
+
+
 _SUMMARY = "struct<covered_lines:bigint,num_statements:bigint,covered_branches:bigint,num_branches:bigint>"
 
 
@@ -60,8 +77,27 @@ def git_status(text: DataFrame) -> DataFrame:
     return text.where(F.length("line") > 3).select(F.expr("substring(line, 4)").alias("path"), (~new & (x != " ")).alias("staged"), (~new & (y != " ")).alias("unstaged"), new.alias("untracked"))
 
 
-def parse_actions(texts: DataFrame, schema: str = "action_type string, params map<string,string>") -> DataFrame:
-    """Actions from text that a model wrote: JSON, in a code fence or not; null where there is none."""
-    from quarrylens.functions.text import strip_fence
-
-    return texts.withColumn("action", F.from_json(strip_fence(F.col("text")), schema)).withColumn("action", F.when(F.col("action.action_type").isNotNull(), F.col("action")))
+#: What an action's parameters may hold; other names are left out.
+PARAMETERS = "struct<path:string,recursive:boolean,max_depth:int,line_start:int,line_end:int,query:string,file_glob:string,context_lines:int,max_results:int,command:string,timeout_sec:int,note:string,paths:array<string>,patch:struct<path:string,new_content:string,unified_diff:string>,patches:array<struct<path:string,new_content:string,unified_diff:string>>,new_content:string,unified_diff:string>"
+
+
+def parse_actions(texts: DataFrame) -> DataFrame:
+    """texts (text) with action (action_type, args) out of what a model wrote: JSON, in a code fence or not.
+
+    Without a type it is list_directory; without args these are the path "."; text that isn't a JSON object is
+    list_directory of ".". The arguments of edit_file without a patch become one, and the patch of edit_files a list.
+    """
+    read = F.from_json(F.trim(F.regexp_replace("text", "```(?:json)?|```", "")), f"struct<action_type:string,args:{PARAMETERS}>", {"mode": "PERMISSIVE"})
+    whole = F.try_parse_json(F.trim(F.regexp_replace("text", "```(?:json)?|```", "")))
+    valid = whole.isNotNull() & (F.schema_of_variant(whole).startswith("OBJECT"))
+    kind = F.when(valid, F.coalesce(F.col("_a.action_type"), F.lit("list_directory"))).otherwise("list_directory")
+    here = F.from_json(F.lit('{"path":"."}'), PARAMETERS)
+    args = F.when(valid, F.coalesce(F.col("_a.args"), here)).otherwise(here)
+    a = F.col("_args")
+    bare = (F.col("_kind") == "edit_file") & a["patch"].isNull() & a["path"].isNotNull() & (a["new_content"].isNotNull() | a["unified_diff"].isNotNull())
+    single = (F.col("_kind") == "edit_files") & a["patches"].isNull() & a["patch"].isNotNull()
+    patch = F.struct(a["path"].alias("path"), a["new_content"].alias("new_content"), a["unified_diff"].alias("unified_diff"))
+    empty = F.from_json(F.lit("{}"), PARAMETERS)
+    fixed = F.when(bare, empty.withField("patch", patch)).when(single, empty.withField("patches", F.array(a["patch"]))).otherwise(a)
+    held = texts.withColumn("_a", read).withColumn("_kind", kind).withColumn("_args", args)
+    return held.withColumn("action", F.struct(F.col("_kind").alias("action_type"), fixed.alias("args"))).drop("_a", "_kind", "_args")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarrylens.operators import grading, measures
+
 OUTPUT = "episode_id string, events long, step long, edits long, done boolean"
 STATE = "step long, edits long, done boolean, begun boolean"
 EDITS = ("edit_file", "apply_patch")
@@ -40,6 +42,57 @@ def episode_states(events: DataFrame) -> DataFrame:
     return events.groupBy("episode_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _carry(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values("step")
+    if state.exists:
+        first = rows.index[0:1]
+        rows = rows.reset_index(drop=True)
+        if len(first) and pd.isna(rows.loc[0, "value"]):
+            rows.loc[0, "value"] = state.get[0]
+    rows["value"] = rows["value"].ffill()
+    last = rows["value"].iloc[-1]
+    state.update((None if pd.isna(last) else float(last),))
+    yield rows[["episode_id", "step", "value"]]
+
+
+def carried_stream(events: DataFrame) -> DataFrame:
+    """A stream of events (episode_id string, step long, value double) where a null keeps the value of the step before, which the
+    state of the episode holds from one micro-batch to the next."""
+    return events.groupBy("episode_id").applyInPandasWithState(_carry, "episode_id string, step long, value double", "value double", "append", GroupStateTimeout.NoTimeout)
+
+
+def to_folder(stream: DataFrame, path: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over what there is and gives the rows of all its micro-batches, each a folder of Parquet with its number:
+    a batch that is run again writes over its own. Checkpoints stand beside."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/at={number}")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    schema = stream.schema.add("batch", "long")
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
+
+
+def regrade(edits: DataFrame, baseline: DataFrame, path: str) -> DataFrame:
+    """episode_id, step, grader_id, score, added of a stream of snapshots (episode_id, step, path, text), one for each edit: each
+    micro-batch is measured and graded, as dead code and style, against the snapshots of baseline, which are earlier."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        wanted = batch.select("episode_id", "step").distinct()
+        files = batch.unionByName(baseline.join(wanted.select("episode_id").distinct(), "episode_id", "left_semi"))
+        nodes = measures.snapshot_nodes(files).persist()
+        symbol = grading.graded(measures.symbol_measures(nodes), grading.GRADERS["symbol"])
+        style = grading.graded(measures.style_measures(nodes, files), grading.GRADERS["style"])
+        grades = symbol.unionByName(style).select("episode_id", "step", "grader_id", "score", "added").join(wanted, ["episode_id", "step"], "left_semi")
+        grades.write.mode("overwrite").parquet(f"{path}/rows/at={number}")
+        nodes.unpersist()
+
+    run = edits.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return edits.sparkSession.read.schema("episode_id string, step int, grader_id string, score double, added double").option("recursiveFileLookup", True).parquet(f"{path}/rows")
+
+
 def episode_table(events: DataFrame) -> DataFrame:
     """The last state of each episode of a batch, by windows: what counts stands after the last reset and before the
     first submit after it."""

@@ -160,7 +160,7 @@ def test_cycles_of_the_whole_table(spark, sf):
         reach[start] = seen
     groups = {a: {b for b in reach[a] if a in reach.get(b, ())} | {a} for a in next_}
     want = {(a, min(g), len(g)) for a, g in groups.items() if len(g) > 1}
-    assert {tuple(r) for r in relational.import_cycles_whole(spark, sf).select("node", "cycle", "size").collect()} == want
+    assert {tuple(r) for r in relational.import_cycles(spark, sf).select("node", "cycle", "size").collect()} == want
     assert len(want) > 99
 
 

@@ -1,4 +1,4 @@
-"""Operators on syntax as queries over a few files that are held here; their SQL lists the rows, worked out by hand."""
+"""Operators on syntax over a few files that are held here; the rows are worked out by hand."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators import astfacts, complexity, graph, grading, lines, patches, sinks, style, symbols
-from quarrylens.plans.registry import query
 from quarrylens.sources import code, tools
 
 SHOP = '''"""Shop."""
@@ -87,6 +86,17 @@ def nodes(spark: SparkSession) -> DataFrame:
     return _parsed[app]
 
 
+CASES = {}
+
+
+def query(sql):
+    def add(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def values(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) v({columns})"
 
@@ -352,28 +362,6 @@ def symbol_callers(spark, sf):
     return graph.callers(graph.edges(nodes(spark))).where("dst IN ('shop', 'shop.walk', 'os', 'sys')")
 
 
-@query(values("name, path", "'walk', 'shop.py'", "'top', 'pkg/util.py'"))
-def module_file_lookup(spark, sf):
-    """A symbol's module, dotted or by its stem, to the first file of that name: equality on either key, no theta join."""
-    keys = files(spark).select("path", F.explode(F.array_distinct(F.array(symbols.module_of(F.col("path")), F.regexp_extract("path", r"([^/]*)\.py$", 1)))).alias("module"))
-    wanted = spark.createDataFrame([("walk", "shop"), ("top", "util")], "name string, module string")
-    return wanted.join(keys.groupBy("module").agg(F.min("path").alias("path")), "module").select("name", "path")
-
-
-@query(values("name, line", "'walk', 29", "'nowhere', 0"))
-def definition_line(spark, sf):
-    wanted = spark.createDataFrame([("walk",), ("nowhere",)], "name string")
-    first = symbols.definitions(nodes(spark)).where("path = 'shop.py'").groupBy("name").agg(F.min("line").alias("line"))
-    return wanted.join(first, "name", "left").select("name", F.coalesce("line", F.lit(0)).alias("line"))
-
-
-@query(values("id, kind, path", "1, 'view_file', 'a.py'", "2, 'submit', NULL", "3, NULL, NULL"))
-def action_parse(spark, sf):
-    rows = [(1, '```json\n{"action_type": "view_file", "params": {"path": "a.py"}}\n```'), (2, '{"action_type": "submit"}'), (3, "no action")]
-    got = tools.parse_actions(spark.createDataFrame(rows, "id int, text string"))
-    return got.select("id", F.col("action.action_type").alias("kind"), F.col("action.params")["path"].alias("path"))
-
-
 @query(values("path, change", "'bad.py', 'removed'", "'new.py', 'added'", "'shop.py', 'edited'"))
 def snapshot_diff(spark, sf):
     after = spark.createDataFrame([("shop.py", SHOP + "\n"), ("pkg/util.py", UTIL), ("new.py", "")], "path string, text string")
