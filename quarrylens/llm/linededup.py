@@ -150,14 +150,18 @@ def _strip(min_chars: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
             kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-                n_lines.append(len(lines))
-                if drop:
-                    gone = set(np.array([(x["h"], x["fp"]) for x in drop], ">i8").view("V16").ravel().tolist())
-                    lines = [x for x in lines if not ((k := line_key(x, min_chars)) and xxhash.xxh3_128_digest(k) in gone)]
-                n_dropped.append(n_lines[-1] - len(lines))
-                kept.append(b"\n".join(lines) if drop else (text or "").encode("utf-8", "surrogatepass"))
+            digests = np.stack([part.column(2).values.field(f).to_numpy() for f in ("h", "fp")], 1).astype(">i8").view("V16").ravel()
+            edges = part.column(2).offsets.to_numpy()
+            for text, lo, hi in zip(part.column(1), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                body = text.as_py().encode("utf-8", "surrogatepass") if text.is_valid else b""
+                n_lines.append(body.count(b"\n") + 1)
+                n_dropped.append(0)
+                if lo < hi:
+                    gone = set(digests[lo:hi].tolist())
+                    lines = [x for x in body.split(b"\n") if not ((k := line_key(x, min_chars)) and xxhash.xxh3_128_digest(k) in gone)]
+                    n_dropped[-1] = n_lines[-1] - len(lines)
+                    body = b"\n".join(lines)
+                kept.append(body)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *rest(part, carry)], ["doc_id", "text", "n_lines", "n_dropped", *carry])
 
     return run
