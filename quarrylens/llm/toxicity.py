@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ BETWEEN = " .-_*'~·"
 SIGN, STAR, GAP, AGAIN, TWICE, BREAK = -1.0, -3.0, -0.7, -0.5, -4.0, -1.0
 #: More stars in a row than this are no letters. From so many transitions on a step of the search is taken over all states at once.
 STARS, DENSE = 16, 3000
+#: Spans up to this length are remembered.
+SHORT = 100
 CROWD = re.compile(r"\*{%d,}" % (STARS + 1))
 PREFIXES = (3, 4, 5, 6, 7)
 TIMES = (2, 3, 5)
@@ -137,8 +140,28 @@ def lattice(token: str) -> list[list[tuple[int | None, float]]]:
     return out
 
 
+def _step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray) -> tuple[list[int], list[float], list[int], list[int]]:
+    """One step of the search: the states that follow, their scores, the places of what came before, the symbols (-1: none)."""
+    place: dict[int, int] = {}
+    best, before, written = [], [], []
+    for i, state in enumerate(states):
+        for symbol, cost in arcs:
+            if symbol is None or symbol == BORDER and not state & 31:
+                to, value, symbol = state, scores[i] + cost, -1
+            else:
+                to, value = (state * SYMBOLS + symbol) & (SYMBOLS**3 - 1), scores[i] + cost + float(lm[state * SYMBOLS + symbol])
+            at = place.setdefault(to, len(best))
+            if at == len(best):
+                best.append(value)
+                before.append(i)
+                written.append(symbol)
+            elif best[at] < value:
+                best[at], before[at], written[at] = value, i, symbol
+    return list(place), best, before, written
+
+
 def _dense_step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray) -> tuple[list[int], list[float], list[int], list[int]]:
-    """One step of the search over all states at once: the states that follow, their scores, the places of what came before, the symbols (-1: none)."""
+    """_step over all states at once."""
     width = SYMBOLS**3
     now, place = np.full(width, -np.inf), np.zeros(width, np.int64)
     now[states], place[states] = scores, np.arange(len(states))
@@ -168,51 +191,28 @@ def decode(token: str, lm: np.ndarray) -> str:
     A state is the last three symbols. Where only one is left, what led to it is decided and given out, so that a long
     token costs time in proportion to its length, and memory to the longest stretch in which readings differ.
     """
-    mask = SYMBOLS**3 - 1
-    out: list[int] = []
-    states, scores, back = [0], [0.0], []
-
-    def trace(at: int) -> None:
-        path = []
-        for before, symbol in reversed(back):
-            path.append(symbol[at])
-            at = before[at]
-        out.extend(x for x in reversed(path) if x >= 0)
-        back.clear()
-
-    for arcs in lattice(token):
-        if len(states) == 1:
-            trace(0)
-            scores = [0.0]
-            symbol = arcs[0][0]
-            if len(arcs) == 1:
-                if symbol != BORDER or states[0] & 31:
-                    states = [(states[0] * SYMBOLS + symbol) & mask]
-                    out.append(symbol)
-                continue
-        if len(states) * len(arcs) > DENSE:
-            states, scores, before, symbols_ = _dense_step(states, scores, arcs, lm)
-            back.append((before, symbols_))
+    mask, out, state, at, steps = SYMBOLS**3 - 1, [], 0, 0, lattice(token)
+    while at < len(steps):
+        if len(steps[at]) == 1:  # one state, and one way on
+            symbol = steps[at][0][0]
+            if symbol != BORDER or state & 31:
+                state = (state * SYMBOLS + symbol) & mask
+                out.append(symbol)
+            at += 1
             continue
-        place: dict[int, int] = {}
-        new_scores, before, symbols_ = [], [], []
-        for i, state in enumerate(states):
-            for symbol, cost in arcs:
-                if symbol is None or symbol == BORDER and not state & 31:
-                    to, value, written = state, scores[i] + cost, -1
-                else:
-                    to, value, written = (state * SYMBOLS + symbol) & mask, scores[i] + cost + float(lm[state * SYMBOLS + symbol]), symbol
-                at = place.setdefault(to, len(new_scores))
-                if at == len(new_scores):
-                    new_scores.append(value)
-                    before.append(i)
-                    symbols_.append(written)
-                elif new_scores[at] < value:
-                    new_scores[at], before[at], symbols_[at] = value, i, written
-        states, scores = list(place), new_scores
-        back.append((before, symbols_))
-    last = [score + (float(lm[state * SYMBOLS]) if state & 31 else 0.0) for state, score in zip(states, scores, strict=True)]
-    trace(last.index(max(last)))
+        states, scores, back = [state], [0.0], []
+        while at < len(steps) and (len(states) > 1 or not back):
+            states, scores, *way = (_dense_step if len(states) * len(steps[at]) > DENSE else _step)(states, scores, steps[at], lm)
+            back.append(way)
+            at += 1
+        if at == len(steps):
+            scores = [score + (float(lm[x * SYMBOLS]) if x & 31 else 0.0) for x, score in zip(states, scores, strict=True)]
+        best = scores.index(max(scores))
+        state, path = states[best], []
+        for before, written in reversed(back):
+            path.append(written[best])
+            best = before[best]
+        out += [x for x in reversed(path) if x >= 0]
     return "".join(LETTERS[x] for x in out).strip()
 
 
@@ -250,16 +250,21 @@ def may_be_spaced(text: str) -> bool:
     return bool((start & (one[:n] & hop[2 : n + 2] | two[:n] & hop[3 : n + 3])).any())
 
 
+def _core(token: str) -> str | None:
+    """A token without signs at its edges, if it mixes letters and signs or has a letter twice in a row."""
+    core = token.strip(EDGE)
+    if core.isalpha():
+        return core if DOUBLED.search(core if core.isascii() else core.translate(PLAIN)) else None
+    return core if SIGNED.search(core) else None
+
+
+_short_core = functools.lru_cache(200_000)(_core)
+
+
 def suspects(text: str) -> set[str]:
     """Spans of a text that may hide a word: letters mixed with signs, letters apart, words with a letter twice in a row."""
-    found = set()
-    for token in set(text.split()):
-        core = token.strip(EDGE)
-        if core.isalpha():
-            if DOUBLED.search(core if core.isascii() else core.translate(PLAIN)):
-                found.add(core)
-        elif SIGNED.search(core):
-            found.add(core)
+    found = {(_short_core if len(x) <= SHORT else _core)(x) for x in set(text.split())}
+    found.discard(None)
     if may_be_spaced(text):
         found.update(m.group() for m in SPACED.finditer(text))
     return found
@@ -271,17 +276,31 @@ class Decoder:
     def __init__(self, lm: np.ndarray, room: int = 200_000):
         self.lm, self.room, self.known = lm, room, {}
 
-    def __call__(self, span: str) -> str:
-        out = self.known.get(span)
-        if out is None:
-            out = decode(span, self.lm)
-            if len(span) <= 100:
-                if len(self.known) >= self.room:
-                    self.known.clear()
-                self.known[span] = out
+    def __call__(self, span: str) -> str | None:
+        """What a span reads as, None if that is what stands there."""
+        if span in self.known:
+            return self.known[span]
+        out = decode(span, self.lm)
+        out = None if out.split() == WORD.findall(fold(span)) else out
+        if len(span) <= SHORT:
+            if len(self.known) >= self.room:
+                self.known.clear()
+            self.known[span] = out
         return out
 
 
+_decoders: dict[int, Decoder] = {}
+
+
+def decoder_of(lm: np.ndarray) -> Decoder:
+    """The decoder under a model; a worker keeps the last one, so that its next tasks know what has been decoded."""
+    key = xxhash.xxh3_64_intdigest(lm.tobytes())
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(lm)
+    return _decoders[key]
+
+
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -329,13 +348,13 @@ class Model:
 
 def _restored(text: str, decoder: Decoder) -> set[str]:
     """What suspects of a text read as, where that isn't what stands there."""
-    return {y for x in suspects(text) if (y := decoder(x)).split() != WORD.findall(fold(x))} if text else set()
+    return {y for x in suspects(text) if (y := decoder(x)) is not None} if text else set()
 
 
 def _counts(model) -> Callable:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, n = Decoder(model.value), (Counter(), Counter())
+        decoder, n = decoder_of(model.value), (Counter(), Counter())
         for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
             for text, toxic in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 n[toxic].update(features(text or "", _restored(text or "", decoder)))
@@ -351,7 +370,7 @@ def _counts(model) -> Callable:
 def _incidence(model, place) -> Callable:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model.value)
+        decoder = decoder_of(model.value)
         for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
             out = [sorted(place.value[f] for f in features(t or "", _restored(t or "", decoder)) if f in place.value) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array(out, pa.list_(pa.int32()))], ["toxic", "have"])
@@ -421,7 +440,7 @@ def _score(model, carry: list[str]) -> Callable:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        decoder = Decoder(m.lm)
+        decoder = decoder_of(m.lm)
         for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
             scores, shown = [], []
             for text in part.column(1).to_pylist():
