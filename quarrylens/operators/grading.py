@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import scoring
-from quarrylens.operators.style import rule_map
 
 
 @dataclass(frozen=True)
@@ -66,8 +65,7 @@ def _symbol_said() -> Column:
 
 
 def _style_said() -> Column:
-    said = rule_map(3)
-    top = F.transform(F.slice("rules", 1, 3), lambda r: F.concat(r["rule"], F.lit("×"), r["n"], F.lit(" ("), F.substring(said[r["rule"]], 1, 30), F.lit("…)")))
+    top = F.transform(F.slice("rules", 1, 3), lambda r: F.concat(r["rule"], F.lit("×"), r["n"], F.lit(" ("), F.substring(r["said"], 1, 30), F.lit("…)")))
     rules = F.array_join(top, ", ")
     weak = F.slice(F.array_sort("dims", lambda x, y: F.when(x["score"] < y["score"], -1).when(x["score"] > y["score"], 1).otherwise(0)), 1, 2)
     weakest = F.array_join(F.transform(F.filter(weak, lambda d: d["score"] < 1), lambda d: F.concat(d["dimension"], F.lit("="), percent(d["score"]))), ", ")
@@ -160,7 +158,8 @@ def graded(snapshots: DataFrame, grader: Grader) -> DataFrame:
     both = snapshots.select("*", *(F.first(m).over(first).alias(f"b_{m}") for m in have))
     for m in grader.metrics:
         if m not in have:
-            both = both.withColumns({m: F.lit(None).cast("string"), f"b_{m}": F.lit(None).cast("string")})
+            none = F.lit(None).cast("string" if m == "tool_error" else "double")
+            both = both.withColumns({m: none, f"b_{m}": none})
     out = both.withColumn("score", grader.score().cast("double")).withColumn("added", grader.added().cast("double"))
     out = out.withColumn("errors", grader.errors()).withColumn("tool_errors", grader.tool_errors()).withColumn("penalty", F.when(F.col("added") > 0, grader.penalty()))
     needed = READ.get(grader.name, ())

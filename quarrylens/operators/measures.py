@@ -36,7 +36,9 @@ def symbol_measures(nodes: DataFrame) -> DataFrame:
 def style_measures(nodes: DataFrame, files: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """episode_id, step, raw_score, violations, error_violations, dims, rules of each snapshot. Without files nothing is wrong."""
     lined = lines.source_lines(in_snapshot(files, list(KEYS)).select("path", "text"))
-    return snap_keys(style.style_metrics(nodes, lined, ["snap"], ignore), KEYS)
+    clean = F.array(*(F.struct(F.lit(d).alias("dimension"), F.lit(1.0).alias("score")) for d in style.DIMENSIONS))
+    none = {"raw_score": F.lit(1.0), "violations": F.lit(0).cast("long"), "error_violations": F.lit(0).cast("long"), "dims": clean, "rules": F.array().cast(style.RULE_COUNTS)}
+    return _kept(style.style_metrics(nodes, lined, ["snap"], ignore), nodes, none)
 
 
 def complexity_measures(nodes: DataFrame, runs: DataFrame, threshold: int = 10) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +56,7 @@ DUNDER = [
     "__xor__", "__invert__", "__lshift__", "__rshift__", "__neg__", "__pos__", "__abs__", "__bool__", "__int__", "__float__", "__complex__", "__bytes__", "__format__", "__sizeof__", "__reduce__", "__reduce_ex__", "__getstate__", "__setstate__",
     "__copy__", "__deepcopy__", "__class_getitem__", "__init_subclass__", "__set_name__", "__get__", "__set__", "__delete__", "__missing__", "__reversed__", "__del__", "__slots__",
 ]
+RULE_COUNTS = "array<struct<rule:string,n:bigint,said:string>>"
 SINGLE = ["i", "j", "k", "n", "x", "y", "z", "v", "e", "f", "_"]
 
 
@@ -183,22 +182,24 @@ def file_violations(nodes: DataFrame, lines: DataFrame, ignore: tuple[str, ...]
 
 
 def style_metrics(nodes: DataFrame, lines: DataFrame, by: list[str] | None = None, ignore: tuple[str, ...] = (), weights: dict[str, float] | None = None) -> DataFrame:
-    """by, raw_score, violations, error_violations, dims (dimension, score), rules (rule, n; most first, then by file and
+    """by, raw_score, violations, error_violations, dims (dimension, score), rules (rule, n, said; most first, then by file and
     line) of files that aren't tests; by: columns of paths, none for one row over all. Without files nothing is wrong."""
     by = by or []
     is_file = ~test_by_globs(file_of(F.col("path")))
     nodes, lines = nodes.where(is_file), lines.where(is_file)
     keyed = lambda df: df.withColumn("snap", snap_of(F.col("path")))
     found = keyed(file_violations(nodes, lines, ignore))
-    place = F.min(F.struct("path", "line")).alias("place")
-    per = found.groupBy(*by, "rule").agg(F.count("*").alias("n"), place)
     share = merged_weights(weights)
-    rules_ = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "place", "rule", "n"))), lambda x: F.struct(x["rule"].alias("rule"), x["n"].alias("n")))  # 32 rules
-    counts = per.groupBy(*by).agg(F.sum("n").alias("violations"), F.sum(F.when(rule_map(2)[F.col("rule")] == "error", F.col("n")).otherwise(0)).alias("error_violations"), rules_.alias("rules"))
-    totals = checkable(keyed(nodes), by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("dimension", "total"))).alias("totals"))
-    both = totals.join(counts, by, "left") if by else totals.crossJoin(counts)  # a row each
-    wrong = lambda d: F.aggregate(F.filter(F.coalesce("rules", F.array().cast("array<struct<rule:string,n:bigint>>")), lambda x: rule_map(1)[x["rule"]] == d), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    scores = [F.greatest(F.lit(0.0), 1 - wrong(d) / F.greatest(F.coalesce(F.try_element_at("totals", F.lit(d)), F.lit(1)), F.lit(1))) for d in DIMENSIONS]
-    raw = reduce(Column.__add__, [share[d] * x for d, x in zip(DIMENSIONS, scores, strict=True)])
-    named = F.array(*(F.struct(F.lit(d).alias("dimension"), x.alias("score")) for d, x in zip(DIMENSIONS, scores, strict=True)))
-    return both.select(*by, F.round(raw, 4).alias("raw_score"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("error_violations", F.lit(0)).alias("error_violations"), named.alias("dims"), F.coalesce("rules", F.array().cast("array<struct<rule:string,n:bigint>>")).alias("rules"))
+    text = F.struct((-F.col("n")).alias("m"), "place", "rule", "n", "description")
+    per = found.groupBy(*by, "rule").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("place")).join(F.broadcast(rules(nodes.sparkSession)), "rule")  # 32 rules
+    listed = F.transform(F.array_sort(F.collect_list(text)), lambda x: F.struct(x["rule"].alias("rule"), x["n"].alias("n"), x["description"].alias("said")))
+    counts = per.groupBy(*by).agg(F.sum("n").alias("violations"), F.sum(F.when(F.col("severity") == "error", F.col("n")).otherwise(0)).alias("error_violations"), listed.alias("rules"))
+    wrong = per.groupBy(*by, "dimension").agg(F.sum("n").alias("wrong"))
+    weight = nodes.sparkSession.createDataFrame([(d, share[d], i) for i, d in enumerate(DIMENSIONS)], "dimension string, weight double, at int")
+    scored = checkable(keyed(nodes), by).join(wrong, [*by, "dimension"], "left").join(F.broadcast(weight), "dimension")  # 6 rows
+    scored = scored.withColumn("score", F.greatest(F.lit(0.0), 1 - F.coalesce("wrong", F.lit(0)) / F.greatest("total", F.lit(1))))
+    dims = F.transform(F.array_sort(F.collect_list(F.struct("at", "dimension", "score"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["score"].alias("score")))
+    sums = scored.groupBy(*by).agg(F.round(F.sum(F.col("weight") * F.col("score")), 4).alias("raw_score"), dims.alias("dims"))
+    both = sums.join(counts, by, "left") if by else sums.crossJoin(counts)  # a row each
+    none = F.array().cast(RULE_COUNTS)
+    return both.select(*by, F.coalesce("raw_score", F.lit(1.0)).alias("raw_score"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("error_violations", F.lit(0)).alias("error_violations"), "dims", F.coalesce("rules", none).alias("rules"))

@@ -415,7 +415,7 @@ def grade_symbol(spark, sf):
 
 STYLE = f"""sv AS (SELECT episode_id, t AS step, {DIMENSION} AS dimension, count(*) AS n, count(*) FILTER (rule IN ('N003', 'D001')) AS e FROM ({BROKEN}) WHERE test = 0 GROUP BY ALL),
     st AS (SELECT episode_id, step, dimension, any_value(weight) AS weight, sum(total) AS total FROM ({TOTALS}) WHERE test = 0 GROUP BY ALL),
-    sc AS (SELECT episode_id, step, round(sum(weight * greatest(0.0, 1 - coalesce(n, 0) / total)), 4)::DOUBLE AS c, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(e), 0)::BIGINT AS e FROM st LEFT JOIN sv USING (episode_id, step, dimension) GROUP BY episode_id, step),
+    sc AS (SELECT episode_id, step, coalesce(round(sum(weight * greatest(0.0, 1 - coalesce(n, 0) / total)), 4), 1.0)::DOUBLE AS c, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(e), 0)::BIGINT AS e FROM (SELECT DISTINCT episode_id, step FROM m) LEFT JOIN st USING (episode_id, step) LEFT JOIN sv USING (episode_id, step, dimension) GROUP BY episode_id, step),
     sb AS (SELECT *, {BASELINE.format("c")} AS b, {BASELINE.format("e")} AS eb FROM sc),
     style AS (SELECT *, round_even(CASE WHEN b >= 1 THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END WHEN c < b THEN 0.0 ELSE greatest(0.0, least(1.0, (c - b) / greatest(1 - b, 0.01))) END, 4)::DOUBLE AS score, greatest(0, e - eb)::DOUBLE AS added FROM sb)"""
 

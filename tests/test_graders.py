@@ -39,7 +39,7 @@ def test_style_grader(repo):
     m = measures.style_measures(nodes, files)
     got = by_key(m, "violations", "error_violations", "raw_score")
     # N003, D001, T001, T002 and I006 in the first; nothing in the second. A file that doesn't parse has none, nor has a test.
-    assert got["e", 0][:2] == (5, 3) and got["e", 1] == (0, 0, 1.0) and got["f", 0][0] == 0 and ("g", 0) not in got
+    assert got["e", 0][:2] == (5, 3) and got["e", 1] == (0, 0, 1.0) and got["f", 0][0] == 0 and got["g", 0] == (0, 0, 1.0)
     g = {(r["episode_id"], r["step"]): r for r in grading.graded(m, grading.GRADERS["style"]).collect()}
     assert g["e", 1]["score"] == 1.0 and g["e", 1]["said"] == ["[Style] Gold standard — zero violations (Google Python Style Guide)."]
     assert g["e", 0]["score"] == 0.0 and "Weakest dims: " in g["e", 0]["said"][0] and "×1 (" in g["e", 0]["said"][0]
