@@ -6,6 +6,7 @@ import functools
 import re
 import string
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from quarrylens.llm.shared import lean, rest, slices, typed
 
 ORDER, SYMBOLS = 4, 32
 SLICE = 4_000_000  # bytes of text at once
-BORDER = 0
+BORDER, MASK = 0, 32**3 - 1
 #: The letters that signs can stand for, and signs that can stand between the letters of a word.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 BETWEEN = " .-_*'~·"
@@ -140,16 +141,16 @@ def lattice(token: str) -> list[list[tuple[int | None, float]]]:
     return out
 
 
-def _step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray) -> tuple[list[int], list[float], list[int], list[int]]:
+def _step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray | array) -> tuple[list[int], list[float], list[int], list[int]]:
     """One step of the search: the states that follow, their scores, the places of what came before, the symbols (-1: none)."""
     place: dict[int, int] = {}
     best, before, written = [], [], []
     for i, state in enumerate(states):
         for symbol, cost in arcs:
-            if symbol is None or symbol == BORDER and not state & 31:
+            if symbol is None or not symbol and not state & 31:
                 to, value, symbol = state, scores[i] + cost, -1
             else:
-                to, value = (state * SYMBOLS + symbol) & (SYMBOLS**3 - 1), scores[i] + cost + float(lm[state * SYMBOLS + symbol])
+                to, value = (state * SYMBOLS + symbol) & MASK, scores[i] + cost + lm[state * SYMBOLS + symbol]
             at = place.setdefault(to, len(best))
             if at == len(best):
                 best.append(value)
@@ -160,7 +161,7 @@ def _step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray) ->
     return list(place), best, before, written
 
 
-def _dense_step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray) -> tuple[list[int], list[float], list[int], list[int]]:
+def _dense_step(states: list[int], scores: list[float], arcs: list, lm: np.ndarray | array) -> tuple[list[int], list[float], list[int], list[int]]:
     """_step over all states at once."""
     width = SYMBOLS**3
     now, place = np.full(width, -np.inf), np.zeros(width, np.int64)
@@ -173,7 +174,7 @@ def _dense_step(states: list[int], scores: list[float], arcs: list, lm: np.ndarr
     written = [(x, c) for x, c in arcs if x is not None]
     if written:
         x, cost = (np.array(v) for v in zip(*written, strict=True))
-        grid = (now[:, None] + lm.reshape(width, SYMBOLS)[:, x] + cost).reshape(SYMBOLS, -1, len(x))
+        grid = (now[:, None] + np.asarray(lm).reshape(width, SYMBOLS)[:, x] + cost).reshape(SYMBOLS, -1, len(x))
         if BORDER in x:
             grid[:, np.arange(width // SYMBOLS) % SYMBOLS == BORDER, x == BORDER] = -np.inf
         first, value = grid.argmax(0), grid.max(0)
@@ -185,18 +186,18 @@ def _dense_step(states: list[int], scores: list[float], arcs: list, lm: np.ndarr
     return alive.tolist(), best[alive].tolist(), place[before[alive]].tolist(), symbol[alive].tolist()
 
 
-def decode(token: str, lm: np.ndarray) -> str:
+def decode(token: str, lm: np.ndarray | array) -> str:
     """The most likely text behind a token: the best path through its lattice under the model, by Viterbi search.
 
     A state is the last three symbols. Where only one is left, what led to it is decided and given out, so that a long
     token costs time in proportion to its length, and memory to the longest stretch in which readings differ.
     """
-    mask, out, state, at, steps = SYMBOLS**3 - 1, [], 0, 0, lattice(token)
+    out, state, at, steps = [], 0, 0, lattice(token)
     while at < len(steps):
         if len(steps[at]) == 1:  # one state, and one way on
             symbol = steps[at][0][0]
             if symbol != BORDER or state & 31:
-                state = (state * SYMBOLS + symbol) & mask
+                state = (state * SYMBOLS + symbol) & MASK
                 out.append(symbol)
             at += 1
             continue
@@ -250,21 +251,19 @@ def may_be_spaced(text: str) -> bool:
     return bool((start & (one[:n] & hop[2 : n + 2] | two[:n] & hop[3 : n + 3])).any())
 
 
-def _core(token: str) -> str | None:
-    """A token without signs at its edges, if it mixes letters and signs or has a letter twice in a row."""
-    core = token.strip(EDGE)
-    if core.isalpha():
-        return core if DOUBLED.search(core if core.isascii() else core.translate(PLAIN)) else None
-    return core if SIGNED.search(core) else None
-
-
-_short_core = functools.lru_cache(200_000)(_core)
-
-
 def suspects(text: str) -> set[str]:
-    """Spans of a text that may hide a word: letters mixed with signs, letters apart, words with a letter twice in a row."""
-    found = {(_short_core if len(x) <= SHORT else _core)(x) for x in set(text.split())}
-    found.discard(None)
+    """Spans of a text that may hide a word: letters mixed with signs, letters apart, words with a letter twice in a row.
+    Signs at the edges of a token don't count."""
+    found = set()
+    for core in set(text.split()):
+        if not core.isalpha():
+            core = core.strip(EDGE)
+            if not core.isalpha():
+                if SIGNED.search(core):
+                    found.add(core)
+                continue
+        if DOUBLED.search(core if core.isascii() else core.translate(PLAIN)):
+            found.add(core)
     if may_be_spaced(text):
         found.update(m.group() for m in SPACED.finditer(text))
     return found
@@ -273,8 +272,8 @@ def suspects(text: str) -> set[str]:
 class Decoder:
     """Decodes spans under a model and remembers a bounded number of short ones."""
 
-    def __init__(self, lm: np.ndarray, room: int = 200_000):
-        self.lm, self.room, self.known = lm, room, {}
+    def __init__(self, lm: np.ndarray, room: int = 400_000):
+        self.lm, self.room, self.known = array("f", lm.astype(np.float32).tobytes()), room, {}
 
     def __call__(self, span: str) -> str | None:
         """What a span reads as, None if that is what stands there."""
