@@ -64,7 +64,7 @@ def repeated_before(df: DataFrame, n: int, partition: list[str], order: list[str
     return df.withColumn("looping", (F.size(before) == n) & F.forall(before, lambda x: x == value))
 
 
-def pair_mean(df: DataFrame, key: str, value: str) -> DataFrame:
+def pair_mean(df: DataFrame, value: str) -> DataFrame:
     """mean_distance of |v_i - v_j| over all pairs of different rows: one row. From ranks, so that no pair is made; rows are
     sorted in ranges, and each range counts on from those before it."""
     held = cut(df.select(F.col(value).alias("v")).repartitionByRange("v").withColumn("part", F.spark_partition_id()))

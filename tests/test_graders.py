@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.functions import paths, text
-from quarrylens.operators import astfacts, grading, graph, lines, measures, patches, records, sinks, style, symbols
+from quarrylens.operators import astfacts, complexity, grading, graph, lines, measures, patches, records, sinks, style, symbols
 from quarrylens.sources import code, tools
 from quarrylens.streaming import episode
 
@@ -164,6 +164,22 @@ def test_bounds_of_pairs(spark, monkeypatch):
     assert records.pairs(rows.limit(3), "k", "v").count() == 9
 
 
+def test_limits_of_parameters(spark):
+    """Of each parameter the least and the greatest value pass, and those beside them don't; null is no value."""
+    for name, (lo, hi) in records.LIMITS.items():
+        inside = [x for x in (lo, hi) if x is not None] + [None]
+        outside = [lo - 1] * (lo is not None) + [hi + 1] * (hi is not None)
+        df = spark.createDataFrame([(x,) for x in inside + outside], f"{name} int")
+        assert [r["broken"] for r in records.valid_parameters(df).collect()] == [[]] * len(inside) + [[name]] * len(outside)
+
+
+def test_estimates_of_one_name(spark):
+    """Of two functions with one qualified name the last in breadth-first order counts."""
+    source = "def f(xs):\n    for x in xs:\n        pass\n\n\nclass C:\n    def f(self, xs):\n        for x in xs:\n            for y in x:\n                pass\n"
+    n = astfacts.ast_nodes(spark.createDataFrame([("m.py", source)], "path string, text string"))
+    assert [(r["qualified_name"], r["time"]) for r in complexity.repository_estimates(n).collect()] == [("m.f", 4)]
+
+
 def test_folders_and_paths(spark, tmp_path):
     for x in ("b", "a"):
         (tmp_path / x).mkdir()
