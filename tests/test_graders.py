@@ -168,7 +168,7 @@ def test_limits_of_parameters(spark):
     """Of each parameter the least and the greatest value pass, and those beside them don't; null is no value."""
     for name, (lo, hi) in records.LIMITS.items():
         inside = [x for x in (lo, hi) if x is not None] + [None]
-        outside = [lo - 1] * (lo is not None) + [hi + 1] * (hi is not None)
+        outside = ([lo - 1] if lo is not None else []) + ([hi + 1] if hi is not None else [])
         df = spark.createDataFrame([(x,) for x in inside + outside], f"{name} int")
         assert [r["broken"] for r in records.valid_parameters(df).collect()] == [[]] * len(inside) + [[name]] * len(outside)
 
