@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,6 +37,45 @@ def register(grader: Grader) -> Grader:
     return grader
 
 
+#: What graders say; names in braces are filled in.
+FORMATS = {
+    "lint": "Lint: {before} → {now} violations ({arrow})  score={score}",
+    "lint clean": "Lint: baseline was already clean (0 violations).",
+    "lint worse": "[lint] regression: {added} new violation(s) introduced vs baseline.",
+    "lint failed": "[lint] ruff failed: {error}",
+    "lint failed before": "[lint] ruff failed at baseline: {error}",
+    "symbol": "Dead code: {before} → {now} ({direction}). Weighted: {weight before} → {weight} ({score} eliminated).{remaining}",
+    "symbol better": "-{n}",
+    "symbol worse": "+{n} (regression)",
+    "symbol same": "no change",
+    "symbol kind": "{kind} ×{n}",
+    "symbol remaining": " Remaining: {kinds}.",
+    "style gold": "[Style] Gold standard — zero violations (Google Python Style Guide).",
+    "style worse": "[Style] Regression vs baseline (raw {now} < baseline {before}). Top violations: {rules}.",
+    "style": "[Style] delta={score} (raw {before}→{now}). Weakest dims: {dims}. Top rules: {rules}.",
+    "style rule": "{rule}×{n} ({said}…)",
+    "style dim": "{dim}={score}",
+    "style no rules": "see violations list",
+    "complexity": "[Complexity] CC cost: {cc before}→{cc} {cc arrow} (avg CC {avg before}→{avg}); Big-O cost: {big before}→{big} {big arrow}. Score: {score} (CC×0.55 + BigO×0.45).{worst}",
+    "complexity worst": " Worst fn: '{function}' ({class}, cost={cost}). Patterns: {patterns}.",
+    "complexity failed": "[radon: {error}]",
+    "complexity worse": "[complexity] regression: CC cost {cc before}→{cc}, Big-O cost {big before}→{big}",
+    "coverage failed": "[Coverage] pytest did not complete: {error}",
+    "coverage late": "pytest timed out after unknowns",
+    "coverage kept": "[Coverage/constraint] {passed}/{total} tests pass ({rate}). Coverage: {before} → {now} ({change}pp).",
+    "coverage lost": "[Coverage/constraint] {passed}/{total} tests pass ({rate}). Coverage: {before} → {now} ({change}pp) — dropped beyond 2% tolerance; score halved.",
+    "coverage worse": "[Coverage/objective] Coverage regressed: {before} → {now} ({change}pp). Target: {target}. Tests: {passed}/{total}.",
+    "coverage reached": "[Coverage/objective] Target reached! Coverage {now} ≥ {target}. Tests: {passed}/{total}.",
+    "coverage raised": "[Coverage/objective] Coverage: {before} → {now} ({change}pp, {score} toward {target}). Tests: {passed}/{total} ({rate}).",
+}
+
+
+def fill(name: str, **parts: Column | str) -> Column:
+    """A format with columns in its braces, whose names have underscores for spaces; a text is the name of a column."""
+    pieces = re.split(r"\{([\w ]+)\}", FORMATS[name])
+    return F.concat(*(F.lit(x) if i % 2 == 0 else F.col(p) if isinstance(p := parts[x.replace(" ", "_")], str) else p for i, x in enumerate(pieces)))
+
+
 def texts(*found: Column) -> Column:
     """An array of the texts that aren't null."""
     return F.filter(F.array(*found), lambda x: x.isNotNull())
@@ -52,51 +92,43 @@ def percent(x: Column | str, digits: int = 0) -> Column:
 def _lint_said() -> Column:
     b, c = F.col("b_violations"), F.col("violations")
     arrow = F.when(c < b, F.concat(F.lit("↓"), b - c)).when(c > b, F.concat(F.lit("↑"), c - b)).otherwise("→0")
-    both = F.concat(F.lit("Lint: "), b, F.lit(" → "), c, F.lit(" violations ("), arrow, F.lit(")  score="), shown("score", 2))
-    return texts(F.when(b == 0, "Lint: baseline was already clean (0 violations).").otherwise(both))
+    return texts(F.when(b == 0, fill("lint clean")).otherwise(fill("lint", before=b, now=c, arrow=arrow, score=shown("score", 2))))
 
 
 def _symbol_said() -> Column:
     b, c = F.col("b_raw_count"), F.col("raw_count")
-    direction = F.when(b > c, F.concat(F.lit("-"), b - c)).when(b < c, F.concat(F.lit("+"), c - b, F.lit(" (regression)"))).otherwise("no change")
-    kinds = F.transform(F.slice("kinds", 1, 3), lambda k: F.concat(F.replace(k, F.lit("_"), F.lit(" ")), F.lit(" ×"), F.element_at("by_kind", k)))
-    left = F.when(F.size("kinds") > 0, F.concat(F.lit(" Remaining: "), F.array_join(kinds, ", "), F.lit("."))).otherwise("")
-    return texts(F.concat(F.lit("Dead code: "), b, F.lit(" → "), c, F.lit(" ("), direction, F.lit("). Weighted: "), shown("b_weighted_total", 1), F.lit(" → "), shown("weighted_total", 1), F.lit(" ("), percent("score"), F.lit(" eliminated)."), left))
+    direction = F.when(b > c, fill("symbol better", n=b - c)).when(b < c, fill("symbol worse", n=c - b)).otherwise(fill("symbol same"))
+    kinds = F.transform(F.slice("kinds", 1, 3), lambda k: fill("symbol kind", kind=F.replace(k, F.lit("_"), F.lit(" ")), n=F.element_at("by_kind", k)))
+    remaining = F.when(F.size("kinds") > 0, fill("symbol remaining", kinds=F.array_join(kinds, ", "))).otherwise("")
+    return texts(fill("symbol", before=b, now=c, direction=direction, weight_before=shown("b_weighted_total", 1), weight=shown("weighted_total", 1), score=percent("score"), remaining=remaining))
 
 
 def _style_said() -> Column:
-    top = F.transform(F.slice("rules", 1, 3), lambda r: F.concat(r["rule"], F.lit("×"), r["n"], F.lit(" ("), F.substring(r["said"], 1, 30), F.lit("…)")))
-    rules = F.array_join(top, ", ")
+    rules = F.array_join(F.transform(F.slice("rules", 1, 3), lambda r: fill("style rule", rule=r["rule"], n=r["n"], said=F.substring(r["said"], 1, 30))), ", ")
     weak = F.slice(F.array_sort("dims", lambda x, y: F.when(x["score"] < y["score"], -1).when(x["score"] > y["score"], 1).otherwise(0)), 1, 2)
-    weakest = F.array_join(F.transform(F.filter(weak, lambda d: d["score"] < 1), lambda d: F.concat(d["dimension"], F.lit("="), percent(d["score"]))), ", ")
+    dims = F.array_join(F.transform(F.filter(weak, lambda d: d["score"] < 1), lambda d: fill("style dim", dim=d["dimension"], score=percent(d["score"]))), ", ")
     b, c = shown("b_raw_score", 2), shown("raw_score", 2)
-    worse = F.concat(F.lit("[Style] Regression vs baseline (raw "), c, F.lit(" < baseline "), b, F.lit("). Top violations: "), F.when(rules == "", "see violations list").otherwise(rules), F.lit("."))
-    better = F.concat(F.lit("[Style] delta="), percent("score"), F.lit(" (raw "), b, F.lit("→"), c, F.lit("). Weakest dims: "), weakest, F.lit(". Top rules: "), rules, F.lit("."))
-    gold = F.lit("[Style] Gold standard — zero violations (Google Python Style Guide).")
-    return texts(F.when(F.col("score") >= 1, gold).when(F.col("raw_score") < F.col("b_raw_score"), worse).otherwise(better))
+    worse = fill("style worse", now=c, before=b, rules=F.when(rules == "", fill("style no rules")).otherwise(rules))
+    better = fill("style", score=percent("score"), before=b, now=c, dims=dims, rules=rules)
+    return texts(F.when(F.col("score") >= 1, fill("style gold")).when(F.col("raw_score") < F.col("b_raw_score"), worse).otherwise(better))
 
 
-def _complexity_said() -> Column:
+def _complexity_parts() -> dict[str, Column]:
     arrow = lambda x: F.when(F.col(x) < F.col(f"b_{x}"), "↓").when(F.col(x) > F.col(f"b_{x}"), "↑").otherwise("→")
-    both = lambda x: F.concat(shown(f"b_{x}", 1), F.lit("→"), shown(x, 1))
+    held = {"cc": "cc_cost_sum", "avg": "cc_avg", "big": "bigO_cost_sum"}
+    return {k: shown(x, 1) for k, x in held.items()} | {f"{k}_before": shown(f"b_{x}", 1) for k, x in held.items()} | {f"{k}_arrow": arrow(x) for k, x in held.items()}
+
+
+def _complexity_said() -> Column:
     worst = F.col("worst")
     patterns = F.when(F.size(worst["patterns"]) > 0, F.array_join(worst["patterns"], ", ")).otherwise("none")
-    tail = F.when(worst.isNotNull(), F.concat(F.lit(" Worst fn: '"), worst["qualified_name"], F.lit("' ("), worst["class"], F.lit(", cost="), shown(worst["cost"], 1), F.lit("). Patterns: "), patterns, F.lit("."))).otherwise("")
-    head = F.concat(F.lit("[Complexity] CC cost: "), both("cc_cost_sum"), F.lit(" "), arrow("cc_cost_sum"), F.lit(" (avg CC "), both("cc_avg"), F.lit("); Big-O cost: "), both("bigO_cost_sum"), F.lit(" "), arrow("bigO_cost_sum"), F.lit(". Score: "), shown("score", 3), F.lit(" (CC×0.55 + BigO×0.45)."))
-    return texts(F.concat(head, tail), F.when(F.col("tool_error") != "", F.concat(F.lit("[radon: "), "tool_error", F.lit("]"))))
+    tail = F.when(worst.isNotNull(), fill("complexity worst", function=worst["qualified_name"], **{"class": worst["class"]}, cost=shown(worst["cost"], 1), patterns=patterns)).otherwise("")
+    return texts(fill("complexity", **_complexity_parts(), score=shown("score", 3), worst=tail), F.when(F.col("tool_error") != "", fill("complexity failed", error="tool_error")))
 
 
 def _complexity_errors() -> Column:
-    both = lambda x: F.concat(shown(f"b_{x}", 1), F.lit("→"), shown(x, 1))
     worse = (F.col("cc_cost_sum") > F.col("b_cc_cost_sum")) | (F.col("bigO_cost_sum") > F.col("b_bigO_cost_sum"))
-    return texts(F.when(worse, F.concat(F.lit("[complexity] regression: CC cost "), both("cc_cost_sum"), F.lit(", Big-O cost "), both("bigO_cost_sum"))))
-
-
-def _coverage_parts() -> tuple[Column, Column, Column, Column]:
-    b, c = F.col("b_line_coverage"), F.col("line_coverage")
-    points = F.round((c - b) * 100, 1)
-    change = F.concat(F.when(points >= 0, "+").otherwise(""), shown(points, 1), F.lit("pp"))
-    return F.concat(percent(b, 1), F.lit(" → "), percent(c, 1)), change, F.concat("passed", F.lit("/"), "total"), percent("pass_rate")
+    return texts(F.when(worse, fill("complexity worse", **_complexity_parts())))
 
 
 def _coverage_failed() -> Column:
@@ -104,19 +136,15 @@ def _coverage_failed() -> Column:
 
 
 def _coverage_said(target: Column | None) -> Column:
-    moved, change, tests, rate = _coverage_parts()
     b, c = F.col("b_line_coverage"), F.col("line_coverage")
-    stopped = F.concat(F.lit("[Coverage] pytest did not complete: "), "run_error")
+    points = F.round((c - b) * 100, 1)
+    parts = {"before": percent(b, 1), "now": percent(c, 1), "change": F.concat(F.when(points >= 0, "+").otherwise(""), shown(points, 1)), "passed": "passed", "total": "total", "rate": percent("pass_rate")}
     if target is None:
-        end = F.when(c >= b - 0.02, ".").otherwise(" — dropped beyond 2% tolerance; score halved.")
-        text = F.concat(F.lit("[Coverage/constraint] "), tests, F.lit(" tests pass ("), rate, F.lit("). Coverage: "), moved, F.lit(" ("), change, F.lit(")"), end)
+        text = F.when(c >= b - 0.02, fill("coverage kept", **parts)).otherwise(fill("coverage lost", **parts))
     else:
-        goal, head = percent(target, 1), F.lit("[Coverage/objective] ")
-        worse = F.concat(head, F.lit("Coverage regressed: "), moved, F.lit(" ("), change, F.lit("). Target: "), goal, F.lit(". Tests: "), tests, F.lit("."))
-        done = F.concat(head, F.lit("Target reached! Coverage "), percent(c, 1), F.lit(" ≥ "), goal, F.lit(". Tests: "), tests, F.lit("."))
-        rest = F.concat(head, F.lit("Coverage: "), moved, F.lit(" ("), change, F.lit(", "), percent("score"), F.lit(" toward "), goal, F.lit("). Tests: "), tests, F.lit(" ("), rate, F.lit(")."))
-        text = F.when(c < b, worse).when(F.col("score") >= 1, done).otherwise(rest)
-    return texts(F.when(_coverage_failed(), stopped).otherwise(text))
+        parts |= {"target": percent(target, 1), "score": percent("score")}
+        text = F.when(c < b, fill("coverage worse", **parts)).when(F.col("score") >= 1, fill("coverage reached", **parts)).otherwise(fill("coverage raised", **parts))
+    return texts(F.when(_coverage_failed(), fill("coverage failed", error="run_error")).otherwise(text))
 
 
 def coverage_grader(mode: str = "constraint", target: float = 0.80) -> Grader:
@@ -125,7 +153,7 @@ def coverage_grader(mode: str = "constraint", target: float = 0.80) -> Grader:
         score = lambda: scoring.coverage_objective("pass_rate", "line_coverage", "b_line_coverage", F.lit(target))
     else:
         score = lambda: scoring.coverage_constraint("pass_rate", "line_coverage", "b_line_coverage")
-    errors = lambda: texts(F.when(F.col("timed_out"), F.concat(F.lit("pytest timed out after "), F.lit("unknown"), F.lit("s"))))
+    errors = lambda: texts(F.when(F.col("timed_out"), fill("coverage late")))
     said = lambda: _coverage_said(F.lit(target) if mode == "objective" else None)
     return Grader(
         "coverage", ("pass_rate", "line_coverage"), lambda: scoring.python_round(F.when(_coverage_failed(), 0.0).otherwise(score()), 4), lambda: F.lit(0), said, errors,
@@ -134,8 +162,7 @@ def coverage_grader(mode: str = "constraint", target: float = 0.80) -> Grader:
 
 register(Grader(
     "lint", ("violations", "tool_error"), lambda: scoring.lint_score("b_violations", "violations")[0], lambda: scoring.lint_score("b_violations", "violations")[1], _lint_said,
-    lambda: texts(F.when(F.col("added") > 0, F.concat(F.lit("[lint] regression: "), F.col("added").cast("long"), F.lit(" new violation(s) introduced vs baseline.")))),
-    lambda: texts(F.when(F.col("tool_error").isNotNull(), F.concat(F.lit("[lint] ruff failed: "), "tool_error")), F.when(F.col("b_tool_error").isNotNull(), F.concat(F.lit("[lint] ruff failed at baseline: "), "b_tool_error"))),
+    lambda: texts(F.when(F.col("added") > 0, fill("lint worse", added=F.col("added").cast("long")))), lambda: texts(fill("lint failed", error="tool_error"), fill("lint failed before", error="b_tool_error")),
 ))
 register(Grader("symbol", ("weighted_total", "raw_count"), lambda: scoring.symbol_score("b_weighted_total", "weighted_total")[0], lambda: scoring.symbol_score("b_weighted_total", "weighted_total")[1], _symbol_said, penalty=lambda: shown("added", 1)))
 register(Grader(
