@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import staged
+from quarrylens.llm.shared import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     sign = None
     while True:
-        edges = staged(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, staged(_small_star(_large_star(edges)), "stars")
+        discard(before)
         row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if sign == tuple(row):
             break

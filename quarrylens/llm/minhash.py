@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
-from quarrylens.llm.shared import U64, grams, hash64, lean, mix, signed, slices, staged, words
+from quarrylens.llm.shared import U64, discard, grams, hash64, lean, mix, signed, slices, staged, words
 
 BUCKETS = 192
 #: How likely a pair at the threshold may share less than two bands.
@@ -21,8 +21,9 @@ MISS = 1e-5
 #: up to 6 shingles at 80 percent (5e-4 for 4 and 5), while sharing none is not (2e-6).
 SMALL = 8
 MANTISSA = 10
-#: Members of a group that meet at once, and parts that the members of each group are dealt to while they get their block.
-BLOCK, SALTS = 500, 64
+#: Members of a group that meet at once; fewer, but SMALL_BLOCK at least, where that spreads a group over up to BLOCKS blocks; and parts
+#: that the members of each group are dealt to while they get their block.
+BLOCK, SMALL_BLOCK, BLOCKS, SALTS = 300, 100, 12, 64
 EMPTY = 0xFFFF
 
 
@@ -194,7 +195,9 @@ def _tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perce
     near = staged(near.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(_likely(percent / 100), "u long, v long"), f"{name}-likely")
     sets = _items(docs, classes, near.select(F.explode(F.array("u", "v")).alias("node")), n)
     full = near.join(sets.withColumnsRenamed({"node": "u", "items": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "items": "b"}), "v")
-    return staged(full.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long, linked boolean, distance double"), name)
+    out = staged(full.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long, linked boolean, distance double"), name)
+    discard(near, sets)
+    return out
 
 
 def _partners(c: np.ndarray, size: np.ndarray, mini: np.ndarray, own: np.ndarray, lo: int, hi: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -304,7 +307,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     marked = members.select("key", "rep").join(label.withColumnRenamed("u", "rep"), "rep", "left").join(hub.select("key", "hub"), "key").withColumn("c", F.coalesce("component", "rep"))
     mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi and k > 2").select("key")
     open_ = staged(marked.join(mixed, "key").select("hub", "rep", "c").distinct(), "open")
-    large = open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    size = F.count("*")
+    large = open_.groupBy("hub").agg(F.greatest(F.ceil(size / BLOCK), F.least(F.ceil(size / SMALL_BLOCK), F.lit(BLOCKS))).cast("int").alias("blocks")).where("blocks > 1")
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = open_.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(large, ["hub", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = own.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("blocks")).cast("int"))
@@ -317,6 +321,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     found = left.join(sketched, "rep").join(sets, "rep").groupBy("hub", "lo", "hi").applyInArrow(_links_between(percent), "u long, v long")
     links = links.unionByName(found)
     links = staged(links, "all-links")
+    discard(met, members, open_, left, tested)
     label = staged(components(links).withColumnRenamed("u", "node"), "labels")
     least = label.join(classes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     count = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -6,7 +6,6 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np

@@ -44,6 +44,8 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = pieces.DEFAULT_MODEL) -> DataFrame:
+    """The model file at hand was made as a BPE model (its trainer says so): its scores are negated ranks of merges and not
+    log-probabilities. The segmentation is the one of the best sum of them; tokenizers aren't trained here."""
     out = pieces.round_trip(_table(spark, sf_dir, "documents"), model)
     return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import U64, hash64, lean, mix, signed, staged, typed, words
+from quarrylens.llm.shared import U64, discard, hash64, lean, mix, signed, staged, typed, words
 
 GRAM = 10
 #: How many of a window's smallest hashes of GRAM words make its route, from level to level; at the last level all its words do.
 LEVELS = (1, 6, 0)
 #: Words in an index, and bytes of different segments that a route may have before the next level splits it.
-SHARD_WORDS, ROUTE_BYTES = 300_000, 1 << 17
+SHARD_WORDS, ROUTE_BYTES = 300_000, 1 << 16
 #: By how many symbols suffixes are sorted; patterns are shorter.
 SORTED = 64
 #: Longer words stand in segments by their SHA-256, behind a byte that no text has.
@@ -309,12 +309,15 @@ def _covered(rows: DataFrame, found: DataFrame, keys: list[str], length: int, le
     hot = staged(distinct.groupBy("to").agg(F.sum(F.length("body")).alias("bytes")).where(F.lit(not last) & (F.col("bytes") > ROUTE_BYTES)).select("to"), name + "hot")
     calm = distinct.join(hot, "to", "left_anti").repartition("to").sortWithinPartitions("to")
     solved = calm.mapInArrow(_index(length), "to long, form string, first long, ranges array<array<int>>")
+    again_ = []
     if not hot.isEmpty():
         again = staged(distinct.join(hot, "to", "left_semi").select("to", F.md5("body").alias("hex"), F.col("first").alias("owner"), "body").withColumnRenamed("to", "was"), name + "again")
         deeper = _covered(again, again.mapInArrow(_routes(length, level + 1), "was long, hex string, owner long, found array<long>"), ["was", "hex"], length, level + 1)
         known = again.join(deeper, ["was", "hex"], "left").select(F.col("was").alias("to"), F.col("hex").alias("form"), F.col("owner").alias("first"), "ranges")
         solved = solved.unionByName(known)
+        again_ = [again]
     solved = staged(solved, name + "solved")
+    discard(common, routed, distinct, hot, *again_)
     met = parts.select(*keys, "owner", "to", "starts", "size", F.md5("body").alias("form")).join(solved, ["to", "form"])
     whole = F.transform("starts", lambda s: F.array(s, s + F.col("size")))
     shifted = F.flatten(F.transform("starts", lambda s: F.transform("ranges", lambda r: F.transform(r, lambda x: x + s))))
@@ -346,5 +349,6 @@ def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     named = ["id", "mark_of_text"]  # the id of a row, which is also its owner
     alone = long.join(copies, keys, "left_anti").withColumn("id", F.col("owner"))
     ranges = _covered(docs.withColumn("id", F.col("owner")), alone, named, length).withColumnRenamed("id", "owner")
+    discard(rows, repeated)
     known = docs.join(copies, keys, "left").join(ranges, keys, "left")
     return known.select(F.col("owner").alias("doc_id"), F.col("body").alias("text"), F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long, spans array<long>")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylens.llm import arc, chat, components, decontam, linededup, minhash, pieces, quality, substring, topk, toxicity
+from quarrylens.llm import arc, chat, components, decontam, linededup, minhash, pieces, quality, queries, substring, topk, toxicity
 
 WORDS = "alpha bravo carol delta eagle fancy gamma hotel india joker kappa lemon mango noble ocean pilot queen robin sugar tango".split()
 
@@ -554,6 +554,14 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()} == {(i, i) for i in range(7)}
 
 
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    """A second text of a doc_id is judged by itself: it goes only if another document has it, or an item is in it."""
+    a, b, c = prose(81, 80), prose(82, 80), prose(83, 80)
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "de", "s", 1), (6, c, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [(1, a, "en"), (5, b, "de"), (6, c, "en")]
+
+
 def test_pipeline_stages(spark, odd, nothing, sf):
     """Each stage takes what the one before kept, whatever it holds."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -573,6 +581,16 @@ def test_pipeline_decisions(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         held.append(stage(spark, held[-1], sf).cache())
     rows = [{r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()} for d in held]
+    # toxicity: the scores of the operator, each below the bound
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), train=~queries.held_out())
+    assert set(rows[1]) == {r["doc_id"] for r in toxicity.toxicity(docs, model).collect() if r["score"] < 0.7}
+    # lines: of those in three documents only the one in the last stays
+    owners = {}
+    for k, t in rows[1].items():
+        for x in t.split("\n"):
+            owners.setdefault(linededup.line_key(x.encode(), 20), set()).add(k)
+    goes = lambda x, k: (key := linededup.line_key(x.encode(), 20)) and len(owners[key]) >= 3 and max(owners[key]) != k
+    assert rows[2] == {k: "\n".join(x for x in t.split("\n") if not goes(x, k)) for k, t in rows[1].items()}
     # near duplicates: one of each group that links of similarity 0.8 make
     sets = {k: set(minhash.shingle_set(t, 5).tolist()) for k, t in rows[2].items()}
     root = {k: k for k in sets}

@@ -1,6 +1,8 @@
 """The thin queries against SQL, or against plain versions where SQL can't express them."""
 
+import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +12,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm import decontam, pieces, quality, queries
+from quarrylens.llm import decontam, pieces, quality, queries, toxicity
+from test_corpus_edges import every_reading
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -29,6 +32,77 @@ def test_toxicity_of_held_out_rows(spark):
     assert (j[j.toxic == 1].predicted.mean() > 0.8) and (j[j.toxic == 0].predicted.mean() < 0.01)
 
 
+def test_toxicity_against_plain_scores(spark):
+    """Every text's score from its learned signs, looked for one by one; short spans are decoded by trying all their readings."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), train=~queries.held_out())
+
+    def reading(span):
+        ways = math.prod(len(x) for x in toxicity.lattice(span))
+        if ways > 300:
+            return toxicity.decode(span, model.lm)
+        best = every_reading(span, model.lm)
+        own = toxicity.decode(span, model.lm)
+        assert best[own] == pytest.approx(max(best.values()), abs=1e-3)
+        return own
+
+    def plain(text):
+        spans = set()
+        for token in text.split():
+            core = token.strip(toxicity.EDGE)
+            folded = [toxicity.LETTERS[s] for s in toxicity.symbols(core)]
+            if core.isalpha() and any(x == y and x in "abcdefghijklmnopqrstuvwxyz" for x, y in itertools.pairwise(folded)) or not core.isalpha() and any(c.isalpha() for c in core):
+                spans.add(core)
+        spans |= set(toxicity.SPACED.findall(text))
+        words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+        for x in spans:
+            y = reading(x).split()
+            if y != re.findall(r"[^\W\d_]+", x.lower()):
+                words.update(y)
+        clean = 1 - model.base
+        for sign, chance in model.weights.items():
+            if sign.endswith("$"):
+                have = sign[:-1] in words
+            else:
+                head, _, times = sign.partition("#")
+                have = sum(n for w, n in words.items() if w.startswith(head)) >= int(times or 1)
+            clean *= 1 - chance if have else 1
+        return 1 - clean
+
+    got = {r["doc_id"]: r["score"] for r in queries.op2_toxicity(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert set(got) == set(texts) and model.weights
+    for key, text in texts.items():
+        assert got[key] == pytest.approx(plain(text), abs=1e-9), key
+
+
+def test_pieces_against_a_plain_search_of_whole_texts(spark, sf):
+    """The ids of the query have the best sum of scores that a search over each whole text finds, without parts or trie."""
+    p = pieces.Pieces(open(pieces.DEFAULT_MODEL, "rb").read())
+    scores = {s: x for s, x, kind in p.pieces if kind in (pieces.NORMAL, pieces.USER)}
+    longest = max(map(len, scores))
+    got = {r["doc_id"]: r["ids"] for r in queries.op5_sentencepiece(spark, sf).collect()}
+    byte_ids = {i: b for b, i in p.byte_ids.items()}
+    for doc, text in list(pq.read_table(f"{sf}/documents.parquet").to_pandas().set_index("doc_id").text.items()):
+        s = pieces.MARK + text.replace(" ", pieces.MARK)
+        if pieces.MARK in text or "\0" in text or len(s) > 6000:
+            continue
+        best = [0.0] + [-math.inf] * len(s)
+        for at in range(len(s)):
+            for to in range(at + 1, min(len(s), at + longest) + 1):
+                score = scores.get(s[at:to], p.unknown if to == at + 1 else None)
+                if score is not None and best[at] + score > best[to]:
+                    best[to] = best[at] + score
+        own, left = 0.0, b""
+        for i in got[doc]:
+            if i in byte_ids:
+                left += bytes([byte_ids[i]])
+                continue
+            own, left = own + p.scores[i] + p.unknown * len(left.decode()), b""
+        assert own + p.unknown * len(left.decode()) == pytest.approx(best[-1], rel=1e-9), doc
+
+
 def test_pieces_give_the_text_back(spark, sf):
     import hashlib
 
