@@ -118,10 +118,6 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def binary_list(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array([a.tobytes() for a in arrays], pa.binary())
-
-
 def rest(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     """The columns that an operator carries along."""
     return [column(batch, n) for n in names]
