@@ -23,7 +23,7 @@ def by_key(df, *columns):
     return {(r["episode_id"], r["step"]): tuple(r[c] for c in columns) for r in df.collect()}
 
 
-def test_symbol_grader(repo):
+def test_grades_of_dead_code(repo):
     m = measures.symbol_measures(repo[1])
     got = by_key(m, "raw_count", "weighted_total")
     # Imports os and sys, the variable left, a statement after return, and the symbols os, sys, Run and left; then sys and run.
@@ -34,7 +34,7 @@ def test_symbol_grader(repo):
     assert g["e", 0]["said"][0].endswith("Remaining: unused import ×2, unused variable ×1, unreachable block ×1.")
 
 
-def test_style_grader(repo):
+def test_grades_of_style(repo):
     files, nodes = repo
     m = measures.style_measures(nodes, files)
     got = by_key(m, "violations", "error_violations", "raw_score")
@@ -47,7 +47,7 @@ def test_style_grader(repo):
     assert by_key(ignored, "violations")["e", 0] == (3,)
 
 
-def test_lint_grader(spark):
+def test_grades_of_lint(spark):
     rows = [("e", 0, "[{},{}]", "", 1, False), ("e", 1, "[{},{},{}]", "", 1, False), ("e", 2, "", "", 0, False), ("e", 3, "", " no such file ", 2, False), ("e", 4, "[]", "", 0, True), ("f", 0, "[]", "", 0, False)]
     runs = spark.createDataFrame(rows, "episode_id string, step int, stdout string, stderr string, return_code int, timed_out boolean")
     g = {(r["episode_id"], r["step"]): r for r in grading.graded(measures.lint_measures(runs), grading.GRADERS["lint"]).collect()}
@@ -57,7 +57,7 @@ def test_lint_grader(spark):
     assert g["f", 0]["said"] == ["Lint: baseline was already clean (0 violations)."] and g["f", 0]["score"] == 1.0
 
 
-def test_complexity_grader(spark, repo):
+def test_grades_of_complexity(spark, repo):
     report = '{"pkg/m.py": [{"name": "Run", "complexity": %d, "rank": "A"}], "tests/test_m.py": [{"name": "t", "complexity": 99}], "x.py": {"error": "bad"}}'
     rows = [("e", 0, report % 15, 0, False), ("e", 1, "", 2, False), ("f", 0, report % 5, 1, False), ("f", 1, report % 12, 0, False), ("g", 0, "no json", 0, False)]
     runs = spark.createDataFrame(rows, "episode_id string, step int, stdout string, return_code int, timed_out boolean")
@@ -71,7 +71,7 @@ def test_complexity_grader(spark, repo):
     assert "Worst fn: 'pkg.m.Run' (O1, cost=0.0). Patterns: none." in g["e", 0]["said"][0]
 
 
-def test_coverage_grader(spark):
+def test_grades_of_coverage(spark):
     cover = '{"totals":{"covered_lines":%d,"num_statements":100}}'
     rows = [("e", 0, "8 passed, 2 failed", cover % 60, 0, "", False), ("e", 1, "10 passed", cover % 70, 0, "", False), ("e", 2, "9 passed, 1 error", cover % 50, 0, "", False), ("e", 3, "", cover % 90, 1, "boom", False), ("e", 4, "", "", 0, "", True), ("e", 5, "5 passed", cover % 85, 0, "", False)]
     runs = spark.createDataFrame(rows, "episode_id string, step int, stdout string, coverage string, return_code int, stderr string, timed_out boolean").withColumn("report", F.lit(None).cast("string"))
