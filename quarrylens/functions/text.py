@@ -101,6 +101,13 @@ def arrow(before: Column, after: Column) -> Column:
     return F.concat(before.cast("string"), F.lit(" → "), after.cast("string"))
 
 
-def truncate_bytes(text: Column, limit: int = 8192) -> Column:
-    """The first bytes of a text; a character that is cut goes."""
-    return F.try_validate_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string")) if hasattr(F, "try_validate_utf8") else F.substring(text, 1, limit)
+#: Fixed value: what stands behind a text that has been cut.
+CUT = "\n… [truncated to 8 KB]"
+
+
+def truncate_bytes(text: Column, limit: int | Column = 8192, said: str = CUT) -> Column:
+    """A text of up to limit bytes as it is; of a longer one the first limit bytes and what is said of the cut, with a
+    replacement character for one that is cut. An empty text is null."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    head = F.make_valid_utf8(F.encode(text, "UTF-8").substr(F.lit(1), limit.cast("int")).cast("string"))
+    return F.when(F.octet_length(text) <= limit, F.when(text != "", text)).otherwise(F.concat(head, F.lit(said)))

@@ -67,7 +67,8 @@ def tolerant_parse(text: str) -> tuple[ast.Module | None, str]:
 
 
 def shape(node: ast.AST) -> str:
-    """Names by their first appearance, literals by their kind, strings that stand alone left out."""
+    """Names by their first appearance, literals by their kind, strings that stand alone left out; the annotation of an argument
+    stays as it is and gives no name a place."""
     places: dict[str, int] = {}
 
     def show(x: object) -> str:
@@ -79,7 +80,7 @@ def shape(node: ast.AST) -> str:
         if isinstance(x, ast.Name):
             own["id"] = places.setdefault(x.id, len(places))
         elif isinstance(x, ast.arg):
-            own["arg"] = places.setdefault(x.arg, len(places))
+            own |= {"arg": places.setdefault(x.arg, len(places)), "annotation": ast.dump(x.annotation) if x.annotation else None}
         elif isinstance(x, ast.Constant) and isinstance(x.value, (str, int, float)):
             own = {"kind": "text" if isinstance(x.value, str) else "number"}
         return type(x).__name__ + "(" + ",".join(f"{k}={show(v)}" for k, v in own.items()) + ")"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.operators import astfacts
 from quarrylens.operators.symbols import definitions, local_name, module_of, usages
 from quarrylens.session import cut
 
@@ -42,18 +46,83 @@ def replace_files(table: DataFrame, changed: DataFrame) -> DataFrame:
     return table.join(changed.select("path").distinct(), "path", "left_anti").unionByName(changed)
 
 
+@dataclass(frozen=True)
+class Graph:
+    """A dependency graph that can be carried from one state of a repository to the next: the node table, edges, and what
+    seeds (node) reach."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    seeds: DataFrame
+    reach: DataFrame
+
+
+def built(nodes: DataFrame, seeds: DataFrame) -> Graph:
+    """The graph of a whole node table."""
+    nodes, found = cut(nodes), cut(edges(nodes))
+    return Graph(nodes, found, seeds, reachable(found, seeds))
+
+
+def rebuilt(old: Graph, changed: DataFrame, seeds: DataFrame | None = None) -> Graph:
+    """The graph after changed files (path, text; a null text where the file is gone) and, if given, with other seeds.
+
+    Only changed files are parsed, and only their facts, aliases and edges are replaced. What is reached is mended: all that
+    may hang on an edge or a seed that went is taken back, going along old edges from its end; what other nodes or
+    seeds still reach of it comes back; and what new edges reach is added. The steps go along the taken and the new nodes,
+    not along the whole graph.
+    """
+    seeds = old.seeds if seeds is None else seeds
+    paths = cut(changed.select("path").distinct())
+    fresh = cut(astfacts.ast_nodes(changed.where("text IS NOT NULL")))
+    nodes = cut(old.nodes.join(paths, "path", "left_anti").unionByName(fresh))
+    kept_edges = old.edges.join(paths, "path", "left_anti")
+    now = cut(kept_edges.unionByName(edges(fresh)))
+    return Graph(nodes, now, seeds, _mended(old, now, paths, seeds))
+
+
+def _mended(old: Graph, now: DataFrame, paths: DataFrame, seeds: DataFrame) -> DataFrame:
+    pair, touched = ["src", "dst"], paths.select("path")
+    before = old.edges.join(touched, "path", "left_semi").select(*pair).distinct()
+    after = now.join(touched, "path", "left_semi").select(*pair).distinct()
+    gone = before.join(now.select(*pair), pair, "left_anti")  # another file may have the same edge
+    ends = gone.join(old.reach, gone["src"] == old.reach["node"], "left_semi").select(F.col("dst").alias("node"))
+    left_out = old.seeds.select("node").join(seeds.select("node"), "node", "left_anti")
+    taken = _closure(old.edges, ends.unionByName(left_out).join(old.reach, "node", "left_semi"), None)
+    kept = cut(old.reach.join(taken, "node", "left_anti"))
+    # An old edge from what is kept into what was taken still holds, and so does a seed there.
+    back = now.join(taken.withColumnRenamed("node", "dst"), "dst", "left_semi").unionByName(now.join(after, pair, "left_semi"))
+    back = back.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+    start = back.unionByName(seeds.select("node")).distinct().join(kept, "node", "left_anti")
+    return cut(kept.unionByName(_closure(now, start, kept)))
+
+
+def _closure(edges: DataFrame, start: DataFrame, known: DataFrame | None) -> DataFrame:
+    """node: start and all that it reaches over edges, going no further where known nodes stand."""
+    found = frontier = cut(start.select("node").distinct())
+    parts = [found]
+    while not frontier.isEmpty():
+        step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        step = step.join(found, "node", "left_anti")
+        frontier = cut(step.join(known, "node", "left_anti") if known is not None else step)
+        parts.append(frontier)
+        found = reduce(DataFrame.unionByName, parts)
+    return found
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: all that seeds (node) reach over edges (src, dst), themselves included. STEPS steps a round; the graph and what
     has been found stay distributed."""
     steps = cut(edges.select("src", "dst").distinct())
     found = frontier = cut(seeds.select(F.col("node")).distinct())
+    parts = [found]
     while not frontier.isEmpty():
         news = None
         for _ in range(STEPS):
             frontier = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
             news = frontier if news is None else news.unionByName(frontier)
         frontier = cut(news.distinct().join(found, "node", "left_anti"))
-        found = cut(found.unionByName(frontier))
+        parts.append(frontier)  # what was found before isn't written again
+        found = reduce(DataFrame.unionByName, parts)
     return found
 
 
@@ -124,15 +193,42 @@ def fanout(edges: DataFrame) -> DataFrame:
     return edges.where("kind = 'IMPORTS'").groupBy("src").agg(F.count_distinct("dst").alias("fanout"))
 
 
-def innermost(points: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
-    """point, lo, hi: of each of points (point) the shortest of intervals (lo, hi) that holds it, the first of equal ones.
+def dyadic_cells(lo: Column, hi: Column) -> Column:
+    """An array of (level, cell) of the fewest stretches of 2^level whole numbers, from cell * 2^level on, that make up lo to hi:
+    two of a level at most. Ends of 62 bits at most; without lo <= hi there are none."""
+
+    def at(k: Column) -> Column:
+        ends = lambda j: (-F.call_function("shiftright", -lo, j), F.call_function("shiftright", hi + 1, j))  # noqa: E731  # from, and up to
+        (a, b), (up_a, up_b) = ends(k), ends(k + 1)
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        outer = F.array(F.when(odd(a), a), F.when(odd(b), b - 1))  # what the level above leaves over at both ends
+        inner = F.array(a, F.when(b - a > 1, a + 1))
+        own = F.when(a >= b, F.array().cast("array<bigint>")).when(up_a < up_b, outer).otherwise(inner)
+        return F.transform(F.filter(own, lambda x: x.isNotNull()), lambda x: F.struct(k.alias("level"), x.alias("cell")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(61)), at))
+
+
+def innermost(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """point, lo, hi: of each different one of points (point) the shortest of intervals (lo, hi) that holds it, of equal ones
+    that which begins first. All are whole numbers; intervals of any length may stand in one table, those that end before they
+    begin or lack an end hold nothing, and points in no interval give no row.
 
-    Intervals no longer than width meet points in buckets of that width, by an equality join; a longer one is an error.
+    Each interval is cut into dyadic cells, of which one holds a point that the interval holds. A cell keeps its
+    shortest interval alone, so nested ones don't multiply, and a point looks into one cell of each level that there is. A cell of
+    level k, into which 2^k points may look, is dealt to 2^(k/3) copies.
     """
-    fits = F.when(F.col("hi") - F.col("lo") <= width, F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).otherwise(F.raise_error(F.lit(f"an interval is longer than {width}")))
-    held = intervals.select("lo", "hi", F.explode(fits).alias("bucket"))
-    met = points.select("point", F.floor(F.col("point") / width).alias("bucket")).join(held, "bucket").where("point BETWEEN lo AND hi")
-    return met.groupBy("point").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo", "hi")).alias("b")).select("point", "b.lo", "b.hi")
+    cells = intervals.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).where("lo <= hi")
+    cells = cells.select("lo", "hi", F.explode(dyadic_cells(F.col("lo"), F.col("hi"))).alias("c")).groupBy("c.level", "c.cell").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo", "hi")).alias("best"))
+    cells = cut(cells)
+    levels = [r[0] for r in cells.select("level").distinct().collect()]  # 62 at most
+    copies = lambda level: F.pow(F.lit(2), F.least(F.floor(level / 3), F.lit(12))).cast("int")
+    held = cells.withColumn("copy", F.explode(F.sequence(F.lit(0), copies(F.col("level")) - 1)))
+    own = points.select(F.col("point").cast("long").alias("point")).where("point IS NOT NULL").distinct()
+    probes = own.select("point", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    probes = probes.withColumn("cell", F.expr("shiftright(point, level)")).withColumn("copy", F.pmod(F.xxhash64("point"), copies(F.col("level"))).cast("int"))
+    met = probes.join(held, ["level", "cell", "copy"]).groupBy("point").agg(F.min("best").alias("best"))
+    return met.select("point", "best.lo", "best.hi")
 
 
 def module_files(wanted: DataFrame, files: DataFrame) -> DataFrame:

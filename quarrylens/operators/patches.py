@@ -10,26 +10,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
+HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@")
+#: Fixed value: how a diff says that the line before ends without a line break.
+NO_BREAK = "\\ No newline at end of file"
+
+
+def _lines(text: str) -> list[str]:
+    """Lines with their \n; other line ends are part of a line, as in the counts of a diff."""
+    parts = text.split("\n")
+    return [x + "\n" for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
 def apply_diff(original: str, diff: str) -> str:
-    """The text with every hunk put in at its line, moved by what earlier hunks added; context isn't compared."""
-    out, shift, lines = original.splitlines(keepends=True), 0, diff.splitlines(keepends=True)
+    """The text with every hunk put in at its line, moved by what earlier hunks added; context isn't compared.
+
+    A hunk has as many old and new lines as its header says, whatever they begin with; an empty line is context. A hunk
+    without old lines goes in behind the line that its header names.
+    """
+    out, shift, lines = _lines(original), 0, _lines(diff)
     at = 0
     while at < len(lines):
         head = HUNK.match(lines[at])
         at += 1
         if not head:
             continue
-        old, body = int(head[2]) if head[2] is not None else 1, []
-        while at < len(lines) and not HUNK.match(lines[at]) and not lines[at].startswith(("--- ", "diff ")):
-            body.append(lines[at])
+        old, more = (int(x) if x is not None else 1 for x in head.groups()[1:])
+        place, gone, new = max(0, int(head[1]) - (1 if old else 0)) + shift, 0, []
+        while at < len(lines) and (gone < old or len(new) < more or lines[at].startswith(NO_BREAK)):
+            line = lines[at]
             at += 1
-        new = [x[1:] for x in body if x[:1] in ("+", " ")]
-        place = max(0, int(head[1]) - (1 if old else 0)) + shift
-        out[place : place + old] = new
-        shift += len(new) - old
+            if line.startswith(NO_BREAK):
+                if new and lines[at - 2][0] != "-":
+                    new[-1] = new[-1].removesuffix("\n")
+                continue
+            mark = line[0] if line[0] in "+-" else " "
+            gone += mark != "+"
+            if mark != "-":
+                new.append(line[1:] if line[0] in "+ " else line)
+        out[place : place + gone] = new
+        shift += len(new) - gone
     return "".join(out)
 
 
@@ -62,7 +81,7 @@ def line_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """How many lines two texts add and take away, and their unified diff in hunks; a null text has no lines."""
     out = []
     for a, b in zip(old, new, strict=True):
-        lines = list(difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), "a", "b"))
+        lines = list(difflib.unified_diff(_lines(a or ""), _lines(b or ""), "a", "b"))
         body = lines[2:]
-        out.append((sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), "".join(x if x.endswith("\n") else x + "\n" for x in lines)))
+        out.append((sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), "".join(x if x.endswith("\n") else f"{x}\n{NO_BREAK}\n" for x in lines)))
     return pd.DataFrame(out, columns=["added", "removed", "diff"])

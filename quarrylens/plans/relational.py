@@ -91,7 +91,18 @@ def unused_anti_join(spark, sf):
     SELECT point, lo, hi FROM (SELECT point, lo, hi, row_number() OVER (PARTITION BY point ORDER BY hi - lo, lo) AS nth FROM p JOIN i ON point BETWEEN lo AND hi) WHERE nth = 1""")
 def innermost_interval_join(spark, sf):
     i = table(spark, sf, "orders").select(F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.pmod("o_custkey", F.lit(40))).alias("hi"))
-    return graph.innermost(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("point")).distinct(), i, 40)
+    return graph.innermost(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("point")), i)
+
+
+@query("""WITH i AS (SELECT CASE WHEN o_custkey % 50 = 0 THEN o_orderkey - o_orderkey % 4096 ELSE o_orderkey - o_custkey % 7 END AS lo, o_orderkey + CASE WHEN o_custkey % 97 = 0 THEN 1000000 WHEN o_custkey % 5 = 0 THEN o_custkey ELSE o_custkey % 3 END AS hi FROM orders),
+    p AS (SELECT DISTINCT l_orderkey * 3 - 1000 AS point FROM lineitem)
+    SELECT point, b.lo AS lo, b.hi AS hi FROM (SELECT point, arg_min({'lo': lo, 'hi': hi}, {'span': hi - lo, 'lo': lo}) AS b FROM p JOIN i ON point BETWEEN lo AND hi GROUP BY point)""")
+def nested_intervals(spark, sf):
+    """Intervals of one number up to a million, nested and crossing, and points of which some are in none."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    lo = F.when(c % 50 == 0, k - k % 4096).otherwise(k - c % 7)
+    hi = k + F.when(c % 97 == 0, 1_000_000).when(c % 5 == 0, c).otherwise(c % 3)
+    return graph.innermost(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 3 - 1000).alias("point")), table(spark, sf, "orders").select(lo.alias("lo"), hi.alias("hi")))
 
 
 @query("SELECT r_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -413,9 +424,12 @@ def json_wire(spark, sf):
     return sinks.as_json(table(spark, sf, "region").select("r_regionkey", "r_name"))
 
 
-@query("SELECT o_orderkey, substr('x' || o_orderpriority, 1, 4) AS head FROM orders")
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 400 AS n FROM documents),
+    c AS (SELECT *, list_max(list_filter(range(0, n + 1), lambda i: strlen(left(t, i)) <= n)) AS k FROM d)
+    SELECT doc_id, CASE WHEN t = '' THEN NULL WHEN strlen(t) <= n THEN t ELSE left(t, k) || CASE WHEN strlen(left(t, k)) < n THEN chr(65533) ELSE '' END || chr(10) || '… [truncated to 8 KB]' END AS head FROM c""")
 def truncated_output(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", text.truncate_bytes(F.concat(F.lit("x"), "o_orderpriority"), 4).alias("head"))
+    """Texts cut at 0 to 399 bytes, within characters too."""
+    return table(spark, sf, "documents").select("doc_id", text.truncate_bytes(F.col("text"), F.col("doc_id") % 400).alias("head"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM events")
