@@ -28,13 +28,13 @@ COMPREHENSIONS = ("ListComp", "SetComp", "DictComp", "GeneratorExp")
 #: heads: functions in whose decorators, arguments, type parameters or returned annotation it stands; floors: whether a floor
 #: division stands below it; scope: dotted names of the definitions around it; caller: the innermost function whose lines hold
 #: its line. Of a call: callee and its first argument; of an attribute: its owner; of what has a value: the value's kind.
-#: Of an alias, a target or a definition: whether __all__ names it. Of an import: the first name, and whether it stands behind a
+#: Of a statement in a function: window, the shape of it and the next two of its block. Of an alias, a target or a definition: whether __all__ names it. Of an import: the first name, and whether it stands behind a
 #: later group. Of a handler: whether it is bare. Of a function: cc to decorators; of a class: bases, methods. Of a file, on
 #: each row: blank_doc, the line of its first function whose docstring is blank; on its first row: how much of each kind it has.
 COLUMNS = {
     "path": "string", "status": "string", "node": "int", "parent": "int", "pre": "int", "field": "string", "idx": "int", "type": "string", "name": "string", "as_name": "string", "const": "string", "value": "string", "ctx": "string",
     "line": "int", "end_line": "int", "col": "int", "up_type": "string", "up_name": "string", "up_line": "int", "up_col": "int", "up_level": "int", "scope": "string", "open_defs": "int", "funcs": "array<int>", "func_names": "array<string>", "func_depths": "array<int>",
-    "loops": "array<int>", "loop_depth": "int", "heads": "array<int>", "floors": "boolean", "op": "string", "count": "int", "level": "int", "doc": "string", "has_doc": "boolean", "returns": "boolean", "caller": "string", "norm_hash": "string",
+    "loops": "array<int>", "loop_depth": "int", "heads": "array<int>", "floors": "boolean", "op": "string", "count": "int", "level": "int", "doc": "string", "has_doc": "boolean", "returns": "boolean", "caller": "string", "norm_hash": "string", "window": "string",
     "callee": "string", "callee_type": "string", "arg_type": "string", "arg_const": "string", "arg_value": "string", "owner": "string", "value_type": "string", "value_const": "string", "value_text": "string", "target_type": "string", "up_value_type": "string",
     "in_all": "boolean", "first": "string", "late": "boolean", "bare": "boolean", "cc": "int", "yields": "boolean", "asserts": "boolean", "nested": "boolean", "mutable": "boolean", "arg_count": "int", "params": "int", "unannotated": "int", "decorators": "array<string>",
     "bases": "array<string>", "methods": "int", "blank_doc": "int", "n_lines": "int", "n_funcs": "int", "n_public": "int", "n_classes": "int", "n_imports": "int", "n_assigns": "int",
@@ -66,9 +66,9 @@ def tolerant_parse(text: str) -> tuple[ast.Module | None, str]:
     return None, "failed"
 
 
-def shape(node: ast.AST) -> str:
-    """Names by their first appearance, literals by their kind, strings that stand alone left out; the annotation of an argument
-    stays as it is and gives no name a place."""
+def shape(*nodes: ast.AST) -> str:
+    """Names by their first appearance in the nodes, literals by their kind, strings that stand alone left out; the annotation of
+    an argument stays as it is and gives no name a place."""
     places: dict[str, int] = {}
 
     def show(x: object) -> str:
@@ -85,7 +85,17 @@ def shape(node: ast.AST) -> str:
             own = {"kind": "text" if isinstance(x.value, str) else "number"}
         return type(x).__name__ + "(" + ",".join(f"{k}={show(v)}" for k, v in own.items()) + ")"
 
-    return hashlib.md5(show(node).encode()).hexdigest()
+    return hashlib.md5("".join(map(show, nodes)).encode()).hexdigest()
+
+
+#: Statements of a window.
+WINDOW = 3
+
+
+def _windows(block: list[ast.stmt]) -> dict[int, str]:
+    """The shapes of all windows of a block, by the place of their first statement; strings that stand alone are no statements."""
+    real = [(i, x) for i, x in enumerate(block) if not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str))]
+    return {real[k][0]: shape(*(x for _, x in real[k : k + WINDOW])) for k in range(len(real) - WINDOW + 1)}
 
 
 def _doc(node: ast.AST) -> str | None:
@@ -200,6 +210,7 @@ def facts(path: str, text: str | None) -> list[dict]:
         return [{"path": path, "status": status, "n_lines": n_lines}]
     rows, queue, exports = [], deque([(tree, None, None, 0, module_name(path), 0, (), (), ())]), _exports(tree)
     made: dict[int, dict] = {}
+    window_of: dict[int, str] = {}
     while queue:
         node, parent, field, idx, scope, open_defs, funcs, loops, heads = queue.popleft()
         me = len(rows)
@@ -207,7 +218,7 @@ def facts(path: str, text: str | None) -> list[dict]:
             funcs = (*funcs, (me, node.name, len(loops)))
         if isinstance(node, (ast.For, ast.While)):
             loops = (*loops, me)
-        row = _attributes(node) | {"path": path, "status": status, "node": me, "parent": parent, "field": field, "idx": idx, "scope": scope, "open_defs": open_defs, "loops": list(loops), "loop_depth": len(loops), "heads": list(heads), "floors": False}
+        row = _attributes(node) | {"path": path, "status": status, "node": me, "parent": parent, "field": field, "idx": idx, "scope": scope, "open_defs": open_defs, "loops": list(loops), "loop_depth": len(loops), "heads": list(heads), "floors": False, "window": window_of.get(id(node))}
         row["funcs"], row["func_names"], row["func_depths"] = ([f[i] for f in funcs] for i in range(3))
         if parent is not None:
             up = rows[parent]
@@ -220,7 +231,10 @@ def facts(path: str, text: str | None) -> list[dict]:
             scope, open_defs = f"{scope}.{node.name}", open_defs + 1
         for name, value in ast.iter_fields(node):
             inner = (*heads, me) if isinstance(node, FUNCTIONS) and name in HEADS else heads
+            windows = _windows(value) if funcs and isinstance(value, list) and len(value) >= WINDOW and all(isinstance(x, ast.stmt) for x in value) else {}
             for i, x in enumerate(value if isinstance(value, list) else [value]):
+                if i in windows:
+                    window_of[id(x)] = windows[i]
                 if isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
                     queue.append((x, me, name, i, scope, open_defs, funcs, loops, inner))
     for row in rows:
@@ -256,14 +270,32 @@ def _innermost(functions: list[dict]) -> dict[int, str]:
     return out
 
 
+#: Rows of a batch of the node table, about.
+ROWS = 5000
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in ARROW], schema=ARROW)
+
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = facts(path, text)
-            for i in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 5000], schema=ARROW)
+            held += facts(path, text)
+            while len(held) >= ROWS:
+                yield out(held[:ROWS])
+                held = held[ROWS:]
+    if held:
+        yield out(held)
 
 
 def ast_nodes(files: DataFrame) -> DataFrame:
-    """The node table of files (path, text). Null texts are empty modules."""
-    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(_parse, SCHEMA)
+    """The node table of files (path, text). Null texts are empty modules.
+
+    Source text is small and dear to parse, so files are dealt to as many tasks as there are cores or shuffle partitions,
+    however few splits they come in.
+    """
+    spark = files.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).repartition(parts).mapInArrow(_parse, SCHEMA)

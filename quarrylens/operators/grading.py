@@ -60,6 +60,8 @@ FORMATS = {
     "complexity worst": " Worst fn: '{function}' ({class}, cost={cost}). Patterns: {patterns}.",
     "complexity failed": "[radon: {error}]",
     "complexity worse": "[complexity] regression: CC cost {cc before}→{cc}, Big-O cost {big before}→{big}",
+    "duplication": "[Duplication] {before} → {now} duplicate block(s), {cross} across files. Score: {score}.",
+    "duplication worse": "[duplication] regression: {added} more duplicate block(s) than at baseline.",
     "coverage failed": "[Coverage] pytest did not complete: {error}",
     "coverage late": "pytest timed out after unknowns",
     "coverage kept": "[Coverage/constraint] {passed}/{total} tests pass ({rate}). Coverage: {before} → {now} ({change}pp).",
@@ -131,6 +133,10 @@ def _complexity_errors() -> Column:
     return texts(F.when(worse, fill("complexity worse", **_complexity_parts())))
 
 
+def _duplication_said() -> Column:
+    return texts(fill("duplication", before=F.col("b_duplicate_blocks"), now=F.col("duplicate_blocks"), cross=F.col("cross_file"), score=percent("score")))
+
+
 def _coverage_failed() -> Column:
     return F.col("run_error") != ""
 
@@ -174,6 +180,10 @@ register(Grader(
     lambda: F.lit(0), _complexity_said, _complexity_errors,
 ))
 register(coverage_grader())
+register(Grader(
+    "duplication", ("duplicate_weight", "duplicate_blocks"), lambda: scoring.delta_score("b_duplicate_weight", "duplicate_weight"), lambda: F.greatest(F.lit(0), F.col("duplicate_blocks") - F.col("b_duplicate_blocks")), _duplication_said,
+    lambda: texts(F.when(F.col("added") > 0, fill("duplication worse", added=F.col("added").cast("long")))),
+))
 register(Grader("mock", (), lambda: F.lit(0.5), lambda: F.lit(0)))
 
 
@@ -195,7 +205,7 @@ def graded(snapshots: DataFrame, grader: Grader) -> DataFrame:
 
 
 #: What the texts of a grader read besides its metrics.
-READ = {"symbol": ("kinds", "by_kind", "raw_count"), "style": ("rules", "dims"), "complexity": ("worst", "tool_error", "cc_avg"), "coverage": ("passed", "total", "run_error", "timed_out")}
+READ = {"duplication": ("cross_file",), "symbol": ("kinds", "by_kind", "raw_count"), "style": ("rules", "dims"), "complexity": ("worst", "tool_error", "cc_avg"), "coverage": ("passed", "total", "run_error", "timed_out")}
 MOST_SPECS = 10_000
 
 
@@ -217,6 +227,11 @@ def step_scores(grades: DataFrame, specs: DataFrame) -> DataFrame:
     return out.select("episode_id", "step", scoring.python_round("sum", 4).alias("step_score"), "is_regression", F.filter(F.transform("r", lambda x: x["penalty"]), lambda x: x.isNotNull()).alias("penalties"), *listed)
 
 
+def unknown_graders(specs: DataFrame) -> DataFrame:
+    """Of specs (grader_id, ...) those that name no grader, with a warning: they are left out of every score."""
+    return specs.where(~F.col("grader_id").isin(*GRADERS)).withColumn("warning", F.concat(F.lit("unknown grader '"), "grader_id", F.lit("' is left out")))
+
+
 def overall(scores: DataFrame) -> DataFrame:
     """overall: the mean of the last step_score of each task (task, step, step_score), over tasks: one row."""
     last = scores.groupBy("task").agg(F.max_by("step_score", "step").alias("s"))
@@ -237,15 +252,26 @@ def normalized(specs: DataFrame) -> DataFrame:
     return specs.crossJoin(F.broadcast(specs.agg(F.sum("weight").alias("total")))).withColumn("weight", F.col("weight") / F.col("total")).drop("total")
 
 
-def invariants_broken(invariants: DataFrame, files: DataFrame, definitions: DataFrame, diff_headers: DataFrame) -> DataFrame:
+def edited_paths(diff_lines: DataFrame) -> DataFrame:
+    """The paths (episode_id if there is one, path) of a diff's header lines (line): behind --- or +++, without a/ or b/ before, or a
+    time behind a tab; each with all folders left out in turn, as a rule may name a file by the end of its path."""
+    keys = [c for c in ("episode_id",) if c in diff_lines.columns]
+    whole = F.regexp_extract("line", r"^(?:---|\+\+\+) (?:[ab]/)?([^\t\r\n]+)", 1)
+    parts = F.split("whole", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    return diff_lines.select(*keys, whole.alias("whole")).where("whole NOT IN ('', '/dev/null')").distinct().select(*keys, F.explode(ends).alias("path")).distinct()
+
+
+def invariants_broken(invariants: DataFrame, files: DataFrame, definitions: DataFrame, diff_lines: DataFrame) -> DataFrame:
     """Invariants (seq, type, path, symbol, message) that don't hold: no_edit, file_exists, no_delete, symbol_present.
 
-    no_edit fails where a line of a diff that starts with --- or +++ holds the path.
+    no_edit fails where a header line of a diff names the path, or a path that ends in it behind a slash. With a column
+    episode_id in all tables, rules, files and diffs of an episode meet each other alone.
     """
-    have = files.select(F.col("path").alias("have")).distinct()
-    names = definitions.select(F.col("path").alias("d_path"), F.col("name").alias("d_name")).distinct()
-    headers = diff_headers.where(F.col("line").startswith("---") | F.col("line").startswith("+++"))
-    edited = invariants.where("type = 'no_edit'").join(headers, F.expr("contains(line, path)"), "left_semi")
-    missing = invariants.where("type IN ('file_exists', 'no_delete')").join(have, F.col("path") == F.col("have"), "left_anti")
-    lost = invariants.where("type = 'symbol_present'").join(names, (F.col("path") == F.col("d_path")) & (F.col("symbol") == F.col("d_name")), "left_anti")
-    return edited.unionByName(missing).unionByName(lost)
+    keys = [c for c in ("episode_id",) if all(c in t.columns for t in (invariants, files, definitions, diff_lines))]
+    have, names = files.select(*keys, "path").distinct(), definitions.select(*keys, "path", F.col("name").alias("symbol")).distinct()
+    edited = invariants.where("type = 'no_edit'").join(edited_paths(diff_lines), [*keys, "path"], "left_semi")
+    missing = invariants.where("type IN ('file_exists', 'no_delete')").join(have, [*keys, "path"], "left_anti")
+    lost = invariants.where("type = 'symbol_present'").join(names, [*keys, "path", "symbol"], "left_anti")
+    columns = invariants.columns
+    return edited.select(*columns).unionByName(missing.select(*columns)).unionByName(lost.select(*columns))

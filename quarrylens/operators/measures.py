@@ -41,6 +41,13 @@ def style_measures(nodes: DataFrame, files: DataFrame, ignore: tuple[str, ...] =
     return _kept(style.style_metrics(nodes, lined, ["snap"], ignore), nodes, none)
 
 
+def duplication_measures(nodes: DataFrame) -> DataFrame:
+    """episode_id, step, duplicate_blocks, duplicate_weight, cross_file of each snapshot: stretches that have come before."""
+    runs = symbols.clone_runs(nodes).groupBy(snap_of(F.col("path")).alias("snap"))
+    found = runs.agg(F.count("*").alias("duplicate_blocks"), F.round(F.sum("weight"), 3).alias("duplicate_weight"), F.count_if("cross_file").alias("cross_file"))
+    return _kept(found, nodes, {"duplicate_blocks": F.lit(0).cast("long"), "duplicate_weight": F.lit(0.0), "cross_file": F.lit(0).cast("long")})
+
+
 def complexity_measures(nodes: DataFrame, runs: DataFrame, threshold: int = 10) -> DataFrame:
     """episode_id, step, cc_cost_sum, cc_avg, cc_fns, bigO_cost_sum, bigO_fns, patterns, worst, tool_error of each snapshot: runs
     (episode_id, step, stdout, return_code, timed_out) are those of the tool that counts branches."""

@@ -158,3 +158,27 @@ def clone_members(nodes: DataFrame, kinds: tuple[str, ...] = FUNCTIONS) -> DataF
     found = nodes.where(F.col("type").isin(*kinds)).select("norm_hash", "path", "name", "line")
     often = found.groupBy("norm_hash").agg(F.count("*").alias("n")).where("n > 1")
     return found.join(often, "norm_hash")
+
+
+#: How much a stretch counts whose first occurrence is in another file.
+CROSS_FILE = 1.2
+
+
+def clone_runs(nodes: DataFrame) -> DataFrame:
+    """path, line, end_line, statements, cross_file, weight: stretches of statements of functions that have come before.
+
+    A window of three statements of a block has come before if the first window of its shape, by path and place in the
+    snapshot, stands in another block or three statements or more before. Windows one statement apart make one stretch, so
+    a copied block is one row and not one for each window; every copy but the first gives one. Windows meet the first of
+    their shape alone, and no pairs of copies are made.
+    """
+    w = nodes.where("window IS NOT NULL").select(snap_of(F.col("path")).alias("snap"), "window", "path", "parent", "field", "idx", "line")
+    first = w.groupBy("snap", "window").agg(F.min(F.struct("path", "parent", "field", "idx")).alias("f"))
+    same = (F.col("f.path") == F.col("path")) & (F.col("f.parent") == F.col("parent")) & (F.col("f.field") == F.col("field"))
+    hits = w.join(first, ["snap", "window"]).where(~same | (F.col("idx") - F.col("f.idx") >= 3)).withColumn("cross", F.col("f.path") != F.col("path"))
+    block = ["path", "parent", "field"]
+    runs = hits.withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy(*block).orderBy("idx"))).groupBy(*block, "run")
+    found = runs.agg(F.min("line").alias("line"), F.min("idx").alias("idx"), (F.max("idx") + 2).alias("last"), F.max("cross").alias("cross_file"))
+    ends = nodes.where("line IS NOT NULL AND parent IS NOT NULL").select(*block, F.col("idx").alias("last"), "end_line")
+    out = found.join(ends, [*block, "last"])
+    return out.select("path", "line", "end_line", (F.col("last") - F.col("idx") + 1).alias("statements"), "cross_file", F.when(F.col("cross_file"), CROSS_FILE).otherwise(1.0).alias("weight"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quarrylens.operators import astfacts, graph, patches, symbols
+from quarrylens.operators import astfacts, content, grading, graph, measures, patches, symbols
 from quarrylens.plans import generated
 from quarrylens.plans.registry import query, table
+from quarrylens.session import shared_folder
+from quarrylens.streaming import actions
 
 #: Lines that look like the marks of a diff: what stands before a line follows from its document and place.
 MARKS = ("-- ", "++ ", "@@ -1 +1 @@ ", "- ", "+")
@@ -70,3 +74,129 @@ def incremental_rebuild(spark, sf):
     now = graph.rebuilt(graph.built(generated.nodes(spark, sf), seeds), edited)
     each = now.edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("n"))
     return each.select("node", F.lit("edge").alias("part"), "n").unionByName(now.reach.select("node", F.lit("reached").alias("part"), F.lit(1).cast("long").alias("n")))
+
+
+#: The events as actions of episodes, one a user: all eight kinds, and resets.
+ACTIONS = {
+    "episode_id": "CAST(user_id AS STRING)", "seq": "event_id", "at": "ts",
+    "action_type": "CASE event_type WHEN 'signup' THEN 'reset' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'view_file' ELSE 'list_directory' END WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'search_codebase' ELSE 'git_diff' END WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'edit_file' ELSE 'edit_files' END ELSE CASE WHEN event_id % 2 = 0 THEN 'submit' ELSE 'run_shell' END END",
+    "path": "CASE WHEN event_type = 'view' AND event_id % 2 = 1 THEN concat('dir', event_id % 3) ELSE concat('f', event_id % 5) END",
+    "paths": "CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN {empty} ELSE {two} END END", "query": "concat('q', event_id % 4)",
+    "line_start": "CASE WHEN event_id % 4 = 0 THEN event_id % 7 + 1 END", "line_end": "CASE WHEN event_id % 4 = 0 THEN event_id % 7 + 20 END",
+}
+_DUCK, _SPARK = {"empty": "[]::VARCHAR[]", "two": "['g1', concat('f', event_id % 5)]"}, {"empty": "CAST(array() AS array<string>)", "two": "array('g1', concat('f', event_id % 5))"}
+
+
+def _action_stream(spark, sf, folder):
+    events = table(spark, sf, "events").selectExpr(*(f"{e.format(**_SPARK) if n == 'paths' else e} AS {n}" for n, e in ACTIONS.items()))
+    return spark.readStream.schema(actions.EVENTS).option("maxFilesPerTrigger", 1).parquet(actions.dealt(events, "seq", 4, f"{folder}/in"))
+
+
+def _episode_sql(of: str = "TRUE", mark: str = "(SELECT max(tm) FROM a)") -> str:
+    """live: actions that count, with the run's number, step and context, of those events that fit of; idle: runs that
+    ended because nothing came. mark: the latest time of events that the last micro-batch has seen before it."""
+    shows = "CASE WHEN action_type IN ('reset', 'view_file', 'edit_file') THEN 'file:' || path WHEN action_type = 'edit_files' AND len(paths) > 0 THEN 'file:' || paths[-1] WHEN action_type = 'search_codebase' THEN 'search:' || query END"
+    run = "PARTITION BY episode_id, run ORDER BY seq"
+    return f"""a AS (SELECT {", ".join(f"{e.format(**_DUCK) if n == 'paths' else e} AS {'tm' if n == 'at' else n}" for n, e in ACTIONS.items())} FROM events), o AS (SELECT * FROM a WHERE {of}),
+        r AS (SELECT *, count(*) FILTER (action_type = 'reset') OVER (PARTITION BY episode_id ORDER BY seq) AS run, lead(tm) OVER (PARTITION BY episode_id ORDER BY seq) AS after FROM o),
+        g AS (SELECT *, coalesce(tm > lag(tm) OVER ({run}) + INTERVAL 72 HOUR, false) AS gap, coalesce(lag(action_type) OVER ({run}) = 'submit', false) AS closed, {shows} AS shown FROM r WHERE run > 0),
+        live AS (SELECT *, count(*) FILTER (action_type <> 'reset') OVER ({run}) AS step, count(*) FILTER (action_type LIKE 'edit_%') OVER ({run}) AS edits, action_type LIKE 'edit_%' AS graded, action_type = 'submit' AS done,
+                last_value(CASE action_type WHEN 'reset' THEN '.' WHEN 'list_directory' THEN path END IGNORE NULLS) OVER ({run}) AS tree, last_value(CASE WHEN shown IS NOT NULL THEN {{'s': shown, 'a': CASE WHEN action_type = 'view_file' THEN line_start END, 'b': CASE WHEN action_type = 'view_file' THEN line_end END}} END IGNORE NULLS) OVER ({run}) AS c,
+                len(list_distinct(flatten(list(CASE action_type WHEN 'edit_file' THEN [path] WHEN 'edit_files' THEN paths ELSE [] END) OVER ({run})))) AS files_edited,
+                list(action_type) OVER ({run} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS six, row_number() OVER (PARTITION BY episode_id, run ORDER BY seq DESC) = 1 AS last
+            FROM (SELECT *, bool_or(gap OR closed) OVER ({run}) AS ended FROM g) WHERE NOT ended),
+        idle AS (SELECT * FROM live WHERE last AND action_type <> 'submit' AND (after > tm + INTERVAL 72 HOUR OR after IS NULL AND epoch_ms(tm) + 72 * 3600000 <= epoch_ms({mark}) - 24 * 3600000))"""
+
+
+_SHOWN = "tree, CASE WHEN c.s LIKE 'file:%' THEN c.s[6:] END AS active_file, c.s AS shows, c.a::BIGINT AS line_start, c.b::BIGINT AS line_end, files_edited::BIGINT AS files_edited, coalesce(array_to_string(list_filter(six, lambda x: x <> 'reset'), ','), '') AS recent"
+
+
+@query(f"WITH {_episode_sql()} SELECT episode_id, seq, run, step, action_type, edits, graded, done, {_SHOWN} FROM live UNION ALL SELECT episode_id, NULL, run, step, 'idle', edits, false, true, {_SHOWN} FROM idle")
+def episode_actions_stream(spark, sf):
+    """Four micro-batches of actions with typed state, a timer for episodes on which nothing comes, and one batch more in which it rings."""
+    folder = f"{shared_folder(spark)}/actions-{uuid.uuid4().hex[:12]}"
+    with actions.state_store(spark):
+        return actions.run_to_end(actions.episode_stream(_action_stream(spark, sf, folder)), folder)[0].drop("batch")
+
+
+_PARTS = "(SELECT min(event_id) + (max(event_id) - min(event_id)) * {0}::DOUBLE FROM events)"
+
+
+@query(f"""WITH {_episode_sql("seq <= " + _PARTS.format(0.5), "(SELECT max(tm) FROM a WHERE seq <= " + _PARTS.format(0.25) + ")")}, last AS (SELECT * FROM live WHERE last QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY run DESC) = 1)
+    SELECT u.episode_id, coalesce(l.run, 0) AS run, coalesce(l.step, 0) AS step, coalesce(l.edits, 0) AS edits, l.run IS NULL OR l.action_type = 'submit' OR i.run IS NOT NULL OR coalesce(l.ended_since, false) AS done
+    FROM (SELECT DISTINCT episode_id FROM o) u LEFT JOIN (SELECT *, after > tm + INTERVAL 72 HOUR AS ended_since FROM last) l ON l.episode_id = u.episode_id LEFT JOIN idle i ON i.episode_id = l.episode_id AND i.run = l.run""")
+def episode_state_at(spark, sf):
+    """The state of each episode as it stood after the second of four micro-batches, read from the checkpoint after the last."""
+    folder = f"{shared_folder(spark)}/actions-{uuid.uuid4().hex[:12]}"
+    with actions.state_store(spark):
+        actions.run_to_end(actions.episode_stream(_action_stream(spark, sf, folder)), folder)
+        held = actions.state_table(spark, f"{folder}/state", "episode", 1)
+        return spark.createDataFrame(held.select(F.col("key.episode_id").alias("episode_id"), "value.run", "value.step", "value.edits", "value.done").toArrow())  # read while the store is set
+
+
+@query("""WITH e AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR, true) AS new FROM events), s AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+    SELECT user_id::VARCHAR AS episode_id, min(ts) AS begin, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events, max(event_id) AS last_seq FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
+def event_sessions(spark, sf):
+    """Stretches of a user's events without a gap of six hours that are over when the last event has come, from four micro-batches."""
+    folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex[:12]}"
+    return actions.run_to_end(actions.sessions(_action_stream(spark, sf, folder)), folder)[0].drop("batch")
+
+
+def _store(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _committed(spark, sf):
+    """A store with three snapshots of each nation's modules, and a fourth that is the third again."""
+    store, texts = _store(spark, "commits"), generated.snapshots(spark, sf)[0]
+    for step in range(4):
+        content.commit(store, texts.where(F.col("step") == min(step, 2)).select("episode_id", "path", "text"), step)
+    return store
+
+
+@query(f"""WITH {generated.modules_sql("0")} SELECT episode_id, path, 'edited' AS change, (k % 2)::INTEGER AS added, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END AS removed FROM m WHERE k % 6 = 0 OR k % 2 = 1""")
+def commit_diff(spark, sf):
+    """What --stat says of the first and the last commit of each episode."""
+    return content.commit_diff(spark, _committed(spark, sf), 0, 3).select("episode_id", "path", "change", "added", "removed")
+
+
+@query("SELECT s_nationkey::VARCHAR AS episode_id, unnest(CASE WHEN bool_or(s_suppkey % 2 = 1 OR s_suppkey % 3 = 0) THEN CASE WHEN bool_or(s_suppkey % 3 = 0) THEN [0, 1, 2] ELSE [0, 2] END ELSE [0] END) AS step, count(*) AS files FROM supplier GROUP BY s_nationkey")
+def commits_made(spark, sf):
+    """The commits of each episode and how many files they have; a state that is that of the commit before makes none."""
+    store = _committed(spark, sf)
+    made = content.held(spark, store, "commits")
+    files = content.files_at(spark, store, 3).groupBy("episode_id").agg(F.count("*").alias("files"))
+    return made.join(files, "episode_id").select("episode_id", "step", "files")
+
+
+@query(f"""WITH {generated.modules_sql("0, 1, 2")} SELECT step, path, fn AS name, module || '.' || fn AS qualified_name, n_body + 1 AS body_line_count FROM m""")
+def measured_by_content(spark, sf):
+    """Functions of three snapshots, one after the other, where only texts that are new are parsed."""
+    store, texts = _store(spark, "facts"), generated.snapshots(spark, sf)[0]
+    out = None
+    for step in (0, 1, 2):
+        n = content.known_nodes(texts.where(F.col("step") == step).select("path", "text"), store)
+        f = symbols.function_info(n).where("name <> 'fill'").select(F.lit(step).alias("step"), "path", "name", "qualified_name", "body_line_count")
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+#: Statements of the function of a module, by kind, and windows of three of them with the first of each kind.
+_WINDOWS = """c AS (SELECT *, list_concat(CASE WHEN lft = 1 THEN ['L'] ELSE [] END, list_transform(range(br), lambda i: 'I'), CASE WHEN lp > 0 THEN ['F' || lp] ELSE [] END, CASE WHEN uses = 1 THEN ['U'] ELSE [] END, CASE WHEN calls = 1 THEN ['C'] ELSE [] END, ['R'], CASE WHEN dead = 1 THEN ['A'] ELSE [] END) AS s FROM m),
+    w AS (SELECT episode_id, step, path, k, unnest(range(1, len(s) - 1)) AS i, s, len(s) AS n FROM c), x AS (SELECT *, s[i] || s[i + 1] || s[i + 2] AS win FROM w),
+    f AS (SELECT *, first_value({'path': path, 'i': i}) OVER (PARTITION BY {by} win ORDER BY path, i) AS first FROM x), h AS (SELECT *, first.path <> path AS cross_file, i - row_number() OVER (PARTITION BY episode_id, step, path ORDER BY i) AS run FROM f WHERE first.path <> path OR i - first.i >= 3),
+    runs AS (SELECT episode_id, step, path, min(i) AS i, max(i) - min(i) + 3 AS statements, bool_or(cross_file) AS cross_file FROM h GROUP BY episode_id, step, path, run)"""
+
+
+@query(f"{generated.WITH}, {_WINDOWS.replace('{by}', '')} SELECT path, count(*) AS runs, sum(statements)::BIGINT AS statements, bool_or(cross_file) AS cross_file FROM runs GROUP BY path")
+def clone_runs(spark, sf):
+    runs = symbols.clone_runs(generated.nodes(spark, sf))
+    return runs.groupBy("path").agg(F.count("*").alias("runs"), F.sum("statements").cast("long").alias("statements"), F.max("cross_file").alias("cross_file"))
+
+
+@query(f"""{generated.STEPS}, {_WINDOWS.replace('{by}', 'episode_id, step,')}, dup AS (SELECT episode_id, step, count(r.path) AS n, coalesce(round(sum(CASE WHEN cross_file THEN 1.2 WHEN NOT cross_file THEN 1.0 END), 3), 0)::DOUBLE AS w, count(*) FILTER (cross_file) AS x FROM (SELECT DISTINCT episode_id, step FROM m) LEFT JOIN runs r USING (episode_id, step) GROUP BY ALL),
+    b AS (SELECT *, first_value(n) OVER (PARTITION BY episode_id ORDER BY step) AS bn, first_value(w) OVER (PARTITION BY episode_id ORDER BY step) AS bw FROM dup), s AS (SELECT *, CASE WHEN bw <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, (bw - w) / bw)) END AS score FROM b)
+    SELECT episode_id, step, score, greatest(0, n - bn)::DOUBLE AS added, '[Duplication] ' || bn || ' → ' || n || ' duplicate block(s), ' || x || ' across files. Score: ' || printf('%.0f', score * 100) || '%.' AS said FROM s""")
+def grade_duplication(spark, sf):
+    m = measures.duplication_measures(generated.snapshots(spark, sf)[1])
+    return grading.graded(m, grading.GRADERS["duplication"]).select("episode_id", "step", "score", "added", F.array_join("said", "|").alias("said"))

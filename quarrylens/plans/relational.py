@@ -13,6 +13,7 @@ from quarrylens.plans.registry import query, table
 from quarrylens.session import shared_folder
 from quarrylens.sources import code, tools
 from quarrylens.streaming import episode
+from quarrylens.streaming.actions import dealt
 
 LONG = "length(line) > 80 AND NOT ((starts_with(trim(line), '#') AND contains(line, 'http') AND NOT contains(ltrim(trim(line), '# '), ' ')) OR contains(line, 'pylint:') OR contains(line, 'noqa') OR NOT contains(trim(line), ' '))"
 LINES = "SELECT doc_id::VARCHAR AS path, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS lineno, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL"
@@ -367,19 +368,19 @@ def validate_and_normalize(spark, sf):
     return records.validated(rows, "v", 0.0, 10000.0).select("c_custkey", "number", "scaled")
 
 
-ACTIONS = "SELECT user_id::VARCHAR AS episode_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'reset' WHEN 'purchase' THEN 'edit_file' WHEN 'error' THEN 'submit' ELSE 'view_file' END AS action_type FROM events"
+ACTIONS = "SELECT user_id::VARCHAR AS episode_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'reset' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'edit_file' ELSE 'edit_files' END WHEN 'error' THEN 'submit' ELSE 'view_file' END AS action_type FROM events"
 
 
 def actions(spark, sf):
     kind = F.col("event_type")
-    name = F.when(kind == "signup", "reset").when(kind == "purchase", "edit_file").when(kind == "error", "submit").otherwise("view_file")
+    name = F.when(kind == "signup", "reset").when(kind == "purchase", F.when(F.col("event_id") % 2 == 0, "edit_file").otherwise("edit_files")).when(kind == "error", "submit").otherwise("view_file")
     return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("episode_id"), F.col("event_id").alias("seq"), name.alias("action_type"))
 
 
 @query(f"""WITH a AS ({ACTIONS}), r AS (SELECT *, count(*) FILTER (action_type = 'reset') OVER (PARTITION BY episode_id ORDER BY seq) AS run FROM a), l AS (SELECT *, max(run) OVER (PARTITION BY episode_id) AS last FROM r),
     e AS (SELECT *, coalesce(bool_or(action_type = 'submit') OVER (PARTITION BY episode_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM l WHERE run = last),
     c AS (SELECT *, run > 0 AND NOT ended AND action_type <> 'reset' AS counts FROM e)
-    SELECT episode_id, count(*) FILTER (counts) AS step, count(*) FILTER (counts AND action_type = 'edit_file') AS edits, bool_or(counts AND action_type = 'submit') AS done FROM c GROUP BY episode_id""")
+    SELECT episode_id, count(*) FILTER (counts) AS step, count(*) FILTER (counts AND action_type IN ('edit_file', 'edit_files')) AS edits, bool_or(counts AND action_type = 'submit') AS done FROM c GROUP BY episode_id""")
 def episode_state(spark, sf):
     return episode.episode_table(actions(spark, sf))
 
@@ -387,11 +388,11 @@ def episode_state(spark, sf):
 @query(f"""WITH a AS ({ACTIONS}), r AS (SELECT *, count(*) FILTER (action_type = 'reset') OVER (PARTITION BY episode_id ORDER BY seq) AS run FROM a), l AS (SELECT *, max(run) OVER (PARTITION BY episode_id) AS last FROM r),
     e AS (SELECT *, coalesce(bool_or(action_type = 'submit') OVER (PARTITION BY episode_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM l WHERE run = last),
     c AS (SELECT *, run > 0 AND NOT ended AND action_type <> 'reset' AS counts FROM e)
-    SELECT episode_id, count(*) FILTER (counts) AS step, count(*) FILTER (counts AND action_type = 'edit_file') AS edits, bool_or(counts AND action_type = 'submit') AS done FROM c GROUP BY episode_id""")
+    SELECT episode_id, count(*) FILTER (counts) AS step, count(*) FILTER (counts AND action_type IN ('edit_file', 'edit_files')) AS edits, bool_or(counts AND action_type = 'submit') AS done FROM c GROUP BY episode_id""")
 def episode_state_stream(spark, sf):
     """The same from a stream: the events table is read as one, and the last state of each key is kept."""
     kind = F.col("event_type")
-    name = F.when(kind == "signup", "reset").when(kind == "purchase", "edit_file").when(kind == "error", "submit").otherwise("view_file")
+    name = F.when(kind == "signup", "reset").when(kind == "purchase", F.when(F.col("event_id") % 2 == 0, "edit_file").otherwise("edit_files")).when(kind == "error", "submit").otherwise("view_file")
     states = episode.episode_states(_event_stream(spark, sf).select(F.col("user_id").cast("string").alias("episode_id"), F.col("event_id").alias("seq"), name.alias("action_type")))
     rows = episode.to_folder(states, _new_folder(spark, "episodes"))
     last = rows.groupBy("episode_id").agg(F.max_by(F.struct("step", "edits", "done"), F.col("batch")).alias("s"))
@@ -399,7 +400,9 @@ def episode_state_stream(spark, sf):
 
 
 def _event_stream(spark, sf):
-    return spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    """The events as a stream of four micro-batches, in the order of their numbers."""
+    events = table(spark, sf, "events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(dealt(events, "event_id", 4, _new_folder(spark, "events")))
 
 
 def _new_folder(spark, name):

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrylens.operators import grading, measures
+from quarrylens.session import cut
+from quarrylens.streaming.actions import EDITS
 
 OUTPUT = "episode_id string, events long, step long, edits long, done boolean"
 STATE = "step long, edits long, done boolean, begun boolean"
-EDITS = ("edit_file", "apply_patch")
 
 
 def _advance(state: tuple[int, int, bool, bool], kinds: list[str]) -> tuple[int, int, bool, bool]:
@@ -78,15 +79,20 @@ def regrade(edits: DataFrame, baseline: DataFrame, path: str) -> DataFrame:
     """episode_id, step, grader_id, score, added of a stream of snapshots (episode_id, step, path, text), one for each edit: each
     micro-batch is measured and graded, as dead code and style, against the snapshots of baseline, which are earlier."""
 
+    first = measures.snapshot_nodes(baseline).persist()
+    measured = {"symbol": cut(measures.symbol_measures(first)), "style": cut(measures.style_measures(first, baseline))}  # once, and not in each micro-batch
+    first.unpersist()
+
     def each(batch: DataFrame, number: int) -> None:
-        wanted = batch.select("episode_id", "step").distinct()
-        files = batch.unionByName(baseline.join(wanted.select("episode_id").distinct(), "episode_id", "left_semi"))
-        nodes = measures.snapshot_nodes(files).persist()
-        symbol = grading.graded(measures.symbol_measures(nodes), grading.GRADERS["symbol"])
-        style = grading.graded(measures.style_measures(nodes, files), grading.GRADERS["style"])
+        wanted = batch.select("episode_id", "step").distinct().persist()
+        nodes = measures.snapshot_nodes(batch).persist()
+        now = {"symbol": measures.symbol_measures(nodes), "style": measures.style_measures(nodes, batch)}
+        own = {k: measured[k].join(wanted.select("episode_id").distinct(), "episode_id", "left_semi").unionByName(now[k]) for k in now}
+        symbol, style = (grading.graded(own[k], grading.GRADERS[k]) for k in ("symbol", "style"))
         grades = symbol.unionByName(style).select("episode_id", "step", "grader_id", "score", "added").join(wanted, ["episode_id", "step"], "left_semi")
         grades.write.mode("overwrite").parquet(f"{path}/rows/at={number}")
         nodes.unpersist()
+        wanted.unpersist()
 
     run = edits.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
