@@ -92,8 +92,10 @@ def walks_for(n: int, edits: int, recall: float = RECALL) -> int:
     while True:
         hit = (embed_keys(a, walks) == embed_keys(b, walks)).reshape(len(a), walks, TABLES).any(2)
         enough = np.flatnonzero(np.maximum.accumulate(hit, 1).mean(0) >= recall)
-        if len(enough) or walks >= MOST_WALKS:
-            return min(MOST_WALKS, -(-3 * (int(enough[0]) + 1) // 2) if len(enough) else MOST_WALKS)
+        if len(enough):
+            return min(MOST_WALKS, -(-3 * (int(enough[0]) + 1) // 2))
+        if walks >= MOST_WALKS:
+            raise ValueError(f"{MOST_WALKS} walks don't find {recall} of the windows of {n} words with {edits} edits; a smaller share of edits is needed")
         walks *= 2
 
 

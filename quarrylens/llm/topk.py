@@ -33,10 +33,12 @@ def _pack(scale: float, block: int):
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not vector or None in vector:
+                if vector is None or None in vector:
                     continue
                 x = np.floor(scale * np.asarray(vector, np.float64))
-                if np.isfinite(x).all() and np.abs(x).max() < 2**62:
+                if np.isfinite(vector).all():
+                    if np.abs(x).max(initial=0) >= 2**62:
+                        raise ValueError(f"a component of vector {key} leaves 62 bits")
                     held.setdefault(len(x), []).append((key, x.astype(np.int64)))
                     if len(held[len(x)]) >= block:
                         yield out(len(x))
@@ -46,8 +48,8 @@ def _pack(scale: float, block: int):
     return run
 
 
-def _scores(dim: int, q: bytes, c: bytes, exact32: bool, exact64: bool) -> np.ndarray:
-    a, b = (np.frombuffer(x, np.int64).reshape(-1, dim) for x in (q, c))
+def _scores(dim: int, sizes: tuple[int, int], q: bytes, c: bytes, exact32: bool, exact64: bool) -> np.ndarray:
+    a, b = (np.frombuffer(x, np.int64).reshape(n, dim) for x, n in zip((q, c), sizes, strict=True))
     if exact32:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if exact64 else a @ b.T
@@ -63,8 +65,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray
             if r["q_norm"] * r["c_norm"] < low.min(initial=2**62):
                 continue
             reach = r["dim"] * r["q_big"] * r["c_big"]
-            scores = _scores(r["dim"], r["q_m"], r["c_m"], reach < 2**24, reach < 2**53)
             q, c = (batch.column(batch.schema.get_field_index(n))[i].values.to_numpy() for n in ("q_ids", "c_ids"))
+            scores = _scores(r["dim"], (len(q), len(c)), r["q_m"], r["c_m"], reach < 2**24, reach < 2**53)
             yield r, q, c, scores
 
 
@@ -134,8 +136,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
 
     Components become floor(scale * x); the score is their integer inner product (64-bit, wrapping). Ties go to the
     smaller vec_id, a query's own vec_id is left out, vectors of different lengths have no score, and with fewer than
-    k candidates all are given. Vectors that are null or empty, hold a null or non-finite component or one that leaves
-    62 bits take no part; nor do rows with a null vec_id. Repeated rows with one vec_id are candidates each; of several
+    k candidates all are given. Vectors that are null or hold a null or non-finite component take no part; nor do rows with
+    a null vec_id. Empty vectors score 0 among each other, and a component that leaves 62 bits is an error. Repeated rows with one vec_id are candidates each; of several
     vectors that the queries have under one vec_id the smallest, compared component by component, is the query.
 
     Every pass scores all pairs of a query block with a candidate block anew (matrix products) and keeps no scores:

@@ -192,10 +192,12 @@ def test_hot_line_over_several_copies(spark, monkeypatch):
 
 
 def test_topk_edges(spark):
-    rows = [(1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (8, [1.0, 0.5]), (None, [1.0, 1.0]), (9, [-3.0, 2.0])]
+    rows = [(1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []), (10, []), (7, [1.0]), (8, [1.0, 0.5]), (None, [1.0, 1.0]), (9, [-3.0, 2.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(v, v.where("vec_id in (1, 3, 7)"), k=2).orderBy("query_id", "rank").collect()]
-    assert got == [(1, 1, 2, 5120), (1, 2, 8, 5120)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(v, v.where("vec_id in (1, 3, 6, 7)"), k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 5120), (1, 2, 8, 5120), (6, 1, 10, 0)]
+    with pytest.raises(Exception, match="62 bits"):
+        topk.exact_topk(v.unionByName(spark.createDataFrame([(11, [1e300])], "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))), v, 2).count()
     assert topk.exact_topk(v.limit(0), v, 2).count() == 0
 
 
