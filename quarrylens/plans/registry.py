@@ -30,6 +30,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL; the modules that define them register on import."""
-    from quarrylens.plans import changes, generated, relational  # noqa: F401
+    from quarrylens.plans import changes, generated, relational, snippets  # noqa: F401
 
     return QUERIES, ORACLE_SQL
