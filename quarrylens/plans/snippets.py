@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens.functions import tables
 from quarrylens.operators import astfacts, complexity, graph, style, symbols
 from quarrylens.plans.registry import query, table
 
@@ -158,3 +159,21 @@ EXPORTS: list[tuple[str, str, list[tuple[str, bool]]]] = [
 def exported_names(spark, sf):
     """Definitions, and whether __all__ names them: the first list or tuple that it alone is set to."""
     return symbols.definitions(astfacts.ast_nodes(_modules(spark, sf, [(p, t) for p, t, _ in EXPORTS]))).select("path", "name", "is_in_all")
+
+
+@query(_sql([(path, found) for path, _, found in STYLE], ("rule", "line", "context")))
+def style_rules_from_sql(spark, sf):
+    """The same from SQL: a table function parses the files that a query names."""
+    tables.register(spark)
+    _modules(spark, sf, [(p, t) for p, t, _ in STYLE]).createOrReplaceTempView("module_files")
+    return style.ast_violations(spark.sql("SELECT * FROM ast_facts(TABLE(module_files))")).select("path", "rule", "line", "context")
+
+
+@query("""WITH m AS (SELECT o_custkey % 20 AS episode_id, (year(o_orderdate) * 12 + month(o_orderdate))::INTEGER AS step, count(*) AS n, sum(o_orderkey % 7) AS w FROM orders GROUP BY ALL), b AS (SELECT *, first_value(n) OVER (PARTITION BY episode_id ORDER BY step) AS bn, first_value(w) OVER (PARTITION BY episode_id ORDER BY step) AS bw FROM m)
+    SELECT episode_id, step, CASE WHEN bn <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, (bn - n) / bn)) END AS n_score, CASE WHEN bw <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, (bw - w) / bw)) END AS w_score FROM b""")
+def delta_scores_from_sql(spark, sf):
+    """Every number of a table of steps, scored against the first step of its episode by a table function."""
+    tables.register(spark)
+    table(spark, sf, "orders").createOrReplaceTempView("orders_read")
+    spark.sql("SELECT o_custkey % 20 AS episode_id, int(year(o_orderdate) * 12 + month(o_orderdate)) AS step, count(*) AS n, sum(o_orderkey % 7) AS w FROM orders_read GROUP BY 1, 2").createOrReplaceTempView("episode_metrics")
+    return spark.sql("SELECT * FROM delta_scores(TABLE(episode_metrics))")
