@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 
 def _c(x: Column | str | float) -> Column:
@@ -72,3 +72,13 @@ def python_round(x: Column | str, digits: int) -> Column:
         return values.map(lambda v: round(v, digits), na_action="ignore")
 
     return rounded(_c(x).cast("double"))
+
+
+def python_format(x: Column, digits: int) -> Column:
+    """The number as text, rounded as python_round does; formats of SQL round half up on the digits that they show."""
+
+    @F.pandas_udf(StringType())
+    def shown(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else f"{v:.{digits}f}" for v in values], dtype=object)
+
+    return shown(x.cast("double"))

@@ -84,7 +84,8 @@ def texts(*found: Column) -> Column:
 
 
 def shown(x: Column | str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.col(x).cast("double") if isinstance(x, str) else x.cast("double"))
+    """A number with so many digits, half to even on its exact binary value, as python_round has it."""
+    return scoring.python_format((F.col(x) if isinstance(x, str) else x).cast("double"), digits)
 
 
 def percent(x: Column | str, digits: int = 0) -> Column:
@@ -108,7 +109,8 @@ def _symbol_said() -> Column:
 def _style_said() -> Column:
     rules = F.array_join(F.transform(F.slice("rules", 1, 3), lambda r: fill("style rule", rule=r["rule"], n=r["n"], said=F.substring(r["said"], 1, 30))), ", ")
     weak = F.slice(F.array_sort("dims", lambda x, y: F.when(x["score"] < y["score"], -1).when(x["score"] > y["score"], 1).otherwise(0)), 1, 2)
-    dims = F.array_join(F.transform(F.filter(weak, lambda d: d["score"] < 1), lambda d: fill("style dim", dim=d["dimension"], score=percent(d["score"]))), ", ")
+    two = [F.get(weak, F.lit(i)) for i in (0, 1)]
+    dims = F.array_join(texts(*(F.when(d["score"] < 1, fill("style dim", dim=d["dimension"], score=percent(d["score"]))) for d in two)), ", ")
     b, c = shown("b_raw_score", 2), shown("raw_score", 2)
     worse = fill("style worse", now=c, before=b, rules=F.when(rules == "", fill("style no rules")).otherwise(rules))
     better = fill("style", score=percent("score"), before=b, now=c, dims=dims, rules=rules)

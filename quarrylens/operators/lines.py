@@ -13,12 +13,16 @@ BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 MAX_LENGTH = 80
 
 
+def split_lines(text: Column) -> Column:
+    """The lines of a text, cut at every line break there is, without an empty last one."""
+    cut = F.split(text, BREAKS, -1)
+    return F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+
+
 def source_lines(files: DataFrame, universal: bool = True) -> DataFrame:
     """path, lineno (from 1), text of files (path, text): cut at every line break there is, without an empty last line;
     or at newlines only, as SQL does."""
-    cut = F.split("text", BREAKS if universal else "\n", -1)
-    if universal:
-        cut = F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+    cut = split_lines(F.col("text")) if universal else F.split("text", "\n", -1)
     return files.where("text is not null").select("path", F.posexplode(cut).alias("at", "text")).select("path", (F.col("at") + 1).alias("lineno"), "text")
 
 

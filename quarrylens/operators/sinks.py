@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.operators.lines import source_lines, split_lines
 from quarrylens.operators.style import DIMENSIONS, rules
 
 
@@ -48,12 +49,34 @@ def with_rule_text(violations: DataFrame) -> DataFrame:
 
 def initial_view(files: DataFrame, limit: int = 100) -> DataFrame:
     """path, lineno, text: the first lines of the first file at the root of each episode (episode_id, path, text)."""
-    from quarrylens.operators.lines import source_lines
-
     first = files.where(~F.contains("path", F.lit("/"))).groupBy("episode_id").agg(F.min_by(F.struct("path", "text"), "path").alias("f")).select(F.concat("episode_id", F.lit(":"), "f.path").alias("path"), "f.text")
     return source_lines(first).where(F.col("lineno") <= limit)
 
 
+def first_view(files: DataFrame, status: DataFrame | None = None, limit: int = 100) -> DataFrame:
+    """What an agent sees first of each episode of files (episode_id, path, text), a row each: tree (path, is_dir; folders first, then by
+    path), active_file, the first file at the root by name, with its first lines as file_content, line_start, line_end and
+    total_file_lines, and staged, unstaged and untracked paths of status (episode_id, path, staged, unstaged, untracked).
+
+    Without a file at the root the view is empty. The tree of an episode is one row; its texts are not.
+    """
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    folders = files.where(F.contains("path", F.lit("/"))).select("episode_id", F.explode(ups).alias("path")).distinct()
+    entries = files.select("episode_id", "path", F.lit(False).alias("is_dir")).unionByName(folders.withColumn("is_dir", F.lit(True)))
+    order = F.array_sort(F.collect_list(F.struct((~F.col("is_dir")).alias("o"), "path", "is_dir")))
+    tree = entries.groupBy("episode_id").agg(F.transform(order, lambda e: F.struct(e["path"].alias("path"), e["is_dir"].alias("is_dir"))).alias("tree"))
+    first = files.where(~F.contains("path", F.lit("/"))).groupBy("episode_id").agg(F.min_by(F.struct("path", "text"), "path").alias("f"))
+    shown = first.select("episode_id", F.col("f.path").alias("active_file"), split_lines(F.coalesce("f.text", F.lit(""))).alias("l"))
+    shown = shown.select("episode_id", "active_file", F.array_join(F.slice("l", 1, limit), "\n").alias("file_content"), F.lit(1).alias("line_start"), F.least(F.size("l"), F.lit(limit)).alias("line_end"), F.size("l").alias("total_file_lines"))
+    out = tree.join(shown, "episode_id", "left")
+    if status is not None:
+        kinds = ("staged", "unstaged", "untracked")
+        out = out.join(status.groupBy("episode_id").agg(*(F.array_sort(F.collect_list(F.when(F.col(k), F.col("path")))).alias(k) for k in kinds)), "episode_id", "left")
+        out = out.withColumns({k: F.coalesce(k, F.array().cast("array<string>")) for k in kinds})
+    return out
+
+
 def carried(events: DataFrame, columns: list[str]) -> DataFrame:
     """Events (episode_id, step, columns) where a null keeps the value of the step before."""
     w = Window.partitionBy("episode_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)

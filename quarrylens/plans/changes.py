@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quarrylens.operators import astfacts, content, grading, graph, measures, patches, symbols
+from quarrylens.operators import astfacts, content, grading, graph, measures, patches, sinks, symbols
 from quarrylens.plans import generated
 from quarrylens.plans.registry import query, table
 from quarrylens.session import shared_folder
@@ -200,3 +200,20 @@ def clone_runs(spark, sf):
 def grade_duplication(spark, sf):
     m = measures.duplication_measures(generated.snapshots(spark, sf)[1])
     return grading.graded(m, grading.GRADERS["duplication"]).select("episode_id", "step", "score", "added", F.array_join("said", "|").alias("said"))
+
+
+@query(f"""{generated.WITH}, r AS (SELECT n::VARCHAR AS episode_id, 'a' || i || '.py' AS path, 90 + n * i AS lines FROM (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_nationkey % 5 > 0) CROSS JOIN (VALUES (1), (2)) r(i)),
+    e AS (SELECT episode_id, path, false AS is_dir FROM m UNION ALL SELECT episode_id, path, false FROM r UNION ALL SELECT DISTINCT episode_id, folder, true FROM m),
+    t AS (SELECT episode_id, string_agg(CASE WHEN is_dir THEN path || '/' ELSE path END, ' ' ORDER BY NOT is_dir, path) AS tree FROM e GROUP BY episode_id)
+    SELECT t.episode_id, tree, r.path AS active_file, CASE WHEN lines > 100 THEN 100 ELSE lines END::INTEGER AS line_end, lines::INTEGER AS total_file_lines, CASE WHEN lines IS NOT NULL THEN array_to_string(list_transform(range(least(lines, 100)), lambda i: 'l' || i), chr(10)) END AS file_content, coalesce(u, '') AS untracked
+    FROM t LEFT JOIN r ON r.episode_id = t.episode_id AND r.path = 'a1.py' LEFT JOIN (SELECT episode_id, string_agg(path, ' ' ORDER BY path) AS u FROM m WHERE k % 3 = 0 GROUP BY episode_id) s ON s.episode_id = t.episode_id""")
+def first_view(spark, sf):
+    """What is seen first of each nation's modules: the tree, the first file at the root, of which not all have one, and the status."""
+    n = F.col("s_nationkey")
+    nations = table(spark, sf, "supplier").select("s_nationkey").distinct().where(n % 5 > 0).select("s_nationkey", F.explode(F.array(F.lit(2), F.lit(1))).alias("i"))
+    top = nations.select(n.cast("string").alias("episode_id"), F.concat(F.lit("a"), "i", F.lit(".py")).alias("path"), F.array_join(F.transform(F.sequence(F.lit(0), 89 + n * F.col("i")), lambda j: F.concat(F.lit("l"), j)), "\n").alias("text"))
+    files = generated._module_texts(spark, sf).select("episode_id", "path", "text")
+    new = files.where(F.regexp_extract("path", r"mod_(\d+)", 1).cast("long") % 3 == 0).select("episode_id", "path", F.lit(False).alias("staged"), F.lit(False).alias("unstaged"), F.lit(True).alias("untracked"))
+    v = sinks.first_view(files.unionByName(top), new)
+    shown = F.array_join(F.transform("tree", lambda e: F.when(e["is_dir"], F.concat(e["path"], F.lit("/"))).otherwise(e["path"])), " ")
+    return v.select("episode_id", shown.alias("tree"), "active_file", "line_end", "total_file_lines", "file_content", F.array_join("untracked", " ").alias("untracked"))

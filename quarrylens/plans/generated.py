@@ -406,11 +406,18 @@ SYMBOL = f"""y AS (SELECT episode_id, step, round(coalesce(sum(w * n), 0), 3)::D
     yb AS (SELECT *, {BASELINE.format("c")} AS b, {BASELINE.format("n")} AS nb FROM y), symbol AS (SELECT *, {DELTA.format("b", "c")}::DOUBLE AS score, round_even(greatest(0.0, c - b), 0)::DOUBLE AS added FROM yb)"""
 
 
-@query(f"""{STEPS}, {SYMBOL} SELECT episode_id, step, round(score, 9) AS score, added, n AS raw_count, c AS weighted_total, 'Dead code: ' || nb || ' → ' || n || ' (' || CASE WHEN nb > n THEN '-' || (nb - n) WHEN nb < n THEN '+' || (n - nb) || ' (regression)' ELSE 'no change' END || ')' AS said FROM symbol""")
+#: The first three kinds of dead code that are left in a snapshot, file by file, symbols that nothing reaches last.
+REMAINING = f"""kn AS (SELECT episode_id, step, kind, sum(n) AS n, min(path) AS first, list_position(['unused_import', 'unused_variable', 'unreachable_block', 'dead_function', 'dead_class'], kind) AS pass FROM ({KINDS}) WHERE n > 0 GROUP BY ALL),
+    kt AS (SELECT *, row_number() OVER (PARTITION BY episode_id, step ORDER BY pass > 3, CASE WHEN pass > 3 THEN '' ELSE first END, pass) AS nth FROM kn),
+    left_ AS (SELECT episode_id, step, ' Remaining: ' || string_agg(replace(kind, '_', ' ') || ' ×' || n, ', ' ORDER BY nth) || '.' AS remaining FROM kt WHERE nth <= 3 GROUP BY ALL)"""
+
+
+@query(f"""{STEPS}, {SYMBOL}, {REMAINING} SELECT episode_id, step, score, added, n AS raw_count, c AS weighted_total, 'Dead code: ' || nb || ' → ' || n || ' (' || CASE WHEN nb > n THEN '-' || (nb - n) WHEN nb < n THEN '+' || (n - nb) || ' (regression)' ELSE 'no change' END || '). Weighted: ' || printf('%.1f', b) || ' → ' || printf('%.1f', c) || ' (' || printf('%.0f', score * 100) || '% eliminated).' || coalesce(remaining, '') AS said
+    FROM symbol LEFT JOIN left_ USING (episode_id, step)""")
 def grade_symbol(spark, sf):
     m = measures.symbol_measures(snapshots(spark, sf)[1])
     g = grading.graded(m, grading.GRADERS["symbol"]).join(m.select("episode_id", "step", "raw_count", "weighted_total"), ["episode_id", "step"])
-    return g.select("episode_id", "step", F.round("score", 9).alias("score"), "added", "raw_count", "weighted_total", F.regexp_extract(F.get("said", F.lit(0)), r"^(.*?\)(?:\))?)\. Weighted", 1).alias("said"))
+    return g.select("episode_id", "step", "score", "added", "raw_count", "weighted_total", F.array_join("said", "|").alias("said"))
 
 
 STYLE = f"""sv AS (SELECT episode_id, t AS step, {DIMENSION} AS dimension, count(*) AS n, count(*) FILTER (rule IN ('N003', 'D001')) AS e FROM ({BROKEN}) WHERE test = 0 GROUP BY ALL),
@@ -420,12 +427,22 @@ STYLE = f"""sv AS (SELECT episode_id, t AS step, {DIMENSION} AS dimension, count
     style AS (SELECT *, round_even(CASE WHEN b >= 1 THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END WHEN c < b THEN 0.0 ELSE greatest(0.0, least(1.0, (c - b) / greatest(1 - b, 0.01))) END, 4)::DOUBLE AS score, greatest(0, e - eb)::DOUBLE AS added FROM sb)"""
 
 
-@query(f"""{STEPS}, {STYLE} SELECT episode_id, step, score, added, n AS violations, e AS error_violations, c AS raw_score, CASE WHEN score >= 1 THEN 'Gold' WHEN c < b THEN 'Regression vs baseline (raw ' || printf('%.2f', c) || ' < baseline ' || printf('%.2f', b) || ')' ELSE 'delta=' || printf('%.0f', score * 100) || '%' END AS said FROM style""")
+#: The most frequent rules and the weakest dimensions of each snapshot, as they are told.
+TOLD = f"""rc AS (SELECT episode_id, t AS step, rule, count(*) AS n, min({{'p': path, 'l': line}}) AS first FROM ({BROKEN}) WHERE test = 0 GROUP BY episode_id, t, rule), rn AS (SELECT *, row_number() OVER (PARTITION BY episode_id, step ORDER BY n DESC, first, rule) AS nth FROM rc),
+    rt AS (SELECT episode_id, step, string_agg(rule || '×' || n || ' (' || substr(d, 1, 30) || '…)', ', ' ORDER BY nth) AS rules FROM rn JOIN (VALUES {", ".join(f"('{r[0]}', '{r[3].replace(chr(39), chr(39) * 2)}')" for r in style.RULES)}) v(rule, d) USING (rule) WHERE nth <= 3 GROUP BY episode_id, step),
+    dn AS (SELECT episode_id, step, dimension, greatest(0.0, 1 - coalesce(n, 0) / total) AS s, list_position(['naming', 'docstrings', 'imports', 'type_hints', 'complexity', 'formatting'], dimension) AS nr FROM st LEFT JOIN sv USING (episode_id, step, dimension)),
+    dw AS (SELECT *, row_number() OVER (PARTITION BY episode_id, step ORDER BY s, nr) AS nth FROM dn), dt AS (SELECT episode_id, step, string_agg(dimension || '=' || printf('%.0f', s * 100) || '%', ', ' ORDER BY nth) AS dims FROM dw WHERE nth <= 2 AND s < 1 GROUP BY episode_id, step)"""
+
+
+@query(f"""{STEPS}, {STYLE}, {TOLD} SELECT episode_id, step, score, added, n AS violations, e AS error_violations, c AS raw_score, CASE WHEN score >= 1 THEN '[Style] Gold standard — zero violations (Google Python Style Guide).'
+        WHEN c < b THEN '[Style] Regression vs baseline (raw ' || printf('%.2f', c) || ' < baseline ' || printf('%.2f', b) || '). Top violations: ' || coalesce(rules, 'see violations list') || '.'
+        ELSE '[Style] delta=' || printf('%.0f', score * 100) || '% (raw ' || printf('%.2f', b) || '→' || printf('%.2f', c) || '). Weakest dims: ' || coalesce(dims, '') || '. Top rules: ' || coalesce(rules, '') || '.' END AS said
+    FROM style LEFT JOIN rt USING (episode_id, step) LEFT JOIN dt USING (episode_id, step)""")
 def grade_style(spark, sf):
     texts, n = snapshots(spark, sf)
     m = measures.style_measures(n, texts)
     g = grading.graded(m, grading.GRADERS["style"]).join(m.select("episode_id", "step", "violations", "error_violations", "raw_score"), ["episode_id", "step"])
-    return g.select("episode_id", "step", "score", "added", "violations", "error_violations", "raw_score", F.regexp_extract(F.get("said", F.lit(0)), r"^\[Style\] (Gold|Regression[^)]*\)|delta=\d+%)", 1).alias("said"))
+    return g.select("episode_id", "step", "score", "added", "violations", "error_violations", "raw_score", F.array_join("said", "|").alias("said"))
 
 
 COMPLEX = f"""xc AS (SELECT episode_id, step, sum(CASE WHEN test = 0 THEN greatest(0, br + lp - 9) ** 2 ELSE 0 END) AS cost, round(coalesce(sum(1 + br + lp + cls) FILTER (test = 0) / sum(1 + cls) FILTER (test = 0), 0), 3) AS av, sum(CASE WHEN test = 0 AND bad = 0 THEN [0.0, 0.0, 3.0, 6.0][lp + 1] ELSE 0.0 END)::DOUBLE AS o, any_value(nation) % 7 = 2 AND step = 2 AS failed FROM m GROUP BY episode_id, step),
@@ -435,11 +452,15 @@ COMPLEX = f"""xc AS (SELECT episode_id, step, sum(CASE WHEN test = 0 THEN greate
 
 
 @query(f"""{STEPS}, {COMPLEX} SELECT episode_id, step, score, cost AS cc_cost_sum, av AS cc_avg, o AS bigO_cost_sum, CASE WHEN cost > cb OR o > ob THEN '[complexity] regression: CC cost ' || printf('%.1f→%.1f', cb, cost) || ', Big-O cost ' || printf('%.1f→%.1f', ob, o) ELSE '' END AS errors,
-    CASE WHEN failed THEN '[radon: radon exit 3]' ELSE '' END AS tool FROM complex""")
+    '[Complexity] CC cost: ' || printf('%.1f→%.1f', cb, cost) || ' ' || CASE WHEN cost < cb THEN '↓' WHEN cost > cb THEN '↑' ELSE '→' END || ' (avg CC ' || printf('%.1f→%.1f', ab, av) || '); Big-O cost: ' || printf('%.1f→%.1f', ob, o) || ' ' || CASE WHEN o < ob THEN '↓' WHEN o > ob THEN '↑' ELSE '→' END || '. Score: ' || printf('%.3f', score) || ' (CC×0.55 + BigO×0.45).'
+        || coalesce(' Worst fn: ' || chr(39) || w.name || chr(39) || ' (' || w.class || ', cost=' || printf('%.1f', w.cost) || '). Patterns: ' || CASE WHEN w.lp = 0 THEN 'none' ELSE w.reason END || '.', '') || CASE WHEN failed THEN '|[radon: radon exit 3]' ELSE '' END AS said
+    FROM complex LEFT JOIN (SELECT episode_id, step, arg_min({{'name': name, 'lp': lp, 'cost': cost, 'class': ['O1', 'ON', 'ON2', 'ON3'][lp + 1], 'reason': reason}}, {{'c': -cost, 'p': path, 'f': place}}) AS w
+        FROM (SELECT episode_id, step, path, module || '.' || fn AS name, lp, [0.0, 0.0, 3.0, 6.0][lp + 1] AS cost, ['', 'single_loop → O(n)', '2_nested_loops → O(n²)', '3_nested_loops → O(n³) or worse'][lp + 1] AS reason, 1 AS place FROM m WHERE bad = 0 AND test = 0
+            UNION ALL SELECT episode_id, step, path, module || '.fill', 0, 0.0, '', 2 FROM m WHERE bad = 0 AND test = 0 AND cls = 1) GROUP BY ALL) USING (episode_id, step)""")
 def grade_complexity(spark, sf):
     m = measures.complexity_measures(snapshots(spark, sf)[1], complexity_runs(spark, sf))
     g = grading.graded(m, grading.GRADERS["complexity"]).join(m.select("episode_id", "step", "cc_cost_sum", "cc_avg", "bigO_cost_sum"), ["episode_id", "step"])
-    return g.select("episode_id", "step", "score", "cc_cost_sum", "cc_avg", "bigO_cost_sum", F.array_join("errors", "|").alias("errors"), F.coalesce(F.get("said", F.lit(1)), F.lit("")).alias("tool"))
+    return g.select("episode_id", "step", "score", "cc_cost_sum", "cc_avg", "bigO_cost_sum", F.array_join("errors", "|").alias("errors"), F.array_join("said", "|").alias("said"))
 
 
 COVER = f"""vc AS (SELECT episode_id, step, any_value(nation) % 9 = 4 AND step = 1 AS late, 3 * count(*) AS p, sum(dead)::BIGINT AS f, round({RATE}, 4)::DOUBLE AS c FROM m GROUP BY episode_id, step, t),
@@ -447,20 +468,20 @@ COVER = f"""vc AS (SELECT episode_id, step, any_value(nation) % 9 = 4 AND step =
 
 
 @query(f"""{STEPS}, {COVER} SELECT episode_id, step, round_even(CASE WHEN late THEN 0.0 ELSE rate * CASE WHEN cov >= b - 0.02 THEN 1.0 ELSE 0.5 END END, 4)::DOUBLE AS score, round_even(CASE WHEN late THEN 0.0 ELSE rate * greatest(0.0, least(1.0, (cov - b) / greatest(0.8 - b, 0.01))) END, 4)::DOUBLE AS objective,
-    CASE WHEN late THEN '[Coverage] pytest did not complete: pytest timed out' ELSE '[Coverage/constraint] ' || p || '/' || (p + f) || ' tests pass' END AS said FROM vb""")
+    CASE WHEN late THEN '[Coverage] pytest did not complete: pytest timed out' ELSE '[Coverage/constraint] ' || p || '/' || (p + f) || ' tests pass (' || printf('%.0f', rate * 100) || '%). Coverage: ' || printf('%.1f', b * 100) || '% → ' || printf('%.1f', cov * 100) || '% (' || CASE WHEN round((cov - b) * 100, 1) >= 0 THEN '+' ELSE '' END || printf('%.1f', round((cov - b) * 100, 1)) || 'pp)' || CASE WHEN cov >= b - 0.02 THEN '.' ELSE ' — dropped beyond 2% tolerance; score halved.' END END AS said FROM vb""")
 def grade_coverage(spark, sf):
     """Both ways to see coverage: as something to keep, and as something to raise."""
     m = measures.coverage_measures(coverage_runs(spark, sf))
     keep, raise_ = (grading.graded(m, grading.coverage_grader(mode)) for mode in ("constraint", "objective"))
     both = keep.join(raise_.select("episode_id", "step", F.col("score").alias("objective")), ["episode_id", "step"])
-    return both.select("episode_id", "step", "score", "objective", F.regexp_extract(F.get("said", F.lit(0)), r"^(.*?(?:tests pass|timed out))", 1).alias("said"))
+    return both.select("episode_id", "step", "score", "objective", F.array_join("said", "|").alias("said"))
 
 
 SPECS = [("lint", 0.30, 0), ("symbol", 0.20, 1), ("style", 0.20, 2), ("complexity", 0.15, 3), ("coverage", 0.15, 4)]
 
 
 @query(f"""{STEPS}, {LINT}, {SYMBOL}, {STYLE}, {COMPLEX}, {COVER}
-    SELECT episode_id, step, round(round_even(0.30 * l.score + 0.20 * y.score + 0.20 * s.score + 0.15 * x.score + 0.15 * CASE WHEN late THEN 0.0 ELSE round_even(rate * CASE WHEN cov >= v.b - 0.02 THEN 1.0 ELSE 0.5 END, 4) END, 4) - 0.00003, 3) AS step_score, l.added > 0 OR y.added > 0 OR s.added > 0 AS is_regression,
+    SELECT episode_id, step, printf('%.4f', 0.30 * l.score + 0.20 * y.score + 0.20 * s.score + 0.15 * x.score + 0.15 * CASE WHEN late THEN 0.0 ELSE round_even(rate * CASE WHEN cov >= v.b - 0.02 THEN 1.0 ELSE 0.5 END, 4) END)::DOUBLE AS step_score, l.added > 0 OR y.added > 0 OR s.added > 0 AS is_regression,
         concat_ws(',', CASE WHEN l.added > 0 THEN l.added::BIGINT END, CASE WHEN y.added > 0 THEN printf('%.1f', y.added) END, CASE WHEN s.added > 0 THEN s.added::BIGINT END) AS penalties, 5 + CASE WHEN x.failed THEN 1 ELSE 0 END AS n_said
     FROM lint l JOIN symbol y USING (episode_id, step) JOIN style s USING (episode_id, step) JOIN complex x USING (episode_id, step) JOIN vb v USING (episode_id, step)""")
 def grade_episode(spark, sf):
@@ -468,7 +489,7 @@ def grade_episode(spark, sf):
     texts, n = snapshots(spark, sf)
     specs = spark.createDataFrame(SPECS, "grader_id string, weight double, place int")
     out = measures.grade_all(texts, n, lint_runs(spark, sf), complexity_runs(spark, sf), coverage_runs(spark, sf), specs)
-    return out.select("episode_id", "step", F.round(F.col("step_score") - 0.00003, 3).alias("step_score"), "is_regression", F.array_join("penalties", ",").alias("penalties"), F.size("said").alias("n_said"))
+    return out.select("episode_id", "step", "step_score", "is_regression", F.array_join("penalties", ",").alias("penalties"), F.size("said").alias("n_said"))
 
 
 @query("SELECT round(avg(s), 6) AS overall FROM (SELECT arg_max(o_totalprice, o_orderkey) AS s FROM orders GROUP BY o_custkey)")

@@ -140,13 +140,13 @@ def clamp_delta_score(spark, sf):
 
 @query(f"""WITH m AS ({MONTHS}), b AS (SELECT *, first_value(violations) OVER (PARTITION BY episode_id ORDER BY step) AS base FROM m),
     g AS (SELECT episode_id, step, greatest(0.0, least(1.0, (base - violations) / base)) AS lint, greatest(0, violations - base) AS added FROM b)
-    SELECT episode_id, step, round(round_even(0.7 * lint + 0.3 * 0.5, 4) - 0.00003, 3) AS step_score, added > 0 AS is_regression, CASE WHEN added > 0 THEN added::BIGINT::VARCHAR ELSE '' END AS penalties FROM g""")
+    SELECT episode_id, step, printf('%.4f', 0.7 * lint + 0.3 * 0.5)::DOUBLE AS step_score, added > 0 AS is_regression, CASE WHEN added > 0 THEN added::BIGINT::VARCHAR ELSE '' END AS penalties FROM g""")
 def weighted_step_score(spark, sf):
     months = _months(spark, sf)
     grades = grading.graded(months, grading.GRADERS["lint"]).unionByName(grading.graded(months, grading.GRADERS["mock"]))
     specs = spark.createDataFrame([("lint", 0.7), ("mock", 0.3)], "grader_id string, weight double")
     out = grading.step_scores(grades, specs)
-    return out.select("episode_id", "step", F.round(F.col("step_score") - 0.00003, 3).alias("step_score"), "is_regression", F.array_join("penalties", ",").alias("penalties"))  # to three digits: four are rounded from binary values
+    return out.select("episode_id", "step", "step_score", "is_regression", F.array_join("penalties", ",").alias("penalties"))  # to three digits: four are rounded from binary values
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(0, l_quantity::INTEGER - 10) ** 2 AS cost FROM lineitem ORDER BY cost DESC, l_orderkey, l_linenumber LIMIT 5")
@@ -441,10 +441,10 @@ def iso_times(spark, sf):
 
 
 @query(f"""WITH m AS ({MONTHS}), b AS (SELECT *, first_value(violations) OVER (PARTITION BY episode_id ORDER BY step) AS base FROM m)
-    SELECT episode_id, step, round(round_even(greatest(0.01, 0.55 * greatest(0.0, least(1.0, (base - violations) / base)) + 0.45 * greatest(0.0, least(1.0, (base - violations) / base))), 4) - 0.00003, 3) AS score FROM b""")
+    SELECT episode_id, step, printf('%.4f', greatest(0.01, 0.55 * greatest(0.0, least(1.0, (base - violations) / base)) + 0.45 * greatest(0.0, least(1.0, (base - violations) / base))))::DOUBLE AS score FROM b""")
 def complexity_score(spark, sf):
     m = _months(spark, sf).select("episode_id", "step", F.col("violations").alias("cc_cost_sum"), F.col("violations").alias("bigO_cost_sum"))
-    return grading.graded(m, grading.GRADERS["complexity"]).select("episode_id", "step", F.round(F.col("score") - 0.00003, 3).alias("score"))
+    return grading.graded(m, grading.GRADERS["complexity"]).select("episode_id", "step", "score")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 0.0 WHEN p_size % 2 = 0 THEN greatest(0.0, least(1.0, (p_size / 50.0 - 0.2) / 0.7)) * 0.9 ELSE 0.9 * CASE WHEN p_size / 50.0::DOUBLE >= 0.2::DOUBLE - 0.02::DOUBLE THEN 1.0 ELSE 0.5 END END AS score FROM part""")
