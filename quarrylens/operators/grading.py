@@ -254,25 +254,23 @@ def normalized(specs: DataFrame) -> DataFrame:
     return specs.crossJoin(F.broadcast(specs.agg(F.sum("weight").alias("total")))).withColumn("weight", F.col("weight") / F.col("total")).drop("total")
 
 
-def edited_paths(diff_lines: DataFrame) -> DataFrame:
-    """The paths (episode_id if there is one, path) of a diff's header lines (line): behind --- or +++, without a/ or b/ before, or a
-    time behind a tab; each with all folders left out in turn, as a rule may name a file by the end of its path."""
-    keys = [c for c in ("episode_id",) if c in diff_lines.columns]
-    whole = F.regexp_extract("line", r"^(?:---|\+\+\+) (?:[ab]/)?([^\t\r\n]+)", 1)
-    parts = F.split("whole", "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    return diff_lines.select(*keys, whole.alias("whole")).where("whole NOT IN ('', '/dev/null')").distinct().select(*keys, F.explode(ends).alias("path")).distinct()
-
-
 def invariants_broken(invariants: DataFrame, files: DataFrame, definitions: DataFrame, diff_lines: DataFrame) -> DataFrame:
     """Invariants (seq, type, path, symbol, message) that don't hold: no_edit, file_exists, no_delete, symbol_present.
 
-    no_edit fails where a header line of a diff names the path, or a path that ends in it behind a slash. With a column
-    episode_id in all tables, rules, files and diffs of an episode meet each other alone.
+    no_edit fails where a line of a diff (line) that starts with --- or +++ holds the path. With a column episode_id in all tables,
+    rules, files and diffs of an episode meet each other alone, by a join on it. Without one, all rules meet all header lines of
+    one repository; there are MOST_SPECS rules at most, and more are an error.
     """
     keys = [c for c in ("episode_id",) if all(c in t.columns for t in (invariants, files, definitions, diff_lines))]
     have, names = files.select(*keys, "path").distinct(), definitions.select(*keys, "path", F.col("name").alias("symbol")).distinct()
-    edited = invariants.where("type = 'no_edit'").join(edited_paths(diff_lines), [*keys, "path"], "left_semi")
+    headers = diff_lines.where(F.col("line").startswith("---") | F.col("line").startswith("+++")).select(*(F.col(k).alias(f"d_{k}") for k in keys), "line").distinct()
+    rules = invariants.where("type = 'no_edit'")
+    if not keys and rules.limit(MOST_SPECS + 1).count() > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} rules without an episode_id")
+    holds = F.expr("contains(line, path)")
+    for k in keys:
+        holds = (F.col(k) == F.col(f"d_{k}")) & holds
+    edited = rules.join(headers, holds, "left_semi")
     missing = invariants.where("type IN ('file_exists', 'no_delete')").join(have, [*keys, "path"], "left_anti")
     lost = invariants.where("type = 'symbol_present'").join(names, [*keys, "path", "symbol"], "left_anti")
     columns = invariants.columns

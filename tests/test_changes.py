@@ -186,7 +186,7 @@ def test_invariants_of_episodes(spark):
     rules = spark.createDataFrame([("e", 1, "no_edit", "tests/x.py", None, "m"), ("o", 2, "no_edit", "tests/x.py", None, "m"), ("o", 3, "file_exists", "a.py", None, "m"), ("e", 4, "symbol_present", "a.py", "f", "m"), ("e", 5, "no_edit", "x.p", None, "m"), ("e", 6, "no_edit", "x.py", None, "m")], "episode_id string, seq int, type string, path string, symbol string, message string")
     files, defs = spark.createDataFrame([("e", "a.py")], "episode_id string, path string"), spark.createDataFrame([("e", "a.py", "f")], "episode_id string, path string, name string")
     lines = spark.createDataFrame([("e", "+++ b/src/tests/x.py\t2024"), ("e", "--- /dev/null"), ("o", "+ +++ b/tests/x.py")], "episode_id string, line string")
-    assert rows(grading.invariants_broken(rules, files, defs, lines), "seq") == [(1,), (3,), (6,)]
+    assert rows(grading.invariants_broken(rules, files, defs, lines), "seq") == [(1,), (3,), (5,), (6,)]
 
 
 def test_unknown_graders_are_told(spark):
