@@ -294,8 +294,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sizes = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = staged(banded.join(sizes, "key").select("key", "rep", "n", "m"), "buckets")
     # A pair at the threshold shares two buckets, so that a member of one bucket alone has no link, unless its set is small.
-    weight = met.groupBy("rep", "n").agg(F.sum("m").alias("weight"), F.count("*").alias("k")).where(f"k > 1 or n <= {SMALL}").select("rep", "weight")
-    members = staged(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
+    # All buckets of a member, as many as there are bands at most, stand in one row for that, and no join is needed.
+    whole = met.groupBy("rep", "n").agg(F.sum("m").alias("weight"), F.collect_list("key").alias("keys")).where(f"size(keys) > 1 or n <= {SMALL}")
+    members = staged(whole.select(F.explode("keys").alias("key"), "rep", "n", "weight"), "members")
     hub = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("h")).select("key", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hn"))
     pairs = members.join(hub, "key").where((F.col("rep") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent))
     pairs = pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
