@@ -232,7 +232,7 @@ def _with_partners(percent: int):
             if len(at):
                 some[i] = some[at] = True
         keep = table.filter(pa.array(some))
-        return keep.select(["hub", "lo", "hi", "rep", "c", "own"])
+        return keep.select(["hub", "lo", "hi", "rep", "c", "own", "n", "mini"])
 
     return run
 
@@ -294,9 +294,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sizes = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = staged(banded.join(sizes, "key").select("key", "rep", "n", "m"), "buckets")
     # A pair at the threshold shares two buckets, so that a member of one bucket alone has no link, unless its set is small.
-    # All buckets of a member, as many as there are bands at most, stand in one row for that, and no join is needed.
-    whole = met.groupBy("rep", "n").agg(F.sum("m").alias("weight"), F.collect_list("key").alias("keys")).where(f"size(keys) > 1 or n <= {SMALL}")
-    members = staged(whole.select(F.explode("keys").alias("key"), "rep", "n", "weight"), "members")
+    weight = met.groupBy("rep", "n").agg(F.sum("m").alias("weight"), F.count("*").alias("k")).where(f"k > 1 or n <= {SMALL}").select("rep", "weight")
+    members = staged(met.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
     hub = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "n")).alias("h")).select("key", (-F.col("h.rep")).alias("hub"), F.col("h.n").alias("hn"))
     pairs = members.join(hub, "key").where((F.col("rep") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent))
     pairs = pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
@@ -316,10 +315,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "own").alias("lo"), F.greatest(i, "own").alias("hi")))
     dealt = own.withColumn("pair", F.explode(others)).select("hub", "pair.lo", "pair.hi", "rep", "c", "own")
     sketched = classes.select(F.col("node").alias("rep"), "n", "mini")
-    place = "hub long, lo int, hi int, rep long, c long, own int"
+    place = "hub long, lo int, hi int, rep long, c long, own int, n int, mini binary"  # a member that stays takes its sketch along
     left = staged(dealt.join(sketched, "rep").groupBy("hub", "lo", "hi").applyInArrow(_with_partners(percent), place), "partners")
     sets = _items(docs, classes, left.select(F.col("rep").alias("node")), shingle).withColumnRenamed("node", "rep")
-    found = left.join(sketched, "rep").join(sets, "rep").groupBy("hub", "lo", "hi").applyInArrow(_links_between(percent), "u long, v long")
+    found = left.join(sets, "rep").groupBy("hub", "lo", "hi").applyInArrow(_links_between(percent), "u long, v long")
     links = links.unionByName(found)
     links = staged(links, "all-links")
     discard(met, members, open_, left, tested)
