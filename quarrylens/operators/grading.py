@@ -258,19 +258,18 @@ def invariants_broken(invariants: DataFrame, files: DataFrame, definitions: Data
     """Invariants (seq, type, path, symbol, message) that don't hold: no_edit, file_exists, no_delete, symbol_present.
 
     no_edit fails where a line of a diff (line) that starts with --- or +++ holds the path. With a column episode_id in all tables,
-    rules, files and diffs of an episode meet each other alone, by a join on it. Without one, all rules meet all header lines of
-    one repository; there are MOST_SPECS rules at most, and more are an error.
+    rules, files and diffs of an episode meet each other alone, by a join on it. Lines are cut into all their stretches of the lengths that
+    paths of rules have, which meet the paths by equality, so that no rule is held against each line.
     """
     keys = [c for c in ("episode_id",) if all(c in t.columns for t in (invariants, files, definitions, diff_lines))]
     have, names = files.select(*keys, "path").distinct(), definitions.select(*keys, "path", F.col("name").alias("symbol")).distinct()
-    headers = diff_lines.where(F.col("line").startswith("---") | F.col("line").startswith("+++")).select(*(F.col(k).alias(f"d_{k}") for k in keys), "line").distinct()
+    headers = diff_lines.where(F.col("line").startswith("---") | F.col("line").startswith("+++")).select(*keys, "line").distinct()
     rules = invariants.where("type = 'no_edit'")
-    if not keys and rules.limit(MOST_SPECS + 1).count() > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} rules without an episode_id")
-    holds = F.expr("contains(line, path)")
-    for k in keys:
-        holds = (F.col(k) == F.col(f"d_{k}")) & holds
-    edited = rules.join(headers, holds, "left_semi")
+    lengths = rules.where("path IS NOT NULL").groupBy(*keys).agg(F.collect_set(F.length("path")).alias("lengths"))
+    headers = headers.join(lengths, keys) if keys else headers.crossJoin(F.broadcast(lengths))
+    headers = headers.select(*keys, "line", F.explode("lengths").alias("n")).where("n <= length(line)")
+    held = headers.select(*keys, "line", "n", F.explode(F.expr("sequence(1, length(line) - n + 1)")).alias("at")).select(*keys, F.expr("substring(line, at, n)").alias("path"))
+    edited = rules.join(held.distinct(), [*keys, "path"], "left_semi")
     missing = invariants.where("type IN ('file_exists', 'no_delete')").join(have, [*keys, "path"], "left_anti")
     lost = invariants.where("type = 'symbol_present'").join(names, [*keys, "path", "symbol"], "left_anti")
     columns = invariants.columns
