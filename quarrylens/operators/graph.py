@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators import astfacts
 from quarrylens.operators.symbols import definitions, local_name, module_of, usages
-from quarrylens.session import cut
+from quarrylens.session import Shelf, cut
 
 #: Steps along edges between two checkpoints.
 STEPS = 4
+#: Rounds of steps before a graph is contracted; a contraction that takes less than one in LEAST edges is the last.
+ROUNDS = 4
+LEAST = 50
 
 
 def alias_map(nodes: DataFrame) -> DataFrame:
@@ -109,20 +113,71 @@ def _closure(edges: DataFrame, start: DataFrame, known: DataFrame | None) -> Dat
     return found
 
 
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node: all that seeds (node) reach over edges (src, dst), themselves included. STEPS steps a round; the graph and what
-    has been found stay distributed."""
-    steps = cut(edges.select("src", "dst").distinct())
-    found = frontier = cut(seeds.select(F.col("node")).distinct())
+def _contracted(edges: DataFrame, put: Shelf, keep: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """The core of different edges (src, dst), and the edges of the nodes that were taken out on the way, round by round: taken_src and
+    taken_dst say which end was taken.
+
+    A node with one way in or one way out at most, and not in keep (node), is taken out if no neighbour of that kind has a larger hash; edges
+    from those before it to those behind it stand for it. So what reaches what stays as it is among the others, edges never grow in number, and a
+    path of n nodes takes about log n rounds over fewer and fewer edges.
+    """
+    rounds: list[DataFrame] = []
+    while True:
+        end = lambda c, out: edges.select(F.col(c).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
+        thin = end("src", 1).unionByName(end("dst", 0)).where("node IS NOT NULL").groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("least(out, into) <= 1")
+        thin = thin.join(keep.hint("merge"), "node", "left_anti") if keep is not None else thin
+        thin = put(thin.select("node", F.struct(F.xxhash64("node", F.lit(len(rounds))).alias("h"), "node").alias("place")))
+        of = lambda t, c, mark: t.select(F.col("node").alias(c), *([F.col("place").alias(mark)] if "place" in t.columns else [F.lit(True).alias(mark)])).hint("merge")
+        beside = edges.join(of(thin, "src", "s"), "src").join(of(thin, "dst", "d"), "dst")
+        lower = beside.select(F.when(F.col("s") > F.col("d"), F.col("dst")).otherwise(F.col("src")).alias("node")).distinct()
+        taken = put(thin.select("node").join(lower.hint("merge"), "node", "left_anti"))
+        marked = edges.join(of(taken, "src", "s"), "src", "left").join(of(taken, "dst", "d"), "dst", "left")
+        marked = put(marked.select("src", "dst", F.col("s").isNotNull().alias("taken_src"), F.col("d").isNotNull().alias("taken_dst")))
+        n, out = marked.agg(F.count("*"), F.count_if(F.col("taken_src") | F.col("taken_dst"))).first()
+        if out * LEAST <= n:
+            return edges, rounds
+        rounds.append(marked.where("taken_src OR taken_dst"))
+        before, behind = marked.where("taken_dst").select("src", F.col("dst").alias("node")), marked.where("taken_src").select(F.col("src").alias("node"), "dst")
+        across = before.join(behind.hint("merge"), "node").select("src", "dst").where("dst IS NULL OR src <> dst")
+        edges = put(marked.where("NOT (taken_src OR taken_dst)").select("src", "dst").unionByName(across).distinct())
+
+
+def _walked(steps: DataFrame, start: DataFrame, put: Callable[[DataFrame], DataFrame] = cut, rounds: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """node: start and what it reaches over steps, STEPS a round; and what the last of rounds has found, None where nothing is left to find."""
+    found = frontier = start
     parts = [found]
-    while not frontier.isEmpty():
+    while rounds is None or len(parts) <= rounds:
         news = None
         for _ in range(STEPS):
-            frontier = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+            frontier = frontier.join(steps.hint("merge"), frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
             news = frontier if news is None else news.unionByName(frontier)
-        frontier = cut(news.distinct().join(found, "node", "left_anti"))
+        frontier = put(news.distinct().join(found.hint("merge"), "node", "left_anti"))
+        if frontier.isEmpty():
+            return found, None
         parts.append(frontier)  # what was found before isn't written again
         found = reduce(DataFrame.unionByName, parts)
+    return found, frontier
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node: all that seeds (node) reach over edges (src, dst), themselves included. The graph and what has been found stay distributed.
+
+    ROUNDS rounds of STEPS steps go along the graph itself, which is all that shallow graphs take. If more is left, the rest of the graph is
+    contracted, so that the number of rounds doesn't follow the length of its paths; a node that was taken out is reached if one before it is.
+    """
+    steps = cut(edges.select("src", "dst").where("dst IS NULL OR src <> dst").distinct())
+    found, frontier = _walked(steps, cut(seeds.select(F.col("node")).distinct()), rounds=ROUNDS)
+    if frontier is None:
+        return found
+    put = Shelf(edges.sparkSession)
+    rest = put(steps.join(found.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_anti").select("src", "dst"))
+    core, rounds = _contracted(rest, put, frontier)
+    more = put(_walked(core, frontier, put)[0])
+    for near in reversed(rounds):
+        into = near.where("taken_dst").join(more.select(F.col("node").alias("src")).hint("merge"), "src", "left_semi")
+        more = put(more.unionByName(into.select(F.col("dst").alias("node")).distinct()))
+    found = cut(found.join(frontier.hint("merge"), "node", "left_anti").unionByName(more))
+    put.clear()
     return found
 
 
@@ -142,36 +197,46 @@ def dead_symbols(nodes: DataFrame, public_api: DataFrame | None = None, skip_tes
 def cycles(edges: DataFrame) -> DataFrame:
     """node, cycle, size: nodes that lie on cycles of two nodes or more; a cycle is named by its smallest node.
 
-    The smallest id that reaches a node and is reached by it names its component: minima are passed forward and
+    Nodes with one way in or out are taken out first (_contracted), and come back into a component that stands both before and behind
+    them. In what is left the smallest id that reaches a node and is reached by it names its component: minima are passed forward and
     backward, and a component whose two minima agree is taken out, until nothing is left. No pairs are made.
     """
-    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    put = Shelf(edges.sparkSession)
+    left, rounds = _contracted(put(edges.where("src <> dst").select("src", "dst").distinct()), put)
     found: DataFrame | None = None
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        fore, back = _spread(nodes, left), _spread(nodes, left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        both = fore.withColumnRenamed("least", "f").join(back.withColumnRenamed("least", "b"), "node")
-        done = cut(both.where("f = b").select("node", F.col("f").alias("cycle")))
+        fore, back = _spread(nodes, left, put), _spread(nodes, left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), put)
+        both = put(fore.withColumnRenamed("least", "f").join(back.withColumnRenamed("least", "b").hint("merge"), "node"))
+        done = both.where("f = b").select("node", F.col("f").alias("cycle"))
         found = done if found is None else found.unionByName(done)
-        open_ = both.join(done, "node", "left_anti").select("node", F.struct("f", "b").alias("c"))
+        open_ = both.where("f <> b").select("node", F.struct("f", "b").alias("c"))
         # A cycle's nodes share both minima: edges between nodes that don't are on none.
-        left = cut(left.join(open_.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(open_.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst"))
-    if found is None:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.lit(1).cast("long").alias("size")).limit(0)
-    sizes = found.groupBy("cycle").agg(F.count("*").alias("size"))
-    return found.join(sizes.where("size > 1"), "cycle").select("node", "cycle", "size")
+        left = put(left.join(open_.select(F.col("node").alias("src"), F.col("c").alias("cs")).hint("merge"), "src").join(open_.select(F.col("node").alias("dst"), F.col("c").alias("cd")).hint("merge"), "dst").where("cs = cd").select("src", "dst"))
+    found = put(found) if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
+    for near in reversed(rounds):
+        side = lambda mark, me, other: near.where(mark).select(F.col(me).alias("taken"), F.col(other).alias("node"), F.lit(mark).alias("side"))
+        beside = side("taken_dst", "dst", "src").unionByName(side("taken_src", "src", "dst")).join(found.hint("merge"), "node", "left").withColumn("cycle", F.coalesce("cycle", "node"))
+        back = beside.groupBy("taken", "cycle").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
+        found = put(found.unionByName(back.select(F.col("taken").alias("node"), "cycle")))
+    # A node that names a component and was in none before is in it.
+    found = found.unionByName(found.select(F.col("cycle").alias("node"), "cycle")).distinct()
+    sizes = found.groupBy("cycle").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
+    found = cut(found.join(sizes.hint("merge"), "cycle").select("node", F.col("first").alias("cycle"), "size"))
+    put.clear()
+    return found
 
 
-def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _spread(nodes: DataFrame, edges: DataFrame, put: Shelf) -> DataFrame:
     """node, least: the smallest node that reaches it, itself included."""
-    now = cut(nodes.select("node", F.col("node").alias("least")))
+    now = put(nodes.select("node", F.col("node").alias("least")))
     while True:
         new = now
         for _ in range(STEPS):
-            sent = edges.join(new, edges["src"] == new["node"]).select(F.col("dst").alias("node"), "least")
+            sent = edges.join(new.hint("merge"), edges["src"] == new["node"]).select(F.col("dst").alias("node"), "least")
             new = new.unionByName(sent).groupBy("node").agg(F.min("least").alias("least"))
-        new = cut(new)
-        changed = new.join(now.withColumnRenamed("least", "was"), "node").where("least <> was").isEmpty()
+        new = put(new)
+        changed = new.join(now.withColumnRenamed("least", "was").hint("merge"), "node").where("least <> was").isEmpty()
         now = new
         if changed:
             return now
