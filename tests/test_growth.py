@@ -1,8 +1,10 @@
 """Work that grows with the tables and not faster."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from quarrylens.operators import grading
+from quarrylens.operators import grading, graph
 
 
 def test_more_rules_than_a_join_of_all_with_all_takes(spark):
@@ -18,3 +20,41 @@ def test_more_rules_than_a_join_of_all_with_all_takes(spark):
 
 def _rule(seq, path):
     return seq.cast("long").alias("seq"), F.lit("no_edit").alias("type"), path.alias("path"), F.lit("").alias("symbol"), F.lit("m").alias("message")
+
+
+def _components(edges):
+    """Python's own: node -> the set of nodes that it reaches and that reach it."""
+    out, into = {}, {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+
+    def reach(start, way):
+        seen, stack = {start}, [start]
+        while stack:
+            for x in way.get(stack.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    stack.append(x)
+        return seen
+
+    return reach, out, into
+
+
+def test_long_paths_and_cycles(spark):
+    """Paths of 300 nodes, cycles of 200 joined by single edges, a tail, loops and a random part. Rounds of steps alone would take 75 and more."""
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 200) for i in range(200)] + [(2000 + i, 2000 + (i + 1) % 200) for i in range(200)]
+    edges += [(250, 1007), (1050, 2003), (300, 300), (2100, 3000), (3000, 3001), (3001, 3000), (3001, 3001)] + [(4000 + rnd.randrange(60), 4000 + rnd.randrange(60)) for _ in range(110)] + [(4000, 1000)]
+    table = spark.createDataFrame(edges, "src long, dst long")
+    reach, out, into = _components(edges)
+    walks, real = [], graph._walked
+    graph._walked = lambda steps, start, *a, **k: walks.append(steps.count()) or real(steps, start, *a, **k)
+    try:
+        got = [r[0] for r in graph.reachable(table, spark.createDataFrame([(0,), (77777,)], "node long")).collect()]
+    finally:
+        graph._walked = real
+    assert sorted(got) == sorted(reach(0, out) | {77777})
+    assert walks[1] <= 60  # what is left to walk along
+    both = {n: reach(n, out) & reach(n, into) for n in set(out) | set(into)}
+    assert {tuple(r) for r in graph.cycles(table).collect()} == {(n, min(c), len(c)) for n, c in both.items() if len(c) > 1}
