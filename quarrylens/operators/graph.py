@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ STEPS = 4
 #: Rounds of steps before a graph is contracted; a contraction that takes less than one in LEAST edges is the last.
 ROUNDS = 4
 LEAST = 50
+#: A block of whole numbers, in which points meet intervals, has 2^BLOCK of them.
+BLOCK = 15
 
 
 def alias_map(nodes: DataFrame) -> DataFrame:
@@ -280,20 +284,43 @@ def innermost(points: DataFrame, intervals: DataFrame) -> DataFrame:
     begin or lack an end hold nothing, and points in no interval give no row.
 
     Each interval is cut into dyadic cells, of which one holds a point that the interval holds. A cell keeps its
-    shortest interval alone, so nested ones don't multiply, and a point looks into one cell of each level that there is. A cell of
-    level k, into which 2^k points may look, is dealt to 2^(k/3) copies.
+    shortest interval alone, so nested ones don't multiply. Points and cells of one block of 2^BLOCK numbers meet in one group, to which each goes
+    once; a group holds few blocks and is searched level by level. Cells larger than a block are looked up once for each block.
     """
-    cells = intervals.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).where("lo <= hi")
-    cells = cells.select("lo", "hi", F.explode(dyadic_cells(F.col("lo"), F.col("hi"))).alias("c")).groupBy("c.level", "c.cell").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo", "hi")).alias("best"))
-    cells = cut(cells)
-    levels = [r[0] for r in cells.select("level").distinct().collect()]  # 62 at most
-    copies = lambda level: F.pow(F.lit(2), F.least(F.floor(level / 3), F.lit(12))).cast("int")
-    held = cells.withColumn("copy", F.explode(F.sequence(F.lit(0), copies(F.col("level")) - 1)))
-    own = points.select(F.col("point").cast("long").alias("point")).where("point IS NOT NULL").distinct()
-    probes = own.select("point", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
-    probes = probes.withColumn("cell", F.expr("shiftright(point, level)")).withColumn("copy", F.pmod(F.xxhash64("point"), copies(F.col("level"))).cast("int"))
-    met = probes.join(held, ["level", "cell", "copy"]).groupBy("point").agg(F.min("best").alias("best"))
-    return met.select("point", "best.lo", "best.hi")
+    spans = intervals.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).where("lo <= hi")
+    groups = (points.count() + 4 * spans.count()) // 2**BLOCK + 1
+    put = Shelf(points.sparkSession)
+    cells = spans.select("lo", "hi", F.explode(dyadic_cells(F.col("lo"), F.col("hi"))).alias("c")).groupBy("c.level", "c.cell").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("span"), "lo")).alias("best"))
+    cells = put(cells.select("level", "cell", "best.span", "best.lo"))
+    own = points.select(F.col("point").cast("long").alias("point")).where("point IS NOT NULL").distinct().withColumn("block", F.expr(f"shiftright(point, {BLOCK})"))
+    large = cells.where(F.col("level") > BLOCK)
+    levels = [r[0] for r in large.select("level").distinct().collect()]  # 62 at most
+    probes = own.select("block").distinct().select("block", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level")).withColumn("cell", F.expr(f"shiftright(block, level - {BLOCK})"))
+    whole = probes.join(large.hint("merge"), ["level", "cell"]).groupBy("block").agg(F.min(F.struct("span", "lo")).alias("best"))
+    small = cells.where(F.col("level") <= BLOCK).select("level", "cell", "span", "lo", F.expr(f"shiftright(cell, {BLOCK} - level)").alias("block"))
+    small = small.unionByName(whole.select(F.lit(BLOCK + 1).alias("level"), F.col("block").alias("cell"), "best.span", "best.lo", "block"))
+    key = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("key")
+    met = own.select(key, "point").groupBy("key").cogroup(small.select(key, "level", "cell", "span", "lo").groupBy("key")).applyInArrow(_shortest, "point long, lo long, hi long")
+    found = cut(met)
+    put.clear()
+    return found
+
+
+def _shortest(points: pa.Table, cells: pa.Table) -> pa.Table:
+    """The points of a group that cells hold, with the smallest (span, lo) among them. Level BLOCK + 1 is that of what holds whole blocks."""
+    point = points["point"].to_numpy()
+    level, cell, span, lo = (cells[c].to_numpy() for c in ("level", "cell", "span", "lo"))
+    best, first, hit = np.zeros_like(point), np.zeros_like(point), np.zeros(len(point), bool)
+    for k in np.unique(level) if len(point) else ():
+        at = np.flatnonzero(level == k)
+        at = at[np.argsort(cell[at])]
+        looked = point >> np.int64(min(k, BLOCK))
+        place = np.minimum(np.searchsorted(cell[at], looked), len(at) - 1)
+        here = at[place]
+        better = (cell[here] == looked) & (~hit | (span[here] < best) | ((span[here] == best) & (lo[here] < first)))
+        best[better], first[better] = span[here][better], lo[here][better]
+        hit |= better
+    return pa.table({"point": point[hit], "lo": first[hit], "hi": first[hit] + best[hit]})
 
 
 def module_files(wanted: DataFrame, files: DataFrame) -> DataFrame:

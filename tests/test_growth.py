@@ -58,3 +58,15 @@ def test_long_paths_and_cycles(spark):
     assert walks[1] <= 60  # what is left to walk along
     both = {n: reach(n, out) & reach(n, into) for n in set(out) | set(into)}
     assert {tuple(r) for r in graph.cycles(table).collect()} == {(n, min(c), len(c)) for n, c in both.items() if len(c) > 1}
+
+
+def test_intervals_across_blocks(spark):
+    """Intervals that begin, end and stand around blocks of numbers, negative ones too, against all pairs."""
+    b = 2**graph.BLOCK
+    rnd = random.Random(5)
+    ends = [k * b + x for k in (-2, -1, 0, 1, 2, 700) for x in (-1, 0, 1)]
+    spans = [(lo, lo + n) for lo in ends for n in (0, 1, b - 1, b, 3 * b)] + [(-5 * b, 900 * b)] + [(x := rnd.randrange(-3 * b, 3 * b), x + rnd.randrange(4 * b)) for _ in range(60)]
+    points = [*ends, *(rnd.randrange(-6 * b, 6 * b) for _ in range(200)), 901 * b]
+    got = graph.innermost(spark.createDataFrame([(p,) for p in points], "point long"), spark.createDataFrame(spans, "lo long, hi long"))
+    want = {p: min(held, key=lambda s: (s[1] - s[0], s[0])) for p in points if (held := [s for s in spans if s[0] <= p <= s[1]])}
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
