@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +127,7 @@ def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compa
     """
     one = lambda rule, context: F.struct(F.lit(rule).alias("rule"), context.cast("string").alias("context"))
     hits, t = [], F.col("type")
+    kept = [k for kinds, _ in _tests(max_line, max_cc) for k in ((kinds,) if isinstance(kinds, str) else kinds) if k != "Name"]
     for kinds, tests in _tests(max_line, max_cc):
         mine = t.isin(*kinds) if isinstance(kinds, tuple) else t == kinds
         hits += [F.when(mine & test, one(rule, *(context or [F.lit("")]))) for rule, test, *context in tests if rule not in ignore]
@@ -135,7 +138,9 @@ def ast_violations(nodes: DataFrame, max_line: int = 80, max_cc: int = 10, compa
         error = F.when(t == "Module", F.array(one("ERROR", F.lit("empty docstring")))).otherwise(F.array().cast("array<struct<rule:string,context:string>>"))
         every = F.when(F.col("blank_doc").isNotNull(), error).otherwise(every)
     line = F.when(t.isin("alias", "Name"), F.col("up_line")).when((t == "Module") & F.col("blank_doc").isNotNull() & F.lit(compat), F.col("blank_doc")).otherwise(F.col("line"))
-    return nodes.where("status = 'ok'").select("path", F.coalesce(line, F.lit(0)).alias("line"), F.explode(every).alias("v")).select("v.rule", "path", "line", "v.context")
+    # Of names only targets are asked for, which few are.
+    nodes = nodes.where("status = 'ok'").where(t.isin(*kept) | (t == "Name") & (F.col("field") == "targets") | (t == "ExceptHandler"))
+    return nodes.select("path", F.coalesce(line, F.lit(0)).alias("line"), F.explode(every).alias("v")).select("v.rule", "path", "line", "v.context")
 
 
 def checkable(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -193,13 +198,15 @@ def style_metrics(nodes: DataFrame, lines: DataFrame, by: list[str] | None = Non
     text = F.struct((-F.col("n")).alias("m"), "place", "rule", "n", "description")
     per = found.groupBy(*by, "rule").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("place")).join(F.broadcast(rules(nodes.sparkSession)), "rule")  # 32 rules
     listed = F.transform(F.array_sort(F.collect_list(text)), lambda x: F.struct(x["rule"].alias("rule"), x["n"].alias("n"), x["description"].alias("said")))
-    counts = per.groupBy(*by).agg(F.sum("n").alias("violations"), F.sum(F.when(F.col("severity") == "error", F.col("n")).otherwise(0)).alias("error_violations"), listed.alias("rules"))
-    wrong = per.groupBy(*by, "dimension").agg(F.sum("n").alias("wrong"))
-    weight = nodes.sparkSession.createDataFrame([(d, share[d], i) for i, d in enumerate(DIMENSIONS)], "dimension string, weight double, at int")
-    scored = checkable(keyed(nodes), by).join(wrong, [*by, "dimension"], "left").join(F.broadcast(weight), "dimension")  # 6 rows
-    scored = scored.withColumn("score", F.greatest(F.lit(0.0), 1 - F.coalesce("wrong", F.lit(0)) / F.greatest("total", F.lit(1))))
-    dims = F.transform(F.array_sort(F.collect_list(F.struct("at", "dimension", "score"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["score"].alias("score")))
-    sums = scored.groupBy(*by).agg(F.round(F.sum(F.col("weight") * F.col("score")), 4).alias("raw_score"), dims.alias("dims"))
-    both = sums.join(counts, by, "left") if by else sums.crossJoin(counts)  # a row each
+    # One aggregate gives all that is asked of the violations, so that they are found once.
+    wrong = [F.sum(F.when(F.col("dimension") == d, F.col("n")).otherwise(0)).alias(f"wrong_{d}") for d in DIMENSIONS]
+    counts = per.groupBy(*by).agg(F.sum("n").alias("violations"), F.sum(F.when(F.col("severity") == "error", F.col("n")).otherwise(0)).alias("error_violations"), listed.alias("rules"), *wrong)
+    totals = checkable(keyed(nodes), by).groupBy(*by).agg(*(F.max(F.when(F.col("dimension") == d, F.col("total"))).alias(f"total_{d}") for d in DIMENSIONS))
+    both = totals.join(counts, by, "left") if by else totals.crossJoin(counts)  # a row each
+    score = {d: F.greatest(F.lit(0.0), 1 - F.coalesce(f"wrong_{d}", F.lit(0)) / F.greatest(f"total_{d}", F.lit(1))) for d in DIMENSIONS}
+    any_ = F.col(f"total_{next(iter(DIMENSIONS))}").isNotNull()
+    raw = F.when(any_, F.round(reduce(lambda x, y: x + y, (share[d] * score[d] for d in DIMENSIONS)), 4))
+    dims = F.array(*(F.struct(F.lit(d).alias("dimension"), score[d].alias("score")) for d in DIMENSIONS))
+    both = both.withColumns({"raw_score": raw, "dims": F.when(any_, dims).otherwise(F.array().cast("array<struct<dimension:string,score:double>>"))})
     none = F.array().cast(RULE_COUNTS)
     return both.select(*by, F.coalesce("raw_score", F.lit(1.0)).alias("raw_score"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("error_violations", F.lit(0)).alias("error_violations"), "dims", F.coalesce("rules", none).alias("rules"))
