@@ -107,13 +107,10 @@ def priced(estimates: DataFrame) -> DataFrame:
     return estimates.join(F.broadcast(costs(estimates.sparkSession)), "time", "left").withColumn("cost", F.coalesce("cost", F.lit(2.0)))  # 8 rows
 
 
-def bigo_metrics(estimates: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, bigO_cost_sum, n, patterns (each once) of estimates: one row for each value of by."""
-    by = by or []
-    sums = priced(estimates).groupBy(*by).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("bigO_cost_sum"), F.count("*").alias("n"))
-    each = estimates.select(*by, F.explode("patterns").alias("p")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("patterns"))  # as many as SAID, and numbers of branches
-    both = sums.join(each, by, "left") if by else sums.crossJoin(each)  # a row each
-    return both.withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
+def bigo_metrics(estimates: DataFrame, by: list[str] | None = None, *more: Column) -> DataFrame:
+    """by, bigO_cost_sum, n, patterns (each once) of estimates, and more aggregates of them with their prices: one row for each value of by."""
+    patterns = F.array_sort(F.array_distinct(F.flatten(F.collect_set("patterns"))))  # as many as SAID, and numbers of branches
+    return priced(estimates).groupBy(*(by or [])).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("bigO_cost_sum"), F.count("*").alias("n"), patterns.alias("patterns"), *more)
 
 
 def top_by(rows: DataFrame, cost: str, keys: list[str], k: int = 5) -> DataFrame:

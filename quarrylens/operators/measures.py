@@ -55,10 +55,9 @@ def complexity_measures(nodes: DataFrame, runs: DataFrame, threshold: int = 10)
     reports = tools.complexity_report(runs.where(~F.col("timed_out")), keys).where(~test_by_any_part(F.col("file")))
     cc = complexity.cc_metrics(reports, threshold, keys).withColumnRenamed("n", "cc_fns").withColumn("cc_avg", F.round("cc_avg", 3))
     estimates = complexity.repository_estimates(nodes.where((F.col("status") == "ok") & ~test_by_any_part(file_of(F.col("path")))), skip_tests=True)
-    named = complexity.priced(estimates)
-    worst = named.groupBy("snap").agg(F.min(F.struct((-F.col("cost")).alias("c"), "path", "func", "qualified_name", "class", "patterns")).alias("w"))
-    worst = worst.select("snap", F.struct(F.col("w.qualified_name"), F.col("w.class"), (-F.col("w.c")).alias("cost"), F.col("w.patterns")).alias("worst"))
-    big = complexity.bigo_metrics(estimates, ["snap"]).withColumnRenamed("n", "bigO_fns").join(worst, "snap")
+    worst = F.min(F.struct((-F.col("cost")).alias("c"), "path", "func", "qualified_name", "class", "patterns")).alias("w")
+    big = complexity.bigo_metrics(estimates, ["snap"], worst).withColumnRenamed("n", "bigO_fns")
+    big = big.withColumn("worst", F.struct(F.col("w.qualified_name"), F.col("w.class"), (-F.col("w.c")).alias("cost"), F.col("w.patterns"))).drop("w")
     sized = _kept(big, nodes, {"bigO_cost_sum": F.lit(0.0), "bigO_fns": F.lit(0).cast("long"), "patterns": F.array().cast("array<string>")})
     out = sized.join(cc, keys, "left").join(tools.complexity_errors(runs).select(*keys, "tool_error"), keys, "left")
     return out.withColumns({"cc_cost_sum": F.coalesce("cc_cost_sum", F.lit(0.0)), "cc_avg": F.coalesce("cc_avg", F.lit(0.0)), "cc_fns": F.coalesce("cc_fns", F.lit(0)), "tool_error": F.coalesce("tool_error", F.lit(""))})

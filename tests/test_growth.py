@@ -70,3 +70,28 @@ def test_intervals_across_blocks(spark):
     got = graph.innermost(spark.createDataFrame([(p,) for p in points], "point long"), spark.createDataFrame(spans, "lo long, hi long"))
     want = {p: min(held, key=lambda s: (s[1] - s[0], s[0])) for p in points if (held := [s for s in spans if s[0] <= p <= s[1]])}
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
+
+
+def test_snapshots_are_measured_once(spark, sf):
+    """Rules are held against lines and signals gathered from nodes once a query, not once for each thing that is asked of them."""
+    from quarrylens.plans import generated
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(generated.grade_style(spark, sf)).count("posexplode(") == 1
+    assert plan(generated.grade_complexity(spark, sf)).count("explode(arrays_zip(") == 1
+
+
+def test_one_row_of_metrics_for_all_files(spark):
+    """Without a key there is one row, of no files too."""
+    from quarrylens.operators import astfacts, complexity, lines, style
+
+    files = spark.createDataFrame([("a.py", "def f(x):\n    for y in x:\n        for z in y:\n            print(z)\n\n\ndef Bad(x):\n    for y in x:\n        print(y)\n")], "path string, text string")
+    n = astfacts.ast_nodes(files)
+    got = style.style_metrics(n, lines.source_lines(files)).first()
+    assert [(d["dimension"], round(d["score"], 3)) for d in got["dims"]] == [("naming", 0.667), ("docstrings", 0.0), ("imports", 1.0), ("type_hints", 0.0), ("complexity", 1.0), ("formatting", 1.0)]
+    assert (got["raw_score"], got["violations"], got["rules"][0]["rule"]) == (0.55, 8, "D001")
+    none = style.style_metrics(n.limit(0), lines.source_lines(files.limit(0))).first()
+    assert (none["raw_score"], none["violations"], none["dims"], none["rules"]) == (1.0, 0, [], [])
+    big = complexity.bigo_metrics(complexity.repository_estimates(n)).first()
+    assert (big["bigO_cost_sum"], big["n"], big["patterns"]) == (3.0, 2, ["2_nested_loops → O(n²)", "single_loop → O(n)"])
+    assert tuple(complexity.bigo_metrics(complexity.repository_estimates(n.limit(0))).first()) == (0.0, 0, [])
