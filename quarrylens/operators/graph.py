@@ -201,49 +201,114 @@ def dead_symbols(nodes: DataFrame, public_api: DataFrame | None = None, skip_tes
 def cycles(edges: DataFrame) -> DataFrame:
     """node, cycle, size: nodes that lie on cycles of two nodes or more; a cycle is named by its smallest node.
 
-    Nodes with one way in or out are taken out first (_contracted), and come back into a component that stands both before and behind
-    them. In what is left the smallest id that reaches a node and is reached by it names its component: minima are passed forward and
-    backward, and a component whose two minima agree is taken out, until nothing is left. No pairs are made.
+    Nodes with one way in at most hang on trees, whose roots stand for them (_hung), and the same goes for ways out. In what is left the
+    smallest id that reaches a node and is reached by it names its component: minima are passed forward and backward, and a component whose
+    two minima agree is taken out, until nothing is left. A node of a tree is on its root's cycle if an edge from it or from a node
+    below it leads there. No pairs are made.
     """
     put = Shelf(edges.sparkSession)
-    left, rounds = _contracted(put(edges.where("src <> dst").select("src", "dst").distinct()), put)
-    found: DataFrame | None = None
-    while not left.isEmpty():
-        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        fore, back = _spread(nodes, left, put), _spread(nodes, left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), put)
-        both = put(fore.withColumnRenamed("least", "f").join(back.withColumnRenamed("least", "b").hint("merge"), "node"))
-        done = both.where("f = b").select("node", F.col("f").alias("cycle"))
-        found = done if found is None else found.unionByName(done)
-        open_ = both.where("f <> b").select("node", F.struct("f", "b").alias("c"))
+    left, nodes, trees, parts = put(edges.where("src <> dst").select("src", "dst").distinct()), None, [], []
+    while True:
+        nodes, seen = _ends(left, put)
+        if max(seen["thin_in"], seen["thin_out"]) * LEAST <= seen["ends"]:
+            break
+        if seen["thin_in"] < seen["thin_out"]:  # what has one way out has one way in where edges are turned
+            left, nodes = _turned(left), nodes.select("node", F.col("out").alias("into"), F.col("next").alias("last"))
+        left, tree, ring = _hung(left, nodes, put)
+        trees.append(tree)
+        parts += [] if ring is None else [ring]
+    while seen["ends"]:
+        both, n = _spread(nodes, left, put)
+        parts.append(both.where("f = b").select("node", F.col("f").alias("cycle")))
+        if not n:
+            break
         # A cycle's nodes share both minima: edges between nodes that don't are on none.
-        left = put(left.join(open_.select(F.col("node").alias("src"), F.col("c").alias("cs")).hint("merge"), "src").join(open_.select(F.col("node").alias("dst"), F.col("c").alias("cd")).hint("merge"), "dst").where("cs = cd").select("src", "dst"))
-    found = put(found) if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
-    for near in reversed(rounds):
-        side = lambda mark, me, other: near.where(mark).select(F.col(me).alias("taken"), F.col(other).alias("node"), F.lit(mark).alias("side"))
-        beside = side("taken_dst", "dst", "src").unionByName(side("taken_src", "src", "dst")).join(found.hint("merge"), "node", "left").withColumn("cycle", F.coalesce("cycle", "node"))
-        back = beside.groupBy("taken", "cycle").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
-        found = put(found.unionByName(back.select(F.col("taken").alias("node"), "cycle")))
+        of = lambda c, mark: both.where("f <> b").select(F.col("node").alias(c), F.struct("f", "b").alias(mark)).hint("merge")
+        left = put(left.join(of("src", "cs"), "src").join(of("dst", "cd"), "dst").where("cs = cd").select("src", "dst"))
+        nodes, seen = _ends(left, put)
+    found = reduce(DataFrame.unionByName, parts) if parts else edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
+    for way, climb, levels in reversed(trees):
+        of = lambda c, to: found.select(F.col("node").alias(c), F.col("cycle").alias(to)).hint("merge")
+        near = way.where("src <> root").join(of("root", "a"), "root", "left").join(of("dst", "b"), "dst", "left").where("coalesce(a, root) = coalesce(b, dst)")
+        marks = near.select(F.col("src").alias("node"), F.coalesce("a", "root").alias("cycle")).distinct()
+        for k in range(levels):  # the nodes above, 1, 2, 4, ... steps up the tree
+            up = climb.where(F.col("open") & (F.col("level") == k)).select("node", "at")
+            marks = marks.join(up.hint("merge"), "node", "left").select(F.explode(F.array_compact(F.array("node", "at"))).alias("node"), "cycle").distinct()
+            marks = put(marks) if k % STEPS == STEPS - 1 else marks
+        found = put(found.unionByName(marks))
     # A node that names a component and was in none before is in it.
-    found = found.unionByName(found.select(F.col("cycle").alias("node"), "cycle")).distinct()
+    found = put(found.unionByName(found.select(F.col("cycle").alias("node"), "cycle")).distinct())
     sizes = found.groupBy("cycle").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     found = cut(found.join(sizes.hint("merge"), "cycle").select("node", F.col("first").alias("cycle"), "size"))
     put.clear()
     return found
 
 
-def _spread(nodes: DataFrame, edges: DataFrame, put: Shelf) -> DataFrame:
-    """node, least: the smallest node that reaches it, itself included."""
-    now = put(nodes.select("node", F.col("node").alias("least")))
-    while True:
-        new = now
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _ends(edges: DataFrame, put: Shelf) -> tuple[DataFrame, dict[str, int]]:
+    """node, into, out, last, next of different edges (src, dst): how many ways lead in and out, and one of each; and counts of all."""
+    end = lambda c, into: edges.select(F.col(c).alias("node"), F.lit(into).alias("into"), F.lit(1 - into).alias("out"), *(F.when(F.lit(x), F.col(o)).alias(n) for x, o, n in ((into == 1, "src", "last"), (into == 0, "dst", "next"))))
+    nodes = end("src", 0).unionByName(end("dst", 1)).groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out"), F.min("last").alias("last"), F.min("next").alias("next"))
+    return put.counted(nodes, thin_in=F.count_if(F.col("into") <= 1), thin_out=F.count_if(F.col("out") <= 1), ends=F.coalesce(F.sum("into"), F.lit(0)))
+
+
+def _hung(edges: DataFrame, nodes: DataFrame, put: Shelf) -> tuple[DataFrame, tuple[DataFrame, DataFrame, int], DataFrame | None]:
+    """The edges (src, dst) between nodes with two ways in or more, where an edge from a node of a tree leads from the tree's root; the trees;
+    and the cycles (node, cycle) of nodes with one way in, which nothing else leads to.
+
+    Who has one way in hangs on the node before. Each looks as far up as the one it has seen last, so that a tree of n levels takes log n
+    looks; those at which the root wasn't found are open. What hangs on a node without a way in, or below a cycle that has none from without, is on
+    no cycle. Trees are: way (src, root, dst), the edges into nodes that are left; climb (node, level, at, open), the looks;
+    and how many looks it takes to the last root.
+    """
+    name = put.name()
+    before = nodes.select(F.col("node").alias("last"), F.col("into").alias("n")).hint("merge")
+    first = nodes.where("into = 1").select("node", "last").join(before, "last")
+    first = first.select("node", F.when(F.col("n") > 0, F.col("last")).alias("at"), F.col("node").alias("low"), (F.col("n") == 1).alias("open"), F.lit(0).alias("level"), F.lit(False).alias("lower"))
+    climb, seen = put.counted(first, name, n=F.count_if(F.col("open")))
+    level = deepest = 0
+    ring, enough = None, False
+    while seen["n"] and not enough:
+        enough = seen["n"] <= 2**level  # open ones that aren't on or below a cycle are seen through by the next look
+        mine, held = climb.where(F.col("open") & (F.col("level") == level)), climb.where(~F.col("open") | (F.col("level") == level))
+        held = held.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("low").alias("other"), F.col("open").alias("more")).hint("merge")
+        looked = mine.select("node", "at", "low").join(held, "at")
+        level += 1
+        looked = looked.select("node", F.col("to").alias("at"), F.least("low", "other").alias("low"), F.col("more").alias("open"), F.lit(level).alias("level"), (F.col("more") & (F.col("other") < F.col("low"))).alias("lower"))
+        climb, seen = put.counted(looked, name, n=F.count_if(F.col("open")), done=F.count_if(~F.col("open")), lower=F.count_if(F.col("lower")))
+        deepest = level if seen["done"] else deepest
+        if seen["n"] and (enough or not seen["lower"]):
+            # Those at which open ones look are all on cycles if no way up ends. If these are all the open ones, minima that stay are those of the cycles.
+            lost = climb.where(F.col("open") & (F.col("level") == level))
+            ring, on = put.counted(lost.join(lost.select(F.col("at").alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", F.col("low").alias("cycle")), n=F.count("*"))
+            enough = enough or on["n"] == seen["n"]
+            ring = ring if enough else None
+    fat = nodes.where("into > 1").select("node")
+    place = climb.where("NOT open AND at IS NOT NULL").select(F.col("node").alias("src"), F.col("at").alias("root")).unionByName(fat.select(F.col("node").alias("src"), F.col("node").alias("root")))
+    way = put(edges.join(fat.select(F.col("node").alias("dst")).hint("merge"), "dst", "left_semi").join(place.hint("merge"), "src").select("src", "root", "dst"))
+    return put(way.where("root <> dst").select(F.col("root").alias("src"), "dst").distinct()), (way, climb, deepest), ring
+
+
+def _spread(nodes: DataFrame, edges: DataFrame, put: Shelf) -> tuple[DataFrame, int]:
+    """node, f, b: the smallest node that reaches it and the smallest that it reaches, itself included; and of how many they differ.
+
+    Both ways are gone at once, along edges and along turned ones; a node's edge to itself carries what it has.
+    """
+    way = lambda t, back: t.select(F.lit(back).alias("back"), "src", "dst")
+    own = nodes.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("back"), F.col("node").alias("src"), F.col("node").alias("dst"))
+    ways = put(way(edges, False).unionByName(way(_turned(edges), True)).unionByName(own))
+    now, seen = ways.groupBy("back", F.col("dst").alias("src")).agg(F.min("src").alias("least")), {"n": 1}
+    while seen["n"]:
         for _ in range(STEPS):
-            sent = edges.join(new.hint("merge"), edges["src"] == new["node"]).select(F.col("dst").alias("node"), "least")
-            new = new.unionByName(sent).groupBy("node").agg(F.min("least").alias("least"))
-        new = put(new)
-        changed = new.join(now.withColumnRenamed("least", "was").hint("merge"), "node").where("least <> was").isEmpty()
-        now = new
-        if changed:
-            return now
+            sent = ways.join(now.select("back", "src", "least").hint("merge"), ["back", "src"])
+            now = sent.groupBy("back", "dst").agg(F.min("least").alias("least"), F.max(F.when(F.col("src") == F.col("dst"), F.col("least"))).alias("was")).withColumnRenamed("dst", "src")
+        now, seen = put.counted(now, n=F.count_if(F.expr("least <> was")))  # a step that changes nothing is the last
+    both = now.groupBy(F.col("src").alias("node")).agg(F.min(F.when(~F.col("back"), F.col("least"))).alias("f"), F.min(F.when(F.col("back"), F.col("least"))).alias("b"))
+    both, seen = put.counted(both, n=F.count_if(F.expr("f <> b")))
+    return both, seen["n"]
 
 
 def transitive_imports(edges: DataFrame, module: str, spark: SparkSession) -> DataFrame:

@@ -95,3 +95,21 @@ def test_one_row_of_metrics_for_all_files(spark):
     big = complexity.bigo_metrics(complexity.repository_estimates(n)).first()
     assert (big["bigO_cost_sum"], big["n"], big["patterns"]) == (3.0, 2, ["2_nested_loops → O(n²)", "single_loop → O(n)"])
     assert tuple(complexity.bigo_metrics(complexity.repository_estimates(n.limit(0))).first()) == (0.0, 0, [])
+
+
+def test_few_jobs_for_cycles(spark):
+    """Trees, which stand one below the other 40 deep and more, and cycles without a way in go in few jobs, a few for each doubling of their depth; taking
+    nodes that aren't neighbours out of the graph round by round took 353."""
+    n = 9000
+    ids = spark.range(n).select(F.col("id").alias("src"))
+    table = ids.select("src", ((F.col("src") * 17 + 3) % n).alias("dst")).unionByName(ids.where("src % 5 = 0").select("src", ((F.col("src") * 5 + 1) % n).alias("dst")))
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    found = graph.cycles(table)
+    assert jobs() - before <= 150
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len({r[0] for r in rows})
+    sizes = {}
+    for _, cycle, size in rows:
+        sizes.setdefault(cycle, []).append(size)
+    assert all(len(x) == x[0] for x in sizes.values()) and {c for _, c, _ in rows} <= {r[0] for r in rows}
