@@ -1,7 +1,10 @@
 """Each look at typed state is a message to the store: a key asks for no more than its events need."""
 
+import random
+
 import pandas as pd
 
+from quarrylens.streaming import episode
 from quarrylens.streaming.actions import Episodes
 
 
@@ -65,3 +68,31 @@ def test_few_messages_a_key():
     assert out == [(9, 2, 0, "reset", "file:f9", 0, "")] and n == 6 and h.timers == [19_000]
     out, _ = batch((30, "view_file"))
     assert [r[3] for r in out] == ["idle"] and h.timers == []
+
+
+class _State:
+    exists = False
+
+    def update(self, x):
+        self.get, self.exists = x, True
+
+
+def test_episodes_of_a_group_at_once():
+    """One call for all episodes of a group, in several micro-batches and frames, against a plain walk along the events of each; null ids and kinds too."""
+    rnd = random.Random(7)
+    state, plain = _State(), {}
+    for _ in range(12):
+        rows = [(rnd.choice(["a", "b", "c", None]), rnd.randrange(40), rnd.choice(["reset", "submit", "edit_file", "edit_files", "view_file", None])) for _ in range(rnd.choice([1, 9, 50]))]
+        frame, at, want = pd.DataFrame(rows, columns=["episode_id", "seq", "action_type"]), rnd.randrange(len(rows)), set()
+        for key in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2] is None, r[2] or ""))
+            step, edits, done, begun = plain.get(key, (0, 0, False, False))
+            for _, _, kind in own:
+                if kind == "reset":
+                    step, edits, done, begun = 0, 0, False, True
+                elif begun and not done:
+                    step, edits, done = step + 1, edits + (kind in ("edit_file", "edit_files")), kind == "submit"
+            plain[key] = step, edits, done, begun
+            want.add((key, len(own), step, edits, done))
+        (got,) = episode._update((0,), iter([frame[:at], frame[at:]]), state)
+        assert {tuple(r) for r in got.itertuples(index=False, name=None)} == want
