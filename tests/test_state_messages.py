@@ -96,3 +96,11 @@ def test_episodes_of_a_group_at_once():
             want.add((key, len(own), step, edits, done))
         (got,) = episode._update((0,), iter([frame[:at], frame[at:]]), state)
         assert {tuple(r) for r in got.itertuples(index=False, name=None)} == want
+
+
+def test_values_carried_in_a_group():
+    """A null takes the value of its own episode's step before, from an earlier micro-batch too."""
+    state, frame = _State(), lambda rows: pd.DataFrame(rows, columns=["episode_id", "step", "value"]).astype({"value": "float64"})
+    told = lambda *frames: [tuple(None if pd.isna(v) else v for v in r) for f in episode._carry((0,), iter(frames), state) for r in f.itertuples(index=False, name=None)]
+    assert told(frame([("b", 2, None), ("a", 1, 5.0)]), frame([("a", 2, None), ("b", 1, None), (None, 1, 7.0)])) == [("a", 1, 5.0), ("a", 2, 5.0), ("b", 1, None), ("b", 2, None), (None, 1, 7.0)]
+    assert told(frame([("b", 4, None), ("b", 3, 1.0), (None, 2, None), ("a", 3, None), ("c", 1, None)])) == [("a", 3, 5.0), ("b", 3, 1.0), ("b", 4, 1.0), ("c", 1, None), (None, 2, 7.0)]
